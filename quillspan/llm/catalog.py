@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.arrays import table
 from quillspan.llm.jaccard_join import near_copies
+from quillspan.llm.substring_dedup import deduplicated
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_jaccard_join": op7_jaccard_join}
+    named = (op7_jaccard_join, op10_substring_dedup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

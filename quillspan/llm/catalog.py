@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.arrays import table
 from quillspan.llm.jaccard_join import near_copies
+from quillspan.llm.language_id import languages
 from quillspan.llm.mixing import mix_digest
 from quillspan.llm.packing import packed
 from quillspan.llm.substring_dedup import deduplicated
@@ -17,6 +18,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_best_fit_packing, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
+    named = (op3_best_fit_packing, op4_language_id, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

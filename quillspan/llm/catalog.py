@@ -11,6 +11,7 @@ from quillspan.llm.jaccard_join import near_copies
 from quillspan.llm.language_id import languages
 from quillspan.llm.mixing import mix_digest
 from quillspan.llm.packing import packed
+from quillspan.llm.secret_scan import scanned
 from quillspan.llm.substring_dedup import deduplicated
 
 
@@ -22,6 +23,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_best_fit_packing, op4_language_id, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
+    named = (op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.arrays import table
+from quillspan.llm.html_blocks import extracted
 from quillspan.llm.jaccard_join import near_copies
 from quillspan.llm.language_id import languages
 from quillspan.llm.mixing import mix_digest
@@ -15,6 +16,10 @@ from quillspan.llm.secret_scan import scanned
 from quillspan.llm.substring_dedup import deduplicated
 
 
+def op2_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
+    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,24 @@ def _windows(words: Words, marks: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(hashes, places, texts) of the windows that hold a marked anchor."""
     all_runs, places = runs_of(words.hashes, WINDOW), []
     for c, m in zip(words.counts.tolist(), marks, strict=True):
-        near = (np.frombuffer(m or b"", np.uint32).astype(np.int64)[:, None] - np.arange(PERIOD)).ravel()
-        places.append(np.unique(near[(near >= 0) & (near <= c - WINDOW)]))
+        spans = np.frombuffer(m or b"", np.uint32).reshape(-1, 2).tolist()
+        near = [np.arange(max(0, i - PERIOD + 1), min(j, c - WINDOW) + 1) for i, j in spans]
+        places.append(np.unique(np.concatenate([*near, np.zeros(0, np.int64)])))
     each = [len(p) for p in places]
     at = np.concatenate([*places, np.zeros(0, np.int64)])
     return all_runs[at + np.repeat(words.first, each)], at, np.repeat(np.arange(len(each)), each)
 
 
+def _slim(x: np.ndarray) -> bytes:
+    """Differences, byte place by byte place: what changes little takes little room once the shuffle compresses it."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _full(b: bytes, kind: type) -> np.ndarray:
+    bytes_of = np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.cumsum(np.ascontiguousarray(bytes_of).view(kind).ravel(), dtype=kind)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
@@ -117,12 +129,12 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
         uid = int.from_bytes(hashlib.blake2b(np.concatenate([ids[doc[[0, -1]]], tids[doc[[0, -1]]], at[[0, -1]], [len(h), int(h.sum().astype(np.int64))]]).tobytes(), digest_size=8).digest(), "little", signed=True)
         used, small = np.unique(doc, return_inverse=True)
         counts = np.bincount(small).astype(np.uint32)
-        yield _rows([(int(uid % buckets), uid, 0, order[known].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), ids[used].tobytes(), tids[used].tobytes(), counts.tobytes())])
+        yield _rows([(int(uid % buckets), uid, 0, _slim(np.sort(order[known]).astype(np.uint32)), _slim(at.astype(np.uint32)), ids[used].tobytes(), tids[used].tobytes(), counts.tobytes())])
         # One entry a value: its hash, the smallest document, and the places that wait for the answer.
         waiting = np.flatnonzero(answer)
         waits = np.bincount(run[waiting], minlength=len(cut)).astype(np.uint8 if len(ids) < 256 else np.uint32)
         bucket = (h[order[cut]] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
+        by = np.lexsort((order[cut], bucket))
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         first = starts_of(waits.astype(np.int64)) if len(waits) else np.zeros(0, np.int64)
         rows = []
@@ -134,7 +146,7 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
             inside = np.arange(w.sum()) - np.repeat(starts_of(w), w)
             idx = order[waiting[np.repeat(first[mine], w) + inside]]
             hashes = (h[order[cut[mine]]] // np.uint64(buckets)).astype(np.uint64)
-            rows.append((k, uid, 1, hashes.tobytes() if least else hashes.astype(np.uint32).tobytes(), idx.astype(np.uint32).tobytes(), low[mine].tobytes() if least else None, None, w.astype(np.uint32).tobytes()))
+            rows.append((k, uid, 1, hashes.tobytes() if least else hashes.astype(np.uint32).tobytes(), _slim(idx.astype(np.uint32)), _slim(low[mine]) if least else None, None, w.astype(np.uint32).tobytes()))
             if len(rows) == 256:
                 yield _rows(rows)
                 rows = []
@@ -165,7 +177,7 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
         size = np.diff(np.append(cut, len(h)))
         run[order] = np.repeat(np.arange(len(cut)), size)
         if least:
-            doc = np.concatenate([np.frombuffer(r[5], np.int64) for r in held])
+            doc = np.concatenate([_full(r[5], np.int64) for r in held])
             hit = doc > np.minimum.reduceat(doc[order], cut)[run]
         else:
             hit = size[run] > 1
@@ -174,7 +186,7 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
             w = np.frombuffer(r[7], np.uint32).astype(np.int64)
             yes = np.repeat(hit[begin : begin + e], w)
             if yes.any():
-                found.append((r[0], r[1], 1, np.frombuffer(r[4], np.uint32)[yes].tobytes(), None, None, None, None))
+                found.append((r[0], r[1], 1, _slim(_full(r[4], np.uint32)[yes]), None, None, None, None))
             begin += e
         return found
 
@@ -193,9 +205,9 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
     def told(own, marked) -> pa.RecordBatch:
         docs, tids, out = [], [], []
         if own is not None and any(marked):
-            idx = np.unique(np.concatenate([np.frombuffer(m, np.uint32) for m in marked]))
+            idx = np.unique(np.concatenate([_full(m, np.uint32) for m in marked]))
             ids, texts, counts = np.frombuffer(own[5], np.int64), np.frombuffer(own[6], np.int64), np.frombuffer(own[7], np.uint32)
-            at, ends = np.frombuffer(own[4], np.uint32), np.cumsum(counts)
+            at, ends = _full(own[4], np.uint32), np.cumsum(counts)
             who = np.searchsorted(ends, idx, side="right")
             cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(who)], strict=True):
@@ -207,16 +219,22 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
     sent = docs.mapInArrow(send, _SENT)
     replied = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, _SENT)
     found = replied.repartition("uid").sortWithinPartitions("uid").mapInArrow(read, "doc_id long, text_id long, places binary")
-    return found.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("p")).select("doc_id", "text_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> a || x)").alias("marks"))
+    # A text's values may have left in several batches.
+    told_of = found.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("marks"))
+    return told_of.mapInArrow(partial(_spans, gap=1 if least else PERIOD), "doc_id long, text_id long, marks binary")
+
 
+def _spans(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    """Places as (first, last) pairs, where steps of at most `gap` go on.
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed window starts as (first, last) pairs of consecutive ones."""
+    Windows start up to 6 words before an anchor they hold, so for anchors steps
+    of 7 leave no other window between.
+    """
     for b in batches:
         made = []
         for m in b.column("marks").to_pylist():
-            at = np.unique(np.frombuffer(m, np.uint32))
-            cut = np.flatnonzero(np.diff(at) > 1)
+            at = np.unique(np.frombuffer(b"".join(m), np.uint32))
+            cut = np.flatnonzero(np.diff(at) > gap)
             made.append(np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], axis=1).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_id"), pa.array(made, pa.binary())], names=["doc_id", "text_id", "marks"])
 
@@ -226,7 +244,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     shared = written(_ask(docs, _anchors, least=False))
     near = docs.join(sized(shared, "length(marks)"), ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "marks")
-    return written(_ask(near, _windows, least=True).mapInArrow(_spans, "doc_id long, text_id long, marks binary"))
+    return written(_ask(near, _windows, least=True))
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:

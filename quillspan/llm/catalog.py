@@ -14,6 +14,7 @@ from quillspan.llm.mixing import mix_digest
 from quillspan.llm.packing import packed
 from quillspan.llm.secret_scan import scanned
 from quillspan.llm.substring_dedup import deduplicated
+from quillspan.llm.webp import stored
 
 
 def op2_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op10_substring_dedup)
+    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op9_lossless_webp, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

@@ -12,6 +12,7 @@ from quillspan.llm.jaccard_join import near_copies
 from quillspan.llm.language_id import languages
 from quillspan.llm.mixing import mix_digest
 from quillspan.llm.packing import packed
+from quillspan.llm.permutation_index import search
 from quillspan.llm.secret_scan import scanned
 from quillspan.llm.substring_dedup import deduplicated
 from quillspan.llm.webp import stored
@@ -41,6 +42,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op9_lossless_webp, op10_substring_dedup)
+    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op8_permutation_index, op9_lossless_webp, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.arrays import table
+from quillspan.llm.co_training import judged
 from quillspan.llm.html_blocks import extracted
 from quillspan.llm.jaccard_join import near_copies
 from quillspan.llm.language_id import languages
@@ -18,6 +19,10 @@ from quillspan.llm.substring_dedup import deduplicated
 from quillspan.llm.webp import stored
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op8_permutation_index, op9_lossless_webp, op10_substring_dedup)
+    named = (op1_co_training, op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op8_permutation_index, op9_lossless_webp, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 

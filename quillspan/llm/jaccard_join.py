@@ -14,9 +14,10 @@ steps are
    parity bitmaps bound the overlap from above by bit counts
    (|A ^ B| >= bits that differ), and the exact intersection of sorted arrays
    decides. Sets linked so far form components;
-4. *tiles*: only where a tile still holds several components, all pairs of sets
+4. *tiles*: only where a tile still holds several components, the pairs of sets
    of different components within a band, block by block by bit counts, again
-   with the exact intersection after it; then the final components.
+   with the exact intersection after it: first each set's closest in another
+   component, then all that are still apart; then the final components.
 
 Skew: copies are one node, a large group of near copies is one component after
 the stars, common shingles come last in every prefix, and the tests of one
@@ -30,19 +31,21 @@ sets; two different ones coincide with probability 2**-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, written
 
 #: Shingles seen in this many documents of one task are reported as common; so many of them are kept for ordering.
-COMMON_IN_TASK, COMMON_KEPT = 3, 1 << 17
+COMMON_IN_TASK, COMMON_KEPT = 3, 1 << 16
 #: Members of a tile that are held at once.
 TILE = 2048
+#: Rounds in which sets are tested against their closest in other components, before all that is left.
+CLOSEST_ROUNDS = 1
 #: Exact tests of one set that one group holds.
 TESTS = 512
 
@@ -52,8 +55,8 @@ def _digest(values: np.ndarray) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Parity bitmap: bit i tells whether an odd number of the set's values fall on i. At least as many bits as values, a power of two from 128."""
-    bits = max(128, 1 << int(len(values) - 1).bit_length())
+    """Parity bitmap: bit i tells whether an odd number of the set's values fall on i. Four bits a value or more, a power of two from 128."""
+    bits = max(128, 1 << int(4 * len(values) - 1).bit_length())
     odd = np.bincount((mix(values) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -189,11 +192,13 @@ def _bit_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_pairs(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within a band of a tile that the bit counts let through, block against block.
 
     Rows come by tile and size; a block meets itself and the later blocks whose
     sizes its own can still link with, so what is held is bounded by that band.
+    closest: of a set's pairs with a block, only that of fewest differing bits,
+    so that components at least double at little cost before the rest.
     """
     tile, held = None, []
 
@@ -205,7 +210,11 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(s)):
             j = np.flatnonzero(root2 != root[i])
             j = j[100 * np.minimum(n[i], n2[j]) >= 80 * np.maximum(n[i], n2[j])]
-            j = j[may_link(n[i], n2[j], np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64))]
+            differ = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)
+            may = may_link(n[i], n2[j], differ)
+            j, differ = j[may], differ[may]
+            if closest:
+                j = j[differ.argsort(kind="stable")[:1]]
             out.append(np.stack([np.full(len(j), s[i]), s2[j]]))
         return np.concatenate(out, axis=1)
 
@@ -279,10 +288,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     found = written(_sets(docs))
     sets = found.where("common is null").select("doc_id", "n", "sid")
-    top = found.where("common is not null").groupBy("common").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).collect()
-    common = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = found.where("common is not null").groupBy("common").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toArrow()
+    common = top.column("common").to_numpy().view(np.uint64)
     order = np.argsort(common)
-    common, rank = common[order], np.array([r[1] for r in top], np.int64)[order]
+    common, rank = common[order], top.column("c").to_numpy()[order]
 
     owners = written(sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     tiles = written(_tiles(docs, common, rank))
@@ -297,13 +306,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     roots = connected(links)
 
     members = tiles.where("length(sids) > 16").mapInArrow(_members, "tile long, sid long")
-    rooted = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
-    rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
-    pairs = rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(_tile_pairs, "a long, b long").distinct().join(links, ["a", "b"], "left_anti")
-    more = written(_links(docs, owners, pairs))
-    links = links.union(more)
-    roots = connected(links)
+    for step in (partial(_tile_pairs, closest=True),) * CLOSEST_ROUNDS + (partial(_tile_pairs, closest=False),):
+        rooted = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
+        rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
+        pairs = rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(step, "a long, b long").distinct()
+        links = links.union(written(_links(docs, owners, pairs)))
+        roots = connected(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = owners.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -113,6 +113,7 @@ def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_sour
     node_source: `lines`, `json`, or a node table (file_path, node columns).
     Files without a wanted node, and null contents, give no chunks.
     """
+    source = node_source if isinstance(node_source, str) else "table"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,8 +122,8 @@ def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_sour
             for p, c, lang, ns in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), b.column("language").to_pylist(), given, strict=True):
                 if c is None:
                     continue
-                found = [[n[x] for x in _NODE] for n in ns] if ns is not None else trees.json_nodes(c) if node_source == "json" else trees.line_nodes(c)
-                rows += trees.chunks_of(p, c, "text" if node_source == "lines" else lang, found, target, most)
+                found = [[n[x] for x in _NODE] for n in ns] if ns is not None else trees.json_nodes(c) if source == "json" else trees.line_nodes(c)
+                rows += trees.chunks_of(p, c, "text" if source == "lines" else lang, found, target, most)
                 if len(rows) > 2000:
                     yield _table(rows, _CHUNK_TYPES, ["id", "file_path", "start_line", "end_line", "content"])
                     rows = []

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split(" ") for x in text.split(", "))])
 
 
 DOCUMENTS = _struct("file_path string, hash string, created_at timestamp, updated_at timestamp")

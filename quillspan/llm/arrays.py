@@ -147,6 +147,12 @@ def sized(df: DataFrame, row_bytes: str | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The rows with the n smallest values of a column, ties and all. Only those values meet in one task, not the rows."""
+    cut = df.select(order).distinct().orderBy(order).limit(n).agg(F.max(order)).first()[0]
+    return df.where(F.lit(False) if cut is None else F.col(order) <= cut)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from each id by links (a, b).
 

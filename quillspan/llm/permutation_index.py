@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm.arrays import first_rows
+
 PIVOTS, PREFIX, POSTED, PROBED, SHARE, LEAST, K = 512, 64, 16, 28, 0.25, 1000, 5
 BLOCK, QUERIES = 8192, 16_384
 
@@ -107,7 +109,8 @@ def search(embeddings: DataFrame, every: int = 50, k: int = K, pivots: int = PIV
     if not width:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, total = rows.where(F.size("embedding") == width[0]["n"]), width[0]["count"]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(max(1, min(pivots, total // 4))).toArrow()
+    sample = first_rows(rows.withColumn("h", F.xxhash64("vec_id")), "h", max(1, min(pivots, total // 4)))
+    sample = sample.groupBy("h").agg(F.min(F.struct("vec_id", "embedding")).alias("r")).orderBy("h").select("r.*").toArrow()
     perms = Permutations(_usable(sample.column("vec_id"), sample.column("embedding"))[1])
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     passes = max(1, -(-asked.count() // QUERIES))

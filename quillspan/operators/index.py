@@ -33,12 +33,12 @@ def index_batch(files: DataFrame, index: Index, params: Params | None = None, no
     params, now = params or Params(), F.current_timestamp() if now is None else now
     documents = index.documents
     known = documents.join(files.select("file_path"), "file_path", "left_semi") if partial else documents
-    diff = diff_snapshot(files, known)
+    diff = diff_snapshot(files, known).persist()
     clean, todo = files_to_clean(diff), files_to_index(diff)
     chunks, embeddings = remove_chunks(index.chunks, index.embeddings, clean)
     documents = remove_documents(documents, clean)
     changed = files.join(todo, "file_path", "left_semi")
-    new = chunk_files(changed, params.target, params.most, params.node_source)
+    new = chunk_files(changed, params.target, params.most, params.node_source).persist()
     vectors = embed_chunks(new, params.embed_fn, params.batch_size)
     with_chunks = changed.join(new.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "hash")
-    return Index(insert_documents(documents, with_chunks, now), insert_chunks(chunks, new, now), insert_embeddings(embeddings, vectors, now))
+    return Index(insert_documents(documents, with_chunks, now), insert_chunks(chunks, new, now), insert_embeddings(embeddings, vectors, now), (diff, new))

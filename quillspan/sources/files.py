@@ -31,6 +31,12 @@ class Index:
     documents: DataFrame
     chunks: DataFrame
     embeddings: DataFrame
+    #: What a run keeps until its tables are written, so that nothing is chunked twice.
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def empty_index(spark: SparkSession) -> Index:

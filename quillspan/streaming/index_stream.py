@@ -22,6 +22,8 @@ def index_stream(stream: DataFrame, root: str, project: str, checkpoint: str, pa
 
     def upsert(batch: DataFrame, _: int) -> None:
         files = last_wins(batch, "file_path", order).withColumn("hash", content_hash(F.col("content")))
-        write_index(index_batch(files, read_index(batch.sparkSession, root, project), params, partial=True), root, project)
+        after = index_batch(files, read_index(batch.sparkSession, root, project), params, partial=True)
+        write_index(after, root, project)
+        after.release()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

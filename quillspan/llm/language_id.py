@@ -66,16 +66,19 @@ class KernelModel:
         self.landmarks, self.weights, self.languages = landmarks, weights, languages
 
     @staticmethod
-    def fit(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-        names = sorted(set(languages))
-        x = _normalized(bits)
-        pick = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-        marks = x[pick]
-        k, m = x @ marks.T, marks @ marks.T
+    def fit(packed: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
+        """From presence bits (rows, DIMS / 8), unpacked some rows at a time."""
+        names, n = sorted(set(languages)), len(packed)
+
+        def rows(which) -> np.ndarray:
+            return _normalized(np.unpackbits(packed[which], axis=1).astype(np.float32))
+
+        marks = rows(np.unique(np.linspace(0, n - 1, min(landmarks, n)).astype(int)))
+        k, m = np.concatenate([rows(slice(i, j)) @ marks.T for i, j in _blocks(n)]), marks @ marks.T
         y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in languages])
         size = np.array([languages.count(name) for name in names])
         w = 1 / size[[names.index(x) for x in languages]]  # languages count alike
-        left = (k.T * w) @ k / len(names) + (ridge / len(names)) * m / len(x) + 1e-9 * np.eye(len(m))
+        left = (k.T * w) @ k / len(names) + (ridge / len(names)) * m / n + 1e-9 * np.eye(len(m))
         return KernelModel(marks.astype(np.float32), np.linalg.solve(left.astype(float), (k.T * w) @ y / len(names)).astype(np.float32), names)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -111,8 +114,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | No
     rows.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id, r.lang, bytes(r.bits)))
     if not rows:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    return KernelModel.fit(bits, [r.lang for r in rows])
+    packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1)
+    return KernelModel.fit(packed, [r.lang for r in rows])
 
 
 def hash_of(doc_id: int) -> int:

@@ -12,7 +12,8 @@ from quillspan.functions.globs import glob_filter
 from quillspan.operators import chunk, diff, embed, index, lexical, maintain, ranges, search
 from quillspan.plans import views as V
 from quillspan.plans.views import table
-from quillspan.sources.files import Index, empty_index, wide_index
+from quillspan.sources.files import empty_index, read_index, scratch_dir, wide_index, write_index
+from quillspan.streaming.index_stream import index_stream
 
 _EXTENSION = "CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.mjs' WHEN 'de' THEN '.d.json' ELSE '.TS' END"
 
@@ -118,12 +119,36 @@ def documents_found(spark, sf):
 
 def index_counts(spark, sf):
     """The whole incremental run from the old snapshot to the new one: what each file's index then holds."""
-    old = index.index_batch(V.old_files(spark, sf), empty_index(spark), now=_now())
-    new = index.index_batch(V.files(spark, sf), Index(old.documents, old.chunks, old.embeddings), now=_now())
+    root = scratch_dir(spark)
+    for files in (V.old_files(spark, sf), V.files(spark, sf)):
+        made = index.index_batch(files, read_index(spark, root, "p"), now=_now())
+        write_index(made, root, "p")
+        made.release()
+    new = read_index(spark, root, "p")
     joined = new.documents.select("file_path", "hash").join(new.chunks.select("file_path", "id"), "file_path").join(new.embeddings.select(F.col("chunk_id").alias("id")), "id")
     return joined.groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def index_written(spark, sf):
+    """The first index of the old snapshot, written as a version and read again."""
+    root = scratch_dir(spark)
+    made = index.index_batch(V.old_files(spark, sf), empty_index(spark), now=_now())
+    write_index(made, root, "p")
+    made.release()
+    back = read_index(spark, root, "p")
+    return back.chunks.join(back.documents.select("file_path", "hash"), "file_path").groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def index_streamed(spark, sf):
+    """The documents, read as a stream of files and indexed by micro-batches."""
+    root, docs = scratch_dir(spark), table(spark, sf, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents*.parquet")
+    stream = stream.select(V.file_path(".txt").alias("file_path"), F.col("text").alias("content"), F.lit("text").alias("language"), F.lit(1).alias("arrived"))
+    index_stream(stream, root, "p", f"{root}/progress").awaitTermination()
+    back = read_index(spark, root, "p")
+    return back.chunks.join(back.documents.select("file_path", "hash"), "file_path").groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def token_counts(spark, sf):
     return V.files(spark, sf).select("file_path", T.token_count(F.col("content")).alias("tokens"))
 
@@ -295,6 +320,8 @@ _SQL: dict[str, str] = {
     "pending": f"WITH {V.VECTOR_CHUNKS} SELECT 'new/' || id AS id, content FROM vchunks",
     "documents_found": f"WITH {V.OLD} SELECT file_path, hash FROM old",
     "index_counts": f"{_CHUNKS} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN files f ON f.file_path = c.file_path GROUP BY ALL",
+    "index_written": f"WITH RECURSIVE {V.OLD}, {V.chunks_sql('old')} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN old f ON f.file_path = c.file_path GROUP BY ALL",
+    "index_streamed": f"{_CHUNKS} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN files f ON f.file_path = c.file_path GROUP BY ALL",
     "token_counts": f"WITH {V.FILES} SELECT file_path, ceil(length(content) / 4.0)::INT AS tokens FROM files",
     "line_nodes": f"""WITH {V.FILES}, {V.lines_sql()} SELECT file_path, (row + 1)::INT AS node_id, 0 AS parent_id, CASE WHEN wanted THEN 'line' ELSE 'blank' END AS type, a::INT AS start, b::INT AS "end", row::INT AS start_row, 0 AS child_count FROM lines
       UNION ALL SELECT file_path, 0, NULL, 'document', 0, length(content)::INT, 0, len(string_split(content, chr(10)))::INT FROM files""",
@@ -335,7 +362,7 @@ _SQL: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
-        documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, token_counts, json_nodes, line_nodes,
+        documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, token_counts, json_nodes, line_nodes,
         classified_nodes, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,
     )

@@ -12,20 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _path(extension: str) -> Column:
+def file_path(extension: str) -> Column:
     return F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(extension))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(_path(".txt").alias("file_path"), F.col("text").alias("content"), content_hash(F.col("text")).alias("hash"), F.lit("text").alias("language"))
+    return docs.select(file_path(".txt").alias("file_path"), F.col("text").alias("content"), content_hash(F.col("text")).alias("hash"), F.lit("text").alias("language"))
 
 
 def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier snapshot: some files under another path, some with another content."""
     docs = table(spark, sf_dir, "documents")
     n = F.length("text")
-    path = F.when(n % 5 == 0, F.concat(_path(".txt"), F.lit(".bak"))).otherwise(_path(".txt"))
+    path = F.when(n % 5 == 0, F.concat(file_path(".txt"), F.lit(".bak"))).otherwise(file_path(".txt"))
     text = F.when(n % 3 == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text"))
     return docs.select(path.alias("file_path"), text.alias("content"), content_hash(text).alias("hash"), F.lit("text").alias("language"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +73,12 @@ def write_index(tables: Index, root: str, project: str) -> int:
     return version
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-quillspan-")
+    return f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
+
+
 def wide_index(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row per embedded chunk with its file hash and vector; a vector without chunk or document raises."""
     d = documents.select("file_path", F.col("hash").alias("file_hash"))

@@ -64,6 +64,13 @@ def pieces(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task makes of one stays small; slices share the batch's memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -119,6 +126,20 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return out
 
 
+#: Rows that go to a Python worker at once.
+ARROW_ROWS = 1024
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; from now on Spark hands Python workers of this session at most `ARROW_ROWS` rows at a time.
+
+    Texts are long: Spark's 10,000 rows a batch would be held several times, in
+    the executor and in each of its workers.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

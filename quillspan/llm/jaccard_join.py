@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, written
+from quillspan.llm.arrays import as_bytes, bounded, connected, mix, pieces, shingle_sets, sized, small, written
 
-#: Shingles seen in this many documents of one task are reported as common; so many of them are kept for ordering.
-COMMON_IN_TASK, COMMON_KEPT = 3, 1 << 16
+#: Shingles seen in this many of the documents that a task counts together (so many values or more) are reported as common; so many of them are kept for ordering.
+COMMON_IN_TASK, COUNTED, COMMON_KEPT = 3, 1 << 20, 1 << 16
 #: Members of a tile that are held at once.
 TILE = 2048
 #: Rounds in which sets are tested against their closest in other components, before all that is left.
@@ -92,18 +92,26 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
-        for b in batches:
-            texts = as_bytes(b.column("text"))
-            sets = [s for i, j in pieces(texts) for s in shingle_sets(texts[i:j])]
-            distinct = {_digest(s): s for s in sets}
+        distinct: dict[int, np.ndarray] = {}
+
+        def count() -> None:
             v, c = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
             for x, y in zip(v[c >= COMMON_IN_TASK].tolist(), c[c >= COMMON_IN_TASK].tolist(), strict=True):
                 seen[x] = seen.get(x, 0) + y
+            distinct.clear()
+
+        for b in small(batches):
+            texts = as_bytes(b.column("text"))
+            sets = [s for i, j in pieces(texts) for s in shingle_sets(texts[i:j])]
+            distinct.update((_digest(s), s) for s in sets)
+            if sum(map(len, distinct.values())) > COUNTED:
+                count()
             n = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "sid", "common"])
             if len(seen) > COMMON_KEPT:
                 yield _common(seen)
-                seen = {}
+                seen.clear()
+        count()
         yield _common(seen)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, common long")
@@ -119,7 +127,7 @@ def _tiles(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for b in batches:
+        for b in small(batches):
             texts = as_bytes(b.column("text"))
             for i, j in pieces(texts):
                 keys, sids, sizes = [np.zeros(0, np.uint64)], [], []
@@ -179,7 +187,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, 2 * TILE):
         n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
         keep = np.zeros(len(n), bool)
         x, y = b.column("bits").to_pylist(), b.column("bits2").to_pylist()
@@ -201,12 +209,13 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa
     so that components at least double at little cost before the rest.
     """
     tile, held = None, []
+    batches = small(batches, 2 * TILE)
 
     def against(x, y):
         (s, n, root, bits), (s2, n2, root2, bits2) = x, y
         w = min(bits.shape[1], bits2.shape[1])
         p, q = folded(bits, w), folded(bits2, w)
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         for i in range(len(s)):
             j = np.flatnonzero(root2 != root[i])
             j = j[100 * np.minimum(n[i], n2[j]) >= 80 * np.maximum(n[i], n2[j])]
@@ -238,7 +247,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among pairs: rows of a test group come with the group's own set first."""
     a, mine = None, np.zeros(0, np.uint64)
-    for b in batches:
+    for b in small(batches):
         out = []
         for x, y, values in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("set").to_pylist(), strict=True):
             values = np.frombuffer(values, np.uint64)
@@ -256,7 +265,7 @@ def _with_sets(docs: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
     """(sid, n, bits or set) of the documents named in owners(doc_id, sid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts, want = as_bytes(b.column("text")), b.column("sid").to_numpy()
             for i, j in pieces(texts):
                 sets = shingle_sets(texts[i:j])
@@ -269,7 +278,6 @@ def _with_sets(docs: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
 
 def _links(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that do link, by exact intersection; each set is sent once to each group that tests it."""
-    pairs = pairs.distinct()
     salted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("tests")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.expr(f"1 + tests div {TESTS}")).alias("salt"))
     salted = written(salted)
     named = written(salted.select(F.col("a").alias("sid")).union(salted.select("b")).distinct())
@@ -286,7 +294,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     only where no id is known); n_links counts the links found between the row's
     set and other sets, which suffice for the classes but need not be all.
     """
-    found = written(_sets(docs))
+    found = written(_sets(bounded(docs)))
     sets = found.where("common is null").select("doc_id", "n", "sid")
     top = found.where("common is not null").groupBy("common").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toArrow()
     common = top.column("common").to_numpy().view(np.uint64)
@@ -302,7 +310,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     other = bits.toDF("b", "m", "bits2")
     stars = tiles.mapInArrow(_stars, "a long, b long").distinct().join(bits.withColumnRenamed("sid", "a"), "a").join(other, "b")
-    links = written(_links(docs, owners, stars.select("a", "b", "n", "m", "bits", "bits2").mapInArrow(_bit_bound, "a long, b long")))
+    pairs = written(stars.select("a", "b", "n", "m", "bits", "bits2").mapInArrow(_bit_bound, "a long, b long"))
+    links = written(_links(docs, owners, pairs))
     roots = connected(links)
 
     members = tiles.where("length(sids) > 16").mapInArrow(_members, "tile long, sid long")
@@ -310,9 +319,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         rooted = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
         rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
-        pairs = rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(step, "a long, b long").distinct()
-        links = links.union(written(_links(docs, owners, pairs)))
-        roots = connected(links)
+        pairs = written(rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(step, "a long, b long").distinct())
+        if pairs.isEmpty():
+            continue
+        more = written(_links(docs, owners, pairs))
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = connected(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = owners.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

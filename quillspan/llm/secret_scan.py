@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import mix, starts_of
+from quillspan.llm.arrays import bounded, first_rows, mix, small, starts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -274,10 +274,10 @@ def training_sequences(texts: list[str], seed: int = 11) -> list[tuple[np.ndarra
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from docs(text). Half the sample has pattern words, half is any text; 4,000 characters around the first word come to the driver."""
     words = r"(?i)(password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12})"
-    rows = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(words).alias("hit"))
+    rows = bounded(docs).where("text is not null").select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(words).alias("hit"))
     place = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(words)) - 500)
     rows = rows.select("h", "hit", F.substring(F.col("text"), place, F.lit(4000)).alias("text"))
-    found = [r for hit in (True, False) for r in rows.where(F.col("hit") == hit).dropDuplicates(["h"]).orderBy("h", "text").limit(sample // 2).collect()]
+    found = [r for hit in (True, False) for r in sorted(first_rows(rows.where(F.col("hit") == hit), "h", sample // 2).dropDuplicates(["h"]).collect(), key=lambda r: r.h)]
     sequences = training_sequences([r.text for r in found] or ["a b c"])
     return Field().fit(sequences or [(np.zeros((1, 9), np.int64), np.zeros(1, np.int64))])
 
@@ -325,7 +325,7 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = all_spans(field, [t or "" for t in b.column("text").to_pylist()])
             counts = [pa.array([sum(s[2] == k for s in spans) for spans in found], pa.int64()) for k in KINDS]
             told = [",".join(f"{k}:{i}:{j}" for i, j, k in spans) for spans in found]
@@ -341,7 +341,7 @@ def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]"
     field = field or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts, out = b.column("text").to_pylist(), []
             for t, spans in zip(texts, all_spans(field, [t or "" for t in texts]), strict=True):
                 done, at = [], 0

@@ -27,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.arrays import bounded, small
+
 CAPACITY = 2048
 #: Bins open at once in a task.
 OPEN_BINS = 4096
 ROWS_PER_TASK = 16_384
 #: Distinct words whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 
 _WORDS = re.compile(r"[^ \t-\r]+").findall
 #: One run of letters that the tokenizer takes whole, then one run of other characters, without apostrophes (its contractions).
@@ -53,7 +55,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
         self.lists: list[np.ndarray] = []
         self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -65,11 +67,11 @@ class WordIds:
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
                 for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.parts[w] = tuple(e.ids)
+                    self.parts[w] = np.array(e.ids, np.uint32).tobytes()
                 continue
-            ids, at = ids.tolist(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.parts[w] = tuple(ids[at:end])
+            raw, at = ids.astype(np.uint32).tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.parts[w] = raw[at:end]
                 at = end
 
     def _learn(self, new: list[str]) -> None:
@@ -79,20 +81,20 @@ class WordIds:
         halves = {x for a, b in plain.values() for x in (a.lower(), b) if x}
         self._learn_parts([x for x in halves if x not in self.parts])
         odd = [w for w in new if w not in plain]
-        other = {w: e.ids for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)} if odd else {}
+        other = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)} if odd else {}
         lengths, flat = [], []
         for w in new:
             self.index[w] = len(self.index)
             if w in plain:
                 a, b = plain[w]
-                ids = (self.parts[a.lower()] if a else ()) + (self.parts[b] if b else ())
+                ids = (self.parts[a.lower()] if a else b"") + (self.parts[b] if b else b"")
             else:
                 ids = other[w]
-            lengths.append(len(ids))
-            flat += ids
+            lengths.append(len(ids) // 4)
+            flat.append(ids)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum([0, *lengths[:-1]])])
         self.length = np.concatenate([self.length, lengths]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(flat), np.uint32)])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -136,7 +138,7 @@ def cut_pieces(docs: DataFrame, path: Callable[[], str] = tokenizer_path, capaci
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path())
-        for b in batches:
+        for b in small(batches):
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for d, ids in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
@@ -152,7 +154,7 @@ def cut_pieces(docs: DataFrame, path: Callable[[], str] = tokenizer_path, capaci
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int64()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 class BestFit:

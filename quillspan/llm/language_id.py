@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import mix, sized, written
+from quillspan.llm.arrays import bounded, mix, sized, small, written
 
 DIMS, MOST_N, PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 1 << 14, 4, 500, 160, 0.05, 8.0
 _letter = regex.compile(r"\p{L}").search
@@ -46,7 +46,7 @@ def _presence(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _blocks(n: int, rows: int = 256) -> Iterator[tuple[int, int]]:
+def _blocks(n: int, rows: int = 96) -> Iterator[tuple[int, int]]:
     for i in range(0, n, rows):
         yield i, min(n, i + rows)
 
@@ -89,7 +89,7 @@ class KernelModel:
             kernel = _normalized(_presence([texts[r] for r in rows])) @ self.landmarks.T
             value = kernel @ self.weights
             e = np.exp(SHARPNESS / 2 * (value - value.max(axis=1, keepdims=True)))
-            share = e / e.sum(axis=1, keepdims=True)
+            share = np.round(e / e.sum(axis=1, keepdims=True), 6)  # beyond that the place in the block shows
             best = value.argmax(axis=1)
             score[rows] = share[np.arange(len(rows)), best]
             for r, b in zip(rows, best.tolist(), strict=True):
@@ -98,7 +98,7 @@ class KernelModel:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts, out = b.column("text").to_pylist(), []
         for i, j in _blocks(len(texts)):
             out += [x.tobytes() for x in np.packbits(_presence([t or "" for t in texts[i:j]]).astype(bool), axis=1)]
@@ -107,7 +107,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | None:
     """A model from docs(doc_id, text, lang); None where no row may be learned from. Only presence bits of the sample come to the driver."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id"))
+    known = bounded(docs).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = written(known.select("doc_id", "lang").withColumn("k", first).where(F.col("k") <= per_language).select("doc_id").distinct())
     rows = known.select("doc_id", "text", "lang").join(sized(chosen), "doc_id", "left_semi").mapInArrow(_fingerprints, "doc_id long, lang string, bits binary").collect()
@@ -126,7 +126,7 @@ def identified(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """docs(doc_id, text, ...) with lang_pred and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             lang, score = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)))
             own = [n for n in b.schema.names if n not in ("lang_pred", "score")]

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, pieces, runs_of, sized, starts_of, written
+from quillspan.llm.arrays import Words, as_bytes, bounded, pieces, runs_of, sized, small, starts_of, written
 
 WINDOW, PERIOD, COVER = 13, 7, np.array([1, 2, 4])
 ANCHOR = WINDOW - PERIOD + 1
 #: Values of one batch of documents that go out together.
-ITEMS = 1 << 20
+ITEMS = 1 << 19
 
 _SENT = "bucket int, uid long, kind int, hashes binary, at binary, docs binary, texts binary, counts binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -96,7 +96,7 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 4096):
             texts, ids, tids = as_bytes(b.column("text")), b.column("doc_id").to_numpy(), b.column("text_id").to_numpy()
             marks = b.column("marks").to_pylist() if "marks" in b.schema.names else [None] * len(texts)
             got, count = [], 0
@@ -241,7 +241,7 @@ def _spans(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBat
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, marks): uint32 pairs of the first and last start of the windows to remove, for the texts that have any."""
-    docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    docs = bounded(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     shared = written(_ask(docs, _anchors, least=False))
     near = docs.join(sized(shared, "length(marks)"), ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "marks")
     return written(_ask(near, _windows, least=True))
@@ -255,7 +255,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     marks = repeated_spans(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts, n, removed, sha, kept = as_bytes(b.column("text")), [], [], [], []
             for t, m in zip(texts, b.column("marks").to_pylist(), strict=True):
                 words = t.split()  # bytes: ASCII white space only

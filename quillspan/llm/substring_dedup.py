@@ -132,7 +132,7 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
         yield _rows([(int(uid % buckets), uid, 0, _slim(np.sort(order[known]).astype(np.uint32)), _slim(at.astype(np.uint32)), ids[used].tobytes(), tids[used].tobytes(), counts.tobytes())])
         # One entry a value: its hash, the smallest document, and the places that wait for the answer.
         waiting = np.flatnonzero(answer)
-        waits = np.bincount(run[waiting], minlength=len(cut)).astype(np.uint8 if len(ids) < 256 else np.uint32)
+        waits = np.bincount(run[waiting], minlength=len(cut)).astype(np.uint32)
         bucket = (h[order[cut]] % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((order[cut], bucket))
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))

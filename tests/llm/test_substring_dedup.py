@@ -44,5 +44,17 @@ def test_matches_brute_force(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_phrase_repeated_in_a_short_batch(spark):
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(300)]
+    passages = [[r.choice(words) for _ in range(30)] for _ in range(6)]
+    rows = [(50, "say it once more please " * 600), (7, "say it once more please " * 300)]
+    for i in range(40):
+        text = [r.choice(words) for _ in range(40)]
+        text[20:20] = r.choice(passages)
+        rows.append((100 + i, " ".join(text)))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert got(spark, []) == []

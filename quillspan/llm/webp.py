@@ -4,13 +4,13 @@ The decoder reads the whole lossless format (RFC 9649): prefix codes, simple and
 coded by lengths; several prefix groups; back-references with the short distance
 codes; the colour cache; and the predictor, cross-colour, subtract-green and
 palette transforms, undone in reverse order. Where an image's codes all have one
-length (as those of `store` have), its pixels are read by array operations, else
-symbol by symbol.
+length, its pixels are read by array operations, else symbol by symbol.
 
-`store` keeps bytes as pixels: four samples a pixel, rows of 64 bytes, the
-predictor (above) and subtract-green transforms, one length per code, so that a
-payload is stored and read at array speed; `encode` also does prefix codes by
-frequency, back-references, the cache and the other transforms. A payload above
+`store` keeps bytes as pixels: four samples a pixel, rows of 64 bytes. Each image
+is written with prefix codes by frequency and back-references, under those
+transforms (subtract-green, predictor above, cross-colour), palette or colour
+cache with which its symbols take fewest bits by their counts (`_best`). Matches,
+cache hits and codes are found and put down by array operations. A payload above
 `IMAGE` bytes becomes several images behind one another; each says its size.
 
 Null is the empty text: its payload is 64 zero bytes. Rows are independent of
@@ -20,8 +20,8 @@ each other; equal texts give equal values.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspan.llm.arrays import as_bytes, bounded, small
+from quillspan.llm.arrays import as_bytes, bounded, mix, small, starts_of
 
-ROW, IMAGE = 64, 1 << 26
+ROW, IMAGE = 64, 1 << 22
 #: Fixed values of the format: the order of the code length code's lengths, and the colour cache's multiplier.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 CACHE_MULTIPLIER = 0x1E35A7BD
@@ -39,16 +39,32 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 NEAR = sorted([(0, y) for y in range(1, 8)] + [(s * x, y) for x in range(1, 8) for y in range(8) for s in (1, -1) if s > 0 or y] + [(8, y) for y in range(8)], key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
+#: Bytes of a file from which a reader takes any 49 bits at once.
+_CHUNK = 1 << 16
+#: The 15 bits of a number in reverse order.
+_REVERSED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
+
+
 class _Reader:
+    """Bits of a file; `windows` are the 56 bits from each byte of a stretch that begins at byte `base`."""
+
     def __init__(self, data: bytes):
-        self.data, self.at, self.value = data, 0, int.from_bytes(data[:64], "little")
-        self.base = 0
+        self.data, self.at = data + bytes(32), 0
+        self.load()
+
+    def load(self) -> None:
+        self.base = self.at >> 3
+        n = min(_CHUNK, len(self.data) - 6 - self.base)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :7] = np.ndarray((n, 7), np.uint8, self.data, self.base, (1, 1))
+        self.windows: list[int] = wide.view("<u8").ravel().tolist()
 
     def peek(self, n: int) -> int:
-        if self.at < 8 * self.base or self.at + n > 8 * (self.base + 64):
-            self.base = self.at >> 3
-            self.value = int.from_bytes(self.data[self.base : self.base + 64], "little")
-        return (self.value >> (self.at - 8 * self.base)) & ((1 << n) - 1)
+        i = (self.at >> 3) - self.base
+        if not 0 <= i < len(self.windows):
+            self.load()
+            i = 0
+        return (self.windows[i] >> (self.at & 7)) & ((1 << n) - 1)
 
     def bits(self, n: int) -> int:
         out = self.peek(n) if n else 0
@@ -78,46 +94,25 @@ class _Code:
         out, code, last = {}, 0, 0
         for n, s in sorted((n, s) for s, n in self.lengths.items()):
             code <<= n - last
-            out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+            out[s] = (_REVERSED[code] >> (15 - n), n)
             code, last = code + 1, n
         return out
 
-    def read(self, r: _Reader) -> int:
-        if self.single is not None:
-            return self.single
+    def lookup(self) -> list[tuple[int, int]]:
         if not self.table:
-            self.table = [(0, self.most)] * (1 << self.most)
-            for s, (code, n) in self.codes().items():
-                for k in range(code, 1 << self.most, 1 << n):
-                    self.table[k] = (s, n)
-        s, n = self.table[r.peek(self.most)]
+            self.table = [(0, self.most)] * (1 << self.most) if self.single is None else [(self.single, 0)]
+            if self.single is None:
+                for s, (code, n) in self.codes().items():
+                    self.table[code :: 1 << n] = [(s, n)] * (1 << self.most - n)
+        return self.table
+
+    def read(self, r: _Reader) -> int:
+        s, n = self.lookup()[r.peek(self.most)]
         r.at += n
         return s
 
 
-_seen: dict[tuple[int, int, int], _Code] = {}
-_seen_lengths: dict[int, list[int]] = {}
-
-
 def _read_code(r: _Reader, symbols: int) -> _Code:
-    """The next prefix code. A code says where it ends, so one whose bits were read before is known by them."""
-    for n in _seen_lengths.get(symbols, ()):
-        if code := _seen.get((symbols, n, r.peek(n))):
-            r.at += n
-            return code
-    begin = r.at
-    code = _parse_code(r, symbols)
-    if (n := r.at - begin) <= 448 and len(_seen) < 2048:
-        r.at = begin
-        _seen[symbols, n, r.peek(n)] = code
-        r.at = begin + n
-        known = _seen_lengths.setdefault(symbols, [])
-        if n not in known:
-            known.append(n)
-    return code
-
-
-def _parse_code(r: _Reader, symbols: int) -> _Code:
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
         first = r.bits(8 if wide else 1)
@@ -126,15 +121,22 @@ def _parse_code(r: _Reader, symbols: int) -> _Code:
     inner = _Code({s: n for s in LENGTH_ORDER[:count] if (n := r.bits(3))})
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else symbols
     lengths, at, last = {}, 0, 8
+    table, mask, windows = inner.lookup(), (1 << inner.most) - 1, r.windows
     while at < symbols and most:
         most -= 1
-        s = inner.read(r)
+        i = (r.at >> 3) - r.base
+        if i >= len(windows):
+            r.load()
+            windows, i = r.windows, 0
+        s, n = table[windows[i] >> (r.at & 7) & mask]
+        r.at += n
         if s < 16:
             if s:
                 lengths[at] = last = s
             at += 1
             continue
         n = 3 + r.bits(2) if s == 16 else 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
+        windows = r.windows
         if s == 16:
             lengths.update((k, last) for k in range(at, at + n))
         at += n
@@ -164,29 +166,49 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
         four = groups[0][:4]
         if all(c.flat is not None for c in four) and four[0].flat[-1] < 256:
             return _read_uniform(r, four, n)
-    pixels = [0] * n
+    pixels = array("I", bytes(4 * n))
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, cached, at = 32 - cache_bits, 0, 0
-    green, red, blue, alpha, distance = groups[0]
+    tables = [[c.lookup() for c in g[:4]] + [(1 << c.most) - 1 for c in g[:4]] + [g[4]] for g in groups]
+    green, red, blue, alpha, green_bits, red_bits, blue_bits, alpha_bits, distance = tables[0]
+    windows, base, p = r.windows, r.base, r.at
     while at < n:
         if which:
             y, x = divmod(at, width)
-            green, red, blue, alpha, distance = groups[which[(y >> block) * across + (x >> block)]]
-        s = green.read(r)
+            green, red, blue, alpha, green_bits, red_bits, blue_bits, alpha_bits, distance = tables[which[(y >> block) * across + (x >> block)]]
+        i = (p >> 3) - base
+        if i + 12 > len(windows):
+            r.at = p
+            r.load()
+            windows, base, i = r.windows, r.base, 0
+        v = windows[i] >> (p & 7)
+        s, k = green[v & green_bits]
         if s < 256:
-            pixels[at] = red.read(r) << 16 | s << 8 | blue.read(r) | alpha.read(r) << 24
+            high, j = red[(v >> k) & red_bits]
+            p += k + j
+            v = windows[(p >> 3) - base] >> (p & 7)
+            low, k = blue[v & blue_bits]
+            first, j = alpha[(v >> k) & alpha_bits]
+            p += k + j
+            pixels[at] = first << 24 | high << 16 | s << 8 | low
             at += 1
         elif s < 280:
+            r.at = p + k
             length, d = _prefix_value(r, s - 256), _prefix_value(r, distance.read(r))
+            windows, base, p = r.windows, r.base, r.at
             if d > 120:
                 d -= 120
             else:
                 dx, dy = NEAR[d - 1]
                 d = max(1, dx + dy * width)
-            for _ in range(min(length, n - at)):
-                pixels[at] = pixels[at - d]
-                at += 1
+            length = min(length, n - at)
+            if d > at:
+                raise ValueError("a distance reaches before the image")
+            again = pixels[at - d : at - d + min(d, length)]
+            pixels[at : at + length] = again if d >= length else (again * -(-length // d))[:length]
+            at += length
         else:
+            p += k
             while cached < at:
                 cache[(CACHE_MULTIPLIER * pixels[cached] & 0xFFFFFFFF) >> shift] = pixels[cached]
                 cached += 1
@@ -196,7 +218,8 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
             while cached < at:
                 cache[(CACHE_MULTIPLIER * pixels[cached] & 0xFFFFFFFF) >> shift] = pixels[cached]
                 cached += 1
-    return np.array(pixels, ">u4").view(np.uint8).reshape(n, 4)
+    r.at = p
+    return np.frombuffer(pixels, np.uint32).astype(">u4").view(np.uint8).reshape(n, 4)
 
 
 def _read_uniform(r: _Reader, codes: list[_Code], n: int) -> np.ndarray:
@@ -347,17 +370,32 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels.reshape(height, width, 4)
 
 
+def _spread(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The bits of numbers behind one another, lowest first, one a byte."""
+    inside = np.arange(int(widths.sum())) - np.repeat(starts_of(widths), widths)
+    return (np.repeat(values, widths) >> inside & 1).astype(np.uint8)
+
+
 class _Writer:
     def __init__(self):
         self.parts: list[tuple[int, int]] = []
+        self.done: list[np.ndarray] = []
 
     def bits(self, value: int, n: int) -> None:
         self.parts.append((value, n))
 
+    def many(self, values: np.ndarray, widths: np.ndarray) -> None:
+        self.done += [self._rest(), _spread(values, widths)]
+
+    def _rest(self) -> np.ndarray:
+        pairs = np.array(self.parts, np.int64).reshape(-1, 2)
+        self.parts = []
+        return _spread(pairs[:, 0], pairs[:, 1])
+
     def array(self) -> np.ndarray:
         """All bits, one a byte."""
-        text = "".join(f"{v:0{n}b}"[::-1] for v, n in self.parts if n)
-        return np.frombuffer(text.encode(), np.uint8) - 48
+        self.done = [np.concatenate([*self.done, self._rest()])]
+        return self.done[0]
 
 
 def _huffman(counts: dict[int, int], most: int = 15) -> dict[int, int]:
@@ -365,16 +403,24 @@ def _huffman(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     if len(counts) < 2:
         return dict.fromkeys(counts or {0: 1}, 0)
     while True:
-        heap = [(c, s, (s,)) for s, c in counts.items()]
-        heapq.heapify(heap)
-        lengths = dict.fromkeys(counts, 0)
-        while len(heap) > 1:
-            (a, s, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for k in x + y:
-                lengths[k] += 1
-            heapq.heappush(heap, (a + b, s, x + y))
-        if max(lengths.values()) <= most:
-            return lengths
+        leaves = sorted(counts, key=counts.__getitem__)
+        m = len(leaves)
+        weight, parent, i, j = [counts[s] for s in leaves], [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):  # leaves and inner nodes both come in order of weight
+            total = 0
+            for _ in "ab":
+                if i < m and (j >= k or weight[i] <= weight[j]):
+                    least, i = i, i + 1
+                else:
+                    least, j = j, j + 1
+                total += weight[least]
+                parent[least] = k
+            weight.append(total)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= most:
+            return dict(zip(leaves, depth[:m], strict=True))
         counts = {s: c // 2 + 1 for s, c in counts.items()}
 
 
@@ -389,12 +435,18 @@ def _write_code(w: _Writer, lengths: dict[int, int], symbols: int) -> dict[int,
     lengths = {s: max(1, n) for s, n in lengths.items()}
     if len(lengths) == 1:  # a single symbol that the simple form cannot name gets an unused neighbour
         lengths[0] = 1
-    code, out, at = _Code(lengths), [], 0
-    while at < symbols:
-        n, run = lengths.get(at, 0), 1
-        while at + run < symbols and lengths.get(at + run, 0) == n:
-            run += 1
-        at += run
+    code, out, at, runs = _Code(lengths), [], 0, []
+    for s in sorted(lengths):
+        if s > at:
+            runs.append([0, s - at])
+        if runs and runs[-1][0] == lengths[s]:
+            runs[-1][1] += 1
+        else:
+            runs.append([lengths[s], 1])
+        at = s + 1
+    if at < symbols:
+        runs.append([0, symbols - at])
+    for n, run in runs:
         if n:
             out.append((n, 0, 0))
             run -= 1
@@ -424,81 +476,122 @@ def _write_code(w: _Writer, lengths: dict[int, int], symbols: int) -> dict[int,
     w.bits(0, 1)
     bits = _Code(used).codes() if len(used) > 1 else {s: (0, 0) for s in used}
     for s, extra, n in out:
-        w.bits(*bits[s])
-        w.bits(extra, n)
+        w.parts.append(bits[s])
+        if n:
+            w.parts.append((extra, n))
     return code.codes()
 
 
-def _prefix_code(value: int) -> tuple[int, int, int]:
-    """(code, extra, extra bits) of a length or distance."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    high = v.bit_length() - 1
-    code = 2 * high + (v >> (high - 1) & 1)
-    return code, v & (1 << (high - 1)) - 1, high - 1
+def _prefix_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, extra, extra bits) of lengths or distances."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    extra = np.maximum(high - 1, 0)
+    return np.where(v < 4, v, 2 * high + (v >> extra & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), np.where(v < 4, 0, extra)
+
+
+@lru_cache(4096)
+def _near_codes(width: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, (dx, dy) in enumerate(NEAR):
+        if dx + dy * width > 0:
+            out.setdefault(dx + dy * width, k + 1)
+    return out
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of what is three or more pixels long and was there before."""
+    if len(argb) < 4:
+        return []
+    a = argb.astype(np.uint64)
+    keys = mix(mix(a[:-2] << np.uint64(32) | a[1:-1]) ^ a[2:])
+    back = _before(keys)
+    i = np.flatnonzero(back >= 0)
+    i = i[(argb[i] == argb[back[i]]) & (argb[i + 1] == argb[back[i] + 1]) & (argb[i + 2] == argb[back[i] + 2])]
+    if not len(i):
+        return []
+    d = i - back[i]
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0))
+    out, covered = [], 0
+    for s, e, far in zip(i[np.append(0, cut + 1)].tolist(), i[np.append(cut, len(i) - 1)].tolist(), d[np.append(cut, len(i) - 1)].tolist(), strict=True):
+        at = max(s, covered)
+        while e + 3 - at >= 3:  # all of a stretch was there at one distance
+            out.append((at, min(4096, e + 3 - at), far))
+            covered = at = at + out[-1][1]
+    return out
+
+
+def _slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether it is there when its turn comes."""
+    slots = ((argb.astype(np.int64) * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)).astype(np.int64)
+    last = _before(slots)
+    return slots, (last >= 0) & (argb[last] == argb)
 
 
 def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, groups: int = 0) -> None:
     """Pixels by prefix codes of their frequencies; groups > 0 gives every block of 1 << groups pixels a code set by turns of two."""
-    argb = pixels.astype(np.uint8).view(">u4").ravel().tolist() if pixels.flags.c_contiguous else np.ascontiguousarray(pixels).view(">u4").ravel().tolist()
-    tokens, at, cache, seen = [], 0, [None] * (1 << cache_bits), {}
-    while at < len(argb):
-        p, key = argb[at], tuple(argb[at : at + 3])
-        back, length = seen.get(key), 0
-        if references and back is not None and len(key) == 3:
-            while at + length < len(argb) and length < 4096 and argb[back + length] == argb[at + length]:
-                length += 1
-        slot = (CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if length >= 3:
-            d = at - back
-            near = next((k + 1 for k, (dx, dy) in enumerate(NEAR) if dx + dy * width == d), d + 120)
-            tokens.append((at, "copy", length, near))
-        elif cache_bits and cache[slot] == p:
-            tokens.append((at, "cache", slot, 0))
-        else:
-            tokens.append((at, "pixel", p, 0))
-        for k in range(at, at + max(1, length)):
-            seen[tuple(argb[k : k + 3])] = k
-            if cache_bits:
-                cache[(CACHE_MULTIPLIER * argb[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = argb[k]
-        at += max(1, length)
+    argb = np.ascontiguousarray(pixels, np.uint8).view(">u4").ravel().astype(np.uint32)
+    n = len(argb)
     w.bits(int(cache_bits > 0), 1)
     w.bits(cache_bits, 4 if cache_bits else 0)
-    across = -(-width >> groups)
-
-    def group(at: int) -> int:
-        return ((at // width >> groups) * across + (at % width >> groups)) % 2 if groups else 0
-
     if main:
         w.bits(int(groups > 0), 1)
-        if groups:
-            w.bits(groups - 2, 3)
-            n = across * -(-(len(argb) // width) >> groups)
-            image = np.zeros((n, 4), np.uint8)
-            image[:, 2] = np.arange(n) % 2
-            _write_image(w, image, across, False)
-    count = 2 if groups else 1
-    counts: list[list[dict[int, int]]] = [[{} for _ in range(5)] for _ in range(count)]
-    coded = []
-    for at, kind, a, b in tokens:
-        g = group(at)
-        if kind == "pixel":
-            parts = [(0, a >> 8 & 255, 0, 0), (1, a >> 16 & 255, 0, 0), (2, a & 255, 0, 0), (3, a >> 24, 0, 0)]
-        elif kind == "cache":
-            parts = [(0, 280 + a, 0, 0)]
-        else:
-            (c, x, n), (d, y, m) = _prefix_code(a), _prefix_code(b)
-            parts = [(0, 256 + c, x, n), (4, d, y, m)]
-        for which, s, _, _ in parts:
-            counts[g][which][s] = counts[g][which].get(s, 0) + 1
-        coded.append((g, parts))
+    begins = np.ones(n, bool)
+    copies = np.array(_copies(argb) if references else [], np.int64).reshape(-1, 3)
+    for at, length, _ in copies.tolist():
+        begins[at + 1 : at + length] = False
+    # What each token puts down: symbols of the five codes, and bits behind them; -1 for none.
+    symbols, extra, more = np.full((n, 4), -1), np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+    symbols[:, 0], symbols[:, 1], symbols[:, 2], symbols[:, 3] = pixels[:, 2], pixels[:, 1], pixels[:, 3], pixels[:, 0]
+    far = np.zeros(n, bool)
+    if cache_bits:
+        slots, there = _slots(argb, cache_bits)
+        symbols[there] = -1
+        symbols[there, 0] = 280 + slots[there]
+    if len(copies):
+        at, near = copies[:, 0], _near_codes(width)
+        far[at] = True
+        symbols[at] = -1
+        code, extra[at, 0], more[at, 0] = _prefix_codes(copies[:, 1])
+        symbols[at, 0] = 256 + code
+        symbols[at, 1], extra[at, 1], more[at, 1] = _prefix_codes(np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()]))
+    group = np.zeros(n, np.int64)
+    if groups:
+        across = -(-width >> groups)
+        y, x = np.divmod(np.arange(n), width)
+        group = ((y >> groups) * across + (x >> groups)) % 2
+        blocks = across * -(-(n // width) >> groups)
+        image = np.zeros((blocks, 4), np.uint8)
+        image[:, 2] = np.arange(blocks) % 2
+        w.bits(groups - 2, 3)
+        _write_image(w, image, across, False)
+    symbols, extra, more, far, group = (x[begins] for x in (symbols, extra, more, far, group))
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_write_code(w, _huffman(c), n) for c, n in zip(own, sizes, strict=True)] for own in counts]
-    for g, parts in coded:
-        for which, s, x, n in parts:
-            w.bits(*codes[g][which][s])
-            w.bits(x, n)
+    values, widths = np.zeros((len(symbols), 6), np.int64), np.zeros((len(symbols), 6), np.int64)
+    for g in range(2 if groups else 1):
+        own = group == g
+        for which, size in enumerate(sizes):
+            column = 1 if which == 4 else which
+            here = np.flatnonzero(own & far if which == 4 else own & (symbols[:, column] >= 0) & ~(far & (which == 1)))
+            found = symbols[here, column]
+            counts = np.bincount(found, minlength=size)
+            used = np.flatnonzero(counts)
+            codes = _write_code(w, _huffman(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), 10 if len(symbols) < 1 << 14 and len(used) <= 256 else 15), size)
+            table = np.zeros((size, 2), np.int64)
+            table[list(codes)] = list(codes.values())
+            to = (0, 2, 4, 5, 2)[which]
+            values[here, to], widths[here, to] = table[found].T
+    values[far, 1], widths[far, 1], values[far, 3], widths[far, 3] = extra[far, 0], more[far, 0], extra[far, 1], more[far, 1]
+    w.many(values.ravel(), widths.ravel())
 
 
 def _file(width: int, height: int, bits: np.ndarray) -> bytes:
@@ -558,20 +651,50 @@ def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarr
     return _file(width, height, w.array())
 
 
-@lru_cache(4096)
-def _store_header(width: int, height: int) -> np.ndarray:
-    w = _begin(width, height)
-    for kind in (2, 0):  # subtract green, then the predictor
-        w.bits(1, 1)
-        w.bits(kind, 2)
-    w.bits(7, 3)
-    _write_image(w, np.tile(np.array([[0, 0, 2, 0]], np.uint8), (-(-width >> 9) * -(-height >> 9), 1)), -(-width >> 9), False)
-    w.bits(0, 1)
-    w.bits(0, 1)
-    w.bits(0, 1)
-    for n in (280, 256, 256, 256, 40):
-        _write_code(w, dict.fromkeys(range(256), 8) if n > 40 else {0: 0}, n)
-    return w.array()
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """About how many bits the symbols counted in each row take, with their code."""
+    total = counts.sum(axis=-1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=-1) + 5 * (counts > 0).sum(axis=-1)
+
+
+def _elements(pixels: np.ndarray) -> np.ndarray:
+    """The cross-colour element that takes most of green (and red) out of red and blue, by least squares."""
+    red, green, blue = (np.ascontiguousarray(pixels[:, k]).view(np.int8).astype(float) for k in (1, 2, 3))
+
+    def factor(x: np.ndarray, y: np.ndarray) -> float:
+        return float(np.clip(np.rint(32 * (x @ y) / max(1.0, x @ x)), -128, 127))
+
+    to_red, to_blue = factor(green, red), factor(green, blue)
+    across = factor(red, blue - green * (to_blue / 32))
+    return np.array([255, *(int(k) & 255 for k in (across, to_blue, to_red))], np.uint8)
+
+
+def _best(pixels: np.ndarray) -> dict:
+    """What to encode an image (height, width, 4) with: the transforms, palette and cache under which its symbols take fewest bits."""
+    height, width, _ = pixels.shape
+    flat = pixels.reshape(-1, 4)
+    n, blocks = len(flat), -(-width >> 9) * -(-height >> 9)
+    green = flat.copy()
+    green[:, 1] -= flat[:, 2]
+    green[:, 3] -= flat[:, 2]
+    modes, colour = np.full(blocks, 2), np.tile(_elements(flat), (blocks, 1))
+    shown = [flat, green, predict(flat, modes, 9, width, False), predict(green, modes, 9, width, False), cross_colour(flat, colour, 9, width, False)]
+    how = [{}, {"green": True}, {"modes": modes}, {"green": True, "modes": modes}, {"colour": colour}]
+    at = np.stack(shown) + 256 * np.arange(20).reshape(5, 1, 4)
+    costs = _bits(np.bincount(at.ravel(), minlength=5120).reshape(5, 4, 256)).sum(axis=1) + np.array([0, 3, 60, 63, 90])
+    k = int(costs.argmin())
+    best, out, argb = float(costs[k]), dict(how[k], block=9), np.ascontiguousarray(shown[k]).view(">u4").ravel().astype(np.uint32)
+    bits = min(10, max(1, n.bit_length() - 2))
+    slots, there = _slots(argb, bits)
+    if there.any():
+        rest = _bits(np.bincount((shown[k][~there] + 256 * np.arange(4)).ravel(), minlength=1024).reshape(4, 256)[[0, 1, 3]]).sum()
+        cost = float(rest + _bits(np.bincount(np.where(there, 256 + slots, shown[k][:, 2]))))
+        if cost < best:
+            best, out["cache_bits"] = cost, bits
+    colours, counts = np.unique(np.ascontiguousarray(flat).view(">u4").ravel(), return_counts=True)
+    if len(colours) <= 256 and float(_bits(counts)) + 32 * len(colours) < best:
+        out = {"palette": True}
+    return out
 
 
 def store(payload: bytes) -> bytes:
@@ -582,12 +705,8 @@ def store(payload: bytes) -> bytes:
         rows = len(part) // ROW
         times = -(-rows // 16384)  # an image has at most 16384 rows
         width, height = ROW // 4 * times, -(-rows // times)
-        pixels = np.frombuffer(part.ljust(width * height * 4, b"\0"), np.uint8).reshape(-1, 4).copy()
-        pixels[:, 1] -= pixels[:, 2]
-        pixels[:, 3] -= pixels[:, 2]
-        rest = predict(pixels, np.array([2]), 9, width, False)
-        bits = np.unpackbits(rest[:, [2, 1, 3, 0]], axis=1).ravel()
-        out.append(_file(width, height, np.concatenate([_store_header(width, height), bits])))
+        pixels = np.frombuffer(part.ljust(width * height * 4, b"\0"), np.uint8).reshape(height, width, 4)
+        out.append(encode(pixels, **_best(pixels)))
     return b"".join(out)
 
 

@@ -83,6 +83,35 @@ def test_payloads(monkeypatch):
         assert back == payload and len(sizes) == -(-n // (1 << 21))
 
 
+def test_store_compresses_by_the_whole_method(monkeypatch):
+    how = []
+    kept = webp.encode
+    monkeypatch.setattr(webp, "encode", lambda pixels, **k: how.append(k) or kept(pixels, **k))
+    r = np.random.default_rng(4)
+    words = [bytes(r.integers(97, 123, r.integers(2, 9), np.uint8)) for _ in range(500)]
+    text = b" ".join(words[i] for i in r.integers(0, 500, 2000))
+    text = text.ljust(-(-len(text) // 64) * 64)
+    grey = np.repeat(np.clip(np.cumsum(r.integers(-9, 10, 4096)), -120, 120).astype(np.uint8), 4)
+    ramp = ((np.arange(256)[:, None] * np.arange(1, 65) + r.integers(0, 3, (256, 64))) & 255).astype(np.uint8)
+    red = r.integers(0, 256, (8192, 4)).astype(np.uint8)
+    red[:, 1] = (red[:, 2].view(np.int8).astype(int) * 16 >> 5) & 255
+    few = r.integers(0, 256, (6, 4)).astype(np.uint8)[r.integers(0, 6, 8192)]
+    payloads = [text, text * 5, few.tobytes(), grey.tobytes(), ramp.tobytes(), red.tobytes()]
+    for p in payloads:
+        media = store(p)
+        assert load(media, len(p))[0] == p and len(media) < 0.9 * len(p)
+    assert len(store(text * 5)) < len(store(text)) + 200
+    assert all(any(name in k for k in how) for name in ("palette", "cache_bits", "green", "modes", "colour"))
+
+
+def test_long_codes_and_far_copies():
+    r = np.random.default_rng(6)
+    p = np.minimum(r.geometric(0.4, (300, 90, 4)) * 7, 255).astype(np.uint8)
+    p[200:] = p[:100]
+    for cache_bits in (0, 10):
+        same(p, cache_bits=cache_bits)
+
+
 def test_query(spark):
     rows = [(1, "Héllo"), (2, None), (3, ""), (4, "x" * 64), (5, "word " * 60_000), (1, "Héllo"), (None, "\U0001f600" * 17)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as media", "2 as feature").repartition(2)

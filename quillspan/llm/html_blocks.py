@@ -41,7 +41,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
-DIMS, WIDTH, EPOCHS, RATE, PAGES, SAMPLE, CUES = 96, 20, 10, 0.015, 400, 200, 8
+DIMS, WIDTH, EPOCHS, RATE, PAGES, SAMPLE = 96, 20, 10, 0.015, 400, 200
 _COUNTS = 8
 
 
@@ -120,6 +120,7 @@ def _place(word: str) -> int:
 
 _paths: dict[tuple[str, ...], np.ndarray] = {}
 _split = re.compile(r"[^a-z0-9]+").split
+_digit = re.compile(r"\d").search
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
@@ -140,19 +141,19 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
 
 
 def vectors(page: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
-    """(blocks, DIMS + DIMS + counts): path, words, counts. The words are a cue only; the text itself is never cut."""
+    """(blocks, DIMS + DIMS + counts): path, words (the mean over all of the block's), counts."""
     n = len(page)
     out = np.zeros((n, 2 * DIMS + _COUNTS), np.float32)
     seen: dict[tuple[str, ...], int] = {}
     which = [seen.setdefault(path, len(seen)) for _, path in page]
     out[:, :DIMS] = np.stack([_path_vector(path) for path in seen])[which]
-    heads = [text[:160].lower().split(" ", CUES)[:CUES] for text, _ in page]
+    heads = [text.lower().split(" ") for text, _ in page]
     each = [len(h) for h in heads]
     places = np.fromiter((_place(w) for h in heads for w in h), np.int64, sum(each))
     row = np.repeat(np.arange(n), each)
     np.add.at(out, (row, DIMS + places), np.repeat(1 / np.array(each, np.float32), each))
     count = np.array([text.count(" ") + 1 for text, _ in page])
-    flags = [(text[-1] in ".!?:", "\u00a9" in text, any(c.isdigit() for c in text[:40])) for text, _ in page]
+    flags = [(text[-1] in ".!?:", "\u00a9" in text, _digit(text) is not None) for text, _ in page]
     out[:, 2 * DIMS] = np.minimum(count, 100) / 100
     out[:, 2 * DIMS + 1], out[:, 2 * DIMS + 2] = count < 4, count < 10
     out[:, 2 * DIMS + 3 : 2 * DIMS + 6] = flags

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quillspan.llm.html_blocks import Labeller, blocks, extracted, train, training_pages, vectors
+from quillspan.llm.html_blocks import DIMS, Labeller, blocks, extracted, train, training_pages, vectors
 
 
 def text(page):
@@ -66,6 +66,14 @@ def test_extraction(spark, labeller):
     assert out == sorted([(1, "u", main, len(main))] * 2 + [(2, None, "", 0), (3, "u", "", 0), (4, "u", long, len(long))], key=str)
 
 
+def test_vectors_see_whole_blocks():
+    opening = "one two three four five six seven eight "
+    a, b = (vectors([(opening + "and so on " * 30 + end, ("div",))]) for end in ("alpha beta gamma.", "delta sigma omega 7."))
+    words = slice(DIMS, 2 * DIMS)
+    assert (a[0, words] != b[0, words]).any() and abs(a[0, words].sum() - 1) < 1e-5
+    assert a[0, 2 * DIMS + 5] == 0 and b[0, 2 * DIMS + 5] == 1
+
+
 def test_empty(spark, labeller):
     assert extracted(spark.createDataFrame([], "page_id long, url string, html string"), labeller).collect() == []
     assert extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

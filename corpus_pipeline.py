@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`.
 
 Language identification drops what has no language; the Jaccard join keeps one
-document of each class of near copies; the secret scan blanks secrets out; mixing
+row of each class of near copies; the secret scan blanks secrets out; mixing
 takes the sources to their target weights, which may repeat a document; packing
 lays the rest out in sequences. Each stage reads what the one before it wrote.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import jaccard_join, language_id, mixing, packing, secret_scan
@@ -24,16 +24,21 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; of rows with one doc_id the first by text."""
-    classes = written(jaccard_join.near_copies(docs))
-    drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(sized(drop), "doc_id", "left_anti")
-    twice = written(classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """Keeps one row of each class: of its smallest id (null last), then set digest, text and other columns. Rows without words are all kept."""
+    classes = jaccard_join.near_copies(docs).where("root is not null").groupBy("root", "doc_id", "sid", "text_id").count()
+    classes = written(classes)
+    best = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "sid", "text_id", "count")).alias("best")
+    firsts = written(classes.groupBy("root").agg(best, F.sum("count").alias("rows")).where("rows > 1").select("root", "best"))
+    rest = classes.join(sized(firsts), "root").where("not (doc_id <=> best.doc_id and text_id = best.text_id)")
+    drop = written(rest.select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__x")))
+    twice = written(firsts.where("best.count > 1").select(F.col("best.doc_id").alias("__d"), F.col("best.text_id").alias("__x")))
+    docs_by = docs.withColumn("__t", F.xxhash64("text"))
+    same = F.expr("__t = __x and doc_id <=> __d")
+    kept = docs_by.join(sized(drop), same, "left_anti")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    again = kept.join(sized(twice), "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-    return kept.join(sized(twice), "doc_id", "left_anti").unionByName(again).select(docs.columns)
+    again = kept.join(sized(twice), same, "left_semi").groupBy("doc_id", "__t").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.join(sized(twice), same, "left_anti").select(docs.columns).unionByName(again.select("row.*"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

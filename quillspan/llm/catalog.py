@@ -63,7 +63,7 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents")).drop("n_links")
+    return near_copies(table(spark, sf_dir, "documents")).drop("n_links", "sid", "root", "text_id")
 
 
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

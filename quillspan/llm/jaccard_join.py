@@ -88,7 +88,7 @@ def _prefix(values: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid, common): a row per document; rows with `common` report shingles frequent in their task."""
+    """(doc_id, n, sid, common, text_id): a row per document; rows with `common` report shingles frequent in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -107,19 +107,19 @@ def _sets(docs: DataFrame) -> DataFrame:
             if sum(map(len, distinct.values())) > COUNTED:
                 count()
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "sid", "common"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int64()), b.column("text_id")], names=["doc_id", "n", "sid", "common", "text_id"])
             if len(seen) > COMMON_KEPT:
                 yield _common(seen)
                 seen.clear()
         count()
         yield _common(seen)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, common long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, "doc_id long, n long, sid long, common long, text_id long")
 
 
 def _common(seen: dict[int, int]) -> pa.RecordBatch:
     none = pa.nulls(len(seen), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(list(seen.values()), pa.int64()), none, pa.array(np.array(list(seen), np.uint64).view(np.int64))], names=["doc_id", "n", "sid", "common"])
+    return pa.RecordBatch.from_arrays([none, pa.array(list(seen.values()), pa.int64()), none, pa.array(np.array(list(seen), np.uint64).view(np.int64)), none], names=["doc_id", "n", "sid", "common", "text_id"])
 
 
 def _tiles(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -288,14 +288,16 @@ def _links(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row per row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id, n_links, sid, root, text_id): one row per row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable by links, itself included (null
     only where no id is known); n_links counts the links found between the row's
-    set and other sets, which suffice for the classes but need not be all.
+    set and other sets, which suffice for the classes but need not be all. sid is
+    the set's digest, root one of its class (both null for the empty set), text_id
+    xxhash64 of the text.
     """
     found = written(_sets(bounded(docs)))
-    sets = found.where("common is null").select("doc_id", "n", "sid")
+    sets = found.where("common is null").select("doc_id", "n", "sid", "text_id")
     top = found.where("common is not null").groupBy("common").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toArrow()
     common = top.column("common").to_numpy().view(np.uint64)
     order = np.argsort(common)
@@ -330,10 +332,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = owners.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.select("sid", "root").join(least, "root").join(degree, "sid", "left").select("sid", "component_id", "n_links")
+    classes = rooted.select("sid", "root").join(least, "root").join(degree, "sid", "left").select("sid", "component_id", "n_links", "root")
     return (
         sets.join(classes, "sid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "sid", F.coalesce("root", "sid").alias("root"), "text_id")
     )
 
 

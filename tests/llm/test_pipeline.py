@@ -54,6 +54,16 @@ def test_stages(spark):
         assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
 
 
+def test_one_of_each_decides_by_row(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"}
+    rows = [(1, text["a"]), (5, text["a"] + " more"), (5, text["b"]), (5, text["c"]), (6, text["c"]), (7, text["d"]), (7, text["d"]), (None, text["e"]), (None, text["e"]), (None, text["f"]), (None, text["b"]), (8, ""), (8, None), (9, text["g"]), (9, text["g"] + " more")]
+    docs = spark.createDataFrame([(d, t, "xa", "p", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, None).collect()]
+    nine = [x for x in out if x[0] == 9]
+    want = [(1, text["a"]), (5, text["b"]), (5, text["c"]), (7, text["d"]), (None, text["e"]), (None, text["f"]), (8, ""), (8, None)]
+    assert len(nine) == 1 and sorted(map(str, want)) == sorted(str(x) for x in out if x[0] != 9)
+
+
 def test_run_on_files(spark, tmp_path):
     spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50

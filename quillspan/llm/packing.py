@@ -75,8 +75,6 @@ class WordIds:
                 at = end
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.index) + len(new) > CACHE:
-            self.clear()
         plain = {w: m.groups() for w in new if (m := _PLAIN(w)) and "<|" not in w}
         halves = {x for a, b in plain.values() for x in (a.lower(), b) if x}
         self._learn_parts([x for x in halves if x not in self.parts])
@@ -106,10 +104,11 @@ class WordIds:
                 end += 1
             words = [_WORDS(t) for t in texts[begin:end]]
             new = list(set().union(*words).difference(self.index))
+            if self.index and len(self.index) + len(new) > CACHE:  # emptied once; then all words of these texts, however many
+                self.clear()
+                new = list(set().union(*words))
             if new:
                 self._learn(new)
-                if any(w not in self.index for ws in words for w in ws):  # the cache was emptied
-                    self._learn(list(set().union(*words).difference(self.index)))
             for ws in words:
                 w = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
                 n = self.length[w]

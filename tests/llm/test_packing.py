@@ -25,6 +25,15 @@ def test_cache_is_bounded(monkeypatch):
         assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_more_words_than_the_cache_after_others(monkeypatch):
+    import quillspan.llm.packing as p
+
+    monkeypatch.setattr(p, "CACHE", 50)
+    enc, plain = WordIds(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for texts in (["a b c"], ["a " + " ".join(f"w{i}" for i in range(120))], ["w5 b"]):
+        assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_best_fit_rule():
     bins = BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 9)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]

@@ -3,16 +3,21 @@
 Tokenizing is row-local: a text is split at ASCII white space, which this
 tokenizer never crosses, and each distinct word is encoded once and kept in a
 cache. Pieces (a document's tokens and a closing 0, cut only above the capacity)
-are then dealt to tasks by a hash of doc_id, and each task packs its stream with
-a fixed number of open bins, held in a bitset over free space: the best fit for
-a piece is the lowest set bit at or above its length, and when all bins are open
-the fullest (lowest set bit) closes.
+are then dealt evenly to tasks, and each task packs its stream with a fixed
+number of open bins, held in a bitset over free space: the best fit for a piece
+is the lowest set bit at or above its length, and when all bins are open the
+fullest (lowest set bit) closes.
 
-The number of tasks follows the number of rows (`ROWS_PER_TASK`), so a task's
-work is bounded at any size, and reruns give the same sequences.
+A task's stream comes in `WAVES` waves (by a hash of the piece), each from its
+longest piece to its shortest, so that the short ones of a wave fill what its
+long ones leave although only `OPEN_BINS` bins are open. The number of tasks
+follows the number of rows (`ROWS_PER_TASK`), so a task's work is bounded at any
+size.
 
 Null or empty texts pack as the single closing 0. Rows with equal or null doc_id
-are packed each by itself. An empty table gives no rows.
+are packed each by itself and dealt out like all others. Very long texts are
+tokenized in stretches of words of about `STRETCH` bytes. An empty table gives no
+rows. Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,22 +32,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import bounded, small
+from quillspan.llm.arrays import Words, as_bytes, bounded, pieces, small, starts_of
 
 CAPACITY = 2048
-#: Bins open at once in a task.
-OPEN_BINS = 4096
+#: Bins open at once in a task, and the waves in which its pieces come.
+OPEN_BINS, WAVES = 128, 64
 ROWS_PER_TASK = 16_384
 #: Distinct words whose ids a worker keeps.
 CACHE = 600_000
+#: Bytes of texts that are split into words at once.
+STRETCH = 2 << 20
+_SPACE = re.compile(rb"[ \t-\r]").search
 
-_WORDS = re.compile(r"[^ \t-\r]+").findall
-#: One run of letters that the tokenizer takes whole, then one run of other characters, without apostrophes (its contractions).
-_PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: A word, a line each: one run of letters that the tokenizer takes whole, one run of other characters, without apostrophes (its contractions), and what else there is.
+_PARTS = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)(.*)\n").findall
+
+
+class _Ids:
+    """Token ids of numbered strings, behind one another in `flat`."""
+
+    def __init__(self):
+        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.flat) + starts_of(length)])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        """The ids of some strings, behind one another."""
+        n = self.length[which]
+        return self.flat[np.arange(n.sum()) + np.repeat(self.begin[which] - starts_of(n), n)]
 
 
 class WordIds:
-    """Token ids of texts by a word-level BPE tokenizer file, with a cache over words."""
+    """Token ids of texts by a word-level BPE tokenizer file, with a cache over words (by 64-bit values) and one over their parts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,70 +75,84 @@ class WordIds:
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closing[i] = token.endswith("</w>")
-        self.clear()
+        self._clear_words()
+        self._clear_parts()
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.parts: dict[str, bytes] = {}
-        self.lists: list[np.ndarray] = []
-        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _clear_words(self) -> None:
+        self.words, self.values, self.number = _Ids(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _clear_parts(self) -> None:
+        self.parts, self.part_number = _Ids(), {"": 0}
+        self.parts.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
     def _learn_parts(self, new: list[str]) -> None:
-        """Ids of runs that are one word each to the tokenizer: encoded together, cut at word-closing tokens."""
+        """Runs that are one word each to the tokenizer: encoded together, cut at word-closing tokens."""
         for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            some, n = new[i : i + 4096], len(self.part_number)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.parts[w] = np.array(e.ids, np.uint32).tobytes()
-                continue
-            raw, at = ids.astype(np.uint32).tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.parts[w] = raw[at:end]
-                at = end
+            whole = len(ends) == len(some) and ends[-1] == len(ids)
+            self.parts.add(*((ids, np.diff(ends, prepend=0)) if whole else self._encoded(some)))
+            self.part_number.update(zip(some, range(n, n + len(some)), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        plain = {w: m.groups() for w in new if (m := _PLAIN(w)) and "<|" not in w}
-        halves = {x for a, b in plain.values() for x in (a.lower(), b) if x}
-        self._learn_parts([x for x in halves if x not in self.parts])
-        odd = [w for w in new if w not in plain]
-        other = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)} if odd else {}
-        lengths, flat = [], []
-        for w in new:
-            self.index[w] = len(self.index)
-            if w in plain:
-                a, b = plain[w]
-                ids = (self.parts[a.lower()] if a else b"") + (self.parts[b] if b else b"")
+        """Ids of more words, numbered on in their order."""
+        split = _PARTS("\n".join([*new, ""]).lower())
+        odd = np.fromiter((bool(rest) or "<|" in marks for _, marks, rest in split), bool, len(split))
+        whole = [("", "") if o else x[:2] for o, x in zip(odd.tolist(), split, strict=True)]
+        if len(self.part_number) > CACHE // 2:
+            self._clear_parts()
+        both = [p for x in whole for p in x]
+        self._learn_parts(list(set(both).difference(self.part_number)))
+        numbers = np.fromiter(map(self.part_number.__getitem__, both), np.int64, len(both))
+        found = [(self.parts.of(numbers), self.parts.length[numbers].reshape(-1, 2).sum(axis=1))]
+        if odd.any():  # the odd words' ids come behind, and are put in by a gather
+            other = _Ids()
+            for flat, length in (found[0], self._encoded([new[i] for i in np.flatnonzero(odd).tolist()])):
+                other.add(flat, length)
+            which = np.where(odd, len(new) + np.cumsum(odd) - 1, np.arange(len(new)))
+            found = [(other.of(which), other.length[which])]
+        self.words.add(*found[0])
+
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = Words(texts)
+        values, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        for known in (True, False):
+            at = np.minimum(np.searchsorted(self.values, values), max(len(self.values) - 1, 0))
+            fresh = np.flatnonzero(self.values[at] != values) if len(self.values) else np.arange(len(values))
+            if not known or not len(self.values) or len(self.values) + len(fresh) <= CACHE:
+                break
+            self._clear_words()  # once; then all words of these texts, however many
+        if len(fresh):
+            raw, begin, end = words.buf.tobytes(), words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist()
+            n = len(self.values)
+            self._learn([raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(begin, end, strict=True)])
+            places = np.searchsorted(self.values, values[fresh])
+            self.values, self.number = np.insert(self.values, places, values[fresh]), np.insert(self.number, places, np.arange(n, n + len(fresh)))
+        number = self.number[np.searchsorted(self.values, values)][which]
+        tokens = np.append(0, np.cumsum(self.words.length[number]))
+        return np.split(self.words.of(number), tokens[words.first[1:]]) if len(texts) > 1 else [self.words.of(number)]
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text (UTF-8), in order; some at a time, so that arrays and cache are bounded, and long texts in stretches of words."""
+        for i, j in pieces(texts, STRETCH):
+            if len(texts[i]) > STRETCH:
+                yield np.concatenate([ids for part in _stretches(texts[i]) for ids in self._group([part])])
             else:
-                ids = other[w]
-            lengths.append(len(ids) // 4)
-            flat.append(ids)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum([0, *lengths[:-1]])])
-        self.length = np.concatenate([self.length, lengths]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(flat), np.uint32)])
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        begin = 0
-        while begin < len(texts):  # some texts at a time, so that the cache is bounded
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size < 4 << 20):
-                size += len(texts[end])
-                end += 1
-            words = [_WORDS(t) for t in texts[begin:end]]
-            new = list(set().union(*words).difference(self.index))
-            if self.index and len(self.index) + len(new) > CACHE:  # emptied once; then all words of these texts, however many
-                self.clear()
-                new = list(set().union(*words))
-            if new:
-                self._learn(new)
-            for ws in words:
-                w = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-                n = self.length[w]
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield self.flat[np.repeat(self.begin[w], n) + inside]
-            begin = end
+                yield from self._group(texts[i:j])
+
+
+def _stretches(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        space = _SPACE(text, at + STRETCH)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, WordIds] = {}
@@ -139,7 +177,7 @@ def cut_pieces(docs: DataFrame, path: Callable[[], str] = tokenizer_path, capaci
         encoder = _encoder(path())
         for b in small(batches):
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            for d, ids in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for d, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(as_bytes(b.column("text"))), strict=True):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
@@ -160,12 +198,13 @@ class BestFit:
     """Online best-fit over a bounded number of open bins.
 
     Bit f of `levels` is set where an open bin has f free places; `stacks[f]`
-    holds those bins. A bin that fills up closes itself.
+    holds those bins. A bin that fills up closes itself; `closed` counts those
+    that had to make room.
     """
 
     def __init__(self, capacity: int = CAPACITY, most: int = OPEN_BINS):
         self.capacity, self.most = capacity, most
-        self.levels, self.open, self.opened = 0, 0, 0
+        self.levels, self.open, self.opened, self.closed = 0, 0, 0, 0
         self.stacks: dict[int, list[int]] = {}
 
     def _take(self, free: int) -> int:
@@ -185,6 +224,7 @@ class BestFit:
         else:
             if self.open == self.most:
                 self._take((self.levels & -self.levels).bit_length() - 1)  # the fullest closes
+                self.closed += 1
             bin_id, free = self.opened, self.capacity
             self.opened += 1
         if left := free - length:
@@ -195,11 +235,7 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """pieces(doc_id, length, ...) with sequence_id and offset; `rows` (about as many as pieces) sets the number of tasks.
-
-    Each task takes its longest pieces first: with as many open bins as the long
-    pieces of a task need, the short ones then fill what those leave.
-    """
+    """pieces(doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; `rows` (about as many as pieces) sets the number of tasks."""
     schema = pieces.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +247,8 @@ def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bins: int
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "sequence_id", "offset"])
 
     tasks = max(1, -(-rows // ROWS_PER_TASK))
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    wave = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(WAVES))
+    dealt = pieces.repartition(tasks).sortWithinPartitions(wave, F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, f"{schema},sequence_id:bigint,offset:bigint")
 
 

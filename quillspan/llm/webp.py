@@ -6,15 +6,22 @@ codes; the colour cache; and the predictor, cross-colour, subtract-green and
 palette transforms, undone in reverse order. Where an image's codes all have one
 length, its pixels are read by array operations, else symbol by symbol.
 
-`store` keeps bytes as pixels: four samples a pixel, rows of 64 bytes. Each image
-is written with prefix codes by frequency and back-references, under those
-transforms (subtract-green, predictor above, cross-colour), palette or colour
-cache with which its symbols take fewest bits by their counts (`_best`). Matches,
-cache hits and codes are found and put down by array operations. A payload above
-`IMAGE` bytes becomes several images behind one another; each says its size.
-
-Null is the empty text: its payload is 64 zero bytes. Rows are independent of
-each other; equal texts give equal values.
+`store` keeps bytes as pixels, in rows of 64 bytes. Text-like payloads (a byte
+holds less than `TEXT_BITS` by its frequency, and groups of four bytes seldom come
+again) are grey, a sample a pixel: there
+back-references find words and phrases at any place, subtract-green leaves one
+channel, and the predictor above or a palette come in where symbols then take
+fewer bits. Other payloads have four samples a pixel and the transforms
+(subtract-green, predictor above, cross-colour), palette or colour cache with
+which their symbols take fewest bits by their counts (`_best`). Codes are always
+by frequency. Matches, cache hits and codes are found and put down by array
+operations. A payload above `IMAGE` bytes becomes several images behind one
+another; each says its size, and its width says which of the two forms it has.
+
+Null is the empty text: its payload is 64 zero bytes. Very long texts are many
+images of bounded size. Rows are independent of each other; equal texts give
+equal values. An empty table gives no rows. Columns beside doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from quillspan.llm.arrays import as_bytes, bounded, mix, small, starts_of
 
-ROW, IMAGE = 64, 1 << 22
+ROW, IMAGE, TEXT_BITS = 64, 1 << 18, 6.5
 #: Fixed values of the format: the order of the code length code's lengths, and the colour cache's multiplier.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 CACHE_MULTIPLIER = 0x1E35A7BD
@@ -72,6 +80,16 @@ class _Reader:
         return out
 
 
+def _canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(code with its first bit lowest, length) of each symbol: shorter codes first, then by symbol."""
+    out, code, last = {}, 0, 0
+    for n, s in sorted([(n, s) for s, n in lengths.items()]):
+        code <<= n - last
+        out[s] = (_REVERSED[code] >> (15 - n), n)
+        code, last = code + 1, n
+    return out
+
+
 class _Code:
     """A canonical prefix code: `table` maps the next `most` bits to (symbol, length)."""
 
@@ -83,20 +101,16 @@ class _Code:
         self.most = 0 if self.single is not None else max(self.lengths.values())
         self.table: list[tuple[int, int]] = []
         self.flat: np.ndarray | None = None
+        self.arrays: tuple[np.ndarray, np.ndarray, int] | None = None
         if self.single is not None:
             self.flat = np.array([self.single])
-        elif len(set(self.lengths.values())) == 1 and len(self.lengths) == 1 << self.most:
+        elif len(self.lengths) == 1 << self.most and min(self.lengths.values()) == self.most:
             self.flat = np.array(sorted(self.lengths))
-        self.identity = self.flat is not None and np.array_equal(self.flat, np.arange(256))
+        self.identity = self.flat is not None and len(self.flat) == 256 and np.array_equal(self.flat, np.arange(256))
 
     def codes(self) -> dict[int, tuple[int, int]]:
         """(code with its first bit lowest, length) of each symbol."""
-        out, code, last = {}, 0, 0
-        for n, s in sorted((n, s) for s, n in self.lengths.items()):
-            code <<= n - last
-            out[s] = (_REVERSED[code] >> (15 - n), n)
-            code, last = code + 1, n
-        return out
+        return _canonical(self.lengths)
 
     def lookup(self) -> list[tuple[int, int]]:
         if not self.table:
@@ -112,37 +126,59 @@ class _Code:
         return s
 
 
+@lru_cache(64)
+def _inner_code(lengths: tuple[int, ...]) -> _Code:
+    return _Code({s: n for s, n in zip(LENGTH_ORDER, lengths, strict=False) if n})
+
+
 def _read_code(r: _Reader, symbols: int) -> _Code:
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
         first = r.bits(8 if wide else 1)
         return _Code({first: 1, r.bits(8): 1} if two else {first: 0})
     count = 4 + r.bits(4)
-    inner = _Code({s: n for s in LENGTH_ORDER[:count] if (n := r.bits(3))})
+    inner = _inner_code(tuple(r.bits(3) for _ in range(count)))
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else symbols
     lengths, at, last = {}, 0, 8
-    table, mask, windows = inner.lookup(), (1 << inner.most) - 1, r.windows
+    table, mask, windows, p, base = inner.lookup(), (1 << inner.most) - 1, r.windows, r.at, r.base
     while at < symbols and most:
         most -= 1
-        i = (r.at >> 3) - r.base
+        i = (p >> 3) - base
         if i >= len(windows):
+            r.at = p
             r.load()
-            windows, i = r.windows, 0
-        s, n = table[windows[i] >> (r.at & 7) & mask]
-        r.at += n
-        if s < 16:
-            if s:
-                lengths[at] = last = s
+            windows, base, i = r.windows, r.base, 0
+        v = windows[i] >> (p & 7)
+        s, n = table[v & mask]
+        p += n
+        if s == 0:
+            at += 1
+        elif s < 16:
+            lengths[at] = last = s
             at += 1
-            continue
-        n = 3 + r.bits(2) if s == 16 else 3 + r.bits(3) if s == 17 else 11 + r.bits(7)
-        windows = r.windows
-        if s == 16:
-            lengths.update((k, last) for k in range(at, at + n))
-        at += n
+        elif s == 16:
+            run = 3 + (v >> n & 3)
+            p += 2
+            for k in range(at, min(at + run, symbols)):
+                lengths[k] = last
+            at += run
+        elif s == 17:
+            at += 3 + (v >> n & 7)
+            p += 3
+        else:
+            at += 11 + (v >> n & 127)
+            p += 7
+    r.at = p
     return _Code(lengths or {0: 0})
 
 
+#: Least value and extra bits of each length or distance code.
+_PREFIX = [(c + 1, 0) if c < 4 else ((2 + (c & 1) << (c - 2 >> 1)) + 1, c - 2 >> 1) for c in range(40)]
+
+
+_PREFIX_ARRAY, _NEAR_ARRAY = np.array(_PREFIX, np.int32).T.copy(), np.array(NEAR)
+
+
 def _prefix_value(r: _Reader, code: int) -> int:
     if code < 4:
         return code + 1
@@ -166,6 +202,8 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
         four = groups[0][:4]
         if all(c.flat is not None for c in four) and four[0].flat[-1] < 256:
             return _read_uniform(r, four, n)
+    if main and n >= _ALL_AT_ONCE and len(groups) == 1 and not cache_bits and all(c.single is not None for c in groups[0][1:4]):
+        return _read_green(r, groups[0], width, n)
     pixels = array("I", bytes(4 * n))
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, cached, at = 32 - cache_bits, 0, 0
@@ -222,6 +260,110 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.frombuffer(pixels, np.uint32).astype(">u4").view(np.uint8).reshape(n, 4)
 
 
+#: Bytes of a file whose tokens are looked up at every bit at once, and pixels of an image from which that is done.
+_STRETCH, _ALL_AT_ONCE = 1 << 15, 256
+
+
+@lru_cache(16)
+def _turned(bits: int) -> np.ndarray:
+    """The numbers of so many bits, each with its bits in reverse order."""
+    return np.array(_REVERSED[: 1 << bits]) >> (15 - bits)
+
+
+def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols and lengths by the next bits, and the mask for those."""
+    if code.arrays is None:
+        if code.single is not None:
+            symbol, length = np.array([code.single], np.int32), np.zeros(1, np.int32)
+        else:
+            # First bit highest, the places of a code are neighbours; the rest of an incomplete code is its first symbol.
+            both = np.array(sorted([n << 16 | s for s, n in code.lengths.items()]), np.int32)
+            order = both.repeat(1 << (code.most - (both >> 16)))
+            if len(order) < 1 << code.most:
+                order = np.append(order, np.full((1 << code.most) - len(order), both[0]))
+            order = order[_turned(code.most)]
+            length, symbol = order >> 16, order & 0xFFFF
+        code.arrays = (symbol, length, (1 << code.most) - 1)
+    return code.arrays
+
+
+def _walk(after: np.ndarray, p: int) -> np.ndarray:
+    """The places met from p on, where `after` tells each place's next; in strides of eight, which arrays then fill in."""
+    end = len(after)
+    one = np.append(np.minimum(after, end), end)
+    two = one[one]
+    four = two[two]
+    step, met = memoryview(np.ascontiguousarray(four[four])), []
+    while p < end:
+        met.append(p)
+        p = step[p]
+    first = np.array(met, np.int64)
+    first = np.stack([first, four[first]], axis=1).ravel()
+    first = np.stack([first, two[first]], axis=1).ravel()
+    first = np.stack([first, one[first]], axis=1).ravel()
+    return first[: np.searchsorted(first, end)]
+
+
+def _read_green(r: _Reader, codes: list[_Code], width: int, n: int) -> np.ndarray:
+    """Pixels that differ in green only: no other channel takes bits.
+
+    What a token would be is looked up at every bit of a stretch by array
+    operations; the tokens that are there are those that a walk from the first
+    one meets.
+    """
+    pixels, at = bytearray(n), 0
+    shown = np.frombuffer(pixels, np.uint8)
+    (green, green_bits, green_mask), (far, far_bits, far_mask) = _tables(codes[0]), _tables(codes[4])
+    while at < n:
+        base = r.at >> 3
+        size = min(_STRETCH, len(r.data) - 14 - base)
+        wide = np.ndarray((size + 6,), "<u8", r.data, base, (1,)).copy()
+        place = np.arange(8 * size, dtype=np.int32)
+        v = (wide[:size, None] >> np.arange(8, dtype=np.uint64)).astype(np.int32).ravel()
+        token = v & green_mask
+        symbol = green[token]
+        after, copy = place + green_bits[token], np.flatnonzero(symbol >= 256)
+        length, distance = np.ones(len(place), np.int32), np.zeros(len(place), np.int32)
+        if len(copy):
+            extra = _PREFIX_ARRAY[1][symbol[copy] - 256]
+            p = after[copy]
+            length[copy] = _PREFIX_ARRAY[0][symbol[copy] - 256] + (v[copy] >> p - place[copy] & (1 << extra) - 1)
+            p += extra
+            v = (wide[p >> 3] >> (p & 7).astype(np.uint64)).astype(np.int64)
+            token = v & far_mask
+            j, extra = far_bits[token], _PREFIX_ARRAY[1][far[token]]
+            distance[copy] = _PREFIX_ARRAY[0][far[token]] + (v >> j & (1 << extra) - 1)
+            after[copy] = p + j + extra
+        p = r.at & 7
+        if p == after[p]:  # one symbol without bits
+            shown[at:] = symbol[p]
+            break
+        tokens = _walk(after, p)
+        p = int(after[tokens[-1]])
+        begin = at + starts_of(length[tokens])
+        tokens = tokens[: np.searchsorted(begin, n)]
+        begin = begin[: len(tokens)]
+        plain = symbol[tokens] < 256
+        shown[begin[plain]] = symbol[tokens[plain]]
+        tokens, place_of = tokens[~plain], begin[~plain]
+        d = distance[tokens]
+        near = _NEAR_ARRAY[np.minimum(d, 120) - 1]
+        d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
+        if (d > place_of).any():
+            raise ValueError("a distance reaches before the image")
+        for to, count, back in zip(place_of.tolist(), np.minimum(length[tokens], n - place_of).tolist(), d.tolist(), strict=True):
+            if back >= count:
+                pixels[to : to + count] = pixels[to - back : to - back + count]
+            else:
+                pixels[to : to + count] = (pixels[to - back : to] * -(-count // back))[:count]
+        last = int(begin[-1]) + (int(length[tokens[-1]]) if len(tokens) and not plain[-1] else 1)
+        r.at, at = 8 * base + p, last
+    out = np.empty((n, 4), np.uint8)
+    out[:] = [codes[3].single, codes[1].single, 0, codes[2].single]
+    out[:, 2] = shown
+    return out
+
+
 def _read_uniform(r: _Reader, codes: list[_Code], n: int) -> np.ndarray:
     """Pixels by codes that each have one length (`flat`: the symbols in code order)."""
     out = np.empty((n, 4), np.uint8)
@@ -357,8 +499,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
             pixels = cross_colour(pixels, image, block, wide, True)
         elif kind == 2:
             pixels = pixels.copy()
-            pixels[:, 1] += pixels[:, 2]
-            pixels[:, 3] += pixels[:, 2]
+            pixels[:, 1::2] += pixels[:, 2:3]
         else:
             index = pixels[:, 2].reshape(height, -1)
             if block:
@@ -370,32 +511,36 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels.reshape(height, width, 4)
 
 
-def _spread(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """The bits of numbers behind one another, lowest first, one a byte."""
-    inside = np.arange(int(widths.sum())) - np.repeat(starts_of(widths), widths)
-    return (np.repeat(values, widths) >> inside & 1).astype(np.uint8)
-
-
 class _Writer:
+    """Numbers with their widths, put behind one another, lowest bits first."""
+
     def __init__(self):
-        self.parts: list[tuple[int, int]] = []
-        self.done: list[np.ndarray] = []
+        self.values: list[int] = []
+        self.widths: list[int] = []
+        self.done: list[tuple[np.ndarray, np.ndarray]] = []
 
     def bits(self, value: int, n: int) -> None:
-        self.parts.append((value, n))
+        self.values.append(value)
+        self.widths.append(n)
 
     def many(self, values: np.ndarray, widths: np.ndarray) -> None:
-        self.done += [self._rest(), _spread(values, widths)]
+        self._rest()
+        self.done.append((values, widths))
 
-    def _rest(self) -> np.ndarray:
-        pairs = np.array(self.parts, np.int64).reshape(-1, 2)
-        self.parts = []
-        return _spread(pairs[:, 0], pairs[:, 1])
+    def _rest(self) -> None:
+        self.done.append((np.array(self.values, np.int64), np.array(self.widths, np.int64)))
+        self.values, self.widths = [], []
 
-    def array(self) -> np.ndarray:
-        """All bits, one a byte."""
-        self.done = [np.concatenate([*self.done, self._rest()])]
-        return self.done[0]
+    def packed(self) -> bytes:
+        """All bits, the last byte filled up with zeros. Numbers have at most 31 bits, so that each touches two words of 32; no bit is in two numbers, so sums put them together."""
+        self._rest()
+        values, widths = (np.concatenate(x) for x in zip(*self.done, strict=True))
+        at = np.cumsum(widths) - widths
+        total, word = int(widths.sum()), at >> 5
+        wide = values << (at & 31)
+        words = np.bincount(word, weights=wide & 0xFFFFFFFF, minlength=(total >> 5) + 2)
+        words[1:] += np.bincount(word, weights=wide >> 32, minlength=len(words))[:-1]
+        return words.astype("<u4").tobytes()[: -(-total // 8)]
 
 
 def _huffman(counts: dict[int, int], most: int = 15) -> dict[int, int]:
@@ -406,16 +551,18 @@ def _huffman(counts: dict[int, int], most: int = 15) -> dict[int, int]:
         leaves = sorted(counts, key=counts.__getitem__)
         m = len(leaves)
         weight, parent, i, j = [counts[s] for s in leaves], [0] * (2 * m - 1), 0, m
+        never = sum(weight) + 1
+        weight += [never] * m  # inner nodes still to come weigh more than any
         for k in range(m, 2 * m - 1):  # leaves and inner nodes both come in order of weight
-            total = 0
-            for _ in "ab":
-                if i < m and (j >= k or weight[i] <= weight[j]):
-                    least, i = i, i + 1
-                else:
-                    least, j = j, j + 1
-                total += weight[least]
-                parent[least] = k
-            weight.append(total)
+            if i < m and weight[i] <= weight[j]:
+                x, i = i, i + 1
+            else:
+                x, j = j, j + 1
+            if i < m and weight[i] <= weight[j]:
+                y, i = i, i + 1
+            else:
+                y, j = j, j + 1
+            weight[k], parent[x], parent[y] = weight[x] + weight[y], k, k
         depth = [0] * (2 * m - 1)
         for k in range(2 * m - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -435,17 +582,10 @@ def _write_code(w: _Writer, lengths: dict[int, int], symbols: int) -> dict[int,
     lengths = {s: max(1, n) for s, n in lengths.items()}
     if len(lengths) == 1:  # a single symbol that the simple form cannot name gets an unused neighbour
         lengths[0] = 1
-    code, out, at, runs = _Code(lengths), [], 0, []
-    for s in sorted(lengths):
-        if s > at:
-            runs.append([0, s - at])
-        if runs and runs[-1][0] == lengths[s]:
-            runs[-1][1] += 1
-        else:
-            runs.append([lengths[s], 1])
-        at = s + 1
-    if at < symbols:
-        runs.append([0, symbols - at])
+    each, out = [0] * symbols, []
+    for x, n in lengths.items():
+        each[x] = n
+    runs = [(n, len(list(run))) for n, run in groupby(each)]
     for n, run in runs:
         if n:
             out.append((n, 0, 0))
@@ -464,38 +604,46 @@ def _write_code(w: _Writer, lengths: dict[int, int], symbols: int) -> dict[int,
                 k = 1
                 out.append((n, 0, 0))
             run -= k
-    counts: dict[int, int] = {}
-    for s, _, _ in out:
-        counts[s] = counts.get(s, 0) + 1
-    inner = _huffman(counts, 7)
-    used = {s: max(1, n) for s, n in inner.items()}
     w.bits(0, 1)
     w.bits(15, 4)
-    for s in LENGTH_ORDER:
-        w.bits(used.get(s, 0), 3)
+    w.values += _INNER_LENGTHS
+    w.widths += [3] * 19
     w.bits(0, 1)
-    bits = _Code(used).codes() if len(used) > 1 else {s: (0, 0) for s in used}
+    bits = _INNER
     for s, extra, n in out:
-        w.parts.append(bits[s])
+        w.bits(*bits[s])
         if n:
-            w.parts.append((extra, n))
-    return code.codes()
+            w.bits(extra, n)
+    return _canonical(lengths)
+
 
+#: The code in which this writer puts down code lengths: five bits for the rarest of them, else four.
+_INNER_OF = {k: 5 if k in (0, 1, 2, 14, 15, 12) else 4 for k in range(19)}
+_INNER, _INNER_LENGTHS = _canonical(_INNER_OF), [_INNER_OF[k] for k in LENGTH_ORDER]
 
-def _prefix_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, extra, extra bits) of lengths or distances."""
-    v = values - 1
-    high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
-    extra = np.maximum(high - 1, 0)
-    return np.where(v < 4, v, 2 * high + (v >> extra & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), np.where(v < 4, 0, extra)
+
+def _prefix_codes(values: np.ndarray) -> np.ndarray:
+    """(codes, extra, extra bits) of lengths or distances, a row each."""
+    global _PREFIX_OF
+    if len(values) and (top := int(values.max())) >= _PREFIX_OF.shape[1]:
+        v = np.arange(-1, 2 * top)
+        high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+        extra = np.maximum(high - 1, 0)
+        _PREFIX_OF = np.stack([np.where(v < 4, v, 2 * high + (v >> extra & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), np.where(v < 4, 0, extra)])
+    return _PREFIX_OF[:, values]
+
+
+#: The codes of all values up to the highest seen, which is at most the number of pixels of an image.
+_PREFIX_OF = np.zeros((3, 0), np.int64)
 
 
 @lru_cache(4096)
-def _near_codes(width: int) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k, (dx, dy) in enumerate(NEAR):
+def _near_codes(width: int) -> np.ndarray:
+    """The short code of each distance that has one, else 0."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for k, (dx, dy) in reversed(list(enumerate(NEAR))):
         if dx + dy * width > 0:
-            out.setdefault(dx + dy * width, k + 1)
+            out[dx + dy * width] = k + 1
     return out
 
 
@@ -508,26 +656,49 @@ def _before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of what is three or more pixels long and was there before."""
-    if len(argb) < 4:
-        return []
-    a = argb.astype(np.uint64)
-    keys = mix(mix(a[:-2] << np.uint64(32) | a[1:-1]) ^ a[2:])
-    back = _before(keys)
-    i = np.flatnonzero(back >= 0)
-    i = i[(argb[i] == argb[back[i]]) & (argb[i + 1] == argb[back[i] + 1]) & (argb[i + 2] == argb[back[i] + 2])]
+def _copies(argb: np.ndarray, least: int = 3) -> np.ndarray:
+    """(place, length, distance) of what is `least` or more pixels long and was there before."""
+    none = np.zeros((0, 3), np.int64)
+    if len(argb) < least + 1:
+        return none
+    n = len(argb) - least + 1
+    exact = least < 8 and not int(np.bitwise_or.reduce(argb ^ argb[0])) & 0xFFFF00FF  # only green varies: its samples are the key
+    a = (argb >> 8 & 255 if exact else argb).astype(np.uint64)
+    keys = a[:n]
+    for k in range(1, least):
+        keys = (keys << np.uint64(8) | a[k : k + n]) if exact else keys * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n]
+    short = n < 1 << 14  # short keys are sorted in linear time, and few meet by chance
+    back = _before((keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16) if short else keys)
+    if not short:  # among many places the last one is seldom that of the longest copy
+        wide = np.zeros(n - LONG, np.uint64)
+        for k in range(LONG):
+            wide = wide * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n - LONG]
+        last = _before(mix(wide))
+        back[: n - LONG] = np.where(last >= 0, last, back[: n - LONG])
+    i = np.flatnonzero(keys[back] == keys)
+    i = i[back[i] >= 0]
+    for k in range(0 if exact else least):
+        i = i[argb[i + k] == argb[back[i] + k]]
     if not len(i):
-        return []
+        return none
     d = i - back[i]
     cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0))
-    out, covered = [], 0
-    for s, e, far in zip(i[np.append(0, cut + 1)].tolist(), i[np.append(cut, len(i) - 1)].tolist(), d[np.append(cut, len(i) - 1)].tolist(), strict=True):
-        at = max(s, covered)
-        while e + 3 - at >= 3:  # all of a stretch was there at one distance
-            out.append((at, min(4096, e + 3 - at), far))
-            covered = at = at + out[-1][1]
-    return out
+    first, last = np.append(0, cut + 1), np.append(cut, len(i) - 1)
+    begin, end, far = i[first], i[last] + least, d[first]
+    # Each stretch goes on where those before it end, if enough of it is left; then those that had lost that room to unused ones.
+    use = np.zeros(len(begin), bool)
+    at = begin.copy()
+    for _ in range(3):
+        rest = np.flatnonzero(~use)
+        at[rest[rest > 0]] = np.maximum(begin, np.concatenate([[0], np.maximum.accumulate(end * use)[:-1]]))[rest[rest > 0]]
+        at[rest[1:]] = np.maximum(at[rest[1:]], np.maximum.accumulate(end[rest])[:-1])
+        use[rest] = end[rest] - at[rest] >= least
+    begin, length, far = at[use], (end - at)[use], far[use]
+    if not len(begin):
+        return none
+    parts = -(-length // 4096)  # a copy has at most 4096 pixels
+    inside = 4096 * (np.arange(int(parts.sum())) - np.repeat(starts_of(parts), parts))
+    return np.stack([np.repeat(begin, parts) + inside, np.minimum(4096, np.repeat(length, parts) - inside), np.repeat(far, parts)], axis=1)
 
 
 def _slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -537,65 +708,81 @@ def _slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slots, (last >= 0) & (argb[last] == argb)
 
 
-def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, groups: int = 0) -> None:
-    """Pixels by prefix codes of their frequencies; groups > 0 gives every block of 1 << groups pixels a code set by turns of two."""
+def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: int = 0, groups: int = 0) -> None:
+    """Pixels by prefix codes of their frequencies; copies of `references` pixels or more, if any; groups > 0 gives every block of 1 << groups pixels a code set by turns of two."""
     argb = np.ascontiguousarray(pixels, np.uint8).view(">u4").ravel().astype(np.uint32)
     n = len(argb)
     w.bits(int(cache_bits > 0), 1)
     w.bits(cache_bits, 4 if cache_bits else 0)
     if main:
         w.bits(int(groups > 0), 1)
-    begins = np.ones(n, bool)
-    copies = np.array(_copies(argb) if references else [], np.int64).reshape(-1, 3)
-    for at, length, _ in copies.tolist():
-        begins[at + 1 : at + length] = False
-    # What each token puts down: symbols of the five codes, and bits behind them; -1 for none.
-    symbols, extra, more = np.full((n, 4), -1), np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
-    symbols[:, 0], symbols[:, 1], symbols[:, 2], symbols[:, 3] = pixels[:, 2], pixels[:, 1], pixels[:, 3], pixels[:, 0]
-    far = np.zeros(n, bool)
+    copies = _copies(argb, references) if references else np.zeros((0, 3), np.int64)
+    inside = np.zeros(n + 1, np.int8)
+    inside[copies[:, 0] + 1] += 1
+    inside[copies[:, 0] + copies[:, 1]] -= 1
+    tokens = np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8) == 0)
+    # What each token puts down: symbols of the five codes, and bits behind them; -1 for none. One-valued channels need no bits.
+    rest, far = argb[tokens], np.searchsorted(tokens, copies[:, 0])
+    varies, shifts = int(np.bitwise_or.reduce(rest ^ rest[0])), (8, 16, 0, 24)
+    symbols = [(rest >> k & 255).astype(np.int64) if k == 8 or varies >> k & 255 else None for k in shifts]
     if cache_bits:
         slots, there = _slots(argb, cache_bits)
-        symbols[there] = -1
-        symbols[there, 0] = 280 + slots[there]
-    if len(copies):
-        at, near = copies[:, 0], _near_codes(width)
-        far[at] = True
-        symbols[at] = -1
-        code, extra[at, 0], more[at, 0] = _prefix_codes(copies[:, 1])
-        symbols[at, 0] = 256 + code
-        symbols[at, 1], extra[at, 1], more[at, 1] = _prefix_codes(np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()]))
-    group = np.zeros(n, np.int64)
+        there = there[tokens]
+        symbols[0][there] = 280 + slots[tokens[there]]
+        for x in symbols[1:]:
+            if x is not None:
+                x[there] = -1
+    code, *length = _prefix_codes(copies[:, 1])
+    symbols[0][far] = 256 + code
+    for x in symbols[1:]:
+        if x is not None:
+            x[far] = -1
+    near = _near_codes(width)
+    close = near[np.minimum(copies[:, 2], len(near) - 1)] * (copies[:, 2] < len(near))
+    distances, *distance = _prefix_codes(np.where(close > 0, close, copies[:, 2] + 120))
+    group = None
     if groups:
         across = -(-width >> groups)
-        y, x = np.divmod(np.arange(n), width)
+        y, x = np.divmod(tokens, width)
         group = ((y >> groups) * across + (x >> groups)) % 2
         blocks = across * -(-(n // width) >> groups)
         image = np.zeros((blocks, 4), np.uint8)
         image[:, 2] = np.arange(blocks) % 2
         w.bits(groups - 2, 3)
         _write_image(w, image, across, False)
-    symbols, extra, more, far, group = (x[begins] for x in (symbols, extra, more, far, group))
-    sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
-    values, widths = np.zeros((len(symbols), 6), np.int64), np.zeros((len(symbols), 6), np.int64)
+    sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256)
+    # Columns: green and length bits, distance, its bits, red, blue, alpha.
+    values, widths = np.zeros((6, len(tokens)), np.int64), np.zeros((6, len(tokens)), np.int64)
+    most = 10 if len(tokens) < 1 << 14 else 15
     for g in range(2 if groups else 1):
-        own = group == g
         for which, size in enumerate(sizes):
-            column = 1 if which == 4 else which
-            here = np.flatnonzero(own & far if which == 4 else own & (symbols[:, column] >= 0) & ~(far & (which == 1)))
-            found = symbols[here, column]
-            counts = np.bincount(found, minlength=size)
-            used = np.flatnonzero(counts)
-            codes = _write_code(w, _huffman(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), 10 if len(symbols) < 1 << 14 and len(used) <= 256 else 15), size)
-            table = np.zeros((size, 2), np.int64)
-            table[list(codes)] = list(codes.values())
-            to = (0, 2, 4, 5, 2)[which]
-            values[here, to], widths[here, to] = table[found].T
-    values[far, 1], widths[far, 1], values[far, 3], widths[far, 3] = extra[far, 0], more[far, 0], extra[far, 1], more[far, 1]
-    w.many(values.ravel(), widths.ravel())
-
-
-def _file(width: int, height: int, bits: np.ndarray) -> bytes:
-    body = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
+            if symbols[which] is None:
+                _write_code(w, {int(rest[0]) >> shifts[which] & 255: 0}, size)
+                continue
+            here = np.flatnonzero(symbols[which] >= 0 if group is None else (symbols[which] >= 0) & (group == g))
+            _put(w, symbols[which][here], size, most, here, values[(0, 3, 4, 5)[which]], widths[(0, 3, 4, 5)[which]])
+        own = slice(None) if group is None else group[far] == g
+        _put(w, distances[own], 40, most, far[own], values[1], widths[1])
+    for to, (extra, more) in ((0, length), (1 if most == 10 else 2, distance)):  # where codes are short the bits of a distance fit behind it
+        values[to, far] |= extra << widths[to, far]
+        widths[to, far] += more
+    used = [k for k in range(6) if widths[k].any()]
+    w.many(values[used].T.ravel(), widths[used].T.ravel())
+
+
+def _put(w: _Writer, symbols: np.ndarray, size: int, most: int, to: np.ndarray, values: np.ndarray, widths: np.ndarray) -> None:
+    """Write the code of some symbols, and their codes to the places `to`."""
+    counts = np.bincount(symbols, minlength=size)
+    used = np.flatnonzero(counts)
+    codes = _write_code(w, _huffman(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), most if len(used) <= 256 else 15), size)
+    if len(codes) > 1:
+        table = np.zeros((2, size), np.int64)
+        table[:, list(codes)] = np.array(list(codes.values())).T
+        values[to], widths[to] = table[:, symbols]
+
+
+def _file(bits: bytes) -> bytes:
+    body = b"\x2f" + bits
     padded = body + b"\0" * (len(body) % 2)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
@@ -609,7 +796,13 @@ def _begin(width: int, height: int) -> _Writer:
     return w
 
 
-def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarray | None = None, block: int = 2, green: bool = False, palette: bool = False, cache_bits: int = 0, references: bool = True, groups: int = 0) -> bytes:
+def _less_green(pixels: np.ndarray) -> np.ndarray:
+    out = pixels.copy()
+    out[:, 1::2] -= pixels[:, 2:3]
+    return out
+
+
+def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarray | None = None, block: int = 2, green: bool = False, palette: bool = False, cache_bits: int = 0, references: int = 3, groups: int = 0) -> bytes:
     """One lossless file of pixels (height, width, 4), with the transforms that are given: predictor modes and cross-colour elements per block."""
     height, width, _ = pixels.shape
     w, rest, wide = _begin(width, height), pixels.reshape(-1, 4), width
@@ -630,9 +823,7 @@ def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarr
     if green:
         w.bits(1, 1)
         w.bits(2, 2)
-        rest = rest.copy()
-        rest[:, 1] -= rest[:, 2]
-        rest[:, 3] -= rest[:, 2]
+        rest = _less_green(rest)
     for kind, image in ((0, modes), (1, colour)):
         if image is not None:
             w.bits(1, 1)
@@ -648,7 +839,7 @@ def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarr
             _write_image(w, shown, -(-wide >> block), False)
     w.bits(0, 1)
     _write_image(w, rest, wide, True, cache_bits, references, groups)
-    return _file(width, height, w.array())
+    return _file(w.packed())
 
 
 def _bits(counts: np.ndarray) -> np.ndarray:
@@ -674,9 +865,7 @@ def _best(pixels: np.ndarray) -> dict:
     height, width, _ = pixels.shape
     flat = pixels.reshape(-1, 4)
     n, blocks = len(flat), -(-width >> 9) * -(-height >> 9)
-    green = flat.copy()
-    green[:, 1] -= flat[:, 2]
-    green[:, 3] -= flat[:, 2]
+    green = _less_green(flat)
     modes, colour = np.full(blocks, 2), np.tile(_elements(flat), (blocks, 1))
     shown = [flat, green, predict(flat, modes, 9, width, False), predict(green, modes, 9, width, False), cross_colour(flat, colour, 9, width, False)]
     how = [{}, {"green": True}, {"modes": modes}, {"green": True, "modes": modes}, {"colour": colour}]
@@ -697,33 +886,47 @@ def _best(pixels: np.ndarray) -> dict:
     return out
 
 
+def _best_grey(samples: np.ndarray, own: np.ndarray, own_bits: float) -> dict:
+    """What to encode a grey image with: palette, subtract-green alone, or the predictor above after it, by the bits of its symbols; own: how often each sample is there, and its bits."""
+    above = np.bincount((samples[1:] - samples[:-1]).ravel(), minlength=256)
+    above_bits, colours = float(_bits(above)), int(np.count_nonzero(own))
+    if colours <= 16 and (own_bits + 32 * colours) / (1 << _palette_bits(colours)) < min(own_bits, above_bits):
+        return {"palette": True}
+    return {"green": True, "modes": np.full(-(-len(samples) >> 9), 2), "block": 9} if above_bits + 60 < own_bits else {"green": True}
+
+
+#: Pixels from which a copy takes fewer bits than what it stands for: in grey images, and where pixels have four samples.
+GREY_COPY, COPY = 5, 3
+#: Pixels over which longer copies are looked for in large images.
+LONG = 24
+
+
 def store(payload: bytes) -> bytes:
     """Images that hold the payload, whose length is a multiple of 64."""
     out = []
     for at in range(0, len(payload), IMAGE):
-        part = payload[at : at + IMAGE]
-        rows = len(part) // ROW
-        times = -(-rows // 16384)  # an image has at most 16384 rows
-        width, height = ROW // 4 * times, -(-rows // times)
-        pixels = np.frombuffer(part.ljust(width * height * 4, b"\0"), np.uint8).reshape(height, width, 4)
-        out.append(encode(pixels, **_best(pixels)))
+        rows = np.frombuffer(payload[at : at + IMAGE], np.uint8).reshape(-1, ROW)
+        counts = np.bincount(rows.ravel(), minlength=256)
+        bits = float(_bits(counts))
+        if bits < TEXT_BITS * rows.size and len(np.unique(rows.view(np.uint32))) > min(256, rows.size // 16):
+            grey = np.uint32(0xFF) + rows.astype(np.uint32) * np.uint32(0x01010100)
+            out.append(encode(grey.view(np.uint8).reshape(*rows.shape, 4), references=GREY_COPY, **_best_grey(rows, counts, bits)))
+        else:
+            pixels = rows.reshape(len(rows), ROW // 4, 4)
+            out.append(encode(pixels, references=COPY, **_best(pixels)))
     return b"".join(out)
 
 
-def load(media: bytes, payload_bytes: int) -> tuple[bytes, list[tuple[int, int]]]:
+def load(media: bytes) -> tuple[bytes, list[tuple[int, int]]]:
     """The payload and the images' sizes (width, height)."""
     out, sizes, at = [], [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
         width, height, pixels = decode(media[at : at + size])
-        out.append(pixels.tobytes())
+        out.append((pixels[:, :, 2] if width == ROW else pixels).tobytes())
         sizes.append((width, height))
         at += size
-    left, parts = payload_bytes, []
-    for p in out:
-        parts.append(p[: min(IMAGE, left)])
-        left -= len(parts[-1])
-    return b"".join(parts), sizes
+    return b"".join(out), sizes
 
 
 def feature(payload: bytes) -> str:
@@ -752,7 +955,7 @@ def stored(docs: DataFrame, with_media: bool = False) -> DataFrame:
             rows, kept = [], []
             for t in as_bytes(b.column("text")):
                 media = store(t.ljust(max(1, -(-len(t) // ROW)) * ROW, b"\0"))
-                back, _ = load(media, max(1, -(-len(t) // ROW)) * ROW)
+                back, _ = load(media)
                 rows.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
                 if with_media:
                     kept.append(media)

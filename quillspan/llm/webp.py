@@ -47,8 +47,8 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 NEAR = sorted([(0, y) for y in range(1, 8)] + [(s * x, y) for x in range(1, 8) for y in range(8) for s in (1, -1) if s > 0 or y] + [(8, y) for y in range(8)], key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
-#: Bytes of a file from which a reader takes any 49 bits at once.
-_CHUNK = 1 << 16
+#: Bytes of a file from which a reader takes any 49 bits at once; less at its beginning.
+_CHUNK, _FIRST = 1 << 16, 1 << 9
 #: The 15 bits of a number in reverse order.
 _REVERSED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
 
@@ -58,11 +58,11 @@ class _Reader:
 
     def __init__(self, data: bytes):
         self.data, self.at = data + bytes(32), 0
-        self.load()
+        self.load(_FIRST)
 
-    def load(self) -> None:
+    def load(self, most: int = _CHUNK) -> None:
         self.base = self.at >> 3
-        n = min(_CHUNK, len(self.data) - 6 - self.base)
+        n = min(most, len(self.data) - 6 - self.base)
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :7] = np.ndarray((n, 7), np.uint8, self.data, self.base, (1, 1))
         self.windows: list[int] = wide.view("<u8").ravel().tolist()
@@ -176,7 +176,7 @@ def _read_code(r: _Reader, symbols: int) -> _Code:
 _PREFIX = [(c + 1, 0) if c < 4 else ((2 + (c & 1) << (c - 2 >> 1)) + 1, c - 2 >> 1) for c in range(40)]
 
 
-_PREFIX_ARRAY, _NEAR_ARRAY = np.array(_PREFIX, np.int32).T.copy(), np.array(NEAR)
+_PREFIX_ARRAY, _NEAR_ARRAY = np.array(_PREFIX).T.copy(), np.array(NEAR)
 
 
 def _prefix_value(r: _Reader, code: int) -> int:
@@ -274,10 +274,10 @@ def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols and lengths by the next bits, and the mask for those."""
     if code.arrays is None:
         if code.single is not None:
-            symbol, length = np.array([code.single], np.int32), np.zeros(1, np.int32)
+            symbol, length = np.array([code.single]), np.zeros(1, np.int64)
         else:
             # First bit highest, the places of a code are neighbours; the rest of an incomplete code is its first symbol.
-            both = np.array(sorted([n << 16 | s for s, n in code.lengths.items()]), np.int32)
+            both = np.array(sorted([n << 16 | s for s, n in code.lengths.items()]))
             order = both.repeat(1 << (code.most - (both >> 16)))
             if len(order) < 1 << code.most:
                 order = np.append(order, np.full((1 << code.most) - len(order), both[0]))
@@ -291,9 +291,9 @@ def _walk(after: np.ndarray, p: int) -> np.ndarray:
     """The places met from p on, where `after` tells each place's next; in strides of eight, which arrays then fill in."""
     end = len(after)
     one = np.append(np.minimum(after, end), end)
-    two = one[one]
-    four = two[two]
-    step, met = memoryview(np.ascontiguousarray(four[four])), []
+    two = one.take(one)
+    four = two.take(two)
+    step, met = memoryview(four.take(four)), []
     while p < end:
         met.append(p)
         p = step[p]
@@ -318,21 +318,25 @@ def _read_green(r: _Reader, codes: list[_Code], width: int, n: int) -> np.ndarra
         base = r.at >> 3
         size = min(_STRETCH, len(r.data) - 14 - base)
         wide = np.ndarray((size + 6,), "<u8", r.data, base, (1,)).copy()
-        place = np.arange(8 * size, dtype=np.int32)
-        v = (wide[:size, None] >> np.arange(8, dtype=np.uint64)).astype(np.int32).ravel()
+        v = np.empty((size, 8), np.int64)
+        for k in range(8):
+            v[:, k] = (wide[:size] >> np.uint64(k)).view(np.int64)
+        v = v.ravel()
         token = v & green_mask
-        symbol = green[token]
-        after, copy = place + green_bits[token], np.flatnonzero(symbol >= 256)
-        length, distance = np.ones(len(place), np.int32), np.zeros(len(place), np.int32)
+        symbol = green.take(token)
+        after = green_bits.take(token) + np.arange(8 * size)
+        copy = np.flatnonzero(symbol >= 256)
+        length, distance = np.ones(8 * size, np.int64), np.zeros(8 * size, np.int64)
         if len(copy):
-            extra = _PREFIX_ARRAY[1][symbol[copy] - 256]
-            p = after[copy]
-            length[copy] = _PREFIX_ARRAY[0][symbol[copy] - 256] + (v[copy] >> p - place[copy] & (1 << extra) - 1)
+            kind, p, v = symbol.take(copy) - 256, after.take(copy), v.take(copy)
+            extra = _PREFIX_ARRAY[1].take(kind)
+            length[copy] = _PREFIX_ARRAY[0].take(kind) + (v >> p - copy & (1 << extra) - 1)
             p += extra
-            v = (wide[p >> 3] >> (p & 7).astype(np.uint64)).astype(np.int64)
+            v = (wide.take(p >> 3) >> (p & 7).astype(np.uint64)).view(np.int64)
             token = v & far_mask
-            j, extra = far_bits[token], _PREFIX_ARRAY[1][far[token]]
-            distance[copy] = _PREFIX_ARRAY[0][far[token]] + (v >> j & (1 << extra) - 1)
+            j, kind = far_bits.take(token), far.take(token)
+            extra = _PREFIX_ARRAY[1].take(kind)
+            distance[copy] = _PREFIX_ARRAY[0].take(kind) + (v >> j & (1 << extra) - 1)
             after[copy] = p + j + extra
         p = r.at & 7
         if p == after[p]:  # one symbol without bits

@@ -4,18 +4,27 @@ Patterns find assignments, access keys and long hexadecimal runs; their spans
 always stay. The field tags tokens (runs of key characters or of other letters,
 and every other character by itself) as begin, inside or outside of a secret,
 from the token's shape, a hash of its letters, the same of its neighbours, and
-features of the whole text. It is trained here, by averaged gradient steps on
-the exact likelihood, on a bounded sample of texts (`sample` rows of the corpus,
-the first by a hash of the row) in which the patterns' values are tagged, and to
-which training secrets in other wordings are added, so that it learns what
-values and their surroundings look like and not the patterns.
-
-Decoding is Viterbi over the whole text. It is done exactly on the stretches
-where it matters: a token that is outside by more than any transition can make
-up for is outside on the best path, so the chain falls apart there.
-
-Null is the empty text, which has no spans. Offsets count code points, ends are
-exclusive. Rows are independent of each other: equal texts, equal spans.
+features of the whole text. What it tags and no pattern's span touches is added,
+whatever its length or characters.
+
+It is trained here, by adaptive gradient steps on the exact likelihood, on a
+bounded sample: `sample` texts (the first by a hash of the text, half of them with
+words that the patterns know), each of which gives one stretch of `STRETCH`
+characters, at a place that the hash draws from the whole text, or around one of
+its patterns' values. The values are tagged; to stretches without any, a secret in
+another wording or something that only looks like one (`_training_secrets`,
+`_decoys`) is added, so that the field learns what values and their surroundings
+look like and not the patterns.
+
+Decoding is exact Viterbi. The chain is cut at tokens that are outside on every
+best path: where outside leads by more than the transitions around the token, and
+making the next token begin instead of inside, could cost (`Field.decode`). The
+stretches between go through the recursion side by side.
+
+Null is the empty text, which has no spans. Very long texts are scanned whole,
+one at a time. Offsets count code points, ends are exclusive. Rows are independent
+of each other: equal texts, equal spans. An empty table gives no rows. `scanned`
+does not read columns beside doc_id and text; `redacted` keeps all.
 """
 
 from __future__ import annotations
@@ -29,16 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import bounded, first_rows, mix, small, starts_of
+from quillspan.llm.arrays import bounded, mix, small, starts_of, written
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS_RUN, _HEX_RUN = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-SAMPLE, STEPS, RATE, DIMS = 1000, 50, 0.5, 1 << 12
-#: A value that the field adds has this many characters at least.
-LEAST = 12
+SAMPLE, STRETCH, STEPS, RATE, DIMS = 1000, 240, 60, 0.5, 1 << 13
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 key character or letter, 2 by itself
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", *range(128, 256)]] = 1
@@ -136,33 +143,43 @@ class Field:
         return out
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = RATE) -> Field:
-        """Gradient steps (AdaGrad) on the likelihood of the (features, tags), all sequences at once, padded."""
-        most = max(len(t) for _, t in sequences)
-        n = len(sequences)
-        mask = np.zeros((n, most), bool)
-        tags = np.zeros((n, most), np.int64)
-        feats = np.zeros((n, most, sequences[0][0].shape[1]), np.int64)
-        for i, (f, t) in enumerate(sequences):
-            mask[i, : len(t)], tags[i, : len(t)], feats[i, : len(t)] = True, t, f
-        gold = np.eye(3)[tags] * mask[:, :, None]
-        pair_gold = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+        """Gradient steps (AdaGrad) on the likelihood of the (features, tags), all sequences at once, the longest first."""
+        sequences = sorted(sequences, key=lambda s: -len(s[1]))
+        size = np.array([len(t) for _, t in sequences])
+        n, most = len(sequences), int(size[0])
+        own = [int((size > t).sum()) for t in range(most)]  # sequences that have a token t: these come first
+        first = starts_of(size)
+        # Tokens by place, so that the tokens of one place are neighbours.
+        order = np.concatenate([first[:k] + t for t, k in enumerate(own)])
+        feats = np.concatenate([f for f, _ in sequences])[order].T.copy()
+        tags = np.concatenate([t for _, t in sequences])[order]
+        begin = np.append(0, np.cumsum(own))
+        at = [slice(begin[t], begin[t + 1]) for t in range(most)]
+        gold = np.eye(3)[tags]
+        pair_gold = sum((gold[at[t]][: own[t + 1]].T @ gold[at[t + 1]] for t in range(most - 1)), np.zeros((3, 3)))
         squares = [np.full_like(x, 1e-2) for x in (self.emit, self.move, self.begin)]
         for _ in range(steps):
-            e = sum(self.emit[feats[:, :, k]] for k in range(feats.shape[2]))
-            alpha, beta = np.zeros((n, most, 3)), np.zeros((n, most, 3))
-            alpha[:, 0] = e[:, 0] + self.begin
-            for t in range(1, most):
-                alpha[:, t] = np.where(mask[:, t, None], np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.move, axis=1) + e[:, t], alpha[:, t - 1])
+            e = np.zeros((len(tags), 3))
+            for column in feats:
+                e += self.emit[column]
+            e = np.exp(e - e.max(axis=1, keepdims=True))
+            move, start = np.exp(self.move), np.exp(self.begin)
+            # Forward and backward in probabilities, scaled at each place.
+            alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((len(tags), 1))
+            for t in range(most):
+                a = (start if t == 0 else alpha[at[t - 1]][: own[t]] @ move) * e[at[t]]
+                scale[at[t]] = a.sum(axis=1, keepdims=True)
+                alpha[at[t]] = a / scale[at[t]]
+            pair = np.zeros((3, 3))
             for t in range(most - 2, -1, -1):
-                beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(self.move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
-            total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-            pair = np.exp(alpha[:, :-1, :, None] + self.move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
-            d = (gold - p) / n
-            grads = [np.zeros_like(self.emit), (pair_gold - pair.sum(axis=(0, 1))) / n, d[:, 0].sum(axis=0)]
-            for k in range(feats.shape[2]):
-                for tag in range(3):
-                    grads[0][:, tag] += np.bincount(feats[:, :, k][mask], weights=d[:, :, tag][mask], minlength=DIMS)
+                after = e[at[t + 1]] * beta[at[t + 1]] / scale[at[t + 1]]
+                k = own[t + 1]
+                beta[at[t]][:k] = after @ move.T
+                pair += alpha[at[t]][:k].T @ after
+            d = (gold - alpha * beta) / n
+            grads = [np.empty_like(self.emit), (pair_gold - pair * move) / n, d[at[0]].sum(axis=0)]
+            for tag in range(3):
+                grads[0][:, tag] = np.bincount(feats.ravel(), weights=np.tile(d[:, tag], len(feats)), minlength=DIMS)
             grads[0] -= 1e-4 * self.emit
             for x, g, s in zip((self.emit, self.move, self.begin), grads, squares, strict=True):
                 s += g * g
@@ -183,53 +200,96 @@ class Field:
         return np.array(tags[::-1])
 
     def decode(self, features: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Tags of all tokens: Viterbi per text, cut where a token is outside whatever its neighbours are."""
-        e = self.scores(features)
-        allowed = self.move[self.move > self.FORBIDDEN / 2]
-        slack = 2 * (max(allowed.max(), self.begin[:2].max()) - min(allowed.min(), self.begin[:2].min())) + 1e-9
-        sure = e[:, 0] - e[:, 1:].max(axis=1) > slack
-        tags = np.zeros(len(e), np.int64)
-        # Stretches between sure tokens, each with the sure ones beside it, so that the transitions there count.
+        """Tags of all tokens: Viterbi per text.
+
+        A token is outside on every best path if outside leads by more than three
+        transitions can differ (before it, after it, and after its successor) and
+        than begin lacks to inside at its successor: any path that tags it
+        otherwise is then improved by tagging it outside and, as outside is not
+        followed by inside, an inside successor begin.
+        """
+        return self.best_tags(self.scores(features), text)
+
+    def best_tags(self, e: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Viterbi per text over emission scores e (tokens, 3)."""
+        tags, n = np.zeros(len(e), np.int64), len(e)
+        allowed = np.append(self.move[self.move > self.FORBIDDEN / 2], self.begin[:2])
+        follows = np.append(text[1:] == text[:-1], False) if n else np.zeros(0, bool)
+        owed = np.zeros(n)
+        owed[:-1] = np.where(follows[:-1], np.maximum(0, e[1:, 2] - e[1:, 1]), 0)
+        sure = e[:, 0] - e[:, 1:].max(axis=1) > 3 * (allowed.max() - allowed.min()) + owed + 1e-9
         at = np.flatnonzero(~sure)
         if not len(at):
             return tags
-        for part in np.split(at, np.flatnonzero((np.diff(at) > 1) | (text[at[1:]] != text[at[:-1]])) + 1):
-            i, j = int(part[0]), int(part[-1]) + 1
-            left = int(i > 0 and text[i - 1] == text[i])
-            right = int(j < len(e) and text[j] == text[i])
-            own = e[i - left : j + right].copy()
-            if left:
-                own[0, 1:] = self.FORBIDDEN
-            if right:
-                own[-1, 1:] = self.FORBIDDEN
-            got = self.viterbi(own) if not left else self._from_outside(own)
-            tags[i:j] = got[left : left + j - i]
+        cut = np.flatnonzero((np.diff(at) > 1) | (text[at[1:]] != text[at[:-1]]))
+        begin, size = at[np.append(0, cut + 1)], np.diff(np.concatenate([[0], cut + 1, [len(at)]]))
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        last = begin + size - 1
+        # Beside a stretch lies an outside token of its text, or the text's edge.
+        left, right = (begin > 0) & follows[begin - 1], follows[last]
+        best = np.where(left[:, None], self.move[0], self.begin) + e[begin]
+        back: list[np.ndarray] = []
+        for k in range(1, int(size[0])):
+            own = int(np.searchsorted(-size, -k))  # stretches of more than k tokens come first
+            moves = best[:own, :, None] + self.move
+            back.append(moves.argmax(axis=1))
+            best[:own] = moves.max(axis=1) + e[begin[:own] + k]
+        tag = (best + np.where(right[:, None], self.move[:, 0], 0)).argmax(axis=1)
+        for k in range(int(size[0]) - 1, 0, -1):
+            own = len(back[k - 1])
+            tags[begin[:own] + k] = tag[:own]
+            tag[:own] = back[k - 1][np.arange(own), tag[:own]]
+        tags[begin] = tag
         return tags
 
-    def _from_outside(self, e: np.ndarray) -> np.ndarray:
-        kept = self.begin.copy()
-        self.begin[:] = [0, self.FORBIDDEN, self.FORBIDDEN]
-        try:
-            return self.viterbi(e)
-        finally:
-            self.begin[:] = kept
 
-
-def _training_secrets(rng: np.random.Generator, count: int) -> list[tuple[str, str]]:
-    """Wordings (before, value) that the field should also know."""
-    keys = ["password", "passwd", "pwd", "pass phrase", "secret", "client secret", "token", "access token", "auth token", "bearer", "api key", "private key", "credential", "login key"]
-    joins = [" = ", "=", ": ", " is ", " ", " := ", " -> "]
-    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]
-    out = []
-    for _ in range(count):
-        chars = sets[rng.integers(len(sets))]
-        value = "".join(chars[k] for k in rng.integers(len(chars), size=rng.integers(14, 44)))
-        out.append((keys[rng.integers(len(keys))] + joins[rng.integers(len(joins))], value))
-    return out
-
-
-def training_sequences(texts: list[str], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Stretches of the texts with tags: around pattern values, around added secrets, and plain ones."""
+_HEX, _CAPITALS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _random(rng: np.random.Generator, chars: str, low: int, high: int) -> str:
+    return "".join(chars[k] for k in rng.integers(len(chars), size=rng.integers(low, high + 1)))
+
+
+def _training_secrets(rng: np.random.Generator) -> tuple[str, str, str]:
+    """(before, value, after) of a secret in a wording that the field should also know."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    key = pick(["password", "passwd", "pwd", "passphrase", "pass phrase", "secret", "client secret", "shared secret", "token", "access token", "auth token", "refresh token", "bearer", "Authorization: Bearer", "api key", "private key", "signing key", "credential", "credentials", "login", "login key", "passcode", "auth"])
+    kind = rng.integers(8)
+    if kind == 0:
+        value = _random(rng, _HEX, 16, 31)
+    elif kind == 1:
+        value = pick(["ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "key-", "tok_"]) + _random(rng, _ALPHANUMERIC, 12, 40)
+    elif kind == 2:
+        value = _random(rng, _ALPHANUMERIC + "+/", 20, 60) + pick(["", "=", "=="])
+    elif kind == 3:
+        value = ".".join(_random(rng, _ALPHANUMERIC + "_-", 10, 30) for _ in range(3))
+    elif kind == 4:
+        value = "-".join(_random(rng, pick([_HEX, _CAPITALS]), 4, 8) for _ in range(rng.integers(3, 6)))
+    elif kind == 5:
+        value = _random(rng, _ALPHANUMERIC, 5, 9) + pick("!#$%&*?@") + _random(rng, _ALPHANUMERIC, 2, 6)
+    else:
+        value = _random(rng, pick([_CAPITALS, _ALPHANUMERIC, _ALPHANUMERIC + "_-"]), 10, 40)
+    if rng.random() < 0.15:
+        return f"{pick(['use', 'with', 'enter', 'try'])} ", value, f" as {pick(['the', 'your', 'our'])} {key}"
+    lead = pick(["", "", "the ", "The ", "my ", "your ", "new ", "old "])
+    return lead + key + pick([" = ", "=", ": ", ":", " is ", " is: ", " was ", " ", " := ", " -> ", " => ", " (", " set to "]) + pick(["", "", "", '"', "'", "`"]), value, pick(["", "", "", ".", ",", '"', "'", ")", ";"])
+
+
+def _decoys(rng: np.random.Generator, words: list[str]) -> str:
+    """What looks a little like a secret and is none: key words in prose, numbers, dates, names, paths, versions."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    word, other, n = pick(words), pick(words), int(rng.integers(1, 10**9))
+    return pick([
+        f"the secret {word} {other}", f"a token of {word}", f"password is {word}", f"the key {word} of {other}", f"forgot the password: {word} {other}", f"login as {word}", f"api key for {word}",
+        f"order {n}", f"id {n}", f"call +49 {n % 1000} {n}", f"{n % 31 + 1}.{n % 12 + 1}.20{n % 90 + 10}", f"20{n % 90 + 10}-{n % 12 + 1:02d}-{n % 28 + 1:02d}T{n % 24:02d}:{n % 60:02d}:00Z", f"version {n % 20}.{n % 7}.{n % 13}",
+        f"https://www.{word}.com/{other}/{n}", f"{word}.{other}@{pick(words)}.org", f"/usr/{word}/{other}{n % 100}.txt", f"{word.capitalize()}{other.capitalize()}", f"{word}_{other}_{n % 100}", f"{word.upper()}-{n % 1000}", f"${n % 100_000}.{n % 100:02d}", f"{n % 100}x{n % 50} {word}", f"ISBN 978-{n % 10}-{n % 10_000:04d}-{n % 9999:04d}-{n % 10}",
+    ])
+
+
+def training_sequences(stretches: list[tuple[str, list[tuple[int, int]]]], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, tags) of stretches of texts with their values' places; those without any also with an added secret or decoy."""
     rng = np.random.default_rng(seed)
     made, spans = [], []
 
@@ -237,24 +297,19 @@ def training_sequences(texts: list[str], seed: int = 11) -> list[tuple[np.ndarra
         made.append(text.encode("utf-8", "replace"))
         spans.append([(len(text[:a].encode("utf-8", "replace")), len(text[:b].encode("utf-8", "replace"))) for a, b in marks])
 
-    added = _training_secrets(rng, len(texts))
-    for t, (before, value) in zip(texts, added, strict=True):
-        raw = t.encode("utf-8", "replace")
-        found = base_spans(t, raw)
-        at = int(rng.integers(0, max(1, len(t) - 200))) if not found else max(0, found[0][0] - 90)
-        piece = t[at : at + 200]
-        marks = []
-        for a, b, kind in found:
-            if kind == "assign":
-                m = _ASSIGN.match(t, a)
-                a, b = m.span(2)
-            if at <= a and b <= at + len(piece):
-                marks.append((a - at, b - at))
-        add(piece, marks)
-        if not found:
-            cut = int(rng.integers(0, len(piece) + 1))
-            head = piece[:cut].rsplit(" ", 1)[0] + " " + before
-            add(f"{head}{value} {piece[cut:]}", [(len(head), len(head) + len(value))])
+    words = sorted({w.strip(".,!?") for t, _ in stretches for w in t.split(" ")[1:-1] if w.strip(".,!?").isalpha()}) or ["word"]
+    for text, marks in stretches:
+        add(text, marks)
+        if marks:
+            continue
+        cut = int(rng.integers(0, len(text) + 1))
+        head, tail = text[:cut].rpartition(" ")[0], text[cut:].partition(" ")[2]
+        if rng.random() < 0.6:
+            before, value, after = _training_secrets(rng)
+            head = f"{head} {before}" if head else before
+            add(f"{head}{value}{after} {tail}", [(len(head), len(head) + len(value))])
+        else:
+            add(f"{head} {_decoys(rng, words)} {tail}", [])
     tokens, out = Tokens(made), []
     bounds = np.searchsorted(tokens.text, np.arange(len(made) + 1))
     for k, marks in enumerate(spans):
@@ -267,23 +322,46 @@ def training_sequences(texts: list[str], seed: int = 11) -> list[tuple[np.ndarra
             mine = np.flatnonzero((start >= a) & (start < b))
             tags[mine] = 2
             tags[mine[:1]] = 1
-        out.append((tokens.features[i:j][:96], tags[:96]))
+        out.append((tokens.features[i:j], tags))
     return out
 
 
+def stretch_of(text: str, h: int, size: int = STRETCH) -> tuple[str, list[tuple[int, int]]]:
+    """A stretch of a text at a place drawn by h, and the places of the patterns' values in it; around a value where the text has any."""
+    found = []
+    for a, b, kind in base_spans(text, text.encode("utf-8", "surrogatepass")):
+        found.append(_ASSIGN.match(text, a).span(2) if kind == "assign" else (a, b))
+    if found:
+        a, b = found[h % len(found)]
+        size = max(size, b - a + 120)
+        at = max(0, a - (h // 7) % (size - (b - a)))
+    else:
+        at = h % max(1, len(text) - size + 1)
+    return text[at : at + size], [(a - at, b - at) for a, b in found if at <= a and b <= at + size]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from docs(text). Half the sample has pattern words, half is any text; 4,000 characters around the first word come to the driver."""
+    """A field from docs(text). One pass finds which texts to learn from, a second one fetches their stretches."""
     words = r"(?i)(password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12})"
-    rows = bounded(docs).where("text is not null").select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(words).alias("hit"))
-    place = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(words)) - 500)
-    rows = rows.select("h", "hit", F.substring(F.col("text"), place, F.lit(4000)).alias("text"))
-    found = [r for hit in (True, False) for r in sorted(first_rows(rows.where(F.col("hit") == hit), "h", sample // 2).dropDuplicates(["h"]).collect(), key=lambda r: r.h)]
-    sequences = training_sequences([r.text for r in found] or ["a b c"])
-    return Field().fit(sequences or [(np.zeros((1, 9), np.int64), np.zeros(1, np.int64))])
+    rows = bounded(docs).where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    narrow = written(rows.select("h", F.col("text").rlike(words).alias("hit")))
+    chosen = [r.h for hit in (True, False) for r in narrow.where(F.col("hit") == hit).select("h").distinct().orderBy("h").limit(sample // 2).collect()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [stretch_of(t, h & 0x7FFFFFFFFFFFFFFF) for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist(), strict=True)]
+            marks = [[x for pair in m for x in pair] for _, m in found]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([t for t, _ in found], pa.string()), pa.array(marks, pa.list_(pa.int32()))], names=["h", "text", "marks"])
+
+    # Of equal texts all rows give the same stretch: one stays.
+    got = rows.where(F.col("h").isin(chosen)).mapInArrow(cut, "h long, text string, marks array<int>").groupBy("h").agg(F.min(F.struct("text", "marks")).alias("s")).collect() if chosen else []
+    stretches = [(r.s.text, list(zip(r.s.marks[::2], r.s.marks[1::2], strict=True))) for r in sorted(got, key=lambda r: r.h)]
+    sequences = training_sequences(stretches or [("a b c", [])])
+    return Field().fit(sequences)
 
 
 def added_spans(field: Field, texts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Byte spans in each text that the field tags, of `LEAST` characters or more, with letters and digits."""
+    """Byte spans in each text that the field tags."""
     tokens = Tokens(texts)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not len(tokens.start):
@@ -294,10 +372,8 @@ def added_spans(field: Field, texts: list[bytes]) -> list[list[tuple[int, int]]]
         j = i
         while j + 1 < len(tags) and tags[j + 1] == 2 and tokens.text[j + 1] == tokens.text[i]:
             j += 1
-        a, b, k = int(tokens.start[i]), int(tokens.end[j]), int(tokens.text[i])
-        value = tokens.buf[a:b]
-        if b - a >= LEAST and (_TYPE[value] == 3).any() and np.isin(_TYPE[value], (1, 2)).any() and not (value >= 128).any() and (_KIND[value] > 0).all():
-            out[k].append((a - int(tokens.at[k]), b - int(tokens.at[k])))
+        k = int(tokens.text[i])
+        out[k].append((int(tokens.start[i]) - int(tokens.at[k]), int(tokens.end[j]) - int(tokens.at[k])))
     return out
 
 

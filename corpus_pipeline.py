@@ -4,6 +4,13 @@ Language identification drops what has no language; the Jaccard join keeps one
 row of each class of near copies; the secret scan blanks secrets out; mixing
 takes the sources to their target weights, which may repeat a document; packing
 lays the rest out in sequences. Each stage reads what the one before it wrote.
+
+Null and empty texts are dropped by the first stage, so the others see none in
+run(); by itself each takes them as its operator does. Very long texts go through
+whole. Repeated rows and repeated or null ids are rows of their own until the
+second stage, which keeps one row of a class; classes tie by id, then by text.
+Columns beside those of documents are kept up to the fourth stage, whatever their
+names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import jaccard_join, language_id, mixing, packing, secret_scan
-from quillspan.llm.arrays import shared_dir, sized, table, written
+from quillspan.llm.arrays import for_long_texts, shared_dir, sized, table, written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is null or has no letters (`und`)."""
+    for_long_texts(spark)
     found = language_id.identified(docs, language_id.train(docs))
     return found.where("lang_pred <> 'und'").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class: of its smallest id (null last), then set digest, text and other columns. Rows without words are all kept."""
+    for_long_texts(spark)
     classes = jaccard_join.near_copies(docs).where("root is not null").groupBy("root", "doc_id", "sid", "text_id").count()
     classes = written(classes)
     best = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "sid", "text_id", "count")).alias("best")
@@ -43,17 +52,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret found by a mark."""
+    for_long_texts(spark)
     return secret_scan.redacted(docs).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix holds it (0 to 3 times)."""
+    for_long_texts(spark)
     mixed = mixing.mixed(docs).where("mix_copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in the sequences; a repeated document is packed as often as it is there."""
+    for_long_texts(spark)
     return packing.packed(docs)
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: Rows and bytes up to which a table is sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
@@ -108,7 +109,7 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(k) * _STEP)
+    out = np.full(n, k, np.uint64) * _STEP
     for j in range(k):
         out = (out + hashes[j : j + n]) * (_STEP + np.uint64(2 * j))
     return mix(out)
@@ -126,18 +127,19 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-#: Rows that go to a Python worker at once.
+#: Rows that go to a Python worker at once, where queries ask for it.
 ARROW_ROWS = 1024
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """The same rows; from now on Spark hands Python workers of this session at most `ARROW_ROWS` rows at a time.
+def for_long_texts(spark: SparkSession) -> None:
+    """Sets this session to hand Python workers at most `ARROW_ROWS` rows at a time.
 
-    Texts are long: Spark's 10,000 rows a batch would be held several times, in
-    the executor and in each of its workers.
+    Spark's 10,000 rows a batch of long texts would be held several times, in the
+    executor and in each of its workers. The registered queries and the pipeline's
+    stages call this; operators leave the session as it is, and no result depends
+    on it.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,11 +147,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir(spark)
-
-
-def _own_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode; on a cluster that is an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quillspan-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -161,10 +165,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, row_bytes: str | None = None) -> DataFrame:
-    """Marked for broadcast if its counted rows and bytes are within the bounds above, else as it is."""
-    size = F.coalesce(F.sum(F.expr(row_bytes)), F.lit(0)) if row_bytes else F.lit(0)
-    rows, size = df.agg(F.count(F.lit(1)), size).first()
+def _bytes_of(name: str, kind: DataType) -> str:
+    """SQL for about how many bytes a column's value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return f"coalesce(octet_length({name}), 0) + 16"
+    if isinstance(kind, StructType):
+        return " + ".join(["8", *(_bytes_of(f"{name}.`{f.name}`", f.dataType) for f in kind)])
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, MapType, StructType)):
+        return f"16 + 8 * coalesce(size({name}), 0)"
+    if isinstance(kind, (ArrayType, MapType)):
+        return f"coalesce(octet_length(to_json({name})), 0) + 16"
+    return "8"
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows and bytes, both counted, are within the bounds above, else as it is."""
+    row = " + ".join(["16", *(_bytes_of(f"`{f.name}`", f.dataType) for f in df.schema)])
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(f"cast({row} as bigint)")), F.lit(0))).first()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm.arrays import table
+from quillspan.llm.arrays import for_long_texts, table
 from quillspan.llm.co_training import judged
 from quillspan.llm.html_blocks import extracted
 from quillspan.llm.jaccard_join import near_copies
@@ -38,32 +38,37 @@ k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n F
 SELECT w.doc_id, coalesce(len(l), 0) AS n_words, coalesce(len(l), 0) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    for_long_texts(spark)
+    return table(spark, sf_dir, name)
+
+
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged(_texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(_texts(spark, sf_dir, "pages"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(_texts(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(table(spark, sf_dir, "documents"))
+    return languages(_texts(spark, sf_dir))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"))
+    return scanned(_texts(spark, sf_dir))
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_digest(table(spark, sf_dir, "documents"))
+    return mix_digest(_texts(spark, sf_dir))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents")).drop("n_links", "sid", "root", "text_id")
+    return near_copies(_texts(spark, sf_dir)).drop("n_links", "sid", "root", "text_id")
 
 
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +76,11 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(table(spark, sf_dir, "documents"))
+    return stored(_texts(spark, sf_dir))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(_texts(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, bounded, mix, pieces, sized, small, starts_of, written
+from quillspan.llm.arrays import Words, as_bytes, mix, pieces, sized, small, starts_of, written
 
 LABELLED, POOL, ROUNDS, GROW, PLACES, META = 12_000, 3000, 3, 0.06, 1 << 17, 1 << 11
 
@@ -215,7 +215,7 @@ def _known(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], labelled: int = LABELLED, pool: int = POOL) -> dict[str, CoTrained]:
     """A model for each label column of labels(doc_id, ...)."""
-    docs = _known(bounded(docs))
+    docs = _known(docs)
     h = F.xxhash64("doc_id")
     y = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.min(t).alias(t) for t in targets])
     ids = docs.where("doc_id is not null").select("doc_id").distinct()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import bounded, first_rows, small
+from quillspan.llm.arrays import first_rows, small
 
 #: Fixed values of the HTML standard: elements that do not break a block, elements without an end, and elements whose content is not text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -361,7 +361,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
             found = [w for page in b.column("html").to_pylist() for w in [w for t, _ in blocks(page) for w in t.split(" ")[:12]][:40]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
-    some = first_rows(bounded(pages).where("html is not null").select("html", F.xxhash64("html").alias("h")), "h", sample).dropDuplicates(["h"])
+    some = first_rows(pages.where("html is not null").select("html", F.xxhash64("html").alias("h")), "h", sample).dropDuplicates(["h"])
     vocabulary = sorted(r.word for r in some.select("html").mapInArrow(words, "word string").collect())
     return Labeller().fit([(vectors(p), y) for p, y in training_pages([w for w in vocabulary if not set(w) & set("<>&\u0001")])])
 

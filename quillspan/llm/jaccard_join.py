@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import as_bytes, bounded, connected, mix, pieces, shingle_sets, sized, small, written
+from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, small, written
 
 #: Shingles seen in this many of the documents that a task counts together (so many values or more) are reported as common; so many of them are kept for ordering.
 COMMON_IN_TASK, COUNTED, COMMON_KEPT = 3, 1 << 20, 1 << 16
@@ -296,7 +296,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     the set's digest, root one of its class (both null for the empty set), text_id
     xxhash64 of the text.
     """
-    found = written(_sets(bounded(docs)))
+    found = written(_sets(docs))
     sets = found.where("common is null").select("doc_id", "n", "sid", "text_id")
     top = found.where("common is not null").groupBy("common").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toArrow()
     common = top.column("common").to_numpy().view(np.uint64)

@@ -7,13 +7,16 @@ approximation keeps `landmarks` training texts: with K between texts and
 landmarks and M among the landmarks, one-versus-rest kernel ridge regression
 solves (K'K + ridge * M) a = K'Y. Scoring is two matrix products a batch.
 
-Training reads a bounded sample (`per_language` rows of each known language, the
-first by a hash of doc_id), only from rows with a language whose crc32(doc_id)
-mod 3 is not 1. Every text is scored whole.
+Training reads a bounded sample (`per_language` distinct rows of each known
+language, the first by a hash of doc_id and text), only from rows with a language
+whose crc32(doc_id) mod 3 is not 1. Every text is scored whole.
 
 A null text or one without letters is `und` with score 0, as is every text where
 there is nothing to learn from. Rows with a null doc_id are scored, never learned
-from; their held_out is false. Equal texts get equal predictions.
+from; their held_out is false. Equal texts get equal predictions, repeated rows
+count once in training. Very long texts are scored by the presence of their n-grams
+like others, a few texts at a time. An empty table gives no rows. `identified`
+keeps all other columns but those named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import bounded, mix, sized, small, written
+from quillspan.llm.arrays import mix, sized, small, written
 
 DIMS, MOST_N, PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 1 << 14, 4, 500, 160, 0.05, 8.0
 _letter = regex.compile(r"\p{L}").search
@@ -102,26 +105,32 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts, out = b.column("text").to_pylist(), []
         for i, j in _blocks(len(texts)):
             out += [x.tobytes() for x in np.packbits(_presence([t or "" for t in texts[i:j]]).astype(bool), axis=1)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.binary())], names=["doc_id", "lang", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(out, pa.binary())], names=["h", "lang", "bits"])
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | None:
     """A model from docs(doc_id, text, lang); None where no row may be learned from. Only presence bits of the sample come to the driver."""
-    known = bounded(docs).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = written(known.select("doc_id", "lang").withColumn("k", first).where(F.col("k") <= per_language).select("doc_id").distinct())
-    rows = known.select("doc_id", "text", "lang").join(sized(chosen), "doc_id", "left_semi").mapInArrow(_fingerprints, "doc_id long, lang string, bits binary").collect()
-    rows.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id, r.lang, bytes(r.bits)))
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id"))
+    known = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    # Each language's share of its distinct rows that gives half as many again as wanted, by a threshold for the hash; no group of rows meets.
+    counts = written(known.select("lang", "h").distinct().groupBy("lang").count())
+    rate = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("count"))
+    place = (F.col("h") + F.lit(0.5)) / float(1 << 64) + F.lit(0.5)
+    chosen = known.join(sized(counts), "lang").where(place < rate).groupBy("h", "lang").agg(F.min("text").alias("text"))
+    rows = sorted(chosen.mapInArrow(_fingerprints, "h long, lang string, bits binary").collect(), key=lambda r: (r.h, r.lang))
+    seen: dict[str, int] = {}
+    kept = []
+    for r in rows:
+        seen[r.lang] = seen.get(r.lang, 0) + 1
+        if seen[r.lang] <= per_language:
+            kept.append(r)
+    rows = sorted(kept, key=lambda r: (int(mix(np.array([r.h]).view(np.uint64))[0]), r.lang))
     if not rows:
         return None
     packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1)
     return KernelModel.fit(packed, [r.lang for r in rows])
 
 
-def hash_of(doc_id: int) -> int:
-    return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0])
-
-
 def identified(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """docs(doc_id, text, ...) with lang_pred and score."""
 

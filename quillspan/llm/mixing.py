@@ -102,7 +102,7 @@ def _rates(sizes: DataFrame, sources: DataFrame, most: float) -> DataFrame:
 
 def _same_source(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Joined on source, null being equal to null."""
-    named = sized(right.withColumnRenamed("source", "mix_own"), "coalesce(octet_length(mix_own), 0) + 32")
+    named = sized(right.withColumnRenamed("source", "mix_own"))
     return left.join(named, left["source"].eqNullSafe(named["mix_own"]), how).drop("mix_own")
 
 
@@ -112,13 +112,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
     if twice.isEmpty():
         return docs.withColumn("mix_number", F.lit(0).cast("long"))
     # The part of the table that a row lies in is kept with it: counts of parts, then places within a part.
-    again = written(docs.join(sized(twice, "8"), "mix_row", "left_semi").withColumn("mix_part", F.spark_partition_id()))
+    again = written(docs.join(sized(twice), "mix_row", "left_semi").withColumn("mix_part", F.spark_partition_id()))
     w = Window.partitionBy("mix_row").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = again.groupBy("mix_row", "mix_part").agg(F.count(F.lit(1)).alias("n")).select("mix_row", "mix_part", (F.sum("n").over(w) - F.col("n")).alias("mix_before"))
     place = F.row_number().over(Window.partitionBy("mix_row", "mix_part").orderBy("mix_size", "source"))
-    again = again.withColumn("mix_place", place).join(sized(written(parts), "24"), ["mix_row", "mix_part"])
+    again = again.withColumn("mix_place", place).join(sized(written(parts)), ["mix_row", "mix_part"])
     again = again.withColumn("mix_number", F.col("mix_before") + F.col("mix_place"))
-    once = docs.join(sized(twice, "8"), "mix_row", "left_anti").withColumn("mix_number", F.lit(0).cast("long"))
+    once = docs.join(sized(twice), "mix_row", "left_anti").withColumn("mix_number", F.lit(0).cast("long"))
     return once.unionByName(again.select(once.columns))
 
 
@@ -156,11 +156,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     # A null source cannot be a window or join key of its own without care, so it gets a flag beside it.
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
     ranked = ranked.withColumn("source", key)
-    row = "octet_length(source.name) + 48"
     base = ranked.groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("taken0"), F.first("target").alias("target"))
     cells = ranked.where("x is not null").groupBy("source", _cell(F.col("x"), F.lit(0.0), F.lit(1.0)).alias("cell")).agg(F.sum("size").alias("words"))
-    first = written(_crossing(cells.join(sized(base, row), "source")).join(base.select("source", "target"), "source"))
-    inner = ranked.select("source", "size", "x").join(sized(first, row), "source").where(_cell(F.col("x"), F.lit(0.0), F.lit(1.0)) == F.col("cell"))
+    first = written(_crossing(cells.join(sized(base), "source")).join(base.select("source", "target"), "source"))
+    inner = ranked.select("source", "size", "x").join(sized(first), "source").where(_cell(F.col("x"), F.lit(0.0), F.lit(1.0)) == F.col("cell"))
     fine = _cell(F.col("x"), F.col("cell") / GRID, F.lit(1.0 / GRID))
     inner = inner.select("source", "size", "x", "target", F.col("before").alias("taken0"), fine.alias("cell"))
     second = _crossing(inner.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("taken0").alias("taken0"), F.first("target").alias("target")))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import bounded, mix, small, starts_of, written
+from quillspan.llm.arrays import mix, small, starts_of, written
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -343,7 +343,7 @@ def stretch_of(text: str, h: int, size: int = STRETCH) -> tuple[str, list[tuple[
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from docs(text). One pass finds which texts to learn from, a second one fetches their stretches."""
     words = r"(?i)(password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12})"
-    rows = bounded(docs).where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    rows = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
     narrow = written(rows.select("h", F.col("text").rlike(words).alias("hit")))
     chosen = [r.h for hit in (True, False) for r in narrow.where(F.col("hit") == hit).select("h").distinct().orderBy("h").limit(sample // 2).collect()]
 

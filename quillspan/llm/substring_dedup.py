@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, bounded, pieces, runs_of, sized, small, starts_of, written
+from quillspan.llm.arrays import Words, as_bytes, pieces, runs_of, sized, small, starts_of, written
 
 WINDOW, PERIOD, COVER = 13, 7, np.array([1, 2, 4])
 ANCHOR = WINDOW - PERIOD + 1
@@ -241,9 +241,9 @@ def _spans(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBat
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, marks): uint32 pairs of the first and last start of the windows to remove, for the texts that have any."""
-    docs = bounded(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     shared = written(_ask(docs, _anchors, least=False))
-    near = docs.join(sized(shared, "length(marks)"), ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "marks")
+    near = docs.join(sized(shared), ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "marks")
     return written(_ask(near, _windows, least=True))
 
 
@@ -273,5 +273,5 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    joined = docs.join(sized(marks, "length(marks)"), ["doc_id", "text_id"], "left").select("doc_id", "text", "marks")
+    joined = docs.join(sized(marks), ["doc_id", "text_id"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -52,4 +52,16 @@ def test_first_rows_and_size(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 10).alias("h"))
     assert sorted({x.h for x in first_rows(df, "h", 3).collect()}) == [0, 1, 2] and first_rows(df, "h", 3).count() == 30
     assert first_rows(df.limit(0), "h", 3).count() == 0
-    assert np.array_equal(sized(df, "8").count(), 100)
+    assert np.array_equal(sized(df).count(), 100)
+
+
+def test_bytes_decide_over_broadcasts(spark, monkeypatch):
+    import quillspan.llm.arrays as arrays
+
+    df = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 1000).alias("t"), F.struct(F.array(F.col("id")).alias("a")).alias("s"))
+    asked = []
+    monkeypatch.setattr(arrays.F, "broadcast", lambda x: asked.append(1) or x)
+    monkeypatch.setattr(arrays, "BROADCAST_BYTES", 110_000)
+    assert sized(df).count() == 100 and len(asked) == 1
+    monkeypatch.setattr(arrays, "BROADCAST_BYTES", 90_000)
+    assert sized(df).count() == 100 and len(asked) == 1

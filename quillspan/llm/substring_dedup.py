@@ -17,8 +17,11 @@ joined with it by a shuffle.
 
 Null and empty texts have no words. Rows with a null doc_id neither lose words
 nor make others lose them, since null is not smaller than anything. Rows with
-one doc_id are treated each by itself, equal rows alike. 64-bit values stand for
-windows.
+one doc_id are treated each by itself, equal rows alike. A phrase that one text
+repeats thousands of times is one value with many places. Very long texts are
+whole: their values leave in several batches. An empty table gives no rows.
+Columns beside doc_id and text are not read. 64-bit values stand for windows. The
+number of buckets follows the bytes of all texts, so that a bucket stays small.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ WINDOW, PERIOD, COVER = 13, 7, np.array([1, 2, 4])
 ANCHOR = WINDOW - PERIOD + 1
 #: Values of one batch of documents that go out together.
 ITEMS = 1 << 19
+#: Bytes of text whose values may meet in one bucket, which a task holds at once.
+BUCKET_BYTES = 64 << 20
 
 _SENT = "bucket int, uid long, kind int, hashes binary, at binary, docs binary, texts binary, counts binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -87,14 +92,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
 
 
-def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
+def _ask(docs: DataFrame, values: Callable, least: bool, buckets: int) -> DataFrame:
     """(doc_id, text_id, places): where docs(doc_id, text_id, text[, marks]) hold a value that matters.
 
     least: a value matters where a smaller doc_id also has it, and else where any
     other document has it.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 4096):
             texts, ids, tids = as_bytes(b.column("text")), b.column("doc_id").to_numpy(), b.column("text_id").to_numpy()
@@ -219,8 +222,8 @@ def _ask(docs: DataFrame, values: Callable, least: bool) -> DataFrame:
     sent = docs.mapInArrow(send, _SENT)
     replied = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, _SENT)
     found = replied.repartition("uid").sortWithinPartitions("uid").mapInArrow(read, "doc_id long, text_id long, places binary")
-    # A text's values may have left in several batches.
-    told_of = found.groupBy("doc_id", "text_id").agg(F.collect_list("places").alias("marks"))
+    # A text's values may have left in several batches; equal rows tell the same.
+    told_of = found.groupBy("doc_id", "text_id").agg(F.collect_set("places").alias("marks"))
     return told_of.mapInArrow(partial(_spans, gap=1 if least else PERIOD), "doc_id long, text_id long, marks binary")
 
 
@@ -242,9 +245,11 @@ def _spans(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBat
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, marks): uint32 pairs of the first and last start of the windows to remove, for the texts that have any."""
     docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    shared = written(_ask(docs, _anchors, least=False))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    shared = written(_ask(docs, _anchors, False, buckets))
     near = docs.join(sized(shared), ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "marks")
-    return written(_ask(near, _windows, least=True))
+    return written(_ask(near, _windows, True, buckets))
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from quillspan.llm.substring_dedup import deduplicated
 
 
@@ -58,3 +60,34 @@ def test_phrase_repeated_in_a_short_batch(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+@pytest.mark.parametrize("repeats,parts,batch", [(300, 1, 300), (700, 5, 255), (1000, 9, 1), (2500, 2, 256), (5000, 3, 37)])
+def test_repeats_over_layouts(spark, repeats, parts, batch):
+    """Phrases repeated hundreds to thousands of times, beside shared passages, whatever the parts and batches."""
+    r = random.Random(repeats)
+    words = [f"q{i}" for i in range(200)]
+    passages = [[r.choice(words) for _ in range(n)] for n in (13, 20, 60)]
+    rows = [(3, "a " * repeats), (9, "a " * (repeats // 2) + "b"), (2, "c " * 40), (7, "one two three " * (repeats // 3)), (6, "three one two " * (repeats // 4))]
+    for i in range(30):
+        text = [r.choice(words) for _ in range(30)]
+        text[r.randrange(30) : 0] = r.choice(passages)
+        rows.append((20 + i % 25, " ".join(text)))
+    rows += [rows[0]] * 3 + [(None, "a " * 30)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(batch))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((tuple(x) for x in deduplicated(df, with_text=True).collect()), key=str) == brute(rows)
+    finally:
+        spark.conf.set(key, kept)
+
+
+def test_small_buckets(spark, monkeypatch):
+    import quillspan.llm.substring_dedup as s
+
+    monkeypatch.setattr(s, "BUCKET_BYTES", 100)
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice("abcd") for _ in range(80))) for i in range(40)]
+    assert got(spark, rows) == brute(rows)

@@ -16,7 +16,9 @@ structure decides by rule.
 Null or empty html gives the empty text. Scripts, styles, comments and other
 elements without text are never blocks. Unclosed and stray tags are taken as
 browsers mostly do: a block-level start tag ends an open paragraph, a stray end
-tag is dropped. Rows with one page_id are extracted each by itself.
+tag is dropped. Rows with one page_id are extracted each by itself. A very long
+page goes through the network in stretches of `LONG` blocks that hand their state
+on. An empty table gives no rows. Columns beside page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
-DIMS, WIDTH, EPOCHS, RATE, PAGES, SAMPLE = 96, 20, 10, 0.015, 400, 200
+DIMS, WIDTH, EPOCHS, RATE, PAGES, SAMPLE = 160, 20, 12, 0.015, 640, 200
 _COUNTS = 8
+#: Blocks of a page that go through the network at once.
+LONG = 4096
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...]]]:
@@ -140,9 +144,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _paths[path]
 
 
-def vectors(page: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
-    """(blocks, DIMS + DIMS + counts): path, words (the mean over all of the block's), counts."""
-    n = len(page)
+def vectors(page: list[tuple[str, tuple[str, ...]]], before: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, DIMS + DIMS + counts): path, words (the mean over all of the block's), counts; of a page's blocks from `before` on, of `total`."""
+    n, total = len(page), len(page) if total is None else total
     out = np.zeros((n, 2 * DIMS + _COUNTS), np.float32)
     seen: dict[tuple[str, ...], int] = {}
     which = [seen.setdefault(path, len(seen)) for _, path in page]
@@ -157,8 +161,8 @@ def vectors(page: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
     out[:, 2 * DIMS] = np.minimum(count, 100) / 100
     out[:, 2 * DIMS + 1], out[:, 2 * DIMS + 2] = count < 4, count < 10
     out[:, 2 * DIMS + 3 : 2 * DIMS + 6] = flags
-    out[0, 2 * DIMS + 6] = 1
-    out[:, 2 * DIMS + 7] = np.arange(n) / n
+    out[0, 2 * DIMS + 6] = before == 0
+    out[:, 2 * DIMS + 7] = np.arange(before, before + n) / total
     return out
 
 
@@ -179,11 +183,11 @@ class Labeller:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 0.5 + 0.5 * np.tanh(0.5 * x)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
-        """Hidden states (batch, time, WIDTH) in one direction; masked steps carry the state on."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states (batch, time, WIDTH) in one direction, what gradients need, and the last state; masked steps carry the state on."""
         n, steps, _ = x.shape
         a_all = x @ self.p["x" + side] + self.p["c" + side]
-        h, c = np.zeros((n, WIDTH), x.dtype), np.zeros((n, WIDTH), x.dtype)
+        h, c = state or (np.zeros((n, WIDTH), x.dtype), np.zeros((n, WIDTH), x.dtype))
         out, saved = np.zeros((n, steps, WIDTH), x.dtype), []
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             a = a_all[:, t] + h @ self.p["h" + side]
@@ -196,7 +200,7 @@ class Labeller:
                 saved.append((t, h, c, i, f, o, g, th))
             c, h = np.where(m, c2, c), np.where(m, o * th, h)
             out[:, t] = h
-        return out, saved
+        return out, saved, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         f, b = self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]
@@ -231,23 +235,29 @@ class Labeller:
         pages = sorted(pages, key=lambda p: len(p[1]))
         groups = [pages[i : i + batch] for i in range(0, len(pages), batch)]
         rng, first, second, step = np.random.default_rng(5), {}, {}, 0
+        steps = epochs * len(groups)
         for _ in range(epochs):
             for k in rng.permutation(len(groups)):
                 x, mask, y = _padded([p[0] for p in groups[k]], [p[1] for p in groups[k]])
                 x[rng.random(len(x)) < 0.5, :, DIMS : 2 * DIMS] = 0  # words alone shall not decide
+                x[rng.random(len(x)) < 0.25, :, 2 * DIMS : 2 * DIMS + 6] = 0  # nor marks and lengths
                 _, g = self.gradients(x, mask, y)
                 step += 1
+                now = rate * (1.02 - step / steps)  # falls to almost nothing, so that the last steps settle
                 for name, v in g.items():
                     v = np.clip(v, -1, 1)
                     first[name] = 0.9 * first.get(name, 0) + 0.1 * v
                     second[name] = 0.999 * second.get(name, 0) + 0.001 * v * v
-                    self.p[name] -= (rate / (1 - 0.9**step)) * first[name] / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+                    self.p[name] -= (now / (1 - 0.9**step)) * first[name] / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
         return self
 
     def label(self, pages: list[list[tuple[str, tuple[str, ...]]]]) -> list[np.ndarray]:
         """Which blocks are main text, for each page. Pages of like length go through the network together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        for i, p in enumerate(pages):
+            if len(p) > LONG:
+                out[i] = self._label_long(p)
+        order = sorted((i for i, p in enumerate(pages) if 0 < len(p) <= LONG), key=lambda i: len(pages[i]))
         while order:
             most = max(1, 20_000 // max(1, len(pages[order[0]])))
             now, order = order[:most], order[most:]
@@ -260,6 +270,19 @@ class Labeller:
         return out
 
 
+    def _label_long(self, page: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
+        """One page of very many blocks, by stretches that hand their state on: only the hidden states of all blocks are held."""
+        z = np.full(len(page), self.p["bias"][0])
+        begins = list(range(0, len(page), LONG))
+        for side, w in (("f", self.p["out"][:WIDTH]), ("b", self.p["out"][WIDTH:])):
+            state = None
+            for at in begins if side == "f" else reversed(begins):
+                x = vectors(page[at : at + LONG], at, len(page))[None]
+                h, _, state = self._pass(x, np.ones(x.shape[:2], bool), side, False, state)
+                z[at : at + LONG] += h[0] @ w
+        return z > 0
+
+
 def _padded(xs: list[np.ndarray], ys: list[np.ndarray] | None):
     steps = max(len(x) for x in xs)
     x = np.zeros((len(xs), steps, xs[0].shape[1]), np.float32)
@@ -305,7 +328,7 @@ def training_pages(words: list[str], count: int = PAGES, seed: int = 23) -> list
         return f"<{name}{mark}>{inner}</{name}>"
 
     def part(name: str) -> str:
-        items = range(rng.integers(1, 7))
+        items = range(rng.integers(1, int(pick([7, 7, 14]))))
         if name == "menu":
             inner = "<ul>" + "".join(f'<li><a href="#">{some(1, 2)}</a></li>' for _ in items) + "</ul>" if rng.random() < 0.8 else " ".join(f"<a>{some(1, 2)}</a>" for _ in items)
         elif name == "footer":
@@ -320,6 +343,14 @@ def training_pages(words: list[str], count: int = PAGES, seed: int = 23) -> list
             inner = f"<p>{sentence(1, 25)}</p>" if rng.random() < 0.4 else sentence(1, 25)
         return element(PARTS[name], inner)
 
+    def odd() -> str:
+        """Lines that articles hold as footers do: licences, notes, numbers, lists, shouting."""
+        n = int(rng.integers(1, 10_000))
+        return pick([
+            f"Licensed under {some(1, 4)} {n % 9}.0.", f"This work is licensed under {some(2, 6)}, version {n % 4}.", f"{some(1, 2).upper()},!!", " | ".join(some(1, 1) for _ in range(n % 9 + 2)),
+            f"{n % 256}.{n % 99}.{n % 77}.{n % 200} {sentence(2, 8)}", f"{some(1, 3)} = \"{n}{n}\" {some(1, 8)}", some(1, 1), f"{n}", f"{some(1, 2)}: {n}", sentence(2, 4), f"{some(1, 1)}@{some(1, 1)}.org", " ".join([some(1, 1)] * (n % 20 + 2)),
+        ])
+
     out = []
     for _ in range(count):
         body = []
@@ -327,7 +358,11 @@ def training_pages(words: list[str], count: int = PAGES, seed: int = 23) -> list
             body.append(f"<h1>\u0001{some(1, 12)}</h1>")
         for _ in range(rng.integers(0, 14)):
             kind, text = rng.random(), sentence(1, int(pick([3, 12, 60, 200])), pick([".", "", "!", "!!"]))
-            if kind < 0.7:
+            if kind < 0.08:
+                body.append(f"<p>\u0001{odd()}</p>")
+            elif kind < 0.14:
+                body += [f"<p>\u0001{sentence(1, 5)}</p>"] * int(rng.integers(2, 12))
+            elif kind < 0.7:
                 body.append(f"<p>\u0001{text}" + "</p>" * int(rng.random() < 0.9))
             elif kind < 0.78:
                 body.append(f"<h{rng.integers(2, 5)}>\u0001{some(1, 6)}</h2>".replace("</h2>", ""))
@@ -345,7 +380,19 @@ def training_pages(words: list[str], count: int = PAGES, seed: int = 23) -> list
         before = [part(k) for k in ("header", "menu", "notice", "advert", "form", "side") if rng.random() < 0.45]
         after = [part(k) for k in ("side", "comment", "advert", "form", "menu", "notice") if rng.random() < 0.4] + [part("footer")] * int(rng.random() < 0.85)
         rng.shuffle(before)
-        main = element(ARTICLE, "".join(body))
+        if not any("\u0001" in b for b in body):
+            body.append(f"<p>\u0001{sentence(3, 60)}</p>")
+        style = rng.random()
+        if style < 0.14:  # no element of its own, or nothing else on the page
+            main = "".join(body) if rng.random() < 0.6 else f"<p>\u0001{sentence(3, 60)}</p>"
+        elif style < 0.22:  # a table of columns, or old centring
+            main = pick(["<table><tr><td>{}</td></tr></table>", "<table><tbody><tr><td><div>{}</div></td></tr></tbody></table>", "<center>{}</center>", "<div>{}</div>"]).format("".join(body))
+            if rng.random() < 0.5 and main.startswith("<table><tr>"):
+                main = main.replace("<td>", "<td>" + part(pick(["menu", "side"])) + "</td><td>", 1)
+        else:
+            main = element(ARTICLE, "".join(body))
+        if rng.random() < (0.5 if style < 0.14 else 0.06):
+            before, after = [], []
         if rng.random() < 0.3:
             main = f'<div class="{pick(["wrap", "container", "page", "row"])}">{main}</div>'
         found = blocks("<html><body>" + "".join(before) + main + "".join(after) + "</body></html>")
@@ -354,11 +401,12 @@ def training_pages(words: list[str], count: int = PAGES, seed: int = 23) -> list
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller; up to `sample` pages give 40 words each for the training layouts."""
+    """A labeller; up to `sample` pages give 40 words each for the training layouts, from places spread over the whole page."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [w for page in b.column("html").to_pylist() for w in [w for t, _ in blocks(page) for w in t.split(" ")[:12]][:40]]
+            each = [[w for t, _ in blocks(page) for w in t.split(" ")] for page in b.column("html").to_pylist()]
+            found = [w for e in each for w in e[:: max(1, -(-len(e) // 40))]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
     some = first_rows(pages.where("html is not null").select("html", F.xxhash64("html").alias("h")), "h", sample).dropDuplicates(["h"])

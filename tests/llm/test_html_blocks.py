@@ -66,6 +66,43 @@ def test_extraction(spark, labeller):
     assert out == sorted([(1, "u", main, len(main))] * 2 + [(2, None, "", 0), (3, "u", "", 0), (4, "u", long, len(long))], key=str)
 
 
+@pytest.mark.parametrize("page,main", [
+    ("<p>One paragraph alone on its page, with nothing else beside it.</p>", "One paragraph alone on its page, with nothing else beside it."),
+    ("<table><tr><td>The first paragraph of this old page is in a cell.<p>A second one follows it, longer than the first, with more words.</p></td></tr></table>", "The first paragraph of this old page is in a cell. A second one follows it, longer than the first, with more words."),
+    ("<article><h1>Head</h1><p>Licensed under the Apache License, Version 2.0.</p><p>Plain prose comes after it here.</p><p>CHSCHA,!!</p></article><footer>Copyright 2020 someone</footer>", "Head Licensed under the Apache License, Version 2.0. Plain prose comes after it here. CHSCHA,!!"),
+    ("<nav><a>Home</a></nav><main><p>In short.</p><p>In short.</p><p>In short.</p><p>In short.</p></main><footer>&copy; us</footer>", "In short. In short. In short. In short."),
+    ('<div class="menu"><a>Home</a></div><div class="post"><h2>Title of it</h2>Text that stands bare in a division.<ul><li>one item</li><li>another item</li></ul></div><div class="sidebar"><li>Other</li></div>', "Title of it Text that stands bare in a division. one item another item"),
+])
+def test_odd_layouts(labeller, page, main):
+    found = blocks(page)
+    assert " ".join(t for (t, _), k in zip(found, labeller.label([found])[0], strict=True) if k) == main
+
+
+def test_long_pages_go_in_stretches(labeller, monkeypatch):
+    from quillspan.llm import html_blocks as h
+
+    page = [b for p, _ in training_pages(["alpha", "beta", "gamma"], 60, seed=5) for b in p]
+    whole = labeller.label([page])[0]
+    monkeypatch.setattr(h, "LONG", 37)
+    assert len(page) > 400 and (labeller.label([page])[0] == whole).all()
+
+
+def test_given_pages(spark):
+    """The test tables' pages, where they are: what stands in the article is kept, and nothing else."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    pages = [blocks(p or "") for p in pq.read_table(path).column("html").to_pylist()]
+    labeller = train(spark.read.parquet(path))
+    inside = [np.array([any(e.split(" ")[0] == "article" for e in path) for _, path in p], bool) for p in pages]
+    got = labeller.label(pages)
+    assert sum((g == y).all() for g, y in zip(got, inside, strict=True)) >= 0.98 * len(pages)
+
+
 def test_vectors_see_whole_blocks():
     opening = "one two three four five six seven eight "
     a, b = (vectors([(opening + "and so on " * 30 + end, ("div",))]) for end in ("alpha beta gamma.", "delta sigma omega 7."))

@@ -31,7 +31,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -586,38 +585,22 @@ def _write_code(w: _Writer, lengths: dict[int, int], symbols: int) -> dict[int,
     lengths = {s: max(1, n) for s, n in lengths.items()}
     if len(lengths) == 1:  # a single symbol that the simple form cannot name gets an unused neighbour
         lengths[0] = 1
-    each, out = [0] * symbols, []
-    for x, n in lengths.items():
-        each[x] = n
-    runs = [(n, len(list(run))) for n, run in groupby(each)]
-    for n, run in runs:
-        if n:
-            out.append((n, 0, 0))
-            run -= 1
-        while run:
-            if n and run >= 3:
-                k = min(run, 6)
-                out.append((16, k - 3, 2))
-            elif not n and run >= 11:
-                k = min(run, 138)
-                out.append((18, k - 11, 7))
-            elif not n and run >= 3:
-                k = min(run, 10)
-                out.append((17, k - 3, 3))
-            else:
-                k = 1
-                out.append((n, 0, 0))
-            run -= k
     w.bits(0, 1)
     w.bits(15, 4)
     w.values += _INNER_LENGTHS
     w.widths += [3] * 19
     w.bits(0, 1)
-    bits = _INNER
-    for s, extra, n in out:
-        w.bits(*bits[s])
-        if n:
-            w.bits(extra, n)
+    # What the code lengths are put down as: (a code of `_INNER` and its extra bits in one number, their widths).
+    out, at = [], 0
+    for s in sorted(lengths):
+        if s > at:
+            out += _zeros(s - at)
+        out.append(_INNER[lengths[s]])
+        at = s + 1
+    if at < symbols:
+        out += _zeros(symbols - at)
+    w.values += [x[0] for x in out]
+    w.widths += [x[1] for x in out]
     return _canonical(lengths)
 
 
@@ -626,6 +609,26 @@ _INNER_OF = {k: 5 if k in (0, 1, 2, 14, 15, 12) else 4 for k in range(19)}
 _INNER, _INNER_LENGTHS = _canonical(_INNER_OF), [_INNER_OF[k] for k in LENGTH_ORDER]
 
 
+@lru_cache(4096)
+def _zeros(run: int) -> tuple[tuple[int, int], ...]:
+    """So many symbols that are not there, in runs of up to 138."""
+    out = []
+    while run:
+        if run >= 11:
+            k = min(run, 138)
+            code, n = _INNER[18]
+            out.append((code | k - 11 << n, n + 7))
+        elif run >= 3:
+            k = run
+            code, n = _INNER[17]
+            out.append((code | k - 3 << n, n + 3))
+        else:
+            k = 1
+            out.append(_INNER[0])
+        run -= k
+    return tuple(out)
+
+
 def _prefix_codes(values: np.ndarray) -> np.ndarray:
     """(codes, extra, extra bits) of lengths or distances, a row each."""
     global _PREFIX_OF
@@ -905,6 +908,12 @@ GREY_COPY, COPY = 5, 3
 LONG = 24
 
 
+def _different(rows: np.ndarray) -> int:
+    """About how many different groups of four bytes there are, up to a few hundred."""
+    places = rows.view(np.uint32).ravel() * np.uint32(0x9E3779B1) >> np.uint32(20)
+    return int(np.count_nonzero(np.bincount(places, minlength=1)))
+
+
 def store(payload: bytes) -> bytes:
     """Images that hold the payload, whose length is a multiple of 64."""
     out = []
@@ -912,7 +921,7 @@ def store(payload: bytes) -> bytes:
         rows = np.frombuffer(payload[at : at + IMAGE], np.uint8).reshape(-1, ROW)
         counts = np.bincount(rows.ravel(), minlength=256)
         bits = float(_bits(counts))
-        if bits < TEXT_BITS * rows.size and len(np.unique(rows.view(np.uint32))) > min(256, rows.size // 16):
+        if bits < TEXT_BITS * rows.size and _different(rows) > min(256, rows.size // 16):
             grey = np.uint32(0xFF) + rows.astype(np.uint32) * np.uint32(0x01010100)
             out.append(encode(grey.view(np.uint8).reshape(*rows.shape, 4), references=GREY_COPY, **_best_grey(rows, counts, bits)))
         else:

@@ -1,26 +1,35 @@
 """Quality classifier by co-training of two views.
 
-One view is the text's content: which words it has (lower case, hashed). The
-other is what describes the page: its source, language and length, and the
-layout of its text (lines, marks, capitals, repetition), without any word. Each
-view has a logistic regression, fitted here. In every round both score a pool of
-unlabelled rows, and the rows a view is surest of (in the proportion of the
-labels) join, with its label, the rows that the *other* view learns from. Then
-each view is calibrated (a logistic fit of its score on labelled rows that were
-kept apart), and the calibrated views are combined by one more logistic fit.
-
-The fit reads bounded samples, the first rows by a hash of doc_id: `labelled`
-labelled rows, a fourth of which only calibrate, and a pool of `pool` rows. Only
-their features come to the driver. Every row is scored, on its whole text.
+One view is the text's content: which words it has (lower case, hashed), and how
+often it repeats words and pairs of words. The other is what describes the page:
+its source, language and length, and the layout of its text (lines, marks,
+capitals, digits), without any word. Each view has a logistic regression, fitted
+here. In every round both score all rows of the corpus that are not learned from,
+each task keeps its surest, and the rows a view is surest of (in the proportion of
+the labels, `grow` of the labelled rows at most) are offered, with its label, to
+the *other* view. It learns from them if that does not make it worse on labelled
+rows that were kept apart for this. Then each view is calibrated and the
+calibrated views are combined, by logistic fits on two further parts of the
+labelled rows.
+
+The fit reads a bounded sample of labelled rows, `labelled`, the first by a hash
+of doc_id: five eighths teach, one eighth each calibrates the offers, judges them,
+and calibrates and combines the views in the end. Features are computed once, from
+whole texts, and written; rounds and the last scoring read them. Only the features
+of labelled and exchanged rows come to the driver, one row for each text of a
+doc_id.
 
 Null texts score as empty ones. Labels that are null do not count; where labels
 of one doc_id differ the smallest is taken. Without labels of both kinds the
 score is the known share of 1 (0.5 without labels). Rows with a null or repeated
-doc_id are scored each by itself.
+doc_id are scored each by itself. Very long texts are rows like others. An empty
+table gives no rows. Columns beside doc_id, text, lang, source and n_chars are not
+read; of these, all but doc_id and text may be missing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.arrays import Words, as_bytes, mix, pieces, sized, small, starts_of, written
 
-LABELLED, POOL, ROUNDS, GROW, PLACES, META = 12_000, 3000, 3, 0.06, 1 << 17, 1 << 11
+LABELLED, ROUNDS, GROW, PLACES, META = 12_000, 3, 0.06, 1 << 17, 1 << 11
 
 
 #: Calibrated log odds from which a view is sure of a row (19 to 1), so that a view that knows nothing about a rare label tells nothing.
@@ -67,7 +76,18 @@ def _of(texts: list[bytes], lang: list, source: list, n_chars: list) -> tuple[Ro
     """The content and the metadata features of some rows."""
     words = Words(texts, lower=True)
     doc = np.repeat(np.arange(len(texts)), words.counts)
-    key = np.unique(doc * PLACES + (words.hashes % np.uint64(PLACES)).astype(np.int64))
+    key = np.unique(doc * PLACES + (words.hashes % np.uint64(PLACES - 64)).astype(np.int64))
+    distinct = np.bincount(key // PLACES, minlength=len(texts))
+    n = np.maximum(words.counts, 1)
+    pairs = np.zeros(len(texts), np.int64)
+    if len(words.hashes) > 1:
+        two = mix(words.hashes[:-1] * np.uint64(3) + words.hashes[1:])[doc[:-1] == doc[1:]]
+        pair_doc = doc[:-1][doc[:-1] == doc[1:]]
+        pairs = np.bincount(np.unique(pair_doc * PLACES + (two % np.uint64(PLACES)).astype(np.int64)) // PLACES, minlength=len(texts))
+    # The last places are for how much of the text repeats.
+    row = np.arange(len(texts)) * PLACES
+    repeats = [row + PLACES - 64 + 32 * k + np.clip((x / n * 24).astype(int), 0, 31) for k, x in enumerate((distinct, pairs))]
+    key = np.sort(np.concatenate([key, *repeats]))
     content = Rows(key % PLACES, np.bincount(key // PLACES, minlength=len(texts)))
 
     at = starts_of(np.array([len(t) + 1 for t in texts] + [0], np.int64))
@@ -77,26 +97,20 @@ def _of(texts: list[bytes], lang: list, source: list, n_chars: list) -> tuple[Ro
 
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     size = np.maximum(np.diff(at) - 1, 1)
-    n = np.maximum(words.counts, 1)
-    distinct = content.count
     upper, digit, mark, lines = (per_text(_CLASS[raw] == k) for k in (1, 2, 3, 4))
     lines = lines + 1
-    pairs = np.zeros(len(texts), np.int64)
-    if len(words.hashes) > 1:
-        two = mix(words.hashes[:-1] * np.uint64(3) + words.hashes[1:])[doc[:-1] == doc[1:]]
-        pair_doc = doc[:-1][doc[:-1] == doc[1:]]
-        pairs = np.bincount(np.unique(pair_doc * PLACES + (two % np.uint64(PLACES)).astype(np.int64)) // PLACES, minlength=len(texts))
     known = np.array([c if c is not None else s for c, s in zip(n_chars, size.tolist(), strict=True)], float)
-    shares = [upper / size, digit / size, mark / n, distinct / n, pairs / n, size / n / 20, lines / n, np.log2(np.maximum(known, 1)) / 20, np.log2(n) / 16, np.log2(lines) / 10]
+    shares = [upper / size, digit / size, mark / n, size / n / 20, lines / n, np.log2(np.maximum(known, 1)) / 20, np.log2(n) / 16, np.log2(lines) / 10]
     bins = np.stack([np.clip((s * 24).astype(int), 0, 31) + 32 * k for k, s in enumerate(shares)], axis=1)
-    crossed = (bins[:, 3] % 32) * 32 + bins[:, 4] % 32
-    named = [[512 + 1 + zl % 63, 640 + 1 + zs % 255] for zl, zs in zip(map(_name, lang), map(_name, source), strict=True)]
-    both = np.concatenate([bins, np.array(named, np.int64).reshape(len(texts), 2), (1024 + crossed)[:, None]], axis=1)
+    crossed = 256 + (bins[:, 0] % 32) // 4 * 32 + bins[:, 2] % 32
+    named = [[512 + _name(x) % 256, 1024 + _name(y) % 1024] for x, y in zip(lang, source, strict=True)]
+    both = np.concatenate([bins, crossed[:, None], np.array(named, np.int64).reshape(len(texts), 2)], axis=1)
     return content, Rows(both.ravel(), np.full(len(texts), both.shape[1]))
 
 
 def _name(value) -> int:
-    return int(mix(np.array([int.from_bytes(str(value).encode("utf-8", "replace")[-8:].ljust(8, b"\1"), "little")], np.uint64))[0] >> np.uint64(8))
+    """A number for a whole name; null has one of its own."""
+    return int.from_bytes(hashlib.blake2b(b"" if value is None else b"." + str(value).encode("utf-8", "replace"), digest_size=6).digest(), "little")
 
 
 class Logistic:
@@ -141,49 +155,74 @@ def _line(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
+def _joined(rows: list[Rows]) -> Rows:
+    return Rows(np.concatenate([r.place for r in rows]), np.concatenate([r.count for r in rows]))
+
+
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0.5, -z, z)).mean())
+
+
 class CoTrained:
-    """Both views, their calibrations and the combination; `score` gives (combined, content, metadata) probabilities."""
-
-    def __init__(self, share: float):
-        self.share, self.views = share, None
-
-    @staticmethod
-    def fit(views: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows], rounds: int = ROUNDS, grow: float = GROW) -> CoTrained:
-        out = CoTrained(float(y.mean()) if len(y) else 0.5)
-        held = np.arange(len(y)) % 4 == 3
-        if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-            return out
-        base = [v.take(np.flatnonzero(~held)) for v in views]
-        own_y, share = y[~held], y[~held].mean()
-        told: list[dict[int, float]] = [{}, {}]  # what each view was told about rows of the pool
-        models = [Logistic(PLACES), Logistic(META)]
-        for r in range(rounds + 1):
-            for k, m in enumerate(models):
-                rows = np.array(sorted(told[k]), np.int64)
-                extra = pool[k].take(rows)
-                x = Rows(np.concatenate([base[k].place, extra.place]), np.concatenate([base[k].count, extra.count]))
-                m.fit(x, np.concatenate([own_y, [told[k][i] for i in rows.tolist()]]), np.concatenate([np.ones(len(own_y)), np.full(len(rows), 0.5)]))
-            if r == rounds or not len(pool[0]):
-                break
-            for k, m in enumerate(models):
-                a, b = _line(m.score(views[k].take(np.flatnonzero(held)))[:, None], y[held])
-                z = a * m.score(pool[k]) + b
-                other = told[1 - k]
-                for label, part in ((1.0, share), (0.0, 1 - share)):
-                    sure = np.argsort(-z if label else z, kind="stable")
-                    sure = sure[(z[sure] > SURE) if label else (z[sure] < -SURE)]
-                    left = [i for i in sure.tolist() if i not in other][: max(1, round(grow * part * len(pool[0])))]
-                    other.update(dict.fromkeys(left, label))
-        z = [m.score(v.take(np.flatnonzero(held))) for m, v in zip(models, views, strict=True)]
-        lines = [_line(s[:, None], y[held]) for s in z]
-        calibrated = np.column_stack([s * a + b for s, (a, b) in zip(z, lines, strict=True)])
-        out.views, out.lines, out.top = models, lines, _line(calibrated, y[held])
-        return out
+    """Both views of one label, their calibrations and the combination.
+
+    `offers` says how much each view asks of its surest rows; `teach` gives the
+    other view those rows; `finish` calibrates and combines; `score` gives
+    (combined, content, metadata) probabilities.
+    """
+
+    def __init__(self, views: tuple[Rows, Rows], y: np.ndarray, grow: float = GROW):
+        self.share = float(y.mean()) if len(y) else 0.5
+        self.grow, self.top = grow, None
+        part = np.array([0, 0, 0, 0, 0, 1, 2, 3])[np.arange(len(y)) % 8]
+        if len(part) and all(len(set(y[part == k])) == 2 for k in range(4)):
+            self.y = [y[part == k] for k in range(4)]
+            self.rows = [[v.take(np.flatnonzero(part == k)) for k in range(4)] for v in views]
+            self.told: list[tuple[Rows, np.ndarray]] = [(v[0].take(np.zeros(0, np.int64)), np.zeros(0)) for v in self.rows]
+            self.views = [self._fit(k, *self.told[k]) for k in (0, 1)]
+            self.lines = [self._line(k, 1) for k in (0, 1)]
+        else:
+            self.views = None
+
+    def _fit(self, k: int, more: Rows, labels: np.ndarray) -> Logistic:
+        weight = np.concatenate([np.ones(len(self.y[0])), np.full(len(labels), 0.5)])
+        return Logistic((PLACES, META)[k]).fit(_joined([self.rows[k][0], more]), np.concatenate([self.y[0], labels]), weight)
+
+    def _line(self, k: int, part: int) -> np.ndarray:
+        return _line(self.views[k].score(self.rows[k][part])[:, None], self.y[part])
+
+    def log_odds(self, k: int, rows: Rows) -> np.ndarray:
+        return self.views[k].score(rows) * self.lines[k][0] + self.lines[k][1]
+
+    def wanted(self) -> tuple[int, int]:
+        """How many rows of label 0 and of label 1 a view offers in a round."""
+        total, share = self.grow * len(self.y[0]), self.y[0].mean()
+        return max(1, round(total * (1 - share))), max(1, round(total * share))
+
+    def teach(self, k: int, rows: Rows, labels: np.ndarray) -> bool:
+        """Let view k learn rows that the other is sure of; taken back if it then knows the judging part less well."""
+        before, kept = _loss(self.log_odds(k, self.rows[k][2]), self.y[2]), (self.views[k], self.lines[k], self.told[k])
+        self.told[k] = (_joined([self.told[k][0], rows]), np.concatenate([self.told[k][1], labels]))
+        self.views[k] = self._fit(k, *self.told[k])
+        self.lines[k] = self._line(k, 1)
+        if _loss(self.log_odds(k, self.rows[k][2]), self.y[2]) > before:
+            self.views[k], self.lines[k], self.told[k] = kept
+            return False
+        return True
+
+    def finish(self) -> CoTrained:
+        if self.views is not None:
+            self.lines = [self._line(k, 3) for k in (0, 1)]
+            both = np.concatenate([self.y[1], self.y[2]])
+            z = [np.concatenate([self.log_odds(k, self.rows[k][p]) for p in (1, 2)]) for k in (0, 1)]
+            self.top = _line(np.column_stack(z), both)
+            del self.rows, self.told, self.y
+        return self
 
     def score(self, views: tuple[Rows, Rows]) -> list[np.ndarray]:
         if self.views is None:
             return [np.full(len(views[0]), self.share)] * 3
-        z = [m.score(v) * a + b for m, v, (a, b) in zip(self.views, views, self.lines, strict=True)]
+        z = [self.log_odds(k, v) for k, v in enumerate(views)]
         return [_sigmoid(np.column_stack(z) @ self.top[:-1] + self.top[-1]), _sigmoid(z[0]), _sigmoid(z[1])]
 
 
@@ -193,59 +232,103 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = [b.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
         for i, j in pieces(texts):
             for k, rows in enumerate(_of(texts[i:j], *[c[i:j] for c in named])):
-                out[k] += [p.astype(np.uint32).tobytes() for p in np.split(rows.place, rows.begin[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(o, pa.binary()) for o in out]], names=["doc_id", "content", "metadata"])
+                out[k] += [p.astype((np.uint32, np.uint16)[k]).tobytes() for p in np.split(rows.place, rows.begin[1:])]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *[pa.array(o, pa.binary()) for o in out]], names=["doc_id", "row", "content", "metadata"])
 
 
-def _rows(found: list[bytes]) -> Rows:
-    return Rows(np.frombuffer(b"".join(found), np.uint32).astype(np.int64), np.array([len(f) // 4 for f in found], np.int64))
+def _views(content: list[bytes], metadata: list[bytes]) -> tuple[Rows, Rows]:
+    return tuple(Rows(np.frombuffer(b"".join(x), t).astype(np.int64), np.array([len(f) // t().itemsize for f in x], np.int64)) for x, t in ((content, np.uint32), (metadata, np.uint16)))
 
 
-def _features(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[bytes, bytes]]:
-    """The features of the rows whose doc_id is in a bounded table; of rows with one id, the least by its features."""
-    found = docs.join(sized(written(ids)), "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, content binary, metadata binary").collect()
-    return {r.doc_id: (bytes(r.content), bytes(r.metadata)) for r in sorted(found, key=lambda r: (r.doc_id, bytes(r.content), bytes(r.metadata)), reverse=True)}
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, content, metadata) of every row of docs, written once; row is a hash of the row. Missing columns count as null."""
+    types = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    known = docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    known = known.withColumn("row", F.xxhash64(*types))
+    return written(known.mapInArrow(_packed, "doc_id long, row long, content binary, metadata binary"))
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    """The columns that are read, those that are missing as nulls."""
-    types = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+def _fetched(features: DataFrame, keys: DataFrame, on: str) -> dict:
+    """Features by key, of a bounded table of keys; of several rows the least, so that repeated rows count once."""
+    least = features.join(sized(keys), on, "left_semi").groupBy(on).agg(F.min(F.struct("content", "metadata")).alias("v"))
+    return {r[0]: (bytes(r.v.content), bytes(r.v.metadata)) for r in least.collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], labelled: int = LABELLED, pool: int = POOL) -> dict[str, CoTrained]:
-    """A model for each label column of labels(doc_id, ...)."""
-    docs = _known(docs)
-    h = F.xxhash64("doc_id")
-    y = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.min(t).alias(t) for t in targets])
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    chosen = written(y.join(ids, "doc_id", "left_semi").orderBy(h, "doc_id").limit(labelled))
-    other = ids.join(y, "doc_id", "left_anti").orderBy(h, "doc_id").limit(pool)
-    mine, rest = _features(docs, chosen.select("doc_id")), _features(docs, other)
-    unknown = [_rows([rest[d][k] for d in sorted(rest)]) for k in (0, 1)]
-    known, out = sorted(chosen.collect(), key=lambda r: int(mix(np.array([r.doc_id], np.int64).view(np.uint64))[0])), {}
-    for t in targets:
-        use = [r for r in known if r[t] is not None and r.doc_id in mine]
-        out[t] = CoTrained.fit(tuple(_rows([mine[r.doc_id][k] for r in use]) for k in (0, 1)), np.array([float(r[t]) for r in use]), unknown)
+def _surest(features: DataFrame, models: dict[str, CoTrained]) -> dict[tuple[str, int, int], list[int]]:
+    """(target, view, label) -> rows: those that each view is surest of among all rows, surest first."""
+    wanted = {t: m.wanted() for t, m in models.items()}
+    scorers = {t: (m.views, m.lines) for t, m in models.items()}
+    kinds = [(t, k, label) for t in models for k in (0, 1) for label in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(kinds)
+        for b in small(batches, 4096):
+            views, rows = _views(b.column("content").to_pylist(), b.column("metadata").to_pylist()), b.column("row").to_numpy()
+            z = {(t, k): m[k].score(views[k]) * lines[k][0] + lines[k][1] for t, (m, lines) in scorers.items() for k in (0, 1)}
+            for i, (t, k, label) in enumerate(kinds):
+                sure = z[t, k] if label else -z[t, k]
+                use = np.flatnonzero(sure > SURE)
+                r, s = np.concatenate([best[i][0], rows[use]]), np.concatenate([best[i][1], sure[use]])
+                r, first = np.unique(r, return_index=True)
+                top = np.lexsort((r, -s[first]))[: wanted[t][label]]
+                best[i] = (r[top], s[first][top])
+        n = [len(r) for r, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(kinds), dtype=np.int32), n)), *[pa.array(np.concatenate([x[j] for x in best])) for j in (0, 1)]], names=["kind", "row", "sure"])
+
+    found = written(features.select("row", "content", "metadata").mapInArrow(run, "kind int, row long, sure double"))
+    out = {}
+    for i, kind in enumerate(kinds):
+        top = found.where(F.col("kind") == i).groupBy("row").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "row").limit(wanted[kind[0]][kind[2]])
+        out[kind] = [r["row"] for r in top.collect()]
     return out
 
 
-def scored(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
-    """doc_id and, for each target, its probability and those of the two views alone, for every row of docs."""
+def train(features: DataFrame, labels: DataFrame, targets: tuple[str, ...], labelled: int = LABELLED, rounds: int = ROUNDS, grow: float = GROW) -> dict[str, CoTrained]:
+    """A model for each label column of labels(doc_id, ...), from a table of `featured`."""
+    y = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.min(t).alias(t) for t in targets])
+    h = F.xxhash64("doc_id")
+    chosen = written(y.join(features.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(h, "doc_id").limit(labelled))
+    mine = _fetched(features, chosen.select("doc_id"), "doc_id")
+    known = sorted(chosen.collect(), key=lambda r: int(mix(np.array([r.doc_id], np.int64).view(np.uint64))[0]))
+    models = {}
+    for t in targets:
+        use = [r for r in known if r[t] is not None]
+        models[t] = CoTrained(_views([mine[r.doc_id][0] for r in use], [mine[r.doc_id][1] for r in use]), np.array([float(r[t]) for r in use]), grow)
+    able = {t: m for t, m in models.items() if m.views is not None}
+    others = features.join(sized(chosen.select("doc_id")), "doc_id", "left_anti") if able else None
+    for _ in range(rounds if able else 0):
+        offered = _surest(others, able)
+        rows = sorted({r for found in offered.values() for r in found})
+        if not rows:
+            break
+        got = _fetched(others, features.sparkSession.createDataFrame([(r,) for r in rows], "row long"), "row")
+        learned = []
+        for t, m in able.items():
+            # Both views' offers are made before either learns.
+            for k in (0, 1):
+                pairs = [(r, label) for label in (0, 1) for r in offered[t, 1 - k, label]]
+                if pairs:
+                    new = _views([got[r][0] for r, _ in pairs], [got[r][1] for r, _ in pairs])[k]
+                    learned.append(m.teach(k, new, np.array([float(label) for _, label in pairs])))
+        if not any(learned):
+            break
+    return {t: m.finish() for t, m in models.items()}
+
+
+def scored(features: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+    """doc_id and, for each target, its probability and those of the two views alone, for every row of features."""
     names = [f"{t}{part}" for t in models for part in ("", "_content", "_metadata")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            texts = as_bytes(b.column("text"))
-            named = [b.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-            for i, j in pieces(texts):
-                views = _of(texts[i:j], *[c[i:j] for c in named])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], *[pa.array(s) for m in models.values() for s in m.score(views)]], names=["doc_id", *names])
+        for b in small(batches, 4096):
+            views = _views(b.column("content").to_pylist(), b.column("metadata").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(s) for m in models.values() for s in m.score(views)]], names=["doc_id", *names])
 
-    return _known(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return features.select("doc_id", "content", "metadata").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, quality, toxic, keep, views' scores) of every row of docs: keep is quality >= 0.5 > toxic."""
-    out = scored(docs, train(docs, labels, ("quality", "toxic")))
+    features = featured(docs)
+    out = scored(features, train(features, labels, ("quality", "toxic"), rounds=rounds))
     return out.select("doc_id", "quality", "toxic", ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("keep"), "quality_content", "quality_metadata", "toxic_content", "toxic_metadata")

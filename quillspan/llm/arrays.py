@@ -2,15 +2,18 @@
 
 Texts are handled as UTF-8 bytes: every character that separates words here is
 ASCII, so no multi-byte character is ever split. Work goes through pieces of a
-few MB (`pieces`), so that the arrays of a batch stay small whatever its rows
-hold; one longer text is a piece of its own.
+half a MB (`pieces`), so that the arrays of a batch stay small whatever its rows
+hold; one longer text is a piece of its own. `tidy` gives a task's memory back when
+it ends, since the worker lives on.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,7 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together have about `most` bytes at most."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -72,6 +75,24 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def tidy(run: Callable) -> Callable:
+    """The function over batches, after whose last batch freed memory goes back to the system: workers are reused, and idle ones would keep it."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; glibc has a call of its own for that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

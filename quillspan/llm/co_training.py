@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, mix, pieces, sized, small, starts_of, written
+from quillspan.llm.arrays import Words, as_bytes, mix, pieces, sized, small, starts_of, tidy, written
 
 LABELLED, ROUNDS, GROW, PLACES, META = 12_000, 3, 0.06, 1 << 17, 1 << 11
 
@@ -245,7 +245,7 @@ def featured(docs: DataFrame) -> DataFrame:
     types = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     known = docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
     known = known.withColumn("row", F.xxhash64(*types))
-    return written(known.mapInArrow(_packed, "doc_id long, row long, content binary, metadata binary"))
+    return written(known.mapInArrow(tidy(_packed), "doc_id long, row long, content binary, metadata binary"))
 
 
 def _fetched(features: DataFrame, keys: DataFrame, on: str) -> dict:
@@ -275,7 +275,7 @@ def _surest(features: DataFrame, models: dict[str, CoTrained]) -> dict[tuple[str
         n = [len(r) for r, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(kinds), dtype=np.int32), n)), *[pa.array(np.concatenate([x[j] for x in best])) for j in (0, 1)]], names=["kind", "row", "sure"])
 
-    found = written(features.select("row", "content", "metadata").mapInArrow(run, "kind int, row long, sure double"))
+    found = written(features.select("row", "content", "metadata").mapInArrow(tidy(run), "kind int, row long, sure double"))
     out = {}
     for i, kind in enumerate(kinds):
         top = found.where(F.col("kind") == i).groupBy("row").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "row").limit(wanted[kind[0]][kind[2]])

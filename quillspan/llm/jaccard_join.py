@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, small, written
+from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, small, tidy, written
 
 #: Shingles seen in this many of the documents that a task counts together (so many values or more) are reported as common; so many of them are kept for ordering.
 COMMON_IN_TASK, COUNTED, COMMON_KEPT = 3, 1 << 20, 1 << 16
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         count()
         yield _common(seen)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, "doc_id long, n long, sid long, common long, text_id long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(tidy(run), "doc_id long, n long, sid long, common long, text_id long")
 
 
 def _common(seen: dict[int, int]) -> pa.RecordBatch:
@@ -167,8 +167,8 @@ def _tiles(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
             part += part > 0
         yield emit(key, sid, n, part)
 
-    keyed = docs.select("doc_id", "text").mapInArrow(post, "key long, sid long, n int")
-    return keyed.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(runs, "tile long, block int, sids binary, sizes binary").dropDuplicates(["tile", "block"])
+    keyed = docs.select("doc_id", "text").mapInArrow(tidy(post), "key long, sid long, n int")
+    return keyed.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(tidy(runs), "tile long, block int, sids binary, sizes binary").dropDuplicates(["tile", "block"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def _with_sets(docs: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
                 made = [(sets[k] if kind == "set" else bitmap(sets[k])).tobytes() for k in same]
                 yield pa.RecordBatch.from_arrays([pa.array(want[i:j][same]), pa.array(np.array([len(sets[k]) for k in same], np.int64)), pa.array(made, pa.binary())], names=["sid", "n", kind])
 
-    return docs.select("doc_id", "text").join(sized(owners), "doc_id").select("sid", "text").mapInArrow(run, f"sid long, n long, {kind} binary").dropDuplicates(["sid"])
+    return docs.select("doc_id", "text").join(sized(owners), "doc_id").select("sid", "text").mapInArrow(tidy(run), f"sid long, n long, {kind} binary").dropDuplicates(["sid"])
 
 
 def _links(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def _links(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = _with_sets(docs, owners.join(named, "sid", "left_semi"), "set")
     ask = salted.select("a", "salt", "b", F.col("b").alias("sid")).union(salted.select("a", "salt", F.lit(None).cast("long"), F.col("a")).distinct())
     rows = ask.join(sets.select("sid", "set"), "sid").select("a", "salt", "b", "set")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_exact, "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(tidy(_exact), "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     other = bits.toDF("b", "m", "bits2")
     stars = tiles.mapInArrow(_stars, "a long, b long").distinct().join(bits.withColumnRenamed("sid", "a"), "a").join(other, "b")
-    pairs = written(stars.select("a", "b", "n", "m", "bits", "bits2").mapInArrow(_bit_bound, "a long, b long"))
+    pairs = written(stars.select("a", "b", "n", "m", "bits", "bits2").mapInArrow(tidy(_bit_bound), "a long, b long"))
     links = written(_links(docs, owners, pairs))
     roots = connected(links)
 
@@ -321,7 +321,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         rooted = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
         rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
-        pairs = written(rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(step, "a long, b long").distinct())
+        pairs = written(rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(tidy(step), "a long, b long").distinct())
         if pairs.isEmpty():
             continue
         more = written(_links(docs, owners, pairs))

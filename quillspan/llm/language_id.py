@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import mix, sized, small, written
+from quillspan.llm.arrays import mix, sized, small, tidy, written
 
 DIMS, MOST_N, PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 1 << 14, 4, 500, 160, 0.05, 8.0
 _letter = regex.compile(r"\p{L}").search
@@ -117,7 +117,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelModel | No
     rate = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("count"))
     place = (F.col("h") + F.lit(0.5)) / float(1 << 64) + F.lit(0.5)
     chosen = known.join(sized(counts), "lang").where(place < rate).groupBy("h", "lang").agg(F.min("text").alias("text"))
-    rows = sorted(chosen.mapInArrow(_fingerprints, "h long, lang string, bits binary").collect(), key=lambda r: (r.h, r.lang))
+    rows = sorted(chosen.mapInArrow(tidy(_fingerprints), "h long, lang string, bits binary").collect(), key=lambda r: (r.h, r.lang))
     seen: dict[str, int] = {}
     kept = []
     for r in rows:
@@ -142,7 +142,7 @@ def identified(docs: DataFrame, model: KernelModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in own], pa.array(lang, pa.string()), pa.array(score)], names=[*own, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:

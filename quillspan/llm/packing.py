@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, pieces, small, starts_of
+from quillspan.llm.arrays import Words, as_bytes, pieces, small, starts_of, tidy
 
 CAPACITY = 2048
 #: Bins open at once in a task, and the waves in which its pieces come.
@@ -41,7 +41,7 @@ ROWS_PER_TASK = 16_384
 #: Distinct words whose ids a worker keeps.
 CACHE = 600_000
 #: Bytes of texts that are split into words at once.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]").search
 
 #: A word, a line each: one run of letters that the tokenizer takes whole, one run of other characters, without apostrophes (its contractions), and what else there is.
@@ -191,7 +191,7 @@ def cut_pieces(docs: DataFrame, path: Callable[[], str] = tokenizer_path, capaci
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int64()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 class BestFit:
@@ -249,7 +249,7 @@ def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, open_bins: int
     tasks = max(1, -(-rows // ROWS_PER_TASK))
     wave = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(WAVES))
     dealt = pieces.repartition(tasks).sortWithinPartitions(wave, F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, f"{schema},sequence_id:bigint,offset:bigint")
+    return dealt.mapInArrow(tidy(run), f"{schema},sequence_id:bigint,offset:bigint")
 
 
 def packed(docs: DataFrame, path: Callable[[], str] = tokenizer_path, with_ids: bool = False) -> DataFrame:

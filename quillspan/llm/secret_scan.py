@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import mix, small, starts_of, written
+from quillspan.llm.arrays import mix, small, starts_of, tidy, written
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -354,7 +354,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([t for t, _ in found], pa.string()), pa.array(marks, pa.list_(pa.int32()))], names=["h", "text", "marks"])
 
     # Of equal texts all rows give the same stretch: one stays.
-    got = rows.where(F.col("h").isin(chosen)).mapInArrow(cut, "h long, text string, marks array<int>").groupBy("h").agg(F.min(F.struct("text", "marks")).alias("s")).collect() if chosen else []
+    got = rows.where(F.col("h").isin(chosen)).mapInArrow(tidy(cut), "h long, text string, marks array<int>").groupBy("h").agg(F.min(F.struct("text", "marks")).alias("s")).collect() if chosen else []
     stretches = [(r.s.text, list(zip(r.s.marks[::2], r.s.marks[1::2], strict=True))) for r in sorted(got, key=lambda r: r.h)]
     sequences = training_sequences(stretches or [("a b c", [])])
     return Field().fit(sequences)
@@ -383,7 +383,7 @@ def all_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, str]]
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
-        while end < len(texts) and (end == begin or size + len(raws[end]) < 1 << 20):
+        while end < len(texts) and (end == begin or size + len(raws[end]) < 1 << 18):
             size += len(raws[end])
             end += 1
         for t, raw, more in zip(texts[begin:end], raws[begin:end], added_spans(field, raws[begin:end]), strict=True):
@@ -409,7 +409,7 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
             sha = [hashlib.sha256(x.encode()).hexdigest() for x in base]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(sha, pa.string()), pa.array(told, pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -429,4 +429,4 @@ def redacted(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]"
             columns = [pa.array(out, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in out], b.schema.field(n).type) if n == "n_chars" else b.column(n) for n in b.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

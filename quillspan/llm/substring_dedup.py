@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import Words, as_bytes, pieces, runs_of, sized, small, starts_of, written
+from quillspan.llm.arrays import Words, as_bytes, pieces, runs_of, sized, small, starts_of, tidy, written
 
 WINDOW, PERIOD, COVER = 13, 7, np.array([1, 2, 4])
 ANCHOR = WINDOW - PERIOD + 1
@@ -219,9 +219,9 @@ def _ask(docs: DataFrame, values: Callable, least: bool, buckets: int) -> DataFr
                 out.append(at[idx[i:j]].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "text_id", "places"])
 
-    sent = docs.mapInArrow(send, _SENT)
-    replied = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, _SENT)
-    found = replied.repartition("uid").sortWithinPartitions("uid").mapInArrow(read, "doc_id long, text_id long, places binary")
+    sent = docs.mapInArrow(tidy(send), _SENT)
+    replied = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(resolve), _SENT)
+    found = replied.repartition("uid").sortWithinPartitions("uid").mapInArrow(tidy(read), "doc_id long, text_id long, places binary")
     # A text's values may have left in several batches; equal rows tell the same.
     told_of = found.groupBy("doc_id", "text_id").agg(F.collect_set("places").alias("marks"))
     return told_of.mapInArrow(partial(_spans, gap=1 if least else PERIOD), "doc_id long, text_id long, marks binary")
@@ -279,4 +279,4 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     joined = docs.join(sized(marks), ["doc_id", "text_id"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspan.llm.arrays import as_bytes, mix, small, starts_of
+from quillspan.llm.arrays import as_bytes, mix, small, starts_of, tidy
 
 ROW, IMAGE, TEXT_BITS = 64, 1 << 18, 6.5
 #: Fixed values of the format: the order of the code length code's lengths, and the colour cache's multiplier.
@@ -976,4 +976,4 @@ def stored(docs: DataFrame, with_media: bool = False) -> DataFrame:
             columns = [b.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]] + [pa.array(kept, pa.binary())] * with_media
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media)

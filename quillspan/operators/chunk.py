@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import trees
@@ -57,8 +57,8 @@ def rules(spark) -> DataFrame:
 
 
 def classify_nodes(nodes: DataFrame, table: DataFrame) -> DataFrame:
-    """nodes(language, type, ...) with wanted, scope and import; the rules are a small table of fixed values."""
-    joined = nodes.join(F.broadcast(table), ["language", "type"], "left")
+    """nodes(language, type, ...) with wanted, scope and import; the rules are a small table, which Spark sends to the executors by its own estimate."""
+    joined = nodes.join(table, ["language", "type"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("wanted", "scope", "import")})
 
 
@@ -137,6 +137,12 @@ def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_sour
 
 
 def with_tokens(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """nodes with the token count of their text."""
-    text = F.substring("content", F.col("start") + 1, F.col("end") - F.col("start"))
-    return nodes.join(files.select("file_path", "content"), "file_path").withColumn("tokens", token_count(text)).drop("content")
+    """nodes with the token count of their text. A file's nodes are beside its content once, as an array, so the content is not repeated by node."""
+    own = [c for c in nodes.columns if c != "file_path"]
+    packed = nodes.groupBy("file_path").agg(F.collect_list(F.struct(*own)).alias("nodes")).join(files.select("file_path", "content"), "file_path")
+
+    def counted(n: Column) -> Column:
+        text = F.substring(F.col("content"), n["start"] + 1, n["end"] - n["start"])
+        return F.struct(*[n[c].alias(c) for c in own], token_count(text).alias("tokens"))
+
+    return packed.select("file_path", F.explode(F.transform("nodes", counted)).alias("n")).select("file_path", "n.*")

@@ -12,7 +12,7 @@ from quillspan.operators.chunk import chunk_files
 from quillspan.operators.diff import diff_snapshot, files_to_clean, files_to_index
 from quillspan.operators.embed import embed_chunks, hashed_words
 from quillspan.operators.maintain import insert_chunks, insert_documents, insert_embeddings, remove_chunks, remove_documents
-from quillspan.sources.files import Index
+from quillspan.sources.files import Index, kept, scratch_dir
 
 
 @dataclass
@@ -33,12 +33,14 @@ def index_batch(files: DataFrame, index: Index, params: Params | None = None, no
     params, now = params or Params(), F.current_timestamp() if now is None else now
     documents = index.documents
     known = documents.join(files.select("file_path"), "file_path", "left_semi") if partial else documents
-    diff = diff_snapshot(files, known).persist()
+    root = scratch_dir(files.sparkSession)
+    diff = kept(diff_snapshot(files, known), f"{root}/diff")
     clean, todo = files_to_clean(diff), files_to_index(diff)
     chunks, embeddings = remove_chunks(index.chunks, index.embeddings, clean)
     documents = remove_documents(documents, clean)
     changed = files.join(todo, "file_path", "left_semi")
-    new = chunk_files(changed, params.target, params.most, params.node_source).persist()
-    vectors = embed_chunks(new, params.embed_fn, params.batch_size)
+    # Chunks and vectors are written once: no text is chunked or embedded twice, whatever reads them and whichever executor is lost.
+    new = kept(chunk_files(changed, params.target, params.most, params.node_source), f"{root}/chunks")
+    vectors = kept(embed_chunks(new, params.embed_fn, params.batch_size), f"{root}/vectors")
     with_chunks = changed.join(new.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "hash")
-    return Index(insert_documents(documents, with_chunks, now), insert_chunks(chunks, new, now), insert_embeddings(embeddings, vectors, now), (diff, new))
+    return Index(insert_documents(documents, with_chunks, now), insert_chunks(chunks, new, now), insert_embeddings(embeddings, vectors, now), root)

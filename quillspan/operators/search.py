@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import cosine_distance, norm
+from quillspan.sources.files import scratch_dir
 
 #: Queries that are sent to the executors at once; more take several passes.
-QUERY_BLOCK = 4096
+QUERY_BLOCK, QUERY_BYTES = 4096, 16 << 20
+FOUND = "query_id string, chunk_id string, distance double"
 #: Rows whose distances to all queries of a block are held at once.
 ROW_BLOCK = 2048
 
@@ -26,27 +28,70 @@ def search(chunks: DataFrame, embeddings: DataFrame, query: list[float], k: int
     """
     own = chunks.select(F.col("id").alias("chunk_id"), "file_path", "start_line", "end_line")
     distance = cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    found = embeddings.select("chunk_id", distance.alias("distance")).join(own, "chunk_id")
-    return found.orderBy(F.round("distance", 9).asc_nulls_last(), "chunk_id").limit(k).select("chunk_id", "file_path", "start_line", "end_line", "distance")
+    order = (F.round("distance", 9).asc_nulls_last(), "chunk_id")
+    # Only ids and distances meet the chunks' ids; places are joined to the k rows that are left.
+    known = embeddings.select("chunk_id", distance.alias("distance")).join(own.select("chunk_id"), "chunk_id", "left_semi")
+    return known.orderBy(*order).limit(k).join(own, "chunk_id").orderBy(*order).select("chunk_id", "file_path", "start_line", "end_line", "distance")
+
+
+class _Best:
+    """The k nearest rows of each query so far: `near` orders them (nine decimals, none last), then ids."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.size, self.k = queries, np.linalg.norm(queries, axis=1), k
+        n = len(queries)
+        self.near, self.exact, self.ids = np.zeros((n, 0)), np.zeros((n, 0)), np.zeros((n, 0), "U1")
+
+    def add(self, chunk: list[str], x: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Rows with their ids, for the queries `own` (all without)."""
+        own = np.arange(len(self.queries)) if own is None else own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1 - (self.queries[own] @ x.T) / (self.size[own, None] * np.linalg.norm(x, axis=1))
+        ids = np.array(chunk, dtype=str)
+        order = np.argsort(ids, kind="stable")
+        near = np.where(np.isfinite(d), np.round(d, 9), np.inf)[:, order]
+        best = np.argsort(near, axis=1, kind="stable")[:, : self.k]
+        found = [np.take_along_axis(near, best, axis=1), np.take_along_axis(d[:, order], best, axis=1), ids[order][best]]
+        width = max(self.near.shape[1], min(self.k, self.near.shape[1] + best.shape[1]))
+        held = [self.near, self.exact, self.ids]
+        # Queries hold equally many places; those that have fewer rows hold empty ones, which come last.
+        both = [np.concatenate([h[own], f], axis=1) for h, f in zip(held, found, strict=True)]
+        top = np.lexsort((both[2], both[0], both[2] == ""), axis=1)[:, :width]
+        pads = [np.full((len(self.queries), width - self.near.shape[1]), v) for v in (np.inf, np.nan, "")]
+        held = [np.concatenate([h, pad], axis=1) for h, pad in zip(held, pads, strict=True)]
+        both = [np.take_along_axis(x, top, axis=1) for x in both]
+        self.near, self.exact = held[0], held[1]
+        self.ids = held[2].astype(np.result_type(held[2], both[2]))
+        self.near[own], self.exact[own], self.ids[own] = both
+
+    def rows(self, query_ids: list) -> pa.RecordBatch:
+        q, place = np.nonzero(self.ids != "")
+        value = self.exact[q, place]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([query_ids[i] for i in q.tolist()], pa.string()), pa.array(self.ids[q, place].tolist(), pa.string()), pa.array([v if np.isfinite(v) else None for v in value.tolist()], pa.float64())],
+            names=["query_id", "chunk_id", "distance"],
+        )
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], ids: list, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Per block of rows one matrix product and each query's k nearest rows."""
-    size = np.linalg.norm(queries, axis=1)
+    """A matrix product per block of rows; each query's k nearest rows leave the task, once."""
+    best = _Best(queries, k)
     for b in batches:
         for at in range(0, b.num_rows, ROW_BLOCK):
             chunk = b.column("chunk_id")[at : at + ROW_BLOCK].to_pylist()
-            x = np.array(b.column("embedding")[at : at + ROW_BLOCK].to_pylist(), float).reshape(len(chunk), -1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = 1 - (queries @ x.T) / (size[:, None] * np.linalg.norm(x, axis=1))
-            order = np.argsort(np.array(chunk, dtype=str), kind="stable")
-            rank = np.where(np.isfinite(d), np.round(d, 9), np.inf)[:, order]
-            best = order[np.argsort(rank, axis=1, kind="stable")[:, :k]]
-            value = np.take_along_axis(d, best, axis=1).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, dtype=object), best.shape[1]).tolist(), pa.string()), pa.array([chunk[i] for i in best.ravel().tolist()], pa.string()), pa.array([v if np.isfinite(v) else None for v in value.tolist()], pa.float64())],
-                names=["query_id", "chunk_id", "distance"],
-            )
+            best.add(chunk, np.array(b.column("embedding")[at : at + ROW_BLOCK].to_pylist(), float).reshape(len(chunk), -1))
+    yield best.rows(ids)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries in blocks bounded by rows and by bytes."""
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-count // max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(width or 1, 1))))))
+    for n in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").toArrow()
+        if own.num_rows:
+            yield own.column("query_id").to_pylist(), np.array(own.column("embedding").to_pylist(), float)
 
 
 def _top(found: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -59,40 +104,31 @@ def _top(found: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 def search_batch(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """As search, for each row of queries(query_id, embedding), with query_id and rank.
 
-    Queries go out in blocks of a fixed size; of each block of rows only k a query
-    leave their task.
+    Queries go out in blocks of a bounded size; only k rows a query leave a task.
     """
     known = embeddings.select("chunk_id", "embedding").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").toArrow()
-        ids, vectors = own.column("query_id").to_pylist(), np.array(own.column("embedding").to_pylist(), float)
-        if not ids:
-            continue
-        part = known.mapInArrow(lambda batches, ids=ids, vectors=vectors: _nearest(batches, ids, vectors, k), "query_id string, chunk_id string, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = embeddings.sparkSession.createDataFrame([], "query_id string, chunk_id string, distance double")
+    found = embeddings.sparkSession.createDataFrame([], FOUND)
+    for ids, vectors in _blocks(queries):
+        found = found.union(known.mapInArrow(lambda batches, ids=ids, vectors=vectors: _nearest(batches, ids, vectors, k), FOUND))
     return _top(found, chunks, k)
 
 
 @dataclass
 class Lists:
-    """Inverted lists: vectors with their list, and the lists' centres."""
+    """Inverted lists: vectors with their list, in a table partitioned by list, and the lists' centres."""
 
     rows: DataFrame
     centres: np.ndarray
 
 
 def _closest(vectors: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centres of each vector's unit vector: squared distances are the centres' norms less twice the products, and a constant."""
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    return np.argsort(((unit[:, None] - centres) ** 2).sum(axis=2), axis=1, kind="stable")[:, :n]
+    return np.argsort((centres**2).sum(axis=1) - 2 * (unit @ centres.T), axis=1, kind="stable")[:, :n]
 
 
 def build_ann(embeddings: DataFrame, n_lists: int = 16, seed: int = 7, sample: int = 100_000) -> Lists:
-    """Lists around k-means centres of unit vectors; centres are fitted on a bounded sample, every vector is assigned."""
+    """Lists around k-means centres of unit vectors; centres are fitted on a bounded sample, every vector is assigned and written once, by list."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -108,31 +144,33 @@ def build_ann(embeddings: DataFrame, n_lists: int = 16, seed: int = 7, sample: i
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("embedding"), pa.array(which, pa.int32())], names=["chunk_id", "embedding", "list"])
 
     rows = embeddings.select("chunk_id", "embedding").mapInArrow(assign, "chunk_id string, embedding array<float>, list int")
-    return Lists(rows, centres)
+    path = scratch_dir(embeddings.sparkSession)
+    rows.write.partitionBy("list").parquet(path)
+    return Lists(embeddings.sparkSession.read.schema("chunk_id string, embedding array<float>, list int").parquet(path), centres)
 
 
 def search_ann(lists: Lists, chunks: DataFrame, queries: DataFrame, k: int = 10, n_probe: int = 4) -> DataFrame:
-    """As search_batch over the rows of each query's n_probe nearest lists; all lists give search_batch's result."""
-    known = lists.rows.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "embedding", "list")
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    blocks, found = max(1, -(-asked.count() // QUERY_BLOCK)), None
-    for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").toArrow()
-        ids, vectors = own.column("query_id").to_pylist(), np.array(own.column("embedding").to_pylist(), float)
-        if not ids:
-            continue
+    """As search_batch over the rows of each query's n_probe nearest lists; all lists give search_batch's result.
+
+    Only the lists that a block's queries probe are read, by partition pruning.
+    """
+    found = chunks.sparkSession.createDataFrame([], FOUND)
+    for ids, vectors in _blocks(queries):
         probes = _closest(vectors, lists.centres, n_probe)
+        read = lists.rows.where(F.col("list").isin(np.unique(probes).tolist()))
+        known = read.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "embedding", "list")
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, vectors=vectors, probes=probes) -> Iterator[pa.RecordBatch]:
+            best = _Best(vectors, k)
             for b in batches:
                 of = b.column("list").to_numpy()
                 for which in np.unique(of).tolist():
-                    mine = np.flatnonzero((probes == which).any(axis=1))
-                    if len(mine):
-                        yield from _nearest(iter([b.filter(pa.array(of == which))]), [ids[i] for i in mine], vectors[mine], k)
-
-        part = known.mapInArrow(run, "query_id string, chunk_id string, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, distance double")
+                    mine, rows = np.flatnonzero((probes == which).any(axis=1)), np.flatnonzero(of == which)
+                    for at in range(0, len(rows) if len(mine) else 0, ROW_BLOCK):
+                        some = b.take(pa.array(rows[at : at + ROW_BLOCK]))
+                        x = np.array(some.column("embedding").to_pylist(), float).reshape(some.num_rows, -1)
+                        best.add(some.column("chunk_id").to_pylist(), x, mine)
+            yield best.rows(ids)
+
+        found = found.union(known.mapInArrow(run, FOUND))
     return _top(found, chunks, k)

@@ -33,12 +33,22 @@ class Index:
     documents: DataFrame
     chunks: DataFrame
     embeddings: DataFrame
-    #: What a run keeps until its tables are written, so that nothing is chunked twice.
-    held: tuple[DataFrame, ...] = ()
+    #: Folder of what a run has written for its own use, until its tables are written.
+    held: str | None = None
 
     def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
+        """Deletes what the run has written; its tables cannot be read after that."""
+        if self.held:
+            spark = self.documents.sparkSession
+            home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.held)
+            home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(home, True)
+            self.held = None
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, read from a table in the shared folder."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def empty_index(spark: SparkSession) -> Index:
@@ -74,8 +84,13 @@ def write_index(tables: Index, root: str, project: str) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-quillspan-")
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, one of our own in local mode; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-quillspan-")
     return f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ from quillspan.functions.globs import glob_filter
 from quillspan.operators import chunk, diff, embed, index, lexical, maintain, ranges, search
 from quillspan.plans import views as V
 from quillspan.plans.views import table
-from quillspan.sources.files import empty_index, read_index, scratch_dir, wide_index, write_index
+from quillspan.sources.files import empty_index, read_index, scan_files, scratch_dir, wide_index, write_index
 from quillspan.streaming.index_stream import index_stream
 
 _EXTENSION = "CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.mjs' WHEN 'de' THEN '.d.json' ELSE '.TS' END"
@@ -38,6 +38,12 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return diff.files_to_clean(_diff(spark, sf))
 
 
+def scanned_files(spark, sf):
+    """Documents written out as files and scanned again: some languages, without the ids that begin with 1."""
+    found = scan_files(spark, V.written_files(spark, sf, scratch_dir(spark)), ["**/lang=en/**", "**/lang={fr,de}/**"], ["**/doc_id=1*/**"], {"txt": "text"})
+    return found.select(F.regexp_extract("file_path", "^source=(.*)/part-[^/]*$", 1).alias("file_path"), "content", "hash", "language")
+
+
 def glob_pages(spark, sf):
     return glob_filter(V.page_paths(spark, sf), "file_path", ["**/{en,fr}/*", "blog.*/**"], ["*5", "m.*/de/**"])
 
@@ -171,6 +177,37 @@ def classified_nodes(spark, sf):
     return _tokens(spark, sf).select("file_path", "node_id", "tokens", "wanted", "scope")
 
 
+def json_pairs(spark, sf):
+    """The pairs of objects with several."""
+    nodes = chunk.nodes_from_json(V.json_objects(spark, sf)).where("type = 'pair'")
+    return nodes.select("file_path", "start", "end", "child_count")
+
+
+def json_node_counts(spark, sf):
+    return chunk.nodes_from_json(V.json_objects(spark, sf)).groupBy("file_path", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def syntax_classified(spark, sf):
+    """Roles and token counts of TypeScript, TSX and JavaScript nodes."""
+    nodes = chunk.with_tokens(V.program_nodes(spark, sf), V.program_files(spark, sf))
+    return chunk.classify_nodes(nodes, chunk.rules(spark)).select("file_path", "node_id", "tokens", "wanted", "scope", "import")
+
+
+def syntax_scopes(spark, sf):
+    files = V.program_files(spark, sf)
+    return chunk.scope_paths(V.program_nodes(spark, sf), files).select("file_path", "node_id", F.array_join("scope", " -> ").alias("scope"))
+
+
+def syntax_spans(spark, sf):
+    """The nodes to emit where four tokens are the most."""
+    nodes = chunk.with_tokens(V.program_nodes(spark, sf), V.program_files(spark, sf))
+    return chunk.select_spans(chunk.classify_nodes(nodes, chunk.rules(spark)), 4).select("file_path", "node_id", "start", "end", "kind")
+
+
+def syntax_chunks(spark, sf):
+    return chunk.chunk_files(V.program_files(spark, sf), 50, 100, V.program_nodes(spark, sf))
+
+
 def json_scopes(spark, sf):
     files = V.json_files(spark, sf)
     return chunk.scope_paths(chunk.nodes_from_json(files), files).select("file_path", "node_id", F.array_join("scope", " -> ").alias("scope"))
@@ -218,7 +255,7 @@ def unit_vectors(spark, sf):
 
 def embedding_text(spark, sf):
     d = table(spark, sf, "embeddings").select("vec_id", T.format_embedding(F.transform("embedding", lambda x: F.round(x * 8).cast("int"))).alias("t"))
-    bad = table(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("vec_id"), F.substring("text", 1, 20).alias("t"))
+    bad = table(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("vec_id"), F.col("text").alias("t"))
     return d.unionByName(bad).select("vec_id", F.size(T.parse_embedding(F.col("t"))).alias("n"))
 
 
@@ -249,6 +286,12 @@ def search_lists(spark, sf):
     return _rounded(search.search_ann(lists, V.vector_chunks(spark, sf), V.vector_queries(spark, sf), 10, 8))
 
 
+def search_probed(spark, sf):
+    """The nearest in three of eight lists: approximate, so only their distances' order and the query's own vector are sure."""
+    lists = search.build_ann(V.vectors(spark, sf), 8)
+    return _rounded(search.search_ann(lists, V.vector_chunks(spark, sf), V.vector_queries(spark, sf), 10, 3)).where("rank = 1")
+
+
 def search_ranges(spark, sf):
     found = search.search_batch(V.vector_chunks(spark, sf), V.vectors(spark, sf), V.vector_queries(spark, sf), 10)
     return ranges.compact_ranges(found)
@@ -359,9 +402,42 @@ _SQL: dict[str, str] = {
 }
 
 
+def _programs(values: dict[str, list], kind: str) -> str:
+    """A list by language, one entry a node."""
+    return "CASE lang " + " ".join(f"WHEN '{lang}' THEN [{', '.join(map(str, v))}]" for lang, v in values.items()) + f" END::{kind}[]"
+
+
+def _by_node(pick: Callable) -> dict[str, list]:
+    return {lang: [pick(n) for n in p[3]] for lang, p in V.PROGRAMS.items()}
+
+
+def _place(x: str) -> str:
+    return x.replace("A", "length(a)").replace("B", "length(b)")
+
+
+_WANTED, _SCOPED = ("import_statement", "class_declaration", "method_definition", "lexical_declaration", "function_declaration"), ("class_declaration", "method_definition", "lexical_declaration", "jsx_self_closing_element", "function_declaration")
+_IDS = "unnest(" + _programs(_by_node(lambda n: n[0]), "INT") + ") AS node_id"
+_SQL |= {
+    "scanned_files": "SELECT source || '/lang=' || lang || '/doc_id=' || doc_id AS file_path, text || chr(10) AS content, sha256(text || chr(10)) AS hash, 'text' AS language FROM documents WHERE lang IN ('en', 'fr', 'de') AND doc_id::VARCHAR NOT LIKE '1%'",
+    "json_pairs": """WITH o AS (SELECT 'objects/' || event_id || '.json' AS file_path, length(event_id::VARCHAR) AS i, length(props) AS p FROM events WHERE props IS NOT NULL)
+      SELECT file_path, unnest([1, 7 + i, 16 + i, 16 + i + p])::INT AS start, unnest([6 + i, 15 + i + p, 14 + i + p, 33 + i + p])::INT AS "end", 3 AS child_count FROM o""",
+    "json_node_counts": """WITH o AS (SELECT 'objects/' || event_id || '.json' AS file_path FROM events WHERE props IS NOT NULL)
+      SELECT file_path, unnest(['document', 'object', 'pair', 'array', 'string', '"', 'string_content', ':', ',', '{', '}', '[', ']', 'number', 'null']) AS type, unnest([1, 2, 4, 1, 5, 10, 5, 4, 3, 2, 2, 1, 1, 2, 1])::BIGINT AS n FROM o""",
+    "syntax_classified": f"""WITH {V.PROGRAM_FILES} SELECT file_path, {_IDS}, unnest({_programs(_by_node(lambda n: f"ceil((({_place(n[5])}) - ({_place(n[4])})) / 4.0)"), "INT")}) AS tokens,
+      unnest({_programs(_by_node(lambda n: n[3] in _WANTED), "BOOLEAN")}) AS wanted, unnest({_programs(_by_node(lambda n: n[3] in _SCOPED), "BOOLEAN")}) AS scope, unnest({_programs(_by_node(lambda n: n[3] == "import_statement"), "BOOLEAN")}) AS "import" FROM programs""",
+    "syntax_scopes": f"""WITH {V.PROGRAM_FILES} SELECT file_path, {_IDS}, unnest({_programs({"en": ["''", "''", "a", "a", "a", "a || ' -> ' || b", "a || ' -> ' || b", "a || ' -> ' || b", "a"], "fr": ["''", "a", "a", "a", "a || ' -> ' || b", "a || ' -> ' || b"], "de": ["''", "a", "a", "a", "a"]}, "VARCHAR")}) AS scope FROM programs""",
+    # Above four tokens everything is descended into; leaves and wanted leaves are left.
+    "syntax_spans": f"""WITH {V.PROGRAM_FILES}, n AS (SELECT file_path, {_IDS}, unnest({_programs(_by_node(lambda n: _place(n[4])), "INT")}) AS start, unnest({_programs(_by_node(lambda n: _place(n[5])), "INT")}) AS "end",
+      unnest({_programs(_by_node(lambda n: n[6] == 0), "BOOLEAN")}) AS leaf, unnest({_programs(_by_node(lambda n: n[3] == "import_statement"), "BOOLEAN")}) AS wanted, unnest({_programs(_by_node(lambda n: n[3] in _WANTED), "BOOLEAN")}) AS role FROM programs)
+      SELECT file_path, node_id, start, "end", CASE WHEN role THEN 'wanted' ELSE 'gap' END AS kind FROM n m WHERE (leaf OR role AND ceil(("end" - start) / 4.0) <= 4)
+        AND NOT EXISTS (SELECT 1 FROM n o WHERE o.file_path = m.file_path AND o.node_id < m.node_id AND o.role AND ceil((o."end" - o.start) / 4.0) <= 4 AND o.start <= m.start AND m."end" <= o."end")""",
+    "syntax_chunks": f"""WITH {V.PROGRAM_FILES} SELECT file_path || '__0' AS id, file_path, 0 AS start_line, 0 AS end_line, '# filePath: ' || file_path || chr(10) || '# scope:' || chr(10) || '#   - ' || a || chr(10) || '---' || chr(10) || content AS content FROM programs""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
+        scanned_files, json_pairs, json_node_counts, syntax_classified, syntax_scopes, syntax_spans, syntax_chunks, search_probed, glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
         documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, token_counts, json_nodes, line_nodes,
         classified_nodes, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,

@@ -58,6 +58,62 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(F.lit("events/"), F.col("event_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("props").alias("content"), F.lit("json").alias("language"))
 
 
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as objects of three pairs, one of them nested, one an array."""
+    e = table(spark, sf_dir, "events").where("props is not null")
+    content = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"props":'), "props", F.lit(',"tags":["x",null]}'))
+    return e.select(F.concat(F.lit("objects/"), F.col("event_id").cast("string"), F.lit(".json")).alias("file_path"), content.alias("content"), F.lit("json").alias("language"))
+
+
+#: Documents as small programs, by language: the text around the two names, and the nodes as (id, parent, field, type, start, end, children);
+#: places count from the start, with A and B for the lengths of the names.
+PROGRAMS = {
+    "en": ("typescript", ".ts", ("import a from 'b'; class ", " { ", "() { return 1 } }"), [
+        (0, None, None, "program", "0", "45 + A + B", 2), (1, 0, None, "import_statement", "0", "18", 0), (2, 0, None, "class_declaration", "19", "45 + A + B", 4), (3, 2, "name", "type_identifier", "25", "25 + A", 0),
+        (4, 2, None, "{", "26 + A", "27 + A", 0), (5, 2, None, "method_definition", "28 + A", "43 + A + B", 2), (6, 5, "name", "property_identifier", "28 + A", "28 + A + B", 0), (7, 5, "body", "statement_block", "31 + A + B", "43 + A + B", 0), (8, 2, None, "}", "44 + A + B", "45 + A + B", 0)]),
+    "fr": ("tsx", ".tsx", ("const ", " = <", "/>"), [
+        (0, None, None, "program", "0", "12 + A + B", 1), (1, 0, None, "lexical_declaration", "0", "12 + A + B", 1), (2, 1, None, "variable_declarator", "6", "12 + A + B", 2), (3, 2, "name", "identifier", "6", "6 + A", 0),
+        (4, 2, "value", "jsx_self_closing_element", "9 + A", "12 + A + B", 1), (5, 4, "name", "identifier", "10 + A", "10 + A + B", 0)]),
+    "de": ("javascript", ".js", ("function ", "() { return ", " }"), [
+        (0, None, None, "program", "0", "23 + A + B", 1), (1, 0, None, "function_declaration", "0", "23 + A + B", 2), (2, 1, "name", "identifier", "9", "9 + A", 0), (3, 1, "body", "statement_block", "12 + A", "23 + A + B", 1), (4, 3, None, "identifier", "21 + A", "21 + A + B", 0)]),
+}
+
+
+def program_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as small programs: (file_path, content, language, a, b), a and b being the names in them."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isin(list(PROGRAMS)))
+    d = d.select("lang", F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("a"), F.concat(F.lit("m"), F.length("text").cast("string")).alias("b"), "doc_id")
+
+    def chosen(part) -> Column:
+        out = F.lit(None)
+        for lang, program in PROGRAMS.items():
+            out = F.when(F.col("lang") == lang, part(program)).otherwise(out)
+        return out
+
+    path = F.concat(F.lit("code/"), F.col("doc_id").cast("string"), chosen(lambda p: F.lit(p[1])))
+    content = chosen(lambda p: F.concat(F.lit(p[2][0]), "a", F.lit(p[2][1]), "b", F.lit(p[2][2])))
+    return d.select(path.alias("file_path"), content.alias("content"), chosen(lambda p: F.lit(p[0])).alias("language"), "lang", "a", "b")
+
+
+def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, language, node columns) of the programs."""
+    kinds = "node_id int, parent_id int, field string, type string, start int, end int, start_row int, end_row int, child_count int"
+    nodes = F.lit(None).cast(f"array<struct<{kinds.replace(' int', ':int').replace(' string', ':string')}>>")
+    for lang, (_, _, _, rows) in PROGRAMS.items():
+        at = lambda x: f"int({x.replace('A', 'length(a)').replace('B', 'length(b)')})"
+        text = lambda x: "cast(null as string)" if x is None else f"'{x}'"
+        parts = [f"named_struct('node_id', {k}, 'parent_id', cast({'null' if p is None else p} as int), 'field', {text(f)}, 'type', {text(t)}, 'start', {at(i)}, 'end', {at(j)}, 'start_row', 0, 'end_row', 0, 'child_count', {n})" for k, p, f, t, i, j, n in rows]
+        nodes = F.when(F.col("lang") == lang, F.expr(f"array({', '.join(parts)})")).otherwise(nodes)
+    return program_files(spark, sf_dir).select("file_path", "language", F.explode(nodes).alias("n")).select("file_path", "language", "n.*")
+
+
+def written_files(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Documents written out as a tree of text files, one each, in the shared folder."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("text").alias("value"))
+    docs.repartition("doc_id").write.partitionBy("source", "lang", "doc_id").text(root)
+    return root
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their url's path and host as a file path."""
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
@@ -95,3 +151,9 @@ folded(file_path, k, a, b, r0, r1, tokens, part) AS (
 chunks AS (SELECT f.file_path || '__' || f.part AS id, f.file_path, f.r0::INT AS start_line, f.r1::INT AS end_line,
   '# filePath: ' || f.file_path || chr(10) || '---' || chr(10) || substr(s.content, (f.a + 1)::BIGINT, (f.b - f.a)::BIGINT) AS content
   FROM (SELECT file_path, part, min(a) AS a, max(b) AS b, min(r0) AS r0, max(r1) AS r1 FROM folded GROUP BY file_path, part) f JOIN {files_cte} s ON s.file_path = f.file_path)"""
+
+
+_EXTENSIONS = " ".join(f"WHEN '{lang}' THEN '{p[1]}'" for lang, p in PROGRAMS.items())
+_CONTENTS = " ".join("WHEN '{}' THEN '{}' || a || '{}' || b || '{}'".format(lang, *(x.replace("'", "''") for x in p[2])) for lang, p in PROGRAMS.items())
+PROGRAM_FILES = f"""names AS (SELECT lang, doc_id, 'C' || doc_id AS a, 'm' || length(text) AS b FROM documents WHERE lang IN ({", ".join(f"'{x}'" for x in PROGRAMS)})),
+programs AS (SELECT lang, a, b, 'code/' || doc_id || CASE lang {_EXTENSIONS} END AS file_path, CASE lang {_CONTENTS} END AS content FROM names)"""

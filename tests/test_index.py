@@ -141,3 +141,64 @@ def test_text_queries_and_ranges(spark):
     assert [r.file_path for r in lexical.glob(c, "[a]").collect()] == ["a"]
     hits = spark.createDataFrame([("a", 0, 3, 4), ("a", 3, 5, 2), ("a", 6, 7, 3), ("a", 1, 2, 9), ("b", 9, 9, 1), ("b", 2, 4, 8)], "file_path string, start_line int, end_line int, rank int")
     assert {(r.file_path, r.ranges, r.first_rank) for r in ranges.compact_ranges(hits).collect()} == {("a", "0-5, 6-7", 2), ("b", "2-4, 9-9", 1)}
+
+
+def test_each_text_is_embedded_once_a_run(spark, tmp_path):
+    """Writing an index embeds each distinct chunk once, and the run's own tables go when it is released."""
+    import os
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(texts):
+        seen.add(len(texts))
+        return hashed_words(texts)
+
+    texts = {f"p{i}": f"line one of {i}\n\nline two of {i}" for i in range(12)}
+    made = index_batch(files(spark, texts), empty_index(spark), Params(target=3, most=9, embed_fn=fn), now())
+    write_index(made, str(tmp_path), "p")
+    chunks = read_index(spark, str(tmp_path), "p").chunks.select("content").distinct().count()
+    assert seen.value == chunks == 24
+    held = made.held.removeprefix("file:")
+    assert os.path.isdir(held)
+    made.release()
+    assert not os.path.exists(held)
+
+
+def test_few_lists_find_most(spark):
+    """Recall at three of eight lists on clustered vectors, against the exact search; and only probed lists are read."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(8, 16))
+    x = np.concatenate([c + 0.35 * r.normal(size=(60, 16)) for c in centres]).astype(np.float32)
+    rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    chunks = spark.createDataFrame([(i, "f", 0, 1) for i, _ in rows], "id string, file_path string, start_line int, end_line int")
+    queries = spark.createDataFrame(rows[::16], "query_id string, embedding array<float>")
+    lists = search.build_ann(vectors, 8)
+    found = lambda df: {(t.query_id, t.chunk_id) for t in df.collect()}
+    exact = found(search.search_batch(chunks, vectors, queries, 10))
+    assert len(exact & found(search.search_ann(lists, chunks, queries, 10, 3))) >= 0.95 * len(exact)
+    assert found(search.search_ann(lists, chunks, queries, 10, 8)) == exact
+    plan = search.search_ann(lists, chunks, queries.limit(1), 10, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+
+
+def test_one_row_a_query_and_place_leaves_a_task(spark):
+    """Whatever the rows a task reads, k rows a query leave it."""
+    r = np.random.default_rng(8)
+    batches = [__import__("pyarrow").RecordBatch.from_pydict({"chunk_id": [f"r{b}_{i}" for i in range(50)], "embedding": r.normal(size=(50, 4)).tolist()}) for b in range(5)]
+    out = list(search._nearest(iter(batches), ["q", "s"], r.normal(size=(2, 4)), 3))
+    assert len(out) == 1 and out[0].num_rows == 6
+
+
+def test_programs_fold_small(spark):
+    """Node tables of the three languages through the whole chunker: a small budget splits class and import."""
+    from quillspan.operators.chunk import chunk_files
+    from quillspan.plans import views as V
+
+    text = "import a from 'b'; class C1 { m2() { return 1 } }"
+    spec = V.PROGRAMS["en"]
+    at = lambda e: eval(e.replace("A", "2").replace("B", "2"))  # noqa: E731, S307
+    nodes = spark.createDataFrame([("a.ts", k, p, f, t, at(i), at(j), 0, 0, n) for k, p, f, t, i, j, n in spec[3]], "file_path string, node_id int, parent_id int, field string, type string, start int, end int, start_row int, end_row int, child_count int")
+    assert at(spec[3][0][5]) == len(text) and all(text[at(i) : at(j)] == want for (_, _, _, t, i, j, _), want in zip(spec[3], [text, "import a from 'b';", text[19:], "C1", "{", "m2() { return 1 }", "m2", "{ return 1 }", "}"], strict=True))
+    got = chunk_files(spark.createDataFrame([("a.ts", text, "typescript")], "file_path string, content string, language string"), 5, 6, nodes).collect()
+    assert len(got) == 2 and "#   - C1 -> m2\n" in got[1].content and got[1].content.endswith("} }")

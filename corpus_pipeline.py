@@ -24,11 +24,18 @@ from quillspan.llm import jaccard_join, language_id, mixing, packing, secret_sca
 from quillspan.llm.arrays import for_long_texts, shared_dir, sized, table, written
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with the columns that are not those of documents under names that no operator gives, in the same order."""
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    return docs.toDF(*[c if c in own else f"__kept{i}" for i, c in enumerate(docs.columns)])
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is null or has no letters (`und`)."""
     for_long_texts(spark)
-    found = language_id.identified(docs, language_id.train(docs))
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    aside = _aside(docs)
+    found = language_id.identified(aside, language_id.train(docs))
+    return found.where("lang_pred <> 'und'").select(aside.columns).toDF(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +66,9 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix holds it (0 to 3 times)."""
     for_long_texts(spark)
-    mixed = mixing.mixed(docs).where("mix_copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(docs.columns)
+    aside = _aside(docs)
+    mixed = mixing.mixed(aside).where("mix_copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(aside.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ the stars, common shingles come last in every prefix, and the tests of one
 much-linked set are dealt out by a salt. `connected` never gathers a group.
 
 Nulls and empty texts have the empty set and link with nothing. Rows that share
-a doc_id are separate rows with one id. 64-bit values stand for shingles and
+a doc_id are separate rows with one id. A very long text is one set like others; it
+is hashed whole. An empty table gives no rows. Columns beside doc_id and text are
+not read, whatever their names. 64-bit values stand for shingles and
 sets; two different ones coincide with probability 2**-64.
 """
 

@@ -64,3 +64,13 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert got(spark, []) == []
     rows = [(i, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 " + f"tail{i}") for i in range(40)]
     assert got(spark, rows) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    """Whole texts decide: two long ones that differ at their ends only are near copies, one that differs in half is not."""
+    from quillspan.llm.jaccard_join import near_copies
+
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(5, " ".join(words)), (3, " ".join(words + ["and", "some", "more", "at", "end"])), (4, " ".join(words[:30_000] + [f"v{i}" for i in range(30_000)])), (9, "short")]
+    out = {r.doc_id: (r.component_id, r.n_shingles) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sid", "2 as root")).collect()}
+    assert out == {5: (3, 59_996), 3: (3, 60_001), 4: (4, 59_996), 9: (9, 1)}

@@ -48,3 +48,12 @@ def test_held_out_labels_do_not_matter(spark):
 def test_nothing_to_learn(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert [(x.lang_pred, x.score) for x in languages(df).collect()] == [("und", 0.0)] * len(rows)
+
+
+def test_very_long_and_repeated_rows(spark):
+    """A text of a million characters is scored whole; a row repeated very often counts once in training."""
+    rows = [r[:3] for r in corpus()] + [(7000, "ción que los ar el " * 60_000, None)] + [(3, "tion ing the er and", "xa")] * 3000
+    out = {x.doc_id: x for x in languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert out[7000].lang_pred == "xc" and len(out) == 361
+    held = [(x.lang_pred, r[3]) for r in corpus() if (x := out[r[0]]).held_out]
+    assert sum(a == b for a, b in held) / len(held) > 0.95

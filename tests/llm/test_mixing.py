@@ -105,3 +105,9 @@ def test_capped_levels_reach_the_target(spark):
     for s in "pq":
         assert abs(2 * (got[s, 1.0].n + got[s, 100.0].n) - got[s, 1.0].t) <= 2
     assert got["p", 100.0].n == 750 and max(r.most for r in got.values()) == 3
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 300_000, "a")] + [(i, "a b c", "b") for i in range(2, 200)]
+    got = {x.doc_id: x for x in mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 300_000 and got[1].taken in (300_000, 600_000) and len(got) == 199

@@ -67,3 +67,22 @@ def test_one_of_each_decides_by_row(spark):
 def test_run_on_files(spark, tmp_path):
     spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
+
+
+def test_stages_on_odd_tables(spark):
+    """Each stage on an empty table, and with a long text, nulls and extra columns whose names the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["1 as score", "'s' as sid", "2 as root", "3 as mix_size", "'t' as spans", "4L as length", "5 as piece"]
+    rows = [(1, "tion ing the er and " * 30_000, "xa", "p", 0), (2, None, None, None, None), (3, "", "xa", "p", 0), (4, "ung der sch und keit", "xb", "q", 0), (4, "ung der sch und keit", "xb", "q", 0), (None, "the password=abcdef1234567890 of it", "xa", "q", 0)]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        given = docs.selectExpr("*", *extra)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, None)
+            found = out.collect()
+            if name == "packing":
+                assert len([r for r in found if r.piece == 0]) == given.count()
+            else:
+                assert out.columns == given.columns
+                assert all((r.score, r.sid, r.root, r.mix_size, r.spans, r.length, r.piece) == (1, "s", 2, 3, "t", 4, 5) for r in found)
+            if name == "secret scan":
+                assert not any("abcdef1234567890" in (r.text or "") for r in found)

@@ -91,3 +91,11 @@ def test_small_buckets(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, " ".join(r.choice("abcd") for _ in range(80))) for i in range(40)]
     assert got(spark, rows) == brute(rows)
+
+
+def test_very_long_text(spark):
+    r = random.Random(2)
+    words = [f"z{i}" for i in range(5000)]
+    long = [r.choice(words) for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_100])), (3, " ".join(long[119_990:]))]
+    assert got(spark, rows) == brute(rows)

@@ -129,7 +129,10 @@ def _ask(docs: DataFrame, values: Callable, least: bool, buckets: int) -> DataFr
             many = np.zeros(len(cut), bool)
             np.logical_or.at(many, run, owner != low[run])
             known, answer = many[run], ~many[run]
-        uid = int.from_bytes(hashlib.blake2b(np.concatenate([ids[doc[[0, -1]]], tids[doc[[0, -1]]], at[[0, -1]], [len(h), int(h.sum().astype(np.int64))]]).tobytes(), digest_size=8).digest(), "little", signed=True)
+        digest = hashlib.blake2b(digest_size=8)  # of all that the batch's table is made of, order included: equal ids are equal tables
+        for x in (h, at, ids[doc], tids[doc]):
+            digest.update(np.ascontiguousarray(x).tobytes())
+        uid = int.from_bytes(digest.digest(), "little", signed=True)
         used, small = np.unique(doc, return_inverse=True)
         counts = np.bincount(small).astype(np.uint32)
         yield _rows([(int(uid % buckets), uid, 0, _slim(np.sort(order[known]).astype(np.uint32)), _slim(at.astype(np.uint32)), ids[used].tobytes(), tids[used].tobytes(), counts.tobytes())])
@@ -138,13 +141,10 @@ def _ask(docs: DataFrame, values: Callable, least: bool, buckets: int) -> DataFr
         waits = np.bincount(run[waiting], minlength=len(cut)).astype(np.uint32)
         bucket = (h[order[cut]] % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((order[cut], bucket))
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        present, begins = np.unique(bucket[by], return_index=True)
         first = starts_of(waits.astype(np.int64)) if len(waits) else np.zeros(0, np.int64)
         rows = []
-        for k in range(buckets):
-            mine = by[ends[k - 1] if k else 0 : ends[k]]
-            if not len(mine):
-                continue
+        for k, mine in zip(present.tolist(), np.split(by, begins[1:]), strict=True):
             w = waits[mine].astype(np.int64)
             inside = np.arange(w.sum()) - np.repeat(starts_of(w), w)
             idx = order[waiting[np.repeat(first[mine], w) + inside]]
@@ -201,6 +201,8 @@ def _ask(docs: DataFrame, values: Callable, least: bool, buckets: int) -> DataFr
                     yield told(own, marked)
                     uid, own, marked = row[1], None, []
                 if row[2] == 0:
+                    if own is not None and own[3:] != row[3:]:
+                        raise ValueError(f"two batches have the id {row[1]}")
                     own = row
                 marked.append(row[3])
         yield told(own, marked)

@@ -99,3 +99,19 @@ def test_very_long_text(spark):
     long = [r.choice(words) for _ in range(120_000)]
     rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_100])), (3, " ".join(long[119_990:]))]
     assert got(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("parts", [2, 3, 5, 9])
+def test_all_rows_twice_in_another_order(spark, parts):
+    """Two parts that hold the same rows in another order are two batches, each with a table of its own."""
+    r = random.Random(parts)
+    words = [f"u{i}" for i in range(3000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    shared = some(40)
+    rows = [(1, " ".join(some(60) + shared)), (2, " ".join(shared + some(230))), (3, " ".join(some(125))), (4, " ".join(some(55)))]
+    rows += [(10 + i, " ".join(some(20) + r.choice([shared, some(15)]) + some(20))) for i in range(12)]
+    layouts = [rows, [rows[0], *rows[2:], rows[1]], rows[::-1]] + [r.sample(rows, len(rows)) for _ in range(parts)]
+    dealt = layouts[:parts]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([x for part in dealt for x in part], parts), "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == parts
+    assert sorted((tuple(x) for x in deduplicated(df, with_text=True).collect()), key=str) == brute([x for part in dealt for x in part])

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.llm.arrays import for_long_texts, table
+from quillspan.llm.byte_bpe import encoded
+from quillspan.llm.centroids import clustered, clustered_sql
 from quillspan.llm.co_training import judged
+from quillspan.llm.hard_negatives import hard_negatives
 from quillspan.llm.html_blocks import extracted
 from quillspan.llm.jaccard_join import near_copies
 from quillspan.llm.language_id import languages
@@ -37,6 +41,13 @@ x AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
 SELECT w.doc_id, coalesce(len(l), 0) AS n_words, coalesce(len(l), 0) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
+_OP13 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.p, p.ps, s.b, s.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.b) AS k FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.ps <= 100 * s.s AND 100 * s.s <= 100 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE k <= 5"""
+
 
 def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     for_long_texts(spark)
@@ -83,10 +94,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(_texts(spark, sf_dir))
 
 
+def op11_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings")).drop("n_looked_at")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_texts(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives(rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_co_training, op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op8_permutation_index, op9_lossless_webp, op10_substring_dedup)
+    named = (op1_co_training, op2_block_labeller, op3_best_fit_packing, op4_language_id, op5_secret_scan, op6_pareto_mixing, op7_jaccard_join, op8_permutation_index, op9_lossless_webp, op10_substring_dedup, op11_rotated_centroids, op12_byte_bpe, op13_hard_negatives)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": _OP7, "op10_substring_dedup": _OP10}
+    return {"op7_jaccard_join": _OP7, "op10_substring_dedup": _OP10, "op11_rotated_centroids": clustered_sql(), "op13_hard_negatives": _OP13}

@@ -55,6 +55,11 @@ def glob_regex(pattern: str, dotfiles: bool = True) -> str:
     return "^" + "".join(out) + "$"
 
 
+def literal_prefix(pattern: str) -> str:
+    """What every matching path begins with: the pattern up to its first special character."""
+    return re.match(r"[^*?\[{},\\]*", pattern)[0]
+
+
 def matches(path: Column, patterns: list[str], dotfiles: bool = True) -> Column:
     """Whether any pattern matches; false for no patterns."""
     return path.rlike("|".join(f"(?:{glob_regex(p, dotfiles)})" for p in patterns)) if patterns else F.lit(False)

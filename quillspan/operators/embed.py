@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.sources.store import VectorStore
+
 WIDTH = 64
 
 
@@ -25,13 +27,12 @@ def hashed_words(texts: list[str], width: int = WIDTH) -> list[list[float]]:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).tolist()
 
 
-def embed_chunks(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]] = hashed_words, batch_size: int = 100, parallel: int | None = None) -> DataFrame:
-    """(chunk_id, embedding) of chunks(id, content): embed_fn gets lists of up to batch_size texts, and equal texts are sent once.
+def _keyed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "content", F.sha2("content", 256).alias("h"))
 
-    parallel sets how many calls run at a time.
-    """
-    keyed = chunks.select("id", "content", F.sha2("content", 256).alias("h"))
-    texts = keyed.groupBy("h").agg(F.min("content").alias("content"))
+
+def embed_texts(texts: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], batch_size: int = 100, parallel: int | None = None) -> DataFrame:
+    """(h, embedding) of texts(h, content), in lists of up to batch_size."""
     texts = texts.repartition(parallel) if parallel else texts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,5 +48,21 @@ def embed_chunks(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[fl
     def of(some: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"h": some["h"].tolist(), "embedding": embed_fn(some["content"].tolist())})
 
-    vectors = texts.mapInPandas(run, "h string, embedding array<float>")
+    return texts.select("h", "content").mapInPandas(run, "h string, embedding array<float>")
+
+
+def embed_chunks(chunks: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]] = hashed_words, batch_size: int = 100, parallel: int | None = None, store: VectorStore | None = None) -> DataFrame:
+    """(chunk_id, embedding) of chunks(id, content): embed_fn gets lists of up to batch_size texts, and equal texts are sent once.
+
+    parallel sets how many calls run at a time. store: texts that it knows are not
+    sent, and the others' vectors are in it before anything else reads them.
+    """
+    keyed = _keyed(chunks)
+    texts = keyed.groupBy("h").agg(F.min("content").alias("content"))
+    if store is None:
+        vectors = embed_texts(texts, embed_fn, batch_size, parallel)
+    else:
+        # Hashes alone are compared; of the store's vectors only the ones asked for are joined.
+        store.add(embed_texts(texts.join(store.vectors().select("h"), "h", "left_anti"), embed_fn, batch_size, parallel))
+        vectors = store.vectors().join(keyed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("embedding").alias("embedding"))
     return keyed.select("id", "h").join(vectors, "h").select(F.col("id").alias("chunk_id"), "embedding")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.globs import matches
+from quillspan.functions.globs import literal_prefix, matches
 
 
 def _hits(chunks: DataFrame, hit: Column, limit: int) -> DataFrame:
@@ -24,5 +24,8 @@ def grep_like(chunks: DataFrame, pattern: str, limit: int = 100) -> DataFrame:
 
 
 def glob(documents: DataFrame, pattern: str) -> DataFrame:
-    """The distinct indexed paths that match."""
-    return documents.select("file_path").distinct().where(matches(F.col("file_path"), [pattern]))
+    """The distinct indexed paths that match. The pattern's literal beginning reaches the scan, which skips row groups of other paths where they are sorted."""
+    path = F.col("file_path")
+    found = documents.select("file_path").where(matches(path, [pattern]))
+    begin = literal_prefix(pattern)
+    return (found.where(path.startswith(begin)) if begin else found).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import cosine_distance, norm
-from quillspan.sources.files import scratch_dir
+from quillspan.sources.store import scratch_dir
 
 #: Queries that are sent to the executors at once; more take several passes.
 QUERY_BLOCK, QUERY_BYTES = 4096, 16 << 20

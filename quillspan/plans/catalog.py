@@ -12,8 +12,9 @@ from quillspan.functions.globs import glob_filter
 from quillspan.operators import chunk, diff, embed, index, lexical, maintain, ranges, search
 from quillspan.plans import views as V
 from quillspan.plans.views import table
-from quillspan.sources.files import empty_index, read_index, scan_files, scratch_dir, wide_index, write_index
-from quillspan.streaming.index_stream import index_stream
+from quillspan.sources.files import scan_files, wide_index
+from quillspan.sources.store import VectorStore, empty_index, read_index, scratch_dir, write_index
+from quillspan.streaming.index_stream import apply_batch, index_stream
 
 _EXTENSION = "CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.mjs' WHEN 'de' THEN '.d.json' ELSE '.TS' END"
 
@@ -155,6 +156,25 @@ def index_streamed(spark, sf):
     return back.chunks.join(back.documents.select("file_path", "hash"), "file_path").groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def index_late(spark, sf):
+    """The documents, then an earlier snapshot of them that comes later: old versions do not replace new ones, other paths are added."""
+    root = scratch_dir(spark)
+    for files, at in ((V.files(spark, sf), 2), (V.old_files(spark, sf), 1)):
+        made = apply_batch(files.withColumn("arrived", F.lit(at)), read_index(spark, root, "p"))
+        write_index(made, root, "p")
+        made.release()
+    back = read_index(spark, root, "p")
+    return back.chunks.join(back.documents.select("file_path", "hash"), "file_path").groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def vectors_by_content(spark, sf):
+    """The old and the new snapshot's chunks, embedded through one store: how many vectors it holds of each text, by its hash."""
+    store = VectorStore(spark, scratch_dir(spark), "hashed_words")
+    for files in (V.old_files(spark, sf), V.files(spark, sf)):
+        embed.embed_chunks(chunk.chunk_files(files), store=store)
+    return store.vectors().groupBy("h").agg(F.count(F.lit(1)).alias("vectors"))
+
+
 def token_counts(spark, sf):
     return V.files(spark, sf).select("file_path", T.token_count(F.col("content")).alias("tokens"))
 
@@ -365,6 +385,10 @@ _SQL: dict[str, str] = {
     "index_counts": f"{_CHUNKS} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN files f ON f.file_path = c.file_path GROUP BY ALL",
     "index_written": f"WITH RECURSIVE {V.OLD}, {V.chunks_sql('old')} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN old f ON f.file_path = c.file_path GROUP BY ALL",
     "index_streamed": f"{_CHUNKS} SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN files f ON f.file_path = c.file_path GROUP BY ALL",
+    "index_late": f"""WITH RECURSIVE {V.FILES}, {V.OLD}, newest AS (SELECT * FROM files UNION ALL SELECT * FROM old WHERE file_path NOT IN (SELECT file_path FROM files)), {V.chunks_sql('newest')}
+      SELECT c.file_path, f.hash, count(*) AS chunks FROM chunks c JOIN newest f ON f.file_path = c.file_path GROUP BY ALL""",
+    "vectors_by_content": f"""WITH RECURSIVE {V.FILES}, {V.OLD}, paths AS (SELECT 'new' || file_path AS file_path, content, file_path AS own FROM files UNION ALL SELECT 'old' || file_path, content, file_path FROM old), {V.chunks_sql('paths')}
+      SELECT DISTINCT sha256('# filePath: ' || substr(content, 16)) AS h, 1::BIGINT AS vectors FROM chunks""",
     "token_counts": f"WITH {V.FILES} SELECT file_path, ceil(length(content) / 4.0)::INT AS tokens FROM files",
     "line_nodes": f"""WITH {V.FILES}, {V.lines_sql()} SELECT file_path, (row + 1)::INT AS node_id, 0 AS parent_id, CASE WHEN wanted THEN 'line' ELSE 'blank' END AS type, a::INT AS start, b::INT AS "end", row::INT AS start_row, 0 AS child_count FROM lines
       UNION ALL SELECT file_path, 0, NULL, 'document', 0, length(content)::INT, 0, len(string_split(content, chr(10)))::INT FROM files""",
@@ -438,7 +462,7 @@ _SQL |= {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         scanned_files, json_pairs, json_node_counts, syntax_classified, syntax_scopes, syntax_spans, syntax_chunks, search_probed, glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
-        documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, token_counts, json_nodes, line_nodes,
+        documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, index_late, vectors_by_content, token_counts, json_nodes, line_nodes,
         classified_nodes, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,
     )

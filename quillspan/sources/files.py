@@ -1,17 +1,12 @@
-"""Sources and sinks: trees of files, and index tables kept as versions of Parquet."""
+"""Sources: trees of files, and the wide table of an index."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.globs import glob_filter
 from quillspan.functions.text import content_hash, tag_language
-from quillspan.schemas import TABLES
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: dict[str, str] | None = None) -> DataFrame:
@@ -26,74 +21,6 @@ def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list
     return text.select("file_path", "content", content_hash(F.col("content")).alias("hash"), "language")
 
 
-@dataclass
-class Index:
-    """The three tables of one project's index."""
-
-    documents: DataFrame
-    chunks: DataFrame
-    embeddings: DataFrame
-    #: Folder of what a run has written for its own use, until its tables are written.
-    held: str | None = None
-
-    def release(self) -> None:
-        """Deletes what the run has written; its tables cannot be read after that."""
-        if self.held:
-            spark = self.documents.sparkSession
-            home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.held)
-            home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(home, True)
-            self.held = None
-
-
-def kept(df: DataFrame, path: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def empty_index(spark: SparkSession) -> Index:
-    return Index(**{name: spark.createDataFrame([], schema) for name, schema in TABLES.items()})
-
-
-def _versions(spark: SparkSession, root: str, project: str) -> tuple[object, object, list[int]]:
-    jvm = spark.sparkContext._jvm
-    home = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{project}")
-    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
-    done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(home, f"{n}/_READY"))]
-    return fs, home, sorted(done)
-
-
-def read_index(spark: SparkSession, root: str, project: str) -> Index:
-    """The newest complete version; empty tables where there is none."""
-    _, home, done = _versions(spark, root, project)
-    if not done:
-        return empty_index(spark)
-    return Index(**{name: spark.read.schema(schema).parquet(f"{home.toString()}/v{done[-1]}/{name}") for name, schema in TABLES.items()})
-
-
-def write_index(tables: Index, root: str, project: str) -> int:
-    """Write all tables to a new version, then mark it ready, which switches readers; returns the version."""
-    spark = tables.documents.sparkSession
-    fs, home, done = _versions(spark, root, project)
-    version = (done[-1] if done else 0) + 1
-    for name, schema in TABLES.items():
-        getattr(tables, name).select(schema.fieldNames()).write.mode("overwrite").parquet(f"{home.toString()}/v{version}/{name}")
-    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, f"v{version}/_READY")).close()
-    return version
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, one of our own in local mode; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-quillspan-")
-    return f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
-
-
 def wide_index(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row per embedded chunk with its file hash and vector; a vector without chunk or document raises."""
     d = documents.select("file_path", F.col("hash").alias("file_hash"))

@@ -7,7 +7,8 @@ from quillspan.operators import diff, lexical, maintain, ranges, search
 from quillspan.operators.embed import embed_chunks, hashed_words
 from quillspan.operators.index import Params, index_batch
 from quillspan.schemas import CHUNKS, DOCUMENTS, EMBEDDINGS
-from quillspan.sources.files import empty_index, read_index, scan_files, wide_index, write_index
+from quillspan.sources.files import scan_files, wide_index
+from quillspan.sources.store import empty_index, read_index, write_index
 from quillspan.streaming.index_stream import index_stream
 
 

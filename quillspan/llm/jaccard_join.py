@@ -24,7 +24,8 @@ the stars, common shingles come last in every prefix, and the tests of one
 much-linked set are dealt out by a salt. `connected` never gathers a group.
 
 Nulls and empty texts have the empty set and link with nothing. Rows that share
-a doc_id are separate rows with one id. A very long text is one set like others; it
+a doc_id are separate rows with one id; rows with a null doc_id link like others
+and give their class no id. A very long text is one set like others; it
 is hashed whole. An empty table gives no rows. Columns beside doc_id and text are
 not read, whatever their names. 64-bit values stand for shingles and
 sets; two different ones coincide with probability 2**-64.
@@ -264,18 +265,20 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(docs: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
-    """(sid, n, bits or set) of the documents named in owners(doc_id, sid)."""
+    """(sid, n, bits or set) of the rows named in owners(doc_id, text_id, sid): the id and the text together, as an id may have many texts, and a text many ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             texts, want = as_bytes(b.column("text")), b.column("sid").to_numpy()
             for i, j in pieces(texts):
                 sets = shingle_sets(texts[i:j])
-                same = [k for k, s in enumerate(sets) if len(s) and _digest(s) == want[i + k]]  # a doc_id may have several rows
+                same = [k for k, s in enumerate(sets) if len(s) and _digest(s) == want[i + k]]
                 made = [(sets[k] if kind == "set" else bitmap(sets[k])).tobytes() for k in same]
                 yield pa.RecordBatch.from_arrays([pa.array(want[i:j][same]), pa.array(np.array([len(sets[k]) for k in same], np.int64)), pa.array(made, pa.binary())], names=["sid", "n", kind])
 
-    return docs.select("doc_id", "text").join(sized(owners), "doc_id").select("sid", "text").mapInArrow(tidy(run), f"sid long, n long, {kind} binary").dropDuplicates(["sid"])
+    named = owners.select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__x"), "sid")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).join(sized(named), F.expr("text_id = __x and doc_id <=> __d"))
+    return rows.select("sid", "text").mapInArrow(tidy(run), f"sid long, n long, {kind} binary").dropDuplicates(["sid"])
 
 
 def _links(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -305,12 +308,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     order = np.argsort(common)
     common, rank = common[order], top.column("c").to_numpy()[order]
 
-    owners = written(sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    # A set's smallest row by id, null last; sets are linked by sid, whether an id is known or not.
+    first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "text_id")).alias("o")
+    owners = written(sets.where("sid is not null").groupBy("sid").agg(first).select("o.doc_id", "o.text_id", "sid"))
     tiles = written(_tiles(docs, common, rank))
     named = tiles.mapInArrow(_members, "tile long, sid long").select("sid").distinct()
     named = written(named)
-    bits = written(_with_sets(docs, owners.join(named, "sid", "left_semi").select("doc_id", "sid"), "bits"))
-    owners = owners.select("doc_id", "sid")
+    bits = written(_with_sets(docs, owners.join(named, "sid", "left_semi"), "bits"))
 
     other = bits.toDF("b", "m", "bits2")
     stars = tiles.mapInArrow(_stars, "a long, b long").distinct().join(bits.withColumnRenamed("sid", "a"), "a").join(other, "b")

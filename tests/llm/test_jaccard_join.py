@@ -74,3 +74,23 @@ def test_very_long_texts(spark):
     rows = [(5, " ".join(words)), (3, " ".join(words + ["and", "some", "more", "at", "end"])), (4, " ".join(words[:30_000] + [f"v{i}" for i in range(30_000)])), (9, "short")]
     out = {r.doc_id: (r.component_id, r.n_shingles) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sid", "2 as root")).collect()}
     assert out == {5: (3, 59_996), 3: (3, 60_001), 4: (4, 59_996), 9: (9, 1)}
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Of three texts in a chain the middle one has no id: they are one class all the same."""
+    words = [f"k{i}" for i in range(60)]
+    chain = [" ".join(words[i : i + 40]) for i in (0, 3, 6)]
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (None, "alone " * 9), (None, chain[1] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.root) for r in near_copies(df).collect())
+    assert [f[2] for f in found if f[0] in "12"] == [1, 1]
+    assert len({f[3] for f in found if f[1] > 30}) == 1 and [f[2] for f in found if f[0] == "None"].count(1) == 2
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that share an id are as many texts: each is looked up by id and text, so none meets the others' sets."""
+    r = random.Random(11)
+    words = [f"m{i}" for i in range(4000)]
+    bases = [[r.choice(words) for _ in range(40)] for _ in range(150)]
+    rows = [(7, " ".join(b)) for b in bases] + [(7, " ".join([*b[:39], "end"])) for b in bases[:100]] + [(8 + i, " ".join([*b[:39], "other"])) for i, b in enumerate(bases[50:])]
+    assert got(spark, rows) == brute(rows)

@@ -64,6 +64,15 @@ def test_one_of_each_decides_by_row(spark):
     assert len(nine) == 1 and sorted(map(str, want)) == sorted(str(x) for x in out if x[0] != 9)
 
 
+def test_one_of_each_without_ids(spark):
+    """Near copies without ids are one class; one row of it stays."""
+    text = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (None, text + " else"), (3, "quite another text of some words")]
+    docs = spark.createDataFrame([(d, t, "xa", "p", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, None).collect()]
+    assert len(out) == 2 and (3, rows[3][1]) in out
+
+
 def test_run_on_files(spark, tmp_path):
     spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50

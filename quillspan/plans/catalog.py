@@ -307,7 +307,7 @@ def search_lists(spark, sf):
 
 
 def search_probed(spark, sf):
-    """The nearest in three of eight lists: approximate, so only their distances' order and the query's own vector are sure."""
+    """The nearest in three of eight lists: approximate, so only each query's own vector, which lies in the first of them, is sure to come."""
     lists = search.build_ann(V.vectors(spark, sf), 8)
     return _rounded(search.search_ann(lists, V.vector_chunks(spark, sf), V.vector_queries(spark, sf), 10, 3)).where("rank = 1")
 
@@ -407,6 +407,7 @@ _SQL: dict[str, str] = {
     "search_one": f"WITH {V.VECTOR_CHUNKS}, q AS (SELECT arg_min(e, vec_id) AS v FROM vchunks) SELECT id AS chunk_id, file_path, start_line, end_line, round(list_cosine_distance(v, e), 6) AS distance FROM q, vchunks ORDER BY round(list_cosine_distance(v, e), 9), id LIMIT 10",
     "search_many": _MANY,
     "search_lists": _MANY,
+    "search_probed": _TOP + " SELECT query_id, rank, chunk_id, file_path, start_line, end_line, round(distance, 6) AS distance FROM top WHERE rank = 1",
     "search_ranges": f"{_TOP}, {_ranges_sql('top', True)}",
     "grep": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE contains(content, 'tion') ORDER BY file_path, start_line, id LIMIT 100",
     "grep_like": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE content LIKE '%src_/en/%the%tion%' ORDER BY file_path, start_line, id LIMIT 100",

@@ -179,8 +179,9 @@ def test_few_lists_find_most(spark):
     exact = found(search.search_batch(chunks, vectors, queries, 10))
     assert len(exact & found(search.search_ann(lists, chunks, queries, 10, 3))) >= 0.95 * len(exact)
     assert found(search.search_ann(lists, chunks, queries, 10, 8)) == exact
-    plan = search.search_ann(lists, chunks, queries.limit(1), 10, 1)._jdf.queryExecution().executedPlan().toString()
+    plan = search._probed(lists, np.array([[3]]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+    assert "embedding" not in plan.split("ReadSchema")[1]
 
 
 def test_one_row_a_query_and_place_leaves_a_task(spark):
@@ -203,3 +204,71 @@ def test_programs_fold_small(spark):
     assert at(spec[3][0][5]) == len(text) and all(text[at(i) : at(j)] == want for (_, _, _, t, i, j, _), want in zip(spec[3], [text, "import a from 'b';", text[19:], "C1", "{", "m2() { return 1 }", "m2", "{ return 1 }", "}"], strict=True))
     got = chunk_files(spark.createDataFrame([("a.ts", text, "typescript")], "file_path string, content string, language string"), 5, 6, nodes).collect()
     assert len(got) == 2 and "#   - C1 -> m2\n" in got[1].content and got[1].content.endswith("} }")
+
+
+def _bytes(folder):
+    import pathlib
+
+    return {str(p.parent.relative_to(folder)): sum(f.stat().st_size for f in p.parent.glob("*.parquet")) for p in pathlib.Path(folder).rglob("*.parquet")}
+
+
+def test_codes_bounds_and_balanced_lists(spark, tmp_path):
+    """Codes are a quarter of the vectors' bytes, their bounds hold, no part is beyond twice the mean, and all lists give the exact result, zero vectors and copies included."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(400, 128)), 3 + 0.1 * r.normal(size=(500, 128)), np.repeat(r.normal(size=(1, 128)), 300, axis=0), np.zeros((30, 128))]).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    rows = [(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    chunks = spark.createDataFrame([(i, "f", 0, 1) for i, _ in rows if i != "v0007"], "id string, file_path string, start_line int, end_line int")
+    lists = search.build_ann(vectors, 10, path=f"{tmp_path}/lists")
+    code, step, off = search.codes_of(x.astype(float))
+    unit = x / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-300)
+    assert (np.linalg.norm(unit - code * step[:, None].astype(float), axis=1) <= off).all() and off.max() < 0.05
+    parts = [t["count"] for t in lists.codes.groupBy("list", "shard").count().collect()]
+    assert sum(parts) == len(rows) and max(parts) <= 2 * len(rows) / 10 and len(lists.centres) > 10
+    assert sum(_bytes(f"{tmp_path}/lists/codes").values()) < 0.4 * sum(_bytes(f"{tmp_path}/lists/vectors").values())
+    queries = spark.createDataFrame([*rows[:25], ("zero", [0.0] * 128)], "query_id string, embedding array<float>")
+    pick = lambda df: sorted((t.query_id, t["rank"], t.chunk_id, t.distance and round(t.distance, 9)) for t in df.collect())
+    exact = pick(search.search_batch(chunks, vectors, queries, 8))
+    again = search.load_ann(spark, f"{tmp_path}/lists")
+    assert len(exact) == 26 * 8 and pick(search.search_ann(again, chunks, queries, 8, len(again.centres))) == exact
+
+
+def test_recall_on_the_embeddings(spark):
+    """Two thirds of the lists find nine of ten of the nearest, on vectors that have little structure."""
+    from quillspan.plans import views as V
+
+    sf = "/root/testdata/sf0.01"
+    chunks, vectors = V.vector_chunks(spark, sf), V.vectors(spark, sf)
+    queries = vectors.where("cast(chunk_id as int) % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    lists = search.build_ann(vectors, 12)
+    found = lambda df: {(t.query_id, t.chunk_id) for t in df.collect()}
+    exact = found(search.search_batch(chunks, vectors, queries, 10))
+    assert len(exact) == 500 and len(exact & found(search.search_ann(lists, chunks, queries, 10, 8))) >= 450
+
+
+def test_orphans_do_not_take_places(spark):
+    """More orphans than spare places, nearer than all chunks: every search still gives k chunks."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=8)
+    rows = [(f"o{i:03d}", base.tolist()) for i in range(120)] + [(f"c{i}", (base + 0.1 * (i + 1) * r.normal(size=8)).tolist()) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    chunks = spark.createDataFrame([(i, "f", 0, 1) for i, _ in rows if i[0] == "c"], "id string, file_path string, start_line int, end_line int")
+    queries = spark.createDataFrame([("q", base.tolist()), ("r", (-base).tolist())], "query_id string, embedding array<float>")
+    near = [t.chunk_id for t in search.search(chunks, vectors, base.tolist(), 4).collect()]
+    many = {(t.query_id, t["rank"]): t.chunk_id for t in search.search_batch(chunks, vectors, queries, 4).collect()}
+    assert [many[("q", n)] for n in range(1, 5)] == near and len(many) == 8
+    lists = search.build_ann(vectors, 2)
+    assert {(t.query_id, t["rank"]): t.chunk_id for t in search.search_ann(lists, chunks, queries, 4, len(lists.centres)).collect()} == many
+    assert len(search.search(chunks, vectors, base.tolist(), 100).collect()) == 9
+
+
+def test_no_vector_is_shuffled(spark):
+    """What a search of many queries moves are ids and distances."""
+    from quillspan.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    rows = V.vectors(spark, sf).select("chunk_id", "embedding")
+    ids, vectors = next(search._blocks(V.vector_queries(spark, sf)))
+    plan = search._ranked(rows.mapInArrow(lambda b: search._nearest(b, ids, vectors, 5), search.FOUND), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan.split("MapInArrow")[0]

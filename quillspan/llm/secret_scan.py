@@ -5,14 +5,14 @@ always stay. The field tags tokens (runs of key characters or of other letters,
 and every other character by itself) as begin, inside or outside of a secret,
 from the token's shape, a hash of its letters, the same of its neighbours, and
 features of the whole text. What it tags and no pattern's span touches is added,
-whatever its length or characters.
+whatever its length or characters, if the odds for it are `MARGIN` or more.
 
 It is trained here, by adaptive gradient steps on the exact likelihood, on a
 bounded sample: `sample` texts (the first by a hash of the text, half of them with
 words that the patterns know), each of which gives one stretch of `STRETCH`
 characters, at a place that the hash draws from the whole text, or around one of
 its patterns' values. The values are tagged; to stretches without any, a secret in
-another wording or something that only looks like one (`_training_secrets`,
+another wording and, another time, something that only looks like one (`_training_secrets`,
 `_decoys`) is added, so that the field learns what values and their surroundings
 look like and not the patterns.
 
@@ -46,6 +46,10 @@ _ACCESS_RUN, _HEX_RUN = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"(?<![0-9a
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 SAMPLE, STRETCH, STEPS, RATE, DIMS = 1000, 240, 60, 0.5, 1 << 13
+#: Log odds that a span needs over being outside.
+MARGIN = 0.5
+#: Share of numbers in groups among what only looks like a secret.
+GROUPED = 0.35
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 key character or letter, 2 by itself
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", *range(128, 256)]] = 1
@@ -199,6 +203,12 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return np.array(tags[::-1])
 
+    def odds(self, e: np.ndarray) -> float:
+        """How much better (in log probability) one span over these tokens is than none, between outside tokens."""
+        n = len(e)
+        inside = e[0, 1] + e[1:, 2].sum() + self.move[0, 1] + (self.move[1, 2] + (n - 2) * self.move[2, 2] + self.move[2, 0] if n > 1 else self.move[1, 0])
+        return float(inside - e[:, 0].sum() - (n + 1) * self.move[0, 0])
+
     def decode(self, features: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Tags of all tokens: Viterbi per text.
 
@@ -277,10 +287,25 @@ def _training_secrets(rng: np.random.Generator) -> tuple[str, str, str]:
     return lead + key + pick([" = ", "=", ": ", ":", " is ", " is: ", " was ", " ", " := ", " -> ", " => ", " (", " set to "]) + pick(["", "", "", '"', "'", "`"]), value, pick(["", "", "", ".", ",", '"', "'", ")", ";"])
 
 
+def _grouped(rng: np.random.Generator) -> str:
+    """Numbers in groups, as telephones, cards, accounts, identities and addresses have them, with and without a word before."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    digits = lambda n: "".join(map(str, rng.integers(10, size=n)))
+    gap, country = pick([" ", "-", "."]), pick(["+1 ", "+1-", "+1", "+44 ", "+49 ", "+33 ", "00", "", ""])
+    number = pick([
+        f"{country}({digits(3)}) {digits(3)}{pick('- .')}{digits(4)}", f"{country}{digits(3)}{gap}{digits(3)}{gap}{digits(4)}", f"{country}({digits(3)}){digits(7)}", f"{country}{digits(2)} {digits(4)} {digits(4)}",
+        gap.join(digits(4) for _ in range(4)), digits(16), f"{digits(4)} {digits(6)} {digits(5)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{pick(['DE', 'FR', 'GB'])}{digits(2)} {' '.join(digits(4) for _ in range(4))} {digits(2)}",
+        ".".join(str(rng.integers(256)) for _ in range(4)), f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(5)}-{digits(4)}",
+    ])
+    return pick(["", "", "call ", "Call: ", "tel. ", "Phone: ", "phone ", "fax ", "at ", "card ", "Card: ", "card number ", "IBAN ", "SSN ", "id ", "ip ", "reach us at ", "or "]) + number + pick(["", "", ".", ",", ";", ")"])
+
+
 def _decoys(rng: np.random.Generator, words: list[str]) -> str:
     """What looks a little like a secret and is none: key words in prose, numbers, dates, names, paths, versions."""
     pick = lambda xs: xs[rng.integers(len(xs))]
     word, other, n = pick(words), pick(words), int(rng.integers(1, 10**9))
+    if rng.random() < GROUPED:
+        return _grouped(rng)
     return pick([
         f"the secret {word} {other}", f"a token of {word}", f"password is {word}", f"the key {word} of {other}", f"forgot the password: {word} {other}", f"login as {word}", f"api key for {word}",
         f"order {n}", f"id {n}", f"call +49 {n % 1000} {n}", f"{n % 31 + 1}.{n % 12 + 1}.20{n % 90 + 10}", f"20{n % 90 + 10}-{n % 12 + 1:02d}-{n % 28 + 1:02d}T{n % 24:02d}:{n % 60:02d}:00Z", f"version {n % 20}.{n % 7}.{n % 13}",
@@ -289,7 +314,7 @@ def _decoys(rng: np.random.Generator, words: list[str]) -> str:
 
 
 def training_sequences(stretches: list[tuple[str, list[tuple[int, int]]]], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, tags) of stretches of texts with their values' places; those without any also with an added secret or decoy."""
+    """(features, tags) of stretches of texts with their values' places; those without any also with an added secret, and with a decoy."""
     rng = np.random.default_rng(seed)
     made, spans = [], []
 
@@ -302,14 +327,15 @@ def training_sequences(stretches: list[tuple[str, list[tuple[int, int]]]], seed:
         add(text, marks)
         if marks:
             continue
-        cut = int(rng.integers(0, len(text) + 1))
-        head, tail = text[:cut].rpartition(" ")[0], text[cut:].partition(" ")[2]
-        if rng.random() < 0.6:
-            before, value, after = _training_secrets(rng)
-            head = f"{head} {before}" if head else before
-            add(f"{head}{value}{after} {tail}", [(len(head), len(head) + len(value))])
-        else:
-            add(f"{head} {_decoys(rng, words)} {tail}", [])
+        for real in (True, False):
+            cut = int(rng.integers(0, len(text) + 1))
+            head, tail = text[:cut].rpartition(" ")[0], text[cut:].partition(" ")[2]
+            if real:
+                before, value, after = _training_secrets(rng)
+                head = f"{head} {before}" if head else before
+                add(f"{head}{value}{after} {tail}", [(len(head), len(head) + len(value))])
+            else:
+                add(f"{head} {_decoys(rng, words)} {tail}", [])
     tokens, out = Tokens(made), []
     bounds = np.searchsorted(tokens.text, np.arange(len(made) + 1))
     for k, marks in enumerate(spans):
@@ -366,12 +392,15 @@ def added_spans(field: Field, texts: list[bytes]) -> list[list[tuple[int, int]]]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not len(tokens.start):
         return out
-    tags = field.decode(tokens.features, tokens.text)
+    scores = field.scores(tokens.features)
+    tags = field.best_tags(scores, tokens.text)
     hit = np.flatnonzero(tags == 1)
     for i in hit.tolist():
         j = i
         while j + 1 < len(tags) and tags[j + 1] == 2 and tokens.text[j + 1] == tokens.text[i]:
             j += 1
+        if field.odds(scores[i : j + 1]) < MARGIN:
+            continue
         k = int(tokens.text[i])
         out[k].append((int(tokens.start[i]) - int(tokens.at[k]), int(tokens.end[j]) - int(tokens.at[k])))
     return out

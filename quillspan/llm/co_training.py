@@ -7,8 +7,11 @@ capitals, digits), without any word. Each view has a logistic regression, fitted
 here. In every round both score all rows of the corpus that are not learned from,
 each task keeps its surest, and the rows a view is surest of (in the proportion of
 the labels, `grow` of the labelled rows at most) are offered, with its label, to
-the *other* view. It learns from them if that does not make it worse on labelled
-rows that were kept apart for this. Then each view is calibrated and the
+the *other* view. A row is offered to a view once: what has been offered, whether
+it was kept or not, leaves that view's pool, so that each round brings the next
+surest, and all rounds together offer `rounds * grow` of the labelled rows at most.
+The view learns from them if that does not make the two views combined worse on
+labelled rows that were kept apart for this. Then each view is calibrated and the
 calibrated views are combined, by logistic fits on two further parts of the
 labelled rows.
 
@@ -30,7 +33,7 @@ read; of these, all but doc_id and text may be missing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +194,12 @@ class CoTrained:
     def _line(self, k: int, part: int) -> np.ndarray:
         return _line(self.views[k].score(self.rows[k][part])[:, None], self.y[part])
 
+    def _judged(self) -> float:
+        """Loss of the combined score on the judging part; combined on the part that calibrates the offers."""
+        z = [np.column_stack([self.log_odds(k, self.rows[k][p]) for k in (0, 1)]) for p in (1, 2)]
+        top = _line(z[0], self.y[1])
+        return _loss(z[1] @ top[:-1] + top[-1], self.y[2])
+
     def log_odds(self, k: int, rows: Rows) -> np.ndarray:
         return self.views[k].score(rows) * self.lines[k][0] + self.lines[k][1]
 
@@ -200,12 +209,12 @@ class CoTrained:
         return max(1, round(total * (1 - share))), max(1, round(total * share))
 
     def teach(self, k: int, rows: Rows, labels: np.ndarray) -> bool:
-        """Let view k learn rows that the other is sure of; taken back if it then knows the judging part less well."""
-        before, kept = _loss(self.log_odds(k, self.rows[k][2]), self.y[2]), (self.views[k], self.lines[k], self.told[k])
+        """Let view k learn rows that the other is sure of; taken back if both views combined then know the judging part less well."""
+        before, kept = self._judged(), (self.views[k], self.lines[k], self.told[k])
         self.told[k] = (_joined([self.told[k][0], rows]), np.concatenate([self.told[k][1], labels]))
         self.views[k] = self._fit(k, *self.told[k])
         self.lines[k] = self._line(k, 1)
-        if _loss(self.log_odds(k, self.rows[k][2]), self.y[2]) > before:
+        if self._judged() > before:
             self.views[k], self.lines[k], self.told[k] = kept
             return False
         return True
@@ -254,8 +263,12 @@ def _fetched(features: DataFrame, keys: DataFrame, on: str) -> dict:
     return {r[0]: (bytes(r.v.content), bytes(r.v.metadata)) for r in least.collect()}
 
 
-def _surest(features: DataFrame, models: dict[str, CoTrained]) -> dict[tuple[str, int, int], list[int]]:
-    """(target, view, label) -> rows: those that each view is surest of among all rows, surest first."""
+def _surest(features: DataFrame, models: dict[str, CoTrained], done: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int, int], list[int]]:
+    """(target, view, label) -> rows: those that each view is surest of among all rows but those done, surest first.
+
+    done: (target, view) -> rows, sorted, that the view has offered; at most
+    `rounds * grow` of the labelled rows.
+    """
     wanted = {t: m.wanted() for t, m in models.items()}
     scorers = {t: (m.views, m.lines) for t, m in models.items()}
     kinds = [(t, k, label) for t in models for k in (0, 1) for label in (0, 1)]
@@ -267,7 +280,9 @@ def _surest(features: DataFrame, models: dict[str, CoTrained]) -> dict[tuple[str
             z = {(t, k): m[k].score(views[k]) * lines[k][0] + lines[k][1] for t, (m, lines) in scorers.items() for k in (0, 1)}
             for i, (t, k, label) in enumerate(kinds):
                 sure = z[t, k] if label else -z[t, k]
-                use = np.flatnonzero(sure > SURE)
+                old = done[t, k]
+                told = old[np.minimum(np.searchsorted(old, rows), len(old) - 1)] == rows if len(old) else np.zeros(len(rows), bool)
+                use = np.flatnonzero((sure > SURE) & ~told)
                 r, s = np.concatenate([best[i][0], rows[use]]), np.concatenate([best[i][1], sure[use]])
                 r, first = np.unique(r, return_index=True)
                 top = np.lexsort((r, -s[first]))[: wanted[t][label]]
@@ -283,8 +298,8 @@ def _surest(features: DataFrame, models: dict[str, CoTrained]) -> dict[tuple[str
     return out
 
 
-def train(features: DataFrame, labels: DataFrame, targets: tuple[str, ...], labelled: int = LABELLED, rounds: int = ROUNDS, grow: float = GROW) -> dict[str, CoTrained]:
-    """A model for each label column of labels(doc_id, ...), from a table of `featured`."""
+def train(features: DataFrame, labels: DataFrame, targets: tuple[str, ...], labelled: int = LABELLED, rounds: int = ROUNDS, grow: float = GROW, watch: Callable | None = None) -> dict[str, CoTrained]:
+    """A model for each label column of labels(doc_id, ...), from a table of `featured`. watch gets each round's offers."""
     y = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.min(t).alias(t) for t in targets])
     h = F.xxhash64("doc_id")
     chosen = written(y.join(features.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(h, "doc_id").limit(labelled))
@@ -296,22 +311,24 @@ def train(features: DataFrame, labels: DataFrame, targets: tuple[str, ...], labe
         models[t] = CoTrained(_views([mine[r.doc_id][0] for r in use], [mine[r.doc_id][1] for r in use]), np.array([float(r[t]) for r in use]), grow)
     able = {t: m for t, m in models.items() if m.views is not None}
     others = features.join(sized(chosen.select("doc_id")), "doc_id", "left_anti") if able else None
+    done = {(t, k): np.zeros(0, np.int64) for t in able for k in (0, 1)}
     for _ in range(rounds if able else 0):
-        offered = _surest(others, able)
+        offered = _surest(others, able, done)
+        for (t, k, _), found in offered.items():
+            done[t, k] = np.union1d(done[t, k], np.array(found, np.int64))
+        if watch is not None:
+            watch(offered)
         rows = sorted({r for found in offered.values() for r in found})
         if not rows:
             break
         got = _fetched(others, features.sparkSession.createDataFrame([(r,) for r in rows], "row long"), "row")
-        learned = []
         for t, m in able.items():
             # Both views' offers are made before either learns.
             for k in (0, 1):
                 pairs = [(r, label) for label in (0, 1) for r in offered[t, 1 - k, label]]
                 if pairs:
                     new = _views([got[r][0] for r, _ in pairs], [got[r][1] for r, _ in pairs])[k]
-                    learned.append(m.teach(k, new, np.array([float(label) for _, label in pairs])))
-        if not any(learned):
-            break
+                    m.teach(k, new, np.array([float(label) for _, label in pairs]))
     return {t: m.finish() for t, m in models.items()}
 
 

@@ -103,3 +103,18 @@ def test_small_fits():
     assert (m.score(x) > 0).tolist() == [True, False, True, False]
     w = _line(np.array([[1.0], [2], [3], [4]]), np.array([0.0, 0, 1, 1]))
     assert w[0] > 0 and abs(w[0] * 2.5 + w[1]) < 0.3
+
+
+def test_no_row_is_told_twice(spark):
+    """Every round offers a view rows that it was not offered before, and later rounds still find some."""
+    rows, truth = taught_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    lab = spark.createDataFrame([(i, k, int(i % 7 == 0)) for i, k in truth.items() if i < 400], "doc_id long, quality int, toxic int")
+    seen = []
+    train(featured(df), lab, ("quality", "toxic"), rounds=3, grow=0.2, watch=seen.append)
+    assert len(seen) == 3 and all(sum(map(len, offers.values())) > 0 for offers in seen)
+    for target in ("quality", "toxic"):
+        for view in (0, 1):
+            told = [r for offers in seen for label in (0, 1) for r in offers[target, view, label]]
+            assert len(told) == len(set(told))
+            assert len(told) <= 3 * (0.2 * 250 + 2)

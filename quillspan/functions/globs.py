@@ -70,7 +70,11 @@ def exclude_pattern(pattern: str) -> str:
     return pattern if "/" in pattern or "\\" in pattern else f"**/{pattern}"
 
 
+def chosen_path(path: Column, include: list[str], exclude: list[str], dotfiles: bool = False) -> Column:
+    """Whether an include pattern matches and no exclude pattern does."""
+    return matches(path, include, dotfiles) & ~matches(path, [exclude_pattern(p) for p in exclude], True)
+
+
 def glob_filter(df: DataFrame, path_col: str, include: list[str], exclude: list[str], dotfiles: bool = False) -> DataFrame:
     """Rows whose path matches an include pattern and no exclude pattern. Without include patterns there are none."""
-    path = F.col(path_col)
-    return df.where(matches(path, include, dotfiles) & ~matches(path, [exclude_pattern(p) for p in exclude], True))
+    return df.where(chosen_path(F.col(path_col), include, exclude, dotfiles))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 from quillspan.functions.text import CLOSING
 
@@ -31,8 +32,25 @@ def rules() -> list[tuple[str, str, bool, bool, bool]]:
     return [(lang, t, t in WANTED[lang], t in SCOPE[lang], t in IMPORT[lang]) for lang in WANTED for t in sorted({*WANTED[lang], *SCOPE[lang], *IMPORT[lang]})]
 
 
-def utf16_tokens(text: str) -> int:
-    return -(-len(text.encode("utf-16-le", "surrogatepass")) // 8)
+def utf16_counter(content: str) -> Callable[[int, int], int]:
+    """Token counts of a text's intervals, ceil(UTF-16 units / 4), each in constant time after one pass over the text."""
+    if len(content.encode("utf-16-le", "surrogatepass")) == 2 * len(content):
+        return lambda a, b: -(-max(0, b - a) // 4)
+    units = [0, *accumulate(2 if c > "\uffff" else 1 for c in content)]
+    return lambda a, b: -(-max(0, units[b] - units[a]) // 4)
+
+
+def counted_slices(files: list[tuple[str, str, list[list]]], counter: Callable[[list[str]], list[int]], most: int = 1000) -> dict[str, int]:
+    """Token counts, by a counter of lists of texts, of what the nodes of files(content, language, nodes) may be asked for: the distinct texts of wanted nodes and leaves, each once, in lists of up to `most`."""
+    texts = sorted({content[n[4] : n[5]] for content, language, nodes in files for n in nodes if not n[8] or n[3] in WANTED.get(language, [])})
+    out: dict[str, int] = {}
+    for i in range(0, len(texts), most):
+        some = texts[i : i + most]
+        counts = counter(some)
+        if len(counts) != len(some):
+            raise ValueError(f"the counter gave {len(counts)} counts for {len(some)} texts")
+        out.update(zip(some, map(int, counts), strict=True))
+    return out
 
 
 class Tree:
@@ -177,16 +195,19 @@ def scopes_of(nodes: list[list], language: str, content: str) -> dict[int, list[
     return out
 
 
-def spans_of(nodes: list[list], language: str, content: str, most: int) -> list[tuple]:
+def spans_of(nodes: list[list], language: str, content: str, most: int, count: Callable[[int, int], int] | None = None) -> list[tuple]:
     """(start, end, start_row, end_row, tokens, scope, kind): wanted nodes small enough or without children, and the other leaves as gaps."""
     wanted, imports = set(WANTED.get(language, [])), set(IMPORT.get(language, []))
     rows, _ = ordered(nodes)
+    count = count or utf16_counter(content)
     scopes, out, done = scopes_of(nodes, language, content), [], set()
     for n in rows:
         if n[1] in done:
             done.add(n[0])
             continue
-        tokens = utf16_tokens(content[n[4] : n[5]])
+        if n[3] not in wanted and n[8]:
+            continue
+        tokens = count(n[4], n[5])
         kind = "wanted" if n[3] in wanted and (tokens <= most or not n[8]) else "gap" if not n[8] else None
         if kind:
             done.add(n[0])
@@ -232,8 +253,8 @@ def header(file_path: str, scope: list[list[str]]) -> str:
     return f"# filePath: {file_path}\n" + ("# scope:\n" + "".join(f"#   - {x}\n" for x in items) if items else "") + "---\n"
 
 
-def chunks_of(file_path: str, content: str, language: str, nodes: list[list], target: int, most: int) -> Iterator[tuple]:
+def chunks_of(file_path: str, content: str, language: str, nodes: list[list], target: int, most: int, count: Callable[[int, int], int] | None = None) -> Iterator[tuple]:
     """(id, file_path, start_line, end_line, content) of a file's chunks."""
-    merged = fold(spans_of(nodes, language, content, most), language, content, target)
+    merged = fold(spans_of(nodes, language, content, most, count), language, content, target)
     for k, s in enumerate(merged):
         yield (f"{file_path}__{k}", file_path, s[2], s[3], header(file_path, s[5]) + content[s[0] : s[1]])

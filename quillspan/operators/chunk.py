@@ -7,16 +7,18 @@ that bring syntax nodes of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspan.functions import trees
-from quillspan.functions.text import token_count
 from quillspan.schemas import NODE, SPAN
 
+#: Characters of files whose nodes are held at once.
+FILE_CHARS = 1 << 20
 _NODE = [x.split()[0] for x in NODE.split(", ")]
 _SPAN_NAMES = ["start", "end", "start_row", "end_row", "tokens", "scope", "kind"]
 _NODE_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 5]
@@ -107,27 +109,38 @@ def merge_spans(spans: DataFrame, files: DataFrame, target: int) -> DataFrame:
     return joined.mapInArrow(run, f"file_path string, part int, {SPAN}")
 
 
-def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_source: str | DataFrame = "lines") -> DataFrame:
+def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_source: str | DataFrame = "lines", counter: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
     """(id, file_path, start_line, end_line, content): the chunks of files(file_path, content, language).
 
     node_source: `lines`, `json`, or a node table (file_path, node columns).
-    Files without a wanted node, and null contents, give no chunks.
+    counter: token counts of a list of texts, instead of ceil(UTF-16 units / 4); it
+    gets the distinct node texts of some files at once. Files without a wanted
+    node, and null contents, give no chunks.
     """
     source = node_source if isinstance(node_source, str) else "table"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
+            some, size = [], 0
             given = b.column("nodes").to_pylist() if "nodes" in b.schema.names else [None] * b.num_rows
             for p, c, lang, ns in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), b.column("language").to_pylist(), given, strict=True):
                 if c is None:
                     continue
                 found = [[n[x] for x in _NODE] for n in ns] if ns is not None else trees.json_nodes(c) if source == "json" else trees.line_nodes(c)
-                rows += trees.chunks_of(p, c, "text" if source == "lines" else lang, found, target, most)
-                if len(rows) > 2000:
-                    yield _table(rows, _CHUNK_TYPES, ["id", "file_path", "start_line", "end_line", "content"])
-                    rows = []
-            yield _table(rows, _CHUNK_TYPES, ["id", "file_path", "start_line", "end_line", "content"])
+                some.append((p, c, "text" if source == "lines" else lang, found))
+                size += len(c)
+                if size > FILE_CHARS:
+                    yield made(some)
+                    some, size = [], 0
+            yield made(some)
+
+    def made(some: list[tuple]) -> pa.RecordBatch:
+        counts = trees.counted_slices([f[1:] for f in some], counter) if counter else None
+        rows = []
+        for p, c, lang, found in some:
+            count = None if counts is None else (lambda i, j, c=c: counts[c[i:j]])
+            rows += trees.chunks_of(p, c, lang, found, target, most, count)
+        return _table(rows, _CHUNK_TYPES, ["id", "file_path", "start_line", "end_line", "content"])
 
     if isinstance(node_source, DataFrame):
         read = _with_nodes(files, node_source)
@@ -137,12 +150,19 @@ def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_sour
 
 
 def with_tokens(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """nodes with the token count of their text. A file's nodes are beside its content once, as an array, so the content is not repeated by node."""
+    """nodes with the token count of their text. A file's nodes are beside its content once, as an array; its UTF-16 units are summed once, so a node costs the same wherever it lies."""
     own = [c for c in nodes.columns if c != "file_path"]
     packed = nodes.groupBy("file_path").agg(F.collect_list(F.struct(*own)).alias("nodes")).join(files.select("file_path", "content"), "file_path")
+    packed = packed.select("file_path", "nodes", "content", F.transform("nodes", lambda n: n["start"]).alias("starts"), F.transform("nodes", lambda n: n["end"]).alias("ends"))
+    schema = packed.select("file_path", "nodes").schema.add("tokens", ArrayType(IntegerType()))
 
-    def counted(n: Column) -> Column:
-        text = F.substring(F.col("content"), n["start"] + 1, n["end"] - n["start"])
-        return F.struct(*[n[c].alias(c) for c in own], token_count(text).alias("tokens"))
-
-    return packed.select("file_path", F.explode(F.transform("nodes", counted)).alias("n")).select("file_path", "n.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = []
+            for c, starts, ends in zip(*(b.column(x).to_pylist() for x in ("content", "starts", "ends")), strict=True):
+                count = trees.utf16_counter(c) if c is not None else lambda i, j: None
+                tokens.append([count(i, j) for i, j in zip(starts, ends, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column("file_path"), b.column("nodes"), pa.array(tokens, pa.list_(pa.int32()))], names=["file_path", "nodes", "tokens"])
+
+    each = packed.mapInArrow(run, schema).select("file_path", F.explode(F.arrays_zip("nodes", "tokens")).alias("n"))
+    return each.select("file_path", "n.nodes.*", "n.tokens")

@@ -22,6 +22,8 @@ class Params:
     node_source: str = "lines"
     embed_fn: Callable = hashed_words
     batch_size: int = 100
+    #: Token counts of a list of texts; ceil(UTF-16 units / 4) without.
+    counter: Callable | None = None
     #: Where vectors are kept by content, so that a text is embedded once whatever run it comes in.
     store: VectorStore | None = None
 
@@ -50,7 +52,7 @@ def index_batch(files: DataFrame, index: Index, params: Params | None = None, no
     documents = remove_documents(old["documents"], clean)
     changed = files.join(todo, "file_path", "left_semi")
     # Chunks and vectors are written once: no text is chunked or embedded twice, whatever reads them and whichever executor is lost.
-    new = kept(chunk_files(changed, params.target, params.most, params.node_source), f"{root}/chunks")
+    new = kept(chunk_files(changed, params.target, params.most, params.node_source, params.counter), f"{root}/chunks")
     vectors = kept(embed_chunks(new, params.embed_fn, params.batch_size, store=params.store), f"{root}/vectors")
     with_chunks = changed.join(new.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "hash")
     made = {"documents": insert_documents(documents, with_chunks, now), "chunks": insert_chunks(chunks, new, now), "embeddings": insert_embeddings(embeddings, vectors, now)}

@@ -231,11 +231,12 @@ def build_ann(embeddings: DataFrame, n_lists: int = 16, seed: int = 7, sample_by
     """
     spark = embeddings.sparkSession
     rows = embeddings.select("chunk_id", "embedding", F.xxhash64("embedding").alias("twin")).where("embedding is not null")
-    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    known, width = width is not None, width or 1
     some = rows.where(norm(F.col("embedding")) > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, sample_bytes // (4 * width))).toArrow()
-    x = np.array(some.column("embedding").to_pylist(), float).reshape(some.num_rows, -1)
+    x = np.array(some.column("embedding").to_pylist(), float).reshape(some.num_rows, width)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    centres = _fitted(x, n_lists, seed) if len(x) else np.zeros((1, width))
+    centres = _fitted(x, n_lists, seed) if len(x) else np.zeros((int(known), width))
 
     def counted(centres: np.ndarray) -> dict[int, int]:
         return {r["list"]: r["count"] for r in assigned(centres).groupBy("list").count().collect()}
@@ -259,7 +260,7 @@ def build_ann(embeddings: DataFrame, n_lists: int = 16, seed: int = 7, sample_by
     shards = [1 if s == 1 else 2 * s for s in shards]  # a hash deals rows a little unevenly
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.array(shards)
+        many = np.array(shards, int)
         for b in batches:
             which = b.column("list").to_numpy()
             code, step, off = codes_of(_matrix(b.column("embedding"), b.num_rows)) if b.num_rows else (np.zeros((0, 0), np.int8), np.zeros(0, np.float32), np.zeros(0, np.float32))
@@ -372,7 +373,7 @@ def search_ann(lists: Lists, chunks: DataFrame, queries: DataFrame, k: int = 10,
 
     def ask(some: DataFrame, n: int, with_chunks: bool) -> DataFrame:
         parts = []
-        for ids, vectors in _blocks(some):
+        for ids, vectors in _blocks(some) if len(lists.centres) else ():
             probes = _closest(vectors, lists.centres, n_probe)
             read = _with_chunks(_probed(lists, probes), chunks) if with_chunks else _probed(lists, probes)
             parts.append(read.mapInArrow(lambda batches, ids=ids, vectors=vectors, probes=probes: _coded(batches, ids, vectors, probes, n), "query_id string, chunk_id string, low double, high double"))

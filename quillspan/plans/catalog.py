@@ -228,6 +228,26 @@ def syntax_chunks(spark, sf):
     return chunk.chunk_files(V.program_files(spark, sf), 50, 100, V.program_nodes(spark, sf))
 
 
+def class_chunks(spark, sf):
+    """Classes with a method a line: small ones whole, others cut between methods, with the scopes of each chunk's methods."""
+    return chunk.chunk_files(V.class_files(spark, sf), 60, 120, V.class_nodes(spark, sf))
+
+
+def word_chunks(spark, sf):
+    """Line chunks by a counter of the caller's, words."""
+    return chunk.chunk_files(V.files(spark, sf), 64, 512, counter=lambda texts: [len(t.split()) for t in texts])
+
+
+def grep_parts(spark, sf):
+    """A rare pattern, looked up in a text index of small parts."""
+    return lexical.grep_indexed(lexical.build_text_index(_chunks(spark, sf), part_bytes=1 << 18, bits=1 << 16), "token", 1000)
+
+
+def grep_like_parts(spark, sf):
+    index = lexical.build_text_index(_chunks(spark, sf), part_bytes=1 << 18, bits=1 << 16)
+    return lexical.grep_like_indexed(index, "filePath: src_/en/%token", 1000)
+
+
 def json_scopes(spark, sf):
     files = V.json_files(spark, sf)
     return chunk.scope_paths(chunk.nodes_from_json(files), files).select("file_path", "node_id", F.array_join("scope", " -> ").alias("scope"))
@@ -364,6 +384,7 @@ SELECT file_path, string_agg(s || '-' || e, ', ' ORDER BY s, e) AS ranges{r2} FR
 
 
 _PROPS = """WITH p AS (SELECT 'events/' || event_id || '.json' AS file_path, regexp_extract(props, '"([^"]*)"', 1) AS key, length(regexp_extract(props, '"([^"]*)"', 1)) AS k, length(props) AS n FROM events WHERE props IS NOT NULL)"""
+_WORDS = r"len(regexp_extract_all(line, '\S+'))::INT"
 _CLEAN = "(SELECT file_path FROM diff WHERE status IN ('modified', 'deleted'))"
 _SQL: dict[str, str] = {
     "glob_pages": f"WITH {V.PAGES} SELECT * FROM paths WHERE (regexp_matches(file_path, '^([^./][^/]*/)*(en|fr)/([^./][^/]*)?$') OR regexp_matches(file_path, '^blog\\.[^/]*/([^./][^/]*)?(/([^./][^/]*)?)*$')) AND NOT regexp_matches(file_path, '^(.*/)?[^/]*5$') AND NOT regexp_matches(file_path, '^m\\.[^/]*/de/.*$')",
@@ -411,6 +432,10 @@ _SQL: dict[str, str] = {
     "search_ranges": f"{_TOP}, {_ranges_sql('top', True)}",
     "grep": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE contains(content, 'tion') ORDER BY file_path, start_line, id LIMIT 100",
     "grep_like": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE content LIKE '%src_/en/%the%tion%' ORDER BY file_path, start_line, id LIMIT 100",
+    "grep_parts": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE contains(content, 'token') ORDER BY file_path, start_line, id LIMIT 1000",
+    "grep_like_parts": f"{_CHUNKS} SELECT file_path, start_line, end_line, content FROM chunks WHERE content LIKE '%filePath: src_/en/%token%' ORDER BY file_path, start_line, id LIMIT 1000",
+    "word_chunks": f"WITH RECURSIVE {V.FILES}, {V.chunks_sql(target=64, tokens=_WORDS)} SELECT id, file_path, start_line, end_line, content FROM chunks",
+    "class_chunks": f"WITH RECURSIVE {V.classes_sql(60, 120)}",
     "grep_ranges": f"{_CHUNKS}, hits AS (SELECT * FROM chunks WHERE contains(content, 'tion') ORDER BY file_path, start_line, id LIMIT 100), {_ranges_sql('hits')}",
     "globbed": f"WITH {V.FILES} SELECT DISTINCT file_path FROM files WHERE regexp_matches(file_path, '^src[^/]/(en|fr)/[^/]*[13579]\\.txt$')",
     "lines_read": f"""WITH {V.FILES}, r AS (SELECT file_path, greatest(length(content) % 7 - 1, 1) AS o, string_split(content, chr(10)) AS l FROM files WHERE content <> '')
@@ -464,7 +489,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         scanned_files, json_pairs, json_node_counts, syntax_classified, syntax_scopes, syntax_spans, syntax_chunks, search_probed, glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
         documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, index_late, vectors_by_content, token_counts, json_nodes, line_nodes,
-        classified_nodes, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
+        classified_nodes, class_chunks, word_chunks, grep_parts, grep_like_parts, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,
     )
     return {f.__name__: f for f in named}

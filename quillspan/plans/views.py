@@ -107,6 +107,33 @@ def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program_files(spark, sf_dir).select("file_path", "language", F.explode(nodes).alias("n")).select("file_path", "language", "n.*")
 
 
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as TypeScript classes with a method for each line of their text: (file_path, content, language, name, lines)."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("name"), F.split("text", "\n").alias("lines"))
+    body = F.array_join(F.transform("lines", lambda line, i: F.concat(F.lit("m"), i.cast("string"), F.lit("() { /* "), line, F.lit(" */ }\n"))), "")
+    content = F.concat(F.lit("class "), "name", F.lit(" {\n"), body, F.lit("}"))
+    return d.select(F.concat(F.lit("classes/"), "name", F.lit(".ts")).alias("file_path"), content.alias("content"), F.lit("typescript").alias("language"), "name", "lines")
+
+
+def class_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, node columns) of the classes: program, class, its name and braces, and of each method the method, its name and its body."""
+    f = class_files(spark, sf_dir)
+    sizes = F.transform("lines", lambda line, i: F.length(line) + F.length(i.cast("string")) + 15)
+    f = f.select("file_path", F.length("name").alias("n"), F.length("content").alias("size"), F.size("lines").alias("k"), sizes.alias("sizes"))
+    f = f.withColumn("starts", F.transform("sizes", lambda x, i: F.expr("n + 9") + F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, y: a + y)))
+    fixed = F.expr("""array(
+      named_struct('node_id', 0, 'parent_id', cast(null as int), 'field', cast(null as string), 'type', 'program', 'start', 0, 'end', size, 'start_row', 0, 'end_row', k + 1, 'child_count', 1),
+      named_struct('node_id', 1, 'parent_id', 0, 'field', cast(null as string), 'type', 'class_declaration', 'start', 0, 'end', size, 'start_row', 0, 'end_row', k + 1, 'child_count', k + 3),
+      named_struct('node_id', 2, 'parent_id', 1, 'field', 'name', 'type', 'type_identifier', 'start', 6, 'end', 6 + n, 'start_row', 0, 'end_row', 0, 'child_count', 0),
+      named_struct('node_id', 3, 'parent_id', 1, 'field', cast(null as string), 'type', '{', 'start', 7 + n, 'end', 8 + n, 'start_row', 0, 'end_row', 0, 'child_count', 0),
+      named_struct('node_id', 4, 'parent_id', 1, 'field', cast(null as string), 'type', '}', 'start', size - 1, 'end', size, 'start_row', k + 1, 'end_row', k + 1, 'child_count', 0))""")
+    each = F.expr("""flatten(transform(starts, (a, i) -> array(
+      named_struct('node_id', 5 + 3 * i, 'parent_id', 1, 'field', cast(null as string), 'type', 'method_definition', 'start', a, 'end', a + sizes[i] - 1, 'start_row', i + 1, 'end_row', i + 1, 'child_count', 2),
+      named_struct('node_id', 6 + 3 * i, 'parent_id', 5 + 3 * i, 'field', 'name', 'type', 'property_identifier', 'start', a, 'end', a + 1 + length(string(i)), 'start_row', i + 1, 'end_row', i + 1, 'child_count', 0),
+      named_struct('node_id', 7 + 3 * i, 'parent_id', 5 + 3 * i, 'field', 'body', 'type', 'statement_block', 'start', a + 4 + length(string(i)), 'end', a + sizes[i] - 1, 'start_row', i + 1, 'end_row', i + 1, 'child_count', 0))))""")
+    return f.select("file_path", F.explode(F.concat(fixed, each)).alias("x")).select("file_path", "x.*")
+
+
 def written_files(spark: SparkSession, sf_dir: str, root: str) -> str:
     """Documents written out as a tree of text files, one each, in the shared folder."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("text").alias("value"))
@@ -130,16 +157,16 @@ VECTOR_CHUNKS = "vchunks AS (SELECT vec_id::VARCHAR AS id, 'label/' || label AS
 PAGES = "paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS file_path FROM pages)"
 
 
-def lines_sql(files_cte: str = "files") -> str:
+def lines_sql(files_cte: str = "files", tokens: str = "ceil(length(line) / 4.0)::INT") -> str:
     """The line source's leaves."""
     return f"""lines AS (SELECT file_path, row, line, sum(length(line) + 1) OVER (PARTITION BY file_path ORDER BY row) - length(line) - 1 AS a, sum(length(line) + 1) OVER (PARTITION BY file_path ORDER BY row) - 1 AS b,
-  ceil(length(line) / 4.0)::INT AS tokens, regexp_matches(line, '\\S') AS wanted
+  {tokens} AS tokens, regexp_matches(line, '\\S') AS wanted
   FROM (SELECT file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS row FROM {files_cte}))"""
 
 
-def chunks_sql(files_cte: str = "files", target: int = 256) -> str:
+def chunks_sql(files_cte: str = "files", target: int = 256, tokens: str = "ceil(length(line) / 4.0)::INT") -> str:
     """The line source's chunks, by the fold as a recursion over each file's lines with text."""
-    return f"""{lines_sql(files_cte)},
+    return f"""{lines_sql(files_cte, tokens)},
 numbered AS (SELECT *, sum(wanted::INT) OVER (PARTITION BY file_path ORDER BY row) + (NOT wanted)::INT AS k FROM lines),
 pieces AS (SELECT file_path, k, min(a) AS a, max(b) AS b, min(row) AS r0, max(row) AS r1, sum(tokens)::INT AS tokens, bool_or(wanted) AS wanted FROM numbered GROUP BY file_path, k),
 folded(file_path, k, a, b, r0, r1, tokens, part) AS (
@@ -157,3 +184,22 @@ _EXTENSIONS = " ".join(f"WHEN '{lang}' THEN '{p[1]}'" for lang, p in PROGRAMS.it
 _CONTENTS = " ".join("WHEN '{}' THEN '{}' || a || '{}' || b || '{}'".format(lang, *(x.replace("'", "''") for x in p[2])) for lang, p in PROGRAMS.items())
 PROGRAM_FILES = f"""names AS (SELECT lang, doc_id, 'C' || doc_id AS a, 'm' || length(text) AS b FROM documents WHERE lang IN ({", ".join(f"'{x}'" for x in PROGRAMS)})),
 programs AS (SELECT lang, a, b, 'code/' || doc_id || CASE lang {_EXTENSIONS} END AS file_path, CASE lang {_CONTENTS} END AS content FROM names)"""
+
+
+def classes_sql(target: int, most: int) -> str:
+    """The chunks of the classes: whole where a class is small; else its methods folded, name and brace before the first, the last brace after the last. Of methods that are too large, name and body go before the next that is not, or after the last."""
+    return f"""classes AS (SELECT 'C' || doc_id AS name, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+methods AS (SELECT name, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM classes),
+placed AS (SELECT name, i, 'm' || i || '() {{ /* ' || line || ' */ }}' AS method, length(name) + 9 + coalesce(sum(length(line) + length(i::VARCHAR) + 15) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM methods),
+whole AS (SELECT name, 'class ' || name || ' {{' || chr(10) || string_agg(method || chr(10), '' ORDER BY i) || '}}' AS content, max(i) AS last FROM placed GROUP BY name),
+sized AS (SELECT p.*, content, last, ceil(length(method) / 4.0)::INT AS own, ceil(length(content) / 4.0) <= {most} AS small, ceil(length(method) / 4.0) <= {most} AS wanted FROM placed p JOIN whole w ON w.name = p.name),
+numbered AS (SELECT *, sum(wanted::INT) OVER (PARTITION BY name ORDER BY i) + (NOT wanted)::INT AS k FROM sized WHERE NOT small),
+steps AS (SELECT name, k, CASE WHEN min(i) = 0 THEN 6 ELSE min(a) END AS a, CASE WHEN max(i) = any_value(last) THEN any_value(length(content)) ELSE max(a + length(method)) END AS b, min(i) AS i0, max(i) AS i1, max(i) FILTER (wanted) AS wi, bool_or(wanted) AS wanted,
+  sum(CASE WHEN wanted THEN own ELSE ceil((length(i::VARCHAR) + 1) / 4.0)::INT + ceil((length(method) - length(i::VARCHAR) - 4) / 4.0)::INT END)::INT + CASE WHEN min(i) = 0 THEN ceil(length(name) / 4.0)::INT + 1 ELSE 0 END AS own FROM numbered GROUP BY name, k),
+walked(name, k, a, b, i0, i1, wi, tokens, part) AS (SELECT name, k, a, b, i0, i1, wi, own, 0 FROM steps WHERE k = 1 AND wanted UNION ALL
+  SELECT s.name, s.k, CASE WHEN w.tokens + s.own <= {target} OR NOT s.wanted THEN w.a ELSE s.a END, s.b, s.i0, s.i1, s.wi, CASE WHEN w.tokens + s.own <= {target} OR NOT s.wanted THEN w.tokens + s.own ELSE s.own END, CASE WHEN w.tokens + s.own <= {target} OR NOT s.wanted THEN w.part ELSE w.part + 1 END
+  FROM walked w JOIN steps s ON s.name = w.name AND s.k = w.k + 1),
+cut AS (SELECT name, part, min(a) AS a, max(b) AS b, min(i0) AS i0, max(i1) AS i1, string_agg('#   - ' || name || ' -> m' || wi || chr(10), '' ORDER BY k) AS scope FROM walked GROUP BY name, part
+  UNION ALL SELECT DISTINCT name, 0, 0, length(content), -1, last + 1, '#   - ' || name || chr(10) FROM sized WHERE small)
+SELECT 'classes/' || c.name || '.ts__' || part AS id, 'classes/' || c.name || '.ts' AS file_path, CASE WHEN i0 <= 0 THEN 0 ELSE i0 + 1 END::INT AS start_line, CASE WHEN b = length(content) THEN last + 2 ELSE i1 + 1 END::INT AS end_line,
+  '# filePath: classes/' || c.name || '.ts' || chr(10) || '# scope:' || chr(10) || scope || '---' || chr(10) || substr(content, (a + 1)::BIGINT, (b - a)::BIGINT) AS content FROM cut c JOIN whole w ON w.name = c.name"""

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.globs import glob_filter
+from quillspan.functions.globs import chosen_path
 from quillspan.functions.text import content_hash, tag_language
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: dict[str, str] | None = None) -> DataFrame:
-    """(file_path, content, hash, language) of the files below root that the patterns choose."""
+    """(file_path, content, hash, language) of the files below root that the patterns choose.
+
+    The patterns are asked of the listed files' paths (`_metadata.file_path`), so
+    that Spark plans tasks for chosen files only and opens no other.
+    """
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     local = "/" + base.split(":", 1)[-1].lstrip("/")
-    found = found.withColumn("file_path", F.substring(path, len(local) + 2, 1 << 30))
-    chosen = tag_language(glob_filter(found, "file_path", include, exclude), "file_path", extensions)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+
+    def below(path: Column) -> Column:
+        return F.substring(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), len(local) + 2, 1 << 30)
+
+    listed = found.where(chosen_path(below(F.col("_metadata.file_path")), include, exclude))
+    chosen = tag_language(listed.withColumn("file_path", below(F.col("path"))), "file_path", extensions)
     text = chosen.select("file_path", F.decode("content", "UTF-8").alias("content"), "language")
     return text.select("file_path", "content", content_hash(F.col("content")).alias("hash"), "language")
 

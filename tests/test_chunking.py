@@ -104,3 +104,46 @@ def test_tables_equal_helper(spark):
     nodes = classify_nodes(with_tokens(table, js).selectExpr("*", "'json' as language"), rules(spark))
     got = sorted((r.start, r.end, r.kind) for r in select_spans(nodes, 3).collect())
     assert got == sorted((s[0], s[1], s[6]) for s in trees.spans_of(trees.json_nodes('{"a": {"b": [1, 2]}, "c": 3}'), "json", '{"a": {"b": [1, 2]}, "c": 3}', 3))
+
+
+def test_a_counter_of_the_callers(spark):
+    """A counter that is not additive (distinct words), in batches: every distinct text goes to it once, and the chunks are those of a plain fold."""
+    from quillspan.functions import trees
+    from quillspan.operators.chunk import chunk_files
+
+    r = __import__("random").Random(5)
+    texts = {f"f{i}": "\n".join(" ".join(r.choice("abcdefg") for _ in range(r.choice([0, 3, 9]))) for _ in range(30)) for i in range(6)} | {"far": "𝔸𝔸 b\n\n𝔸 c d", "none": None}
+    df = spark.createDataFrame([(p, t, "text") for p, t in texts.items()], "file_path string, content string, language string").coalesce(1)
+    sent = spark.sparkContext.accumulator(0)
+
+    def distinct_words(some):
+        assert len(some) == len(set(some))
+        sent.add(len(some))
+        return [len(set(t.split())) for t in some]
+
+    got = sorted(tuple(x) for x in chunk_files(df, 6, 50, counter=distinct_words).collect())
+    want = []
+    for p, t in texts.items():
+        if t is not None:
+            want += trees.chunks_of(p, t, "text", trees.line_nodes(t), 6, 50, lambda a, b, t=t: len(set(t[a:b].split())))
+    assert got == sorted(want) and len(got) > 20
+    assert sent.value == len({line for t in texts.values() if t is not None for line in t.split("\n")})
+    with pytest.raises(Exception, match="the counter gave"):
+        chunk_files(df, 6, 50, counter=lambda some: [1]).collect()
+
+
+def test_counts_of_intervals(spark):
+    """Counts in constant time equal those of the text cut out, beyond the basic plane too; and the node table's are the same."""
+    from pyspark.sql import functions as F
+
+    from quillspan.functions import trees
+    from quillspan.operators import chunk
+
+    for text in ("plain text", "𝔸b𝔹c字é", ""):
+        count = trees.utf16_counter(text)
+        assert all(count(a, b) == -(-len(text[a:b].encode("utf-16-le")) // 8) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+    files = spark.createDataFrame([("a", "one 𝔸𝔸𝔸\n\ntwo"), ("b", "x" * 9)], "file_path string, content string")
+    nodes = chunk.with_tokens(chunk.nodes_from_lines(files), files)
+    texts = {"a": "one 𝔸𝔸𝔸\n\ntwo", "b": "x" * 9}
+    assert nodes.columns[-1] == "tokens" and all(n.tokens == -(-len(texts[n.file_path][n.start : n.end].encode("utf-16-le")) // 8) for n in nodes.collect())
+    assert nodes.where(F.col("tokens").isNull()).count() == 0

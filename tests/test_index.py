@@ -37,6 +37,20 @@ def test_scan(spark, tmp_path):
     assert got == {"src/a.ts": ("x", "typescript"), "src/b.js": ("yé", "javascript")}
 
 
+def test_files_left_out_are_not_opened(spark, tmp_path):
+    """Paths decide while tasks are planned: the scan's files are the chosen ones, odd names included."""
+    for p in ("src/a b%20é.ts", "src/deep/x.ts", "node_modules/m/y.ts", "build/z.ts", "src/w.md"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    found = scan_files(spark, f"file:{tmp_path}/", ["**/*.ts"], ["node_modules/**", "build/**"])
+    plan = found._jdf.queryExecution().executedPlan()
+    assert {r.file_path: r.content for r in found.collect()} == {p: p for p in ("src/a b%20é.ts", "src/deep/x.ts")}
+    leaf = plan.collectLeaves().head()
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head() if leaf is None else leaf
+    leaf.execute().count()
+    assert leaf.metrics().apply("numFiles").value() == 2
+
+
 def test_incremental_equals_rebuild(spark, tmp_path):
     one = {"a": "first\n\nsecond line", "b": "same", "c": "gone", "blank": "\n"}
     two = {"a": "first\n\nchanged line", "b": "same", "d": "new here", "blank": "\n"}
@@ -272,3 +286,12 @@ def test_no_vector_is_shuffled(spark):
     ids, vectors = next(search._blocks(V.vector_queries(spark, sf)))
     plan = search._ranked(rows.mapInArrow(lambda b: search._nearest(b, ids, vectors, 5), search.FOUND), 5)._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan.split("MapInArrow")[0]
+
+
+def test_search_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id string, embedding array<float>")
+    chunks = spark.createDataFrame([("a", "f", 0, 1)], "id string, file_path string, start_line int, end_line int")
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    assert search.search(chunks, none, [1.0, 0.0]).collect() == [] and search.search_batch(chunks, none, queries).collect() == []
+    assert search.search_batch(chunks, none, queries.limit(0)).collect() == []
+    assert search.search_ann(search.build_ann(none), chunks, queries).collect() == []

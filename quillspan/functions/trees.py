@@ -22,7 +22,7 @@ _JSX_SCOPES = ["jsx_element", "jsx_self_closing_element"]
 WANTED = {"javascript": _FUNCTIONS + _CLASSES + _OTHER, "typescript": _FUNCTIONS + _CLASSES + _OTHER + _TYPED, "tsx": _FUNCTIONS + _CLASSES + _OTHER + _TYPED, "json": ["pair"], "text": ["line"]}
 SCOPE = {"javascript": _SCOPES, "typescript": _SCOPES + _TYPED_SCOPES, "tsx": _SCOPES + _TYPED_SCOPES + _JSX_SCOPES, "json": ["pair"], "text": []}
 IMPORT = {"javascript": ["import_statement", "export_statement"], "typescript": ["import_statement", "export_statement", "import_alias"], "tsx": ["import_statement", "export_statement", "import_alias"], "json": [], "text": []}
-_IDENTIFIERS = ("identifier", "property_identifier", "type_identifier")
+IDENTIFIERS = ("identifier", "property_identifier", "type_identifier")
 
 _JSON = re.compile(r'[ \t\r\n]+|(?P<string>"(?:[^"\\\x00-\x1f]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>true|false|null)|(?P<mark>[{}\[\],:])')
 
@@ -146,6 +146,10 @@ def line_nodes(content: str) -> list[list]:
     return tree.nodes
 
 
+def unquoted(text: str) -> str:
+    return re.sub(r'^"(.*)"$', r"\1", text, flags=re.S)
+
+
 def scope_name(node: list, children: dict[int, list[list]], content: str) -> str:
     """The name of a scope node."""
     own = children.get(node[0], [])
@@ -154,7 +158,7 @@ def scope_name(node: list, children: dict[int, list[list]], content: str) -> str
     kind = node[3]
     if kind == "pair":
         key = field(own, "key")
-        return "<pair>" if key is None else re.sub(r'^"(.*)"$', r"\1", text(key), flags=re.S)
+        return "<pair>" if key is None else unquoted(text(key))
     if kind == "jsx_element":
         tag = field(own, "open_tag")
         name = field(children.get(tag[0], []), "name") if tag else None
@@ -167,7 +171,7 @@ def scope_name(node: list, children: dict[int, list[list]], content: str) -> str
         first = next((n for n in own if n[3] == "variable_declarator"), None)
         if first and (name := field(children.get(first[0], []), "name")):
             return text(name)
-    first = next((n for n in own if n[3] in _IDENTIFIERS), None)
+    first = next((n for n in own if n[3] in IDENTIFIERS), None)
     return text(first) if first else "<anonymous>"
 
 

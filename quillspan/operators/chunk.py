@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspan.functions import trees
 from quillspan.schemas import NODE, SPAN
+from quillspan.sources.store import kept, scratch_dir
 
 #: Characters of files whose nodes are held at once.
 FILE_CHARS = 1 << 20
@@ -81,6 +82,63 @@ def scope_paths(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return _with_nodes(files, nodes).mapInArrow(run, "file_path string, node_id int, scope array<string>")
 
 
+def _first(hit: Column, name: str) -> Column:
+    """The first child, by place, that fits."""
+    return F.min(F.when(hit, F.struct("start", "end", "node_id"))).alias(name)
+
+
+def scope_names(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, node_id, name) of the scope nodes of nodes(file_path, language, node columns), by joins of nodes with their children."""
+    known = classify_nodes(nodes.select("file_path", "language", *_NODE), rules(nodes.sparkSession))
+    scopes = known.where(F.col("scope") & ~F.col("import")).select("file_path", "node_id", "type")
+    kids = nodes.where("parent_id is not null").groupBy("file_path", F.col("parent_id").alias("node_id")).agg(
+        _first(F.col("field") == "key", "key"), _first(F.col("field") == "name", "name"), _first(F.col("field") == "open_tag", "tag"),
+        _first(F.col("type") == "variable_declarator", "declarator"), _first(F.col("type").isin(*trees.IDENTIFIERS), "identifier"),
+    )
+    found = scopes.join(kids, ["file_path", "node_id"], "left")
+    below = kids.select("file_path", F.col("node_id").alias("below"), F.col("name").alias("below_name"))
+    inner = F.when(F.col("type") == "jsx_element", F.col("tag.node_id")).when(F.col("type").isin("lexical_declaration", "variable_declaration"), F.col("declarator.node_id"))
+    found = found.withColumn("below", inner).join(below, ["file_path", "below"], "left")
+    place = (
+        F.when(F.col("type") == "pair", F.col("key")).when(F.col("type") == "jsx_element", F.col("below_name"))
+        .when(F.col("type") == "jsx_self_closing_element", F.col("name")).otherwise(F.coalesce("name", "below_name", "identifier"))
+    )
+    unnamed = F.when(F.col("type") == "pair", "<pair>").when(F.col("type").startswith("jsx_"), "<jsx>").otherwise("<anonymous>")
+    found = found.select("file_path", "node_id", (F.col("type") == "pair").alias("quoted"), place.alias("place"), unnamed.alias("unnamed"))
+    # Only the names' places meet the contents, as one row a file.
+    named = found.where("place is not null").groupBy("file_path").agg(F.collect_list(F.struct("node_id", "quoted", "place.start", "place.end")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p, c, at in zip(*(b.column(x).to_pylist() for x in ("file_path", "content", "at")), strict=True):
+                for n in at:
+                    text = c[n["start"] : n["end"]]
+                    rows.append((p, n["node_id"], trees.unquoted(text) if n["quoted"] else text))
+            yield _table(rows, [pa.string(), pa.int32(), pa.string()], ["file_path", "node_id", "name"])
+
+    texts = files.select("file_path", "content").join(named, "file_path").mapInArrow(run, "file_path string, node_id int, name string")
+    return texts.union(found.where("place is null").select("file_path", "node_id", "unnamed"))
+
+
+def scope_paths_wide(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """As scope_paths, of nodes(file_path, node_id, parent_id) and names(file_path, node_id, name), for trees of any size.
+
+    Pointers double: a node holds the names up to some ancestor, and takes over
+    what that ancestor holds up to its own, so trees of depth d take log2(d) joins,
+    and no file is gathered.
+    """
+    own = F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.array("name"))
+    held = nodes.select("file_path", "node_id", F.col("parent_id").alias("up")).join(names, ["file_path", "node_id"], "left").select("file_path", "node_id", "up", own.alias("scope"))
+    held = kept(held, scratch_dir(nodes.sparkSession))
+    while not held.where("up is not null").isEmpty():
+        above = held.select("file_path", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("scope").alias("outer"))
+        joined = held.join(above, ["file_path", "up"], "left")
+        scope = F.when(F.col("outer").isNull(), F.col("scope")).otherwise(F.concat("outer", "scope"))
+        held = kept(joined.select("file_path", "node_id", F.col("next").alias("up"), scope.alias("scope")), scratch_dir(nodes.sparkSession))
+    return held.select("file_path", "node_id", "scope")
+
+
 def select_spans(nodes: DataFrame, max_tokens: int) -> DataFrame:
     """The nodes to emit, with kind: of nodes(file_path, start, end, tokens, wanted, child_count, node_id, ...).
 

@@ -228,6 +228,12 @@ def syntax_chunks(spark, sf):
     return chunk.chunk_files(V.program_files(spark, sf), 50, 100, V.program_nodes(spark, sf))
 
 
+def syntax_scopes_wide(spark, sf):
+    """The same scopes by joins of nodes, without a file's nodes in one row."""
+    nodes = V.program_nodes(spark, sf)
+    return chunk.scope_paths_wide(nodes, chunk.scope_names(nodes, V.program_files(spark, sf))).select("file_path", "node_id", F.array_join("scope", " -> ").alias("scope"))
+
+
 def class_chunks(spark, sf):
     """Classes with a method a line: small ones whole, others cut between methods, with the scopes of each chunk's methods."""
     return chunk.chunk_files(V.class_files(spark, sf), 60, 120, V.class_nodes(spark, sf))
@@ -485,11 +491,14 @@ _SQL |= {
 }
 
 
+_SQL["syntax_scopes_wide"] = _SQL["syntax_scopes"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         scanned_files, json_pairs, json_node_counts, syntax_classified, syntax_scopes, syntax_spans, syntax_chunks, search_probed, glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
         documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, index_late, vectors_by_content, token_counts, json_nodes, line_nodes,
-        classified_nodes, class_chunks, word_chunks, grep_parts, grep_like_parts, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
+        classified_nodes, class_chunks, syntax_scopes_wide, word_chunks, grep_parts, grep_like_parts, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,
     )
     return {f.__name__: f for f in named}

@@ -147,3 +147,29 @@ def test_counts_of_intervals(spark):
     texts = {"a": "one 𝔸𝔸𝔸\n\ntwo", "b": "x" * 9}
     assert nodes.columns[-1] == "tokens" and all(n.tokens == -(-len(texts[n.file_path][n.start : n.end].encode("utf-16-le")) // 8) for n in nodes.collect())
     assert nodes.where(F.col("tokens").isNull()).count() == 0
+
+
+def test_wide_scopes_equal_the_files(spark):
+    """Names by joins and paths by doubling pointers are those of the per-file helper, over deep random trees of all scope kinds."""
+    from quillspan.operators.chunk import scope_names, scope_paths_wide
+
+    r = __import__("random").Random(12)
+    kinds = ["pair", "jsx_element", "jsx_self_closing_element", "lexical_declaration", "class_declaration", "method_definition", "variable_declarator", "identifier", "property_identifier", "statement_block", "export_statement", "import_statement"]
+    fields = [None, None, "key", "name", "open_tag", "body"]
+    files, rows, want = [], [], {}
+    for f in range(8):
+        language = ["tsx", "json", "typescript", "javascript"][f % 4]
+        content = "".join(r.choice('ab"c d') for _ in range(400))
+        nodes = [[0, None, None, "program", 0, 400, 0, 0, 0]]
+        for k in range(1, 60):
+            parent = nodes[-1] if f < 4 and r.random() < 0.8 else r.choice(nodes)  # some trees are deep
+            a, b = sorted((r.randint(parent[4], parent[5]), r.randint(parent[4], parent[5])))
+            nodes.append([k, parent[0], r.choice(fields), r.choice(kinds), a, b, 0, 0, 0])
+            parent[8] += 1
+        files.append((f"f{f}", content, language))
+        rows += [(f"f{f}", language, *n) for n in nodes]
+        want |= {(f"f{f}", n): s for n, s in trees.scopes_of(nodes, language, content).items()}
+    nodes = spark.createDataFrame(rows, "file_path string, language string, node_id int, parent_id int, field string, type string, start int, end int, start_row int, end_row int, child_count int")
+    found = scope_paths_wide(nodes, scope_names(nodes, spark.createDataFrame(files, "file_path string, content string, language string")))
+    got = {(x.file_path, x.node_id): x.scope for x in found.collect()}
+    assert got == want and max(map(len, want.values())) > 5

@@ -167,6 +167,50 @@ def merge_spans(spans: DataFrame, files: DataFrame, target: int) -> DataFrame:
     return joined.mapInArrow(run, f"file_path string, part int, {SPAN}")
 
 
+def merge_spans_wide(spans: DataFrame, target: int) -> DataFrame:
+    """As merge_spans, of spans(file_path, span columns, closing), for files whose spans no row should hold; closing: whether a gap only closes what is open.
+
+    A gap belongs to the wanted span before it if a closing gap follows before the
+    next one, or none does; else to the next. With running sums of tokens, where a
+    chunk that begins at a span ends is a search in them, and the spans at which
+    chunks begin are those reached from the first one by such steps: steps double,
+    so a file of n chunks takes log2(n) joins.
+    """
+    spark = spans.sparkSession
+    order = Window.partitionBy("file_path").orderBy("start", "end", F.desc("kind"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.col("kind") == "wanted"
+    marked = spans.withColumn("turn", F.row_number().over(order)).withColumn("k", F.sum(wanted.cast("int")).over(upto))
+    marked = marked.withColumn("all", F.max("k").over(Window.partitionBy("file_path"))).where("all > 0")
+    closed = F.max(F.when(~wanted & F.col("closing"), F.col("turn"))).over(Window.partitionBy("file_path", "k"))
+    back = (F.col("k") > 0) & ((F.col("turn") <= F.coalesce(closed, F.lit(0))) | (F.col("k") == F.col("all")))
+    marked = marked.withColumn("after", ~wanted & back).withColumn("unit", F.col("k") + (~wanted & ~F.col("after")).cast("int"))
+    units = marked.groupBy("file_path", "unit").agg(
+        *[f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.min, "start_row"), (F.max, "end_row"))],
+        F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("after"), F.col("tokens")).otherwise(0)).alias("post"), F.max(F.when(wanted, F.struct(F.lit(1), "scope"))).alias("s"),
+    )
+    by_unit = Window.partitionBy("file_path").orderBy("unit")
+    total = F.sum("tokens").over(by_unit.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    units = kept(units.withColumn("ends", total - F.col("post")).withColumn("begins", total - F.col("tokens")).withColumn("scope", F.col("s.scope")).drop("s"), scratch_dir(spark))
+
+    # The next chunk begins at the first unit whose end is more than the target beyond this one's begin.
+    points = units.select("file_path", F.col("ends").alias("at"), F.lit(0).alias("asks"), "unit").union(units.select("file_path", F.col("begins") + target, F.lit(1), "unit"))
+    later = Window.partitionBy("file_path").orderBy("at", "asks").rowsBetween(1, Window.unboundedFollowing)
+    found = points.withColumn("to", F.min(F.when(F.col("asks") == 0, F.col("unit"))).over(later)).where("asks = 1 and to is not null")
+    step = kept(found.select("file_path", "unit", F.greatest("to", F.col("unit") + 1).alias("to")), scratch_dir(spark))
+    starts = units.where("unit = 1").select("file_path", "unit")
+    while not step.isEmpty():
+        starts = kept(starts.union(starts.join(step, ["file_path", "unit"]).select("file_path", F.col("to").alias("unit"))).distinct(), scratch_dir(spark))
+        on = step.select("file_path", F.col("unit").alias("to"), F.col("to").alias("far"))
+        step = kept(step.join(on, ["file_path", "to"]).select("file_path", "unit", F.col("far").alias("to")), scratch_dir(spark))
+
+    begun = units.join(starts.withColumn("first", F.lit(1)), ["file_path", "unit"], "left")
+    part = F.sum(F.coalesce("first", F.lit(0))).over(by_unit.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    scopes = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit", "scope"))), lambda x: x["scope"])))
+    out = begun.withColumn("part", part.cast("int")).groupBy("file_path", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("start_row").alias("start_row"), F.max("end_row").alias("end_row"), F.sum("tokens").cast("int").alias("tokens"), scopes.alias("scope"))
+    return out.withColumn("kind", F.lit("wanted"))
+
+
 def chunk_files(files: DataFrame, target: int = 256, most: int = 1024, node_source: str | DataFrame = "lines", counter: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
     """(id, file_path, start_line, end_line, content): the chunks of files(file_path, content, language).
 

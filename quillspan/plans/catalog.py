@@ -270,6 +270,13 @@ def merged_spans(spark, sf):
     return chunk.merge_spans(spans, V.files(spark, sf), 256).select("file_path", "part", "start", "end", "start_row", "end_row", "tokens")
 
 
+def merged_spans_wide(spark, sf):
+    """The same spans folded by running sums and doubling steps."""
+    empty = F.array(F.array().cast("array<string>"))
+    spans = chunk.select_spans(_tokens(spark, sf), 1024).withColumn("scope", empty).withColumn("closing", F.lit(False))
+    return chunk.merge_spans_wide(spans, 256).select("file_path", "part", "start", "end", "start_row", "end_row", "tokens")
+
+
 def closing_syntax(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.regexp_replace("props", "[^{}\\[\\],:]", "").alias("marks"), F.substring("props", -1, 1).alias("last"))
     return e.select("event_id", T.is_closing_syntax(F.col("marks"), F.lit("json")).alias("all_marks"), T.is_closing_syntax(F.col("last"), F.lit("typescript")).alias("last_mark"))
@@ -491,6 +498,7 @@ _SQL |= {
 }
 
 
+_SQL["merged_spans_wide"] = _SQL["merged_spans"]
 _SQL["syntax_scopes_wide"] = _SQL["syntax_scopes"]
 
 
@@ -498,7 +506,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         scanned_files, json_pairs, json_node_counts, syntax_classified, syntax_scopes, syntax_spans, syntax_chunks, search_probed, glob_pages, language_tags, wide, content_hashes, snapshot_diff, diff_counts, paths_to_clean, paths_to_index, documents_removed, chunks_removed,
         documents_inserted, chunks_inserted, embeddings_inserted, last_version, pending, documents_found, index_counts, index_written, index_streamed, index_late, vectors_by_content, token_counts, json_nodes, line_nodes,
-        classified_nodes, class_chunks, syntax_scopes_wide, word_chunks, grep_parts, grep_like_parts, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
+        classified_nodes, class_chunks, syntax_scopes_wide, merged_spans_wide, word_chunks, grep_parts, grep_like_parts, json_scopes, selected_spans, merged_spans, closing_syntax, headers, line_chunks, json_chunks, chunk_vectors, unit_vectors, embedding_text,
         checked_widths, search_one, search_many, search_lists, search_ranges, grep, grep_like, grep_ranges, globbed, lines_read, normalized_paths, hit_ranges,
     )
     return {f.__name__: f for f in named}

@@ -173,3 +173,26 @@ def test_wide_scopes_equal_the_files(spark):
     found = scope_paths_wide(nodes, scope_names(nodes, spark.createDataFrame(files, "file_path string, content string, language string")))
     got = {(x.file_path, x.node_id): x.scope for x in found.collect()}
     assert got == want and max(map(len, want.values())) > 5
+
+
+def test_wide_fold_equals_the_files(spark):
+    """Folds by running sums and doubling steps are those of the greedy fold, on random spans with gaps that close and gaps that do not."""
+    from quillspan.operators.chunk import merge_spans_wide
+
+    r = __import__("random").Random(17)
+    rows, want = [], []
+    for f in range(25):
+        content, spans = "", []
+        for k in range(r.choice([0, 1, 5, 60, 200])):
+            kind = r.choice(["wanted", "wanted", "gap"]) if f % 5 else "gap" if k % 3 else "wanted"
+            text = r.choice(["})", "}", "text", ","]) if kind == "gap" else "w" * r.randint(1, 9)
+            spans.append((len(content), len(content) + len(text), k, k, r.choice([0, 1, 2, 5, 9, 30]), [["C", f"m{k % 4}"]] if kind == "wanted" else [], kind))
+            content += text + " "
+        if f == 24:
+            spans = [s for s in spans if s[6] == "gap"]
+        rows += [(f"f{f}", *s, s[6] == "gap" and content[s[0] : s[1]] in ("})", "}")) for s in spans]
+        want += [(f"f{f}", k, *s) for k, s in enumerate(trees.fold(spans, "typescript", content, 12))]
+    df = spark.createDataFrame(rows, "file_path string, start int, end int, start_row int, end_row int, tokens int, scope array<array<string>>, kind string, closing boolean")
+    found = merge_spans_wide(df, 12)
+    assert sorted(tuple(x[c] for c in ("file_path", "part", "start", "end", "start_row", "end_row", "tokens", "scope", "kind")) for x in found.collect()) == sorted(want) and len(want) > 100
+    assert merge_spans_wide(df.limit(0), 12).collect() == []

@@ -133,7 +133,7 @@ def test_older_versions_that_come_late(spark, tmp_path):
         key = (at if at is not None else -1, __import__("hashlib").sha256((t or "").encode()).hexdigest())
         newest[p] = max(newest.get(p, (key, t)), (key, t))
     want = contents(index_batch(files(spark, {p: t for p, (_, t) in newest.items()}), empty_index(spark), None, now()))
-    for n, order in enumerate(itertools.permutations(batches)):
+    for n, order in enumerate(itertools.permutations(batches[::-1])):
         for batch in [*order, order[0]]:  # and one that comes again
             index = apply_batch(spark.createDataFrame(batch, STREAM), read_index(spark, str(tmp_path), f"p{n}"))
             write_index(index, str(tmp_path), f"p{n}")
@@ -141,7 +141,7 @@ def test_older_versions_that_come_late(spark, tmp_path):
         got = read_index(spark, str(tmp_path), f"p{n}")
         assert contents(got) == want and got.base.version <= 3
         assert {r.file_path: r.arrived for r in got.arrivals.collect()} == {"a": 9, "b": 2, "c": 4, "d": -(1 << 63), "e": 5}
-        if n == 2:
+        if n == 1:
             break
 
 

@@ -10,6 +10,7 @@ it ends, since the worker lives on.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -179,6 +180,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: Spark deletes the shuffle files of steps that nothing refers to any more only then. For jobs that shuffle much in several steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillspan-{uuid.uuid4().hex}"

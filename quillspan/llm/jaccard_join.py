@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.arrays import as_bytes, connected, mix, pieces, shingle_sets, sized, small, tidy, written
+from quillspan.llm.arrays import as_bytes, connected, let_go, mix, pieces, shingle_sets, sized, small, tidy, written
 
 #: Shingles seen in this many of the documents that a task counts together (so many values or more) are reported as common; so many of them are kept for ordering.
 COMMON_IN_TASK, COUNTED, COMMON_KEPT = 3, 1 << 20, 1 << 16
@@ -311,15 +311,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # A set's smallest row by id, null last; sets are linked by sid, whether an id is known or not.
     first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "text_id")).alias("o")
     owners = written(sets.where("sid is not null").groupBy("sid").agg(first).select("o.doc_id", "o.text_id", "sid"))
+    spark = docs.sparkSession
     tiles = written(_tiles(docs, common, rank))
+    let_go(spark)  # of the postings' shuffle; and so after each of the steps below
     named = tiles.mapInArrow(_members, "tile long, sid long").select("sid").distinct()
     named = written(named)
     bits = written(_with_sets(docs, owners.join(named, "sid", "left_semi"), "bits"))
+    let_go(spark)
 
     other = bits.toDF("b", "m", "bits2")
     stars = tiles.mapInArrow(_stars, "a long, b long").distinct().join(bits.withColumnRenamed("sid", "a"), "a").join(other, "b")
     pairs = written(stars.select("a", "b", "n", "m", "bits", "bits2").mapInArrow(tidy(_bit_bound), "a long, b long"))
+    del stars
+    let_go(spark)
     links = written(_links(docs, owners, pairs))
+    let_go(spark)
     roots = connected(links)
 
     members = tiles.where("length(sids) > 16").mapInArrow(_members, "tile long, sid long")
@@ -328,9 +334,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
         rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
         pairs = written(rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(tidy(step), "a long, b long").distinct())
+        del rooted, open_tiles, rest
+        let_go(spark)
         if pairs.isEmpty():
             continue
         more = written(_links(docs, owners, pairs))
+        let_go(spark)
         if not more.isEmpty():
             links = links.union(more)
             roots = connected(links)

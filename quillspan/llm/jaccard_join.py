@@ -20,8 +20,9 @@ steps are
    component, then all that are still apart; then the final components.
 
 Skew: copies are one node, a large group of near copies is one component after
-the stars, common shingles come last in every prefix, and the tests of one
-much-linked set are dealt out by a salt. `connected` never gathers a group.
+the stars, common shingles come last in every prefix, a tile that still holds
+many sets is dealt out as cells (pairs of blocks), and the tests of one
+much-linked set by a salt. `connected` never gathers a group.
 
 Nulls and empty texts have the empty set and link with nothing. Rows that share
 a doc_id are separate rows with one id; rows with a null doc_id link like others
@@ -49,6 +50,8 @@ COMMON_IN_TASK, COUNTED, COMMON_KEPT = 3, 1 << 20, 1 << 16
 TILE = 2048
 #: Rounds in which sets are tested against their closest in other components, before all that is left.
 CLOSEST_ROUNDS = 1
+#: Members of a tile that make a block; a tile with more is compared block pair by block pair, each a group of its own.
+SIDE = 512
 #: Exact tests of one set that one group holds.
 TESTS = 512
 
@@ -203,24 +206,38 @@ def _bit_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _cells(rooted: DataFrame) -> DataFrame:
+    """(tile, side, sid, root) of rooted(tile, sid, root): the tiles of several components, large ones as cells.
+
+    A tile's sets fall into blocks of about `SIDE` by a hash, and each pair of
+    blocks is a cell, so that no task has to compare a whole tile. `side` is a
+    set's block where two blocks meet, whose pairs within one side are another
+    cell's, and -1 where a block meets itself.
+    """
+    tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.expr(f"1 + (count(1) - 1) div {SIDE}").alias("blocks")).where("low < high")
+    own = rooted.join(tiles.select("tile", "blocks"), "tile").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "sid"), "blocks"))
+    met = own.withColumn("met", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return met.select(F.xxhash64("tile", F.least("own", "met"), F.greatest("own", "met")).alias("tile"), F.expr("if(own = met, -1L, own)").alias("side"), "sid", "root")
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within a band of a tile that the bit counts let through, block against block.
+    """Pairs of different components within a band of a cell that the bit counts let through, stretch against stretch.
 
-    Rows come by tile and size; a block meets itself and the later blocks whose
+    Rows come by cell and size; a stretch meets itself and the later ones whose
     sizes its own can still link with, so what is held is bounded by that band.
-    closest: of a set's pairs with a block, only that of fewest differing bits,
+    closest: of a set's pairs with a stretch, only that of fewest differing bits,
     so that components at least double at little cost before the rest.
     """
     tile, held = None, []
     batches = small(batches, 2 * TILE)
 
     def against(x, y):
-        (s, n, root, bits), (s2, n2, root2, bits2) = x, y
+        (s, n, root, side, bits), (s2, n2, root2, side2, bits2) = x, y
         w = min(bits.shape[1], bits2.shape[1])
         p, q = folded(bits, w), folded(bits2, w)
         out = [np.zeros((2, 0), np.int64)]
         for i in range(len(s)):
-            j = np.flatnonzero(root2 != root[i])
+            j = np.flatnonzero((root2 != root[i]) & ((side2 != side[i]) | (side[i] < 0)))
             j = j[100 * np.minimum(n[i], n2[j]) >= 80 * np.maximum(n[i], n2[j])]
             differ = np.bitwise_count(p[i] ^ q[j]).sum(axis=1, dtype=np.int64)
             may = may_link(n[i], n2[j], differ)
@@ -232,13 +249,13 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa
 
     for b in batches:
         t, n = b.column("tile").to_numpy(), b.column("n").to_numpy()
-        s, root, bits = b.column("sid").to_numpy(), b.column("root").to_numpy(), b.column("bits").to_pylist()
+        s, root, side, bits = b.column("sid").to_numpy(), b.column("root").to_numpy(), b.column("side").to_numpy(), b.column("bits").to_pylist()
         width = np.array([len(x) for x in bits], np.int64)
         cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (width[1:] != width[:-1])])).tolist() if len(t) else []
         cut = sorted({*cut, *range(0, len(t), TILE)}) + [len(t)]
         found = [np.zeros((2, 0), np.int64)]
         for i, j in zip(cut, cut[1:], strict=False):
-            block = (s[i:j], n[i:j], root[i:j], np.frombuffer(b"".join(bits[i:j]), np.uint64).reshape(j - i, -1))
+            block = (s[i:j], n[i:j], root[i:j], side[i:j], np.frombuffer(b"".join(bits[i:j]), np.uint64).reshape(j - i, -1))
             if t[i] != tile:
                 tile, held = t[i], []
             held = [h for h in held if 100 * h[1][-1] >= 80 * n[i]] + [block]
@@ -331,10 +348,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = tiles.where("length(sids) > 16").mapInArrow(_members, "tile long, sid long")
     for step in (partial(_tile_pairs, closest=True),) * CLOSEST_ROUNDS + (partial(_tile_pairs, closest=False),):
         rooted = members.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tile")
-        rest = rooted.join(open_tiles, "tile", "left_semi").join(bits, "sid").select("tile", "sid", "root", "n", "bits")
+        rest = _cells(rooted).join(bits, "sid").select("tile", "side", "sid", "root", "n", "bits")
         pairs = written(rest.repartition("tile").sortWithinPartitions("tile", "n", "sid").mapInArrow(tidy(step), "a long, b long").distinct())
-        del rooted, open_tiles, rest
+        del rooted, rest
         let_go(spark)
         if pairs.isEmpty():
             continue

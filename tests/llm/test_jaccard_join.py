@@ -1,5 +1,6 @@
 import random
 
+from quillspan.llm import jaccard_join
 from quillspan.llm.jaccard_join import near_copies
 
 
@@ -94,3 +95,30 @@ def test_many_rows_of_one_id(spark):
     bases = [[r.choice(words) for _ in range(40)] for _ in range(150)]
     rows = [(7, " ".join(b)) for b in bases] + [(7, " ".join([*b[:39], "end"])) for b in bases[:100]] + [(8 + i, " ".join([*b[:39], "other"])) for i, b in enumerate(bases[50:])]
     assert got(spark, rows) == brute(rows)
+
+
+def test_cells_of_a_large_tile(spark, monkeypatch):
+    """Cells hold each pair of a tile's sets once, none holds the tile, and tiles of one component are left out."""
+    monkeypatch.setattr(jaccard_join, "SIDE", 8)
+    rows = [(1, s, s % 5) for s in range(200)] + [(2, s, 7) for s in range(300, 350)] + [(3, 400, 1), (3, 401, 2)]
+    cells = {}
+    for r in jaccard_join._cells(spark.createDataFrame(rows, "tile long, sid long, root long").repartition(4)).collect():
+        cells.setdefault(r.tile, []).append((r.sid, r.side))
+    pairs = sorted((a, b) for c in cells.values() for a, x in c for b, y in c if a < b and (x != y or x < 0))
+    assert pairs == [(a, b) for a in range(200) for b in range(a + 1, 200)] + [(400, 401)]
+    assert max(map(len, cells.values())) <= 4 * 8
+
+
+def test_matches_brute_force_in_cells(spark, monkeypatch):
+    """Sets that share their rarest shingles without being near keep a tile open; compared in cells of a few sets, no link is lost."""
+    monkeypatch.setattr(jaccard_join, "SIDE", 3)
+    r = random.Random(3)
+    shared = "one passage that very many of these texts begin with and that alone does not make them near"
+    rows = []
+    for g in range(40):
+        base = [f"u{g}x{i}" for i in range(r.choice([12, 20, 40]))]
+        for _ in range(3):
+            copy = list(base)
+            copy[r.randrange(len(copy))] = "other"
+            rows.append((len(rows), shared + " " + " ".join(copy)))
+    assert got(spark, rows) == brute(rows)

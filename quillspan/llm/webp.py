@@ -46,14 +46,14 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 NEAR = sorted([(0, y) for y in range(1, 8)] + [(s * x, y) for x in range(1, 8) for y in range(8) for s in (1, -1) if s > 0 or y] + [(8, y) for y in range(8)], key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
-#: Bytes of a file from which a reader takes any 49 bits at once; less at its beginning.
-_CHUNK, _FIRST = 1 << 16, 1 << 9
+#: Bytes of a file from which a reader takes any 57 bits at once; less at its beginning.
+_CHUNK, _FIRST = 1 << 16, 1 << 8
 #: The 15 bits of a number in reverse order.
 _REVERSED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
 
 
 class _Reader:
-    """Bits of a file; `windows` are the 56 bits from each byte of a stretch that begins at byte `base`."""
+    """Bits of a file; `windows` are the 64 bits from each byte of a stretch that begins at byte `base`."""
 
     def __init__(self, data: bytes):
         self.data, self.at = data + bytes(32), 0
@@ -61,10 +61,8 @@ class _Reader:
 
     def load(self, most: int = _CHUNK) -> None:
         self.base = self.at >> 3
-        n = min(most, len(self.data) - 6 - self.base)
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :7] = np.ndarray((n, 7), np.uint8, self.data, self.base, (1, 1))
-        self.windows: list[int] = wide.view("<u8").ravel().tolist()
+        n = min(most, len(self.data) - 7 - self.base)
+        self.windows: list[int] = np.ndarray((n,), "<u8", self.data, self.base, (1,)).tolist()
 
     def peek(self, n: int) -> int:
         i = (self.at >> 3) - self.base
@@ -82,9 +80,10 @@ class _Reader:
 def _canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """(code with its first bit lowest, length) of each symbol: shorter codes first, then by symbol."""
     out, code, last = {}, 0, 0
-    for n, s in sorted([(n, s) for s, n in lengths.items()]):
+    for both in sorted([n << 16 | s for s, n in lengths.items()]):
+        n = both >> 16
         code <<= n - last
-        out[s] = (_REVERSED[code] >> (15 - n), n)
+        out[both & 0xFFFF] = (_REVERSED[code] >> (15 - n), n)
         code, last = code + 1, n
     return out
 
@@ -100,7 +99,7 @@ class _Code:
         self.most = 0 if self.single is not None else max(self.lengths.values())
         self.table: list[tuple[int, int]] = []
         self.flat: np.ndarray | None = None
-        self.arrays: tuple[np.ndarray, np.ndarray, int] | None = None
+        self.arrays: tuple[np.ndarray, int] | None = None
         if self.single is not None:
             self.flat = np.array([self.single])
         elif len(self.lengths) == 1 << self.most and min(self.lengths.values()) == self.most:
@@ -126,8 +125,9 @@ class _Code:
 
 
 @lru_cache(64)
-def _inner_code(lengths: tuple[int, ...]) -> _Code:
-    return _Code({s: n for s, n in zip(LENGTH_ORDER, lengths, strict=False) if n})
+def _inner_code(lengths: int) -> _Code:
+    """From lengths of three bits each, in the order of `LENGTH_ORDER`."""
+    return _Code({s: lengths >> 3 * k & 7 for k, s in enumerate(LENGTH_ORDER) if lengths >> 3 * k & 7})
 
 
 def _read_code(r: _Reader, symbols: int) -> _Code:
@@ -136,7 +136,7 @@ def _read_code(r: _Reader, symbols: int) -> _Code:
         first = r.bits(8 if wide else 1)
         return _Code({first: 1, r.bits(8): 1} if two else {first: 0})
     count = 4 + r.bits(4)
-    inner = _inner_code(tuple(r.bits(3) for _ in range(count)))
+    inner = _inner_code(r.bits(3 * count))
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else symbols
     lengths, at, last = {}, 0, 8
     table, mask, windows, p, base = inner.lookup(), (1 << inner.most) - 1, r.windows, r.at, r.base
@@ -269,100 +269,121 @@ def _turned(bits: int) -> np.ndarray:
     return np.array(_REVERSED[: 1 << bits]) >> (15 - bits)
 
 
-def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols and lengths by the next bits, and the mask for those."""
+def _tables(code: _Code, extra: np.ndarray) -> tuple[np.ndarray, int]:
+    """By the next bits, 64 times the symbol plus the bits it takes with its `extra` ones; and the mask for the next bits."""
     if code.arrays is None:
         if code.single is not None:
-            symbol, length = np.array([code.single]), np.zeros(1, np.int64)
+            order = np.array([code.single << 6 | int(extra[code.single])])
         else:
             # First bit highest, the places of a code are neighbours; the rest of an incomplete code is its first symbol.
             both = np.array(sorted([n << 16 | s for s, n in code.lengths.items()]))
-            order = both.repeat(1 << (code.most - (both >> 16)))
+            symbol, length = both & 0xFFFF, both >> 16
+            both = (symbol << 6) + length + extra.take(symbol)
+            order = both.repeat(1 << (code.most - length))
             if len(order) < 1 << code.most:
                 order = np.append(order, np.full((1 << code.most) - len(order), both[0]))
-            order = order[_turned(code.most)]
-            length, symbol = order >> 16, order & 0xFFFF
-        code.arrays = (symbol, length, (1 << code.most) - 1)
+            order = order.take(_turned(code.most))
+        code.arrays = (order, (1 << code.most) - 1)
     return code.arrays
 
 
-def _walk(after: np.ndarray, p: int) -> np.ndarray:
-    """The places met from p on, where `after` tells each place's next; in strides of eight, which arrays then fill in."""
-    end = len(after)
-    one = np.append(np.minimum(after, end), end)
-    two = one.take(one)
+def _walk(after: np.ndarray, p: int, end: int) -> np.ndarray:
+    """The places below `end` met from p on, where `after` tells each place's next; in strides of eight, which arrays then fill in. Places from `end` on are their own next."""
+    two = after.take(after)
     four = two.take(two)
     step, met = memoryview(four.take(four)), []
     while p < end:
         met.append(p)
         p = step[p]
-    first = np.array(met, np.int64)
-    first = np.stack([first, four[first]], axis=1).ravel()
-    first = np.stack([first, two[first]], axis=1).ravel()
-    first = np.stack([first, one[first]], axis=1).ravel()
-    return first[: np.searchsorted(first, end)]
+    places = np.empty((len(met), 8), np.int64)
+    places[:, 0] = met
+    places[:, 4] = four.take(places[:, 0])
+    places[:, 2::4] = two.take(places[:, ::4])
+    places[:, 1::2] = after.take(places[:, ::2])
+    places = places.ravel()
+    return places[: places.searchsorted(end)]
+
+
+@lru_cache(4096)
+def _near_distances(width: int) -> np.ndarray:
+    """The distances that the codes 1 to 120 stand for, behind one that is not used."""
+    return np.array([0] + [max(1, dx + dy * width) for dx, dy in NEAR])
+
+
+#: The extra bits of length symbols (other green symbols have none) and of distance symbols; the first copy in a table of `_tables`.
+_GREEN_EXTRA, _FAR_EXTRA, _FIRST_COPY = np.append(np.zeros(256, np.int64), _PREFIX_ARRAY[1, :24]), _PREFIX_ARRAY[1], 256 << 6
+
+
+def _shifts(size: int) -> np.ndarray:
+    """0 to 7, `size` times."""
+    global _SHIFTS
+    if len(_SHIFTS) < 8 * size:
+        _SHIFTS = np.tile(np.arange(8), size)
+    return _SHIFTS[: 8 * size]
+
+
+_SHIFTS = np.tile(np.arange(8), 1 << 10)
 
 
 def _read_green(r: _Reader, codes: list[_Code], width: int, n: int) -> np.ndarray:
     """Pixels that differ in green only: no other channel takes bits.
 
-    What a token would be is looked up at every bit of a stretch by array
+    Which bit a token would end at is looked up for every bit of a stretch by array
     operations; the tokens that are there are those that a walk from the first
-    one meets.
+    one meets, and only their lengths and distances are worked out.
     """
     pixels, at = bytearray(n), 0
     shown = np.frombuffer(pixels, np.uint8)
-    (green, green_bits, green_mask), (far, far_bits, far_mask) = _tables(codes[0]), _tables(codes[4])
+    (green, green_mask), (far, far_mask) = _tables(codes[0], _GREEN_EXTRA), _tables(codes[4], _FAR_EXTRA)
+    least, extras = _PREFIX_ARRAY
     while at < n:
         base = r.at >> 3
         size = min(_STRETCH, len(r.data) - 14 - base)
-        wide = np.ndarray((size + 6,), "<u8", r.data, base, (1,)).copy()
-        v = np.empty((size, 8), np.int64)
-        for k in range(8):
-            v[:, k] = (wide[:size] >> np.uint64(k)).view(np.int64)
-        v = v.ravel()
-        token = v & green_mask
-        symbol = green.take(token)
-        after = green_bits.take(token) + np.arange(8 * size)
-        copy = np.flatnonzero(symbol >= 256)
-        length, distance = np.ones(8 * size, np.int64), np.zeros(8 * size, np.int64)
+        end = 8 * size
+        wide = np.ndarray((size + 6,), "<i8", r.data, base, (1,)).copy()
+        v = wide[:size].repeat(8) >> _shifts(size)
+        entry = green.take(v & green_mask)
+        after = np.arange(end + 64)
+        after[:end] += entry & 63
+        copy = (entry >= _FIRST_COPY).nonzero()[0]
         if len(copy):
-            kind, p, v = symbol.take(copy) - 256, after.take(copy), v.take(copy)
-            extra = _PREFIX_ARRAY[1].take(kind)
-            length[copy] = _PREFIX_ARRAY[0].take(kind) + (v >> p - copy & (1 << extra) - 1)
-            p += extra
-            v = (wide.take(p >> 3) >> (p & 7).astype(np.uint64)).view(np.int64)
-            token = v & far_mask
-            j, kind = far_bits.take(token), far.take(token)
-            extra = _PREFIX_ARRAY[1].take(kind)
-            distance[copy] = _PREFIX_ARRAY[0].take(kind) + (v >> j & (1 << extra) - 1)
-            after[copy] = p + j + extra
+            p = after.take(copy)
+            after[copy] = p + (far.take(wide.take(p >> 3) >> (p & 7) & far_mask) & 63)
         p = r.at & 7
         if p == after[p]:  # one symbol without bits
-            shown[at:] = symbol[p]
+            shown[at:] = entry[p] >> 6
             break
-        tokens = _walk(after, p)
-        p = int(after[tokens[-1]])
-        begin = at + starts_of(length[tokens])
-        tokens = tokens[: np.searchsorted(begin, n)]
-        begin = begin[: len(tokens)]
-        plain = symbol[tokens] < 256
-        shown[begin[plain]] = symbol[tokens[plain]]
-        tokens, place_of = tokens[~plain], begin[~plain]
-        d = distance[tokens]
-        near = _NEAR_ARRAY[np.minimum(d, 120) - 1]
-        d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
-        if (d > place_of).any():
-            raise ValueError("a distance reaches before the image")
-        for to, count, back in zip(place_of.tolist(), np.minimum(length[tokens], n - place_of).tolist(), d.tolist(), strict=True):
-            if back >= count:
-                pixels[to : to + count] = pixels[to - back : to - back + count]
-            else:
-                pixels[to : to + count] = (pixels[to - back : to] * -(-count // back))[:count]
-        last = int(begin[-1]) + (int(length[tokens[-1]]) if len(tokens) and not plain[-1] else 1)
-        r.at, at = 8 * base + p, last
-    out = np.empty((n, 4), np.uint8)
-    out[:] = [codes[3].single, codes[1].single, 0, codes[2].single]
+        tokens = _walk(after, p, end)
+        entry, count = entry.take(tokens), np.ones(len(tokens), np.int64)
+        copy = (entry >= _FIRST_COPY).nonzero()[0]
+        if len(copy):
+            place, own = tokens.take(copy), entry.take(copy)
+            kind, bits = (own >> 6) - 256, own & 63
+            extra = extras.take(kind)
+            count[copy] = least.take(kind) + (v.take(place) >> bits - extra & (1 << extra) - 1)
+            place += bits
+            v = wide.take(place >> 3) >> (place & 7)
+            own = far.take(v & far_mask)
+            kind = own >> 6
+            extra = extras.take(kind)
+            back = least.take(kind) + (v >> (own & 63) - extra & (1 << extra) - 1)
+            back = np.where(back > 120, back - 120, _near_distances(width).take(np.minimum(back, 120)))
+        stop = count.cumsum()
+        stop += at
+        begin = stop - count
+        r.at, at = 8 * base + int(after[tokens[-1]]), int(stop[-1])
+        if at > n:  # what is behind the image was looked up too
+            begin = begin[: begin.searchsorted(n)]
+            copy = copy[: copy.searchsorted(len(begin))]
+        shown[begin] = entry[: len(begin)] >> 6  # where a copy begins, it comes over this
+        if len(copy):
+            to, stop, back = begin.take(copy), np.minimum(stop.take(copy), n), back[: len(copy)]
+            source = to - back
+            if source.min() < 0:
+                raise ValueError("a distance reaches before the image")
+            for a, b, c, d in zip(to.tolist(), stop.tolist(), source.tolist(), (source + stop - to).tolist(), strict=True):
+                pixels[a:b] = pixels[c:d] if d <= a else (pixels[c:a] * -((a - b) // (a - c)))[: b - a]
+    out = np.full(n, codes[3].single | codes[1].single << 8 | codes[2].single << 24, np.uint32).view(np.uint8).reshape(n, 4)
     out[:, 2] = shown
     return out
 
@@ -502,7 +523,8 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
             pixels = cross_colour(pixels, image, block, wide, True)
         elif kind == 2:
             pixels = pixels.copy()
-            pixels[:, 1::2] += pixels[:, 2:3]
+            for k in (1, 3):
+                pixels[:, k] += pixels[:, 2]
         else:
             index = pixels[:, 2].reshape(height, -1)
             if block:
@@ -629,19 +651,20 @@ def _zeros(run: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def _prefix_codes(values: np.ndarray) -> np.ndarray:
-    """(codes, extra, extra bits) of lengths or distances, a row each."""
+def _prefix_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, extra and extra bits of lengths or distances."""
     global _PREFIX_OF
-    if len(values) and (top := int(values.max())) >= _PREFIX_OF.shape[1]:
+    if len(values) and (top := int(values.max())) >= len(_PREFIX_OF):
         v = np.arange(-1, 2 * top)
         high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
-        extra = np.maximum(high - 1, 0)
-        _PREFIX_OF = np.stack([np.where(v < 4, v, 2 * high + (v >> extra & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), np.where(v < 4, 0, extra)])
-    return _PREFIX_OF[:, values]
+        _PREFIX_OF = np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)).astype(np.int8)
+    codes = _PREFIX_OF.take(values).astype(np.int64)
+    least, extras = _PREFIX_ARRAY
+    return codes, values - least.take(codes), extras.take(codes)
 
 
 #: The codes of all values up to the highest seen, which is at most the number of pixels of an image.
-_PREFIX_OF = np.zeros((3, 0), np.int64)
+_PREFIX_OF = np.zeros(0, np.int8)
 
 
 @lru_cache(4096)
@@ -656,56 +679,85 @@ def _near_codes(width: int) -> np.ndarray:
 
 def _before(keys: np.ndarray) -> np.ndarray:
     """For each place the last one before it with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1)
-    out[order[1:][same]] = order[:-1][same]
+    n = len(keys)
+    out = np.full(n, -1)
+    if keys.dtype == np.uint16 and n <= 1 << 16:  # key and place in one number are sorted faster than places by key
+        both = keys.astype(np.uint32)
+        both <<= 16
+        both |= np.arange(n, dtype=np.uint32)
+        both.sort()
+        same = ((both[1:] ^ both[:-1]) < 1 << 16).nonzero()[0]
+        order = both & 0xFFFF
+    else:
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys.take(order)
+        same = (sorted_keys[1:] == sorted_keys[:-1]).nonzero()[0]
+    out[order.take(same + 1)] = order.take(same)
     return out
 
 
-def _copies(argb: np.ndarray, least: int = 3) -> np.ndarray:
-    """(place, length, distance) of what is `least` or more pixels long and was there before."""
-    none = np.zeros((0, 3), np.int64)
+def _copies(argb: np.ndarray, least: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of what is `least` or more pixels long and was there before; exact: only green varies."""
+    none = (np.zeros(0, np.int64),) * 3
     if len(argb) < least + 1:
         return none
     n = len(argb) - least + 1
-    exact = least < 8 and not int(np.bitwise_or.reduce(argb ^ argb[0])) & 0xFFFF00FF  # only green varies: its samples are the key
-    a = (argb >> 8 & 255 if exact else argb).astype(np.uint64)
-    keys = a[:n]
-    for k in range(1, least):
-        keys = (keys << np.uint64(8) | a[k : k + n]) if exact else keys * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n]
-    short = n < 1 << 14  # short keys are sorted in linear time, and few meet by chance
+    exact = exact and least < 8
+    if exact:  # the samples are the key
+        samples = np.zeros(len(argb) + 8, np.uint8)
+        samples[: len(argb)] = argb >> 8
+        keys = np.ndarray((n,), ">u8", samples, 0, (1,)).astype(np.uint64)
+        keys >>= np.uint64(64 - 8 * least)
+    else:
+        keys = argb[:n].astype(np.uint64)
+        for k in range(1, least):
+            keys = keys * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n]
+    short = n < 1 << 14  # short keys are sorted faster, and few meet by chance
     back = _before((keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16) if short else keys)
     if not short:  # among many places the last one is seldom that of the longest copy
+        a = (argb >> 8 & 255 if exact else argb).astype(np.uint64)
         wide = np.zeros(n - LONG, np.uint64)
         for k in range(LONG):
             wide = wide * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n - LONG]
         last = _before(mix(wide))
         back[: n - LONG] = np.where(last >= 0, last, back[: n - LONG])
-    i = np.flatnonzero(keys[back] == keys)
-    i = i[back[i] >= 0]
+    i = (back >= 0).nonzero()[0]
+    back = back.take(i)
+    alike = keys.take(back) == keys.take(i)
     for k in range(0 if exact else least):
-        i = i[argb[i + k] == argb[back[i] + k]]
+        alike &= argb.take(i + k) == argb.take(back + k)
+    i, back = i[alike], back[alike]
     if not len(i):
         return none
-    d = i - back[i]
-    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0))
-    first, last = np.append(0, cut + 1), np.append(cut, len(i) - 1)
-    begin, end, far = i[first], i[last] + least, d[first]
+    # Stretches: both places go on by one.
+    cut = ((i[1:] - i[:-1] != 1) | (back[1:] - back[:-1] != 1)).nonzero()[0]
+    first, last = np.empty(len(cut) + 1, np.int64), np.empty(len(cut) + 1, np.int64)
+    first[0], last[-1] = 0, len(i) - 1
+    first[1:], last[:-1] = cut + 1, cut
+    begin, end = i.take(first), i.take(last) + least
+    far = begin - back.take(first)
     # Each stretch goes on where those before it end, if enough of it is left; then those that had lost that room to unused ones.
-    use = np.zeros(len(begin), bool)
     at = begin.copy()
-    for _ in range(3):
-        rest = np.flatnonzero(~use)
-        at[rest[rest > 0]] = np.maximum(begin, np.concatenate([[0], np.maximum.accumulate(end * use)[:-1]]))[rest[rest > 0]]
-        at[rest[1:]] = np.maximum(at[rest[1:]], np.maximum.accumulate(end[rest])[:-1])
-        use[rest] = end[rest] - at[rest] >= least
+    np.maximum(begin[1:], np.maximum.accumulate(end)[:-1], out=at[1:])
+    use = end - at >= least
+    for _ in range(2):
+        rest = (~use).nonzero()[0]
+        if not len(rest):
+            break
+        after, more = np.maximum.accumulate(end * use), rest[int(rest[0] == 0) :]
+        at[more] = np.maximum(begin.take(more), after.take(more - 1))
+        ends = end.take(rest)
+        at[rest[1:]] = np.maximum(at.take(rest[1:]), np.maximum.accumulate(ends)[:-1])
+        now = ends - at.take(rest) >= least
+        if not now.any():
+            break
+        use[rest] = now
     begin, length, far = at[use], (end - at)[use], far[use]
-    if not len(begin):
-        return none
-    parts = -(-length // 4096)  # a copy has at most 4096 pixels
-    inside = 4096 * (np.arange(int(parts.sum())) - np.repeat(starts_of(parts), parts))
-    return np.stack([np.repeat(begin, parts) + inside, np.minimum(4096, np.repeat(length, parts) - inside), np.repeat(far, parts)], axis=1)
+    if len(length) and int(length.max()) > 4096:  # a copy has at most 4096 pixels
+        parts = -(-length // 4096)
+        inside = 4096 * (np.arange(int(parts.sum())) - np.repeat(starts_of(parts), parts))
+        begin, length, far = np.repeat(begin, parts) + inside, np.minimum(4096, np.repeat(length, parts) - inside), np.repeat(far, parts)
+    return begin, length, far
 
 
 def _slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -716,22 +768,28 @@ def _slots(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: int = 0, groups: int = 0) -> None:
-    """Pixels by prefix codes of their frequencies; copies of `references` pixels or more, if any; groups > 0 gives every block of 1 << groups pixels a code set by turns of two."""
-    argb = np.ascontiguousarray(pixels, np.uint8).view(">u4").ravel().astype(np.uint32)
+    """Pixels, (n, 4) or n numbers, by prefix codes of their frequencies; copies of `references` pixels or more, if any; groups > 0 gives every block of 1 << groups pixels a code set by turns of two."""
+    argb = np.ascontiguousarray(pixels, np.uint8).view(">u4").ravel().astype(np.uint32) if pixels.ndim > 1 else pixels
     n = len(argb)
     w.bits(int(cache_bits > 0), 1)
     w.bits(cache_bits, 4 if cache_bits else 0)
     if main:
         w.bits(int(groups > 0), 1)
-    copies = _copies(argb, references) if references else np.zeros((0, 3), np.int64)
-    inside = np.zeros(n + 1, np.int8)
-    inside[copies[:, 0] + 1] += 1
-    inside[copies[:, 0] + copies[:, 1]] -= 1
-    tokens = np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8) == 0)
+    varies, shifts = int(np.bitwise_or.reduce(argb ^ argb[0])), (8, 16, 0, 24)
+    begin, length, back = _copies(argb, references, varies & 0xFFFF00FF == 0) if references else (np.zeros(0, np.int64),) * 3
+    tokens, rest, far = None, argb, begin
+    if len(begin):
+        inside = np.zeros(n + 1, np.int8)
+        inside[begin + 1] = 1
+        inside[begin + length] -= 1
+        tokens = (inside[:n].cumsum(dtype=np.int8) == 0).nonzero()[0]
+        rest, far = argb.take(tokens), tokens.searchsorted(begin)
+        if varies & 0xFFFF00FF:
+            varies = int(np.bitwise_or.reduce(rest ^ rest[0]))
     # What each token puts down: symbols of the five codes, and bits behind them; -1 for none. One-valued channels need no bits.
-    rest, far = argb[tokens], np.searchsorted(tokens, copies[:, 0])
-    varies, shifts = int(np.bitwise_or.reduce(rest ^ rest[0])), (8, 16, 0, 24)
     symbols = [(rest >> k & 255).astype(np.int64) if k == 8 or varies >> k & 255 else None for k in shifts]
+    if cache_bits or groups:
+        tokens = np.arange(n) if tokens is None else tokens
     if cache_bits:
         slots, there = _slots(argb, cache_bits)
         there = there[tokens]
@@ -739,14 +797,14 @@ def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_b
         for x in symbols[1:]:
             if x is not None:
                 x[there] = -1
-    code, *length = _prefix_codes(copies[:, 1])
+    code, extra, bits = _prefix_codes(length)
     symbols[0][far] = 256 + code
     for x in symbols[1:]:
         if x is not None:
             x[far] = -1
     near = _near_codes(width)
-    close = near[np.minimum(copies[:, 2], len(near) - 1)] * (copies[:, 2] < len(near))
-    distances, *distance = _prefix_codes(np.where(close > 0, close, copies[:, 2] + 120))
+    close = near.take(np.minimum(back, len(near) - 1))  # the last one is 0
+    distances, far_extra, far_bits = _prefix_codes(np.where(close > 0, close, back + 120))
     group = None
     if groups:
         across = -(-width >> groups)
@@ -758,34 +816,50 @@ def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, cache_b
         w.bits(groups - 2, 3)
         _write_image(w, image, across, False)
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256)
-    # Columns: green and length bits, distance, its bits, red, blue, alpha.
-    values, widths = np.zeros((6, len(tokens)), np.int64), np.zeros((6, len(tokens)), np.int64)
-    most = 10 if len(tokens) < 1 << 14 else 15
+    most = 10 if len(rest) < 1 << 14 else 15
+    # Numbers and widths of the tokens' green, red, blue and alpha symbols, and of the copies' distances.
+    shown, own = {}, np.zeros((2, len(far)), np.int64)
     for g in range(2 if groups else 1):
         for which, size in enumerate(sizes):
             if symbols[which] is None:
                 _write_code(w, {int(rest[0]) >> shifts[which] & 255: 0}, size)
-                continue
-            here = np.flatnonzero(symbols[which] >= 0 if group is None else (symbols[which] >= 0) & (group == g))
-            _put(w, symbols[which][here], size, most, here, values[(0, 3, 4, 5)[which]], widths[(0, 3, 4, 5)[which]])
-        own = slice(None) if group is None else group[far] == g
-        _put(w, distances[own], 40, most, far[own], values[1], widths[1])
-    for to, (extra, more) in ((0, length), (1 if most == 10 else 2, distance)):  # where codes are short the bits of a distance fit behind it
-        values[to, far] |= extra << widths[to, far]
-        widths[to, far] += more
-    used = [k for k in range(6) if widths[k].any()]
-    w.many(values[used].T.ravel(), widths[used].T.ravel())
-
-
-def _put(w: _Writer, symbols: np.ndarray, size: int, most: int, to: np.ndarray, values: np.ndarray, widths: np.ndarray) -> None:
-    """Write the code of some symbols, and their codes to the places `to`."""
+            elif which == 0 and group is None:
+                shown[0] = _put(w, symbols[0], size, most)
+            else:
+                here = np.flatnonzero(symbols[which] >= 0 if group is None else (symbols[which] >= 0) & (group == g))
+                shown.setdefault(which, np.zeros((2, len(rest)), np.int64))[:, here] = _put(w, symbols[which][here], size, most)
+        if group is None:
+            own = _put(w, distances, 40, most)
+        else:
+            own[:, group[far] == g] = _put(w, distances[group[far] == g], 40, most)
+    columns = [shown[k] for k in sorted(shown)]
+    if len(far):
+        values, widths = columns[0]
+        at = widths.take(far)
+        values[far] |= extra << at
+        at += bits
+        widths[far] = at
+        if int((at + own[1] + far_bits).max()) <= 31:  # a copy's bits fit one number
+            values[far] |= (own[0] | far_extra << own[1]) << at
+            widths[far] = at + own[1] + far_bits
+        else:
+            more = np.zeros((2, 2, len(rest)), np.int64)
+            more[:, :, far] = [own, [far_extra, far_bits]]
+            columns[1:1] = more
+    columns = columns[0] if len(columns) == 1 else np.stack(columns, axis=2).reshape(2, -1)
+    w.many(columns[0], columns[1])
+
+
+def _put(w: _Writer, symbols: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Write the code of some symbols; their codes and the codes' lengths."""
     counts = np.bincount(symbols, minlength=size)
-    used = np.flatnonzero(counts)
-    codes = _write_code(w, _huffman(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), most if len(used) <= 256 else 15), size)
-    if len(codes) > 1:
-        table = np.zeros((2, size), np.int64)
-        table[:, list(codes)] = np.array(list(codes.values())).T
-        values[to], widths[to] = table[:, symbols]
+    used = counts.nonzero()[0]
+    codes = _write_code(w, _huffman(dict(zip(used.tolist(), counts.take(used).tolist(), strict=True)), most if len(used) <= 256 else 15), size)
+    table = [0] * size
+    for s, (code, n) in codes.items():
+        table[s] = code << 4 | n
+    both = np.array(table).take(symbols)
+    return np.stack([both >> 4, both & 15])
 
 
 def _file(bits: bytes) -> bytes:
@@ -805,14 +879,24 @@ def _begin(width: int, height: int) -> _Writer:
 
 def _less_green(pixels: np.ndarray) -> np.ndarray:
     out = pixels.copy()
-    out[:, 1::2] -= pixels[:, 2:3]
+    for k in (1, 3):
+        out[:, k] -= pixels[:, 2]
     return out
 
 
 def encode(pixels: np.ndarray, modes: np.ndarray | None = None, colour: np.ndarray | None = None, block: int = 2, green: bool = False, palette: bool = False, cache_bits: int = 0, references: int = 3, groups: int = 0) -> bytes:
-    """One lossless file of pixels (height, width, 4), with the transforms that are given: predictor modes and cross-colour elements per block."""
-    height, width, _ = pixels.shape
-    w, rest, wide = _begin(width, height), pixels.reshape(-1, 4), width
+    """One lossless file of pixels (height, width, 4), or of grey samples (height, width), with the transforms that are given: predictor modes and cross-colour elements per block."""
+    height, width = pixels.shape[:2]
+    w, wide = _begin(width, height), width
+    if pixels.ndim == 2 and green and not palette and modes is None and colour is None:  # green is all that is left
+        w.bits(1, 1)
+        w.bits(2, 2)
+        w.bits(0, 1)
+        _write_image(w, pixels.ravel().astype(np.uint32) << 8 | 0xFF000000, width, True, cache_bits, references, groups)
+        return _file(w.packed())
+    if pixels.ndim == 2:
+        pixels = (np.uint32(0xFF) + pixels.astype(np.uint32) * np.uint32(0x01010100)).view(np.uint8)
+    rest = pixels.reshape(-1, 4)
     if palette:
         colours, index = np.unique(np.ascontiguousarray(rest).view(">u4").ravel(), return_inverse=True)
         w.bits(1, 1)
@@ -922,8 +1006,7 @@ def store(payload: bytes) -> bytes:
         counts = np.bincount(rows.ravel(), minlength=256)
         bits = float(_bits(counts))
         if bits < TEXT_BITS * rows.size and _different(rows) > min(256, rows.size // 16):
-            grey = np.uint32(0xFF) + rows.astype(np.uint32) * np.uint32(0x01010100)
-            out.append(encode(grey.view(np.uint8).reshape(*rows.shape, 4), references=GREY_COPY, **_best_grey(rows, counts, bits)))
+            out.append(encode(rows, references=GREY_COPY, **_best_grey(rows, counts, bits)))
         else:
             pixels = rows.reshape(len(rows), ROW // 4, 4)
             out.append(encode(pixels, references=COPY, **_best(pixels)))

@@ -42,7 +42,7 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
 def scanned_files(spark, sf):
     """Documents written out as files and scanned again: some languages, without the ids that begin with 1."""
     found = scan_files(spark, V.written_files(spark, sf, scratch_dir(spark)), ["**/lang=en/**", "**/lang={fr,de}/**"], ["**/doc_id=1*/**"], {"txt": "text"})
-    return found.select(F.regexp_extract("file_path", "^source=(.*)/part-[^/]*$", 1).alias("file_path"), "content", "hash", "language")
+    return found.select(V.written_path(F.col("file_path")).alias("file_path"), "content", "hash", "language")
 
 
 def glob_pages(spark, sf):

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import content_hash
+from quillspan.sources.files import local_path, write_files
+
+#: What Spark's writers put into a path for a null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,12 +139,36 @@ def class_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_files(spark: SparkSession, sf_dir: str, root: str) -> str:
-    """Documents written out as a tree of text files, one each, in the shared folder."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.col("text").alias("value"))
-    docs.repartition("doc_id").write.partitionBy("source", "lang", "doc_id").text(root)
+    """Documents written out as a tree of text files, one each, in the shared folder.
+
+    On a local file system Hadoop starts a process for the rights of each file and
+    folder and puts a checksum beside each file, so tasks write there themselves,
+    and documents whose ids begin alike share a folder; elsewhere Spark's writer
+    makes a folder for each. Rows without an id have no path.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("source", "lang", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    folder = local_path(spark, root)
+    if folder is None:
+        docs.write.option("maxRecordsPerFile", 1).partitionBy("source", "lang", "doc_id").text(root)
+        return root
+
+    def segment(name: str) -> Column:
+        value = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+        return F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit(NO_VALUE)), F.lit("/"))
+
+    doc_id = F.col("doc_id").cast("string")
+    name = F.concat(F.lit("doc_id="), F.substring(doc_id, 1, 1), F.lit("/doc_id="), doc_id, F.lit("."), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    write_files(docs.select(F.concat(segment("source"), segment("lang"), name).alias("file_path"), F.concat("value", F.lit("\n")).alias("content")), folder)
     return root
 
 
+def written_path(path: Column) -> Column:
+    """source/lang=.../doc_id=... of a written file's path; null where the source is."""
+    source, lang, doc_id = (F.regexp_extract(path, "^source=(.*)/lang=([^/]*)/(?:doc_id=[^/]*/)?(doc_id=-?[0-9]+)[./][^/]*$", k) for k in (1, 2, 3))
+    value = F.url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))
+    return F.concat(F.nullif(value, F.lit(NO_VALUE)), F.lit("/lang="), lang, F.lit("/"), doc_id)
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their url's path and host as a file path."""
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")

@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.globs import chosen_path
 from quillspan.functions.text import content_hash, tag_language
 
+#: Bytes of files that a task of a scan reads, about; and its tasks for each core at least.
+SCAN_BYTES, SCAN_TASKS = 1 << 24, 4
+
+
+def local_path(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder on a local file system, or on one that is mounted everywhere; None for any other."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes each row of (file_path, content) as a file of its own below a folder that is a local path to all tasks.
+
+    A file gets its name once it is whole, so tasks that run twice leave it as it is.
+    """
+
+    def run(batches):
+        made, attempt = set(), uuid.uuid4().hex
+        for batch in batches:
+            for path, content in zip(*(batch.column(k).to_pylist() for k in ("file_path", "content")), strict=True):
+                below, name = os.path.split(os.path.join(folder, path))
+                if below not in made:
+                    os.makedirs(below, exist_ok=True)
+                    made.add(below)
+                with open(part := f"{below}/.{attempt}", "wb") as f:
+                    f.write(content)
+                os.replace(part, f"{below}/{name}")
+            yield batch.select(["file_path"]).slice(0, 0)
+
+    rows = files.select("file_path", F.col("content").cast("binary").alias("content"))
+    rows.mapInArrow(run, "file_path string").write.format("noop").mode("overwrite").save()
+
 
 def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: dict[str, str] | None = None) -> DataFrame:
     """(file_path, content, hash, language) of the files below root that the patterns choose.
 
     The patterns are asked of the listed files' paths (`_metadata.file_path`), so
-    that Spark plans tasks for chosen files only and opens no other.
+    that Spark plans tasks for chosen files only and opens no other. Spark counts
+    megabytes for opening a file, which makes a task of a few small files; such
+    tasks are put together until they read SCAN_BYTES or are few.
     """
     base = root.rstrip("/")
     local = "/" + base.split(":", 1)[-1].lstrip("/")
@@ -22,7 +60,9 @@ def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list
     def below(path: Column) -> Column:
         return F.substring(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), len(local) + 2, 1 << 30)
 
-    listed = found.where(chosen_path(below(F.col("_metadata.file_path")), include, exclude))
+    size = int(found._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    tasks = max(SCAN_TASKS * spark.sparkContext.defaultParallelism, -(-size // SCAN_BYTES))
+    listed = found.where(chosen_path(below(F.col("_metadata.file_path")), include, exclude)).coalesce(tasks)
     chosen = tag_language(listed.withColumn("file_path", below(F.col("path"))), "file_path", extensions)
     text = chosen.select("file_path", F.decode("content", "UTF-8").alias("content"), "language")
     return text.select("file_path", "content", content_hash(F.col("content")).alias("hash"), "language")

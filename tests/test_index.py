@@ -6,8 +6,9 @@ from quillspan.functions.text import content_hash
 from quillspan.operators import diff, lexical, maintain, ranges, search
 from quillspan.operators.embed import embed_chunks, hashed_words
 from quillspan.operators.index import Params, index_batch
+from quillspan.plans import catalog, views
 from quillspan.schemas import CHUNKS, DOCUMENTS, EMBEDDINGS
-from quillspan.sources.files import scan_files, wide_index
+from quillspan.sources.files import scan_files, wide_index, write_files
 from quillspan.sources.store import empty_index, read_index, write_index
 from quillspan.streaming.index_stream import index_stream
 
@@ -51,6 +52,60 @@ def test_files_left_out_are_not_opened(spark, tmp_path):
     assert leaf.metrics().apply("numFiles").value() == 2
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """Spark alone plans four files a task here, as it counts 4 MB for opening one."""
+    for k in range(400):
+        (tmp_path / f"{k % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 7}/{k}.ts").write_text(f"file {k}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        found = scan_files(spark, str(tmp_path), ["**/*.ts"], [])
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert {r.file_path: r.content for r in found.collect()} == {f"{k % 7}/{k}.ts": f"file {k}" for k in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+#: Ids that begin alike or come twice, and sources and texts that file names and lines could break.
+ODD = [(k, f"text {k}", ("en", "fr", "de", "es")[k % 4], f"s{k % 3}") for k in range(300)] + [
+    (-3, "below zero", "en", "s1"), (205, "again", "en", "s1"), (206, "", "fr", "s2"), (207, "a\n\nb\r\n", "de", "s0"), (2000, "x", "en", "a b/c=d"), (2001, "y", "en", "50%+é*"), (2002, "z", "en", None), (None, "no id", "en", "s0"), (2003, "no language", None, "s0"),
+]
+
+
+def _odd(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/in/documents.parquet/*.parquet'")
+    return f"{tmp_path}/in", sorted(map(str, db.execute(catalog.oracle_sql()["scanned_files"]).fetchall()))
+
+
+def test_written_files_are_all_there_is(spark, tmp_path):
+    """A document is one file: no checksums beside it, and no folder for each."""
+    sf, expected = _odd(spark, tmp_path)
+    views.written_files(spark, sf, f"{tmp_path}/tree")
+    found = list((tmp_path / "tree").rglob("*"))
+    assert sum(p.is_file() for p in found) == len(ODD) - 1
+    assert sum(p.is_dir() for p in found) < len(ODD) / 2
+    assert sorted(str(tuple(r)) for r in catalog.queries()["scanned_files"](spark, sf).collect()) == expected
+
+
+def test_written_files_where_only_spark_reaches(spark, tmp_path):
+    sf, expected = _odd(spark, tmp_path)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trees.link./t", f"file://{tmp_path}")
+    root = views.written_files(spark, sf, "viewfs://trees/t/tree")
+    found = scan_files(spark, root, ["**/lang=en/**", "**/lang={fr,de}/**"], ["**/doc_id=1*/**"], {"txt": "text"})
+    assert sorted(str(tuple(r)) for r in found.select(views.written_path(F.col("file_path")), "content", "hash", "language").collect()) == expected
+
+
+def test_files_written_again_stay_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.ts", "one\n"), ("c.ts", "é")], "file_path string, content string")
+    for _ in range(2):
+        write_files(rows, f"{tmp_path}/tree")
+    assert {str(p.relative_to(tmp_path / "tree")): p.read_text() for p in (tmp_path / "tree").rglob("*") if p.is_file()} == {"a/b.ts": "one\n", "c.ts": "é"}
+
+
 def test_incremental_equals_rebuild(spark, tmp_path):
     one = {"a": "first\n\nsecond line", "b": "same", "c": "gone", "blank": "\n"}
     two = {"a": "first\n\nchanged line", "b": "same", "d": "new here", "blank": "\n"}

@@ -8,6 +8,7 @@ from quillspan.operators.embed import embed_chunks, hashed_words
 from quillspan.operators.index import Params, index_batch
 from quillspan.plans import catalog, views
 from quillspan.schemas import CHUNKS, DOCUMENTS, EMBEDDINGS
+from quillspan.sources import files as sources
 from quillspan.sources.files import scan_files, wide_index, write_files
 from quillspan.sources.store import empty_index, read_index, write_index
 from quillspan.streaming.index_stream import index_stream
@@ -66,6 +67,25 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("root", ["{}", "file://{}", "viewfs://groups/t"])
+def test_large_trees_are_scanned_by_groups(spark, tmp_path, monkeypatch, root):
+    """No listing holds more files than it may; what Spark's listing leaves out stays out, and names are no patterns."""
+    names = [f"flat/{k}.ts" for k in range(9)] + ["top.ts", "[id]/page.ts", "a b%20{x}/é*.ts", "src/deep/er/x.ts", "src/y.js", "k=1/_z=2.ts", "build/out.ts", ".git/h.ts", "_private/p.ts", "src/.hidden.ts"]
+    for p in names:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.groups.link./t", f"file://{tmp_path}")
+    patterns = ["**/*.ts", "*.ts"], ["build/**"]
+    root = root.format(tmp_path)
+    whole = {r.file_path: r.content for r in scan_files(spark, root, *patterns).collect()}
+    assert whole == {p: p for p in names if p.endswith(".ts") and not p.startswith(("build", ".git", "_private", "src/.h"))}
+    monkeypatch.setattr(sources, "SCAN_FILES", 5)
+    groups = sources._groups(spark, root)
+    assert len(groups) > 3 and all(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(g).count() <= 5 for g in groups)
+    found = scan_files(spark, root, *patterns)
+    assert {r.file_path: r.content for r in found.collect()} == whole and found.count() == len(whole)
+
+
 #: Ids that begin alike or come twice, and sources and texts that file names and lines could break.
 ODD = [(k, f"text {k}", ("en", "fr", "de", "es")[k % 4], f"s{k % 3}") for k in range(300)] + [
     (-3, "below zero", "en", "s1"), (205, "again", "en", "s1"), (206, "", "fr", "s2"), (207, "a\n\nb\r\n", "de", "s0"), (2000, "x", "en", "a b/c=d"), (2001, "y", "en", "50%+é*"), (2002, "z", "en", None), (None, "no id", "en", "s0"), (2003, "no language", None, "s0"),

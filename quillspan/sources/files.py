@@ -50,7 +50,10 @@ def write_files(files: DataFrame, folder: str) -> None:
 
 
 def _groups(spark: SparkSession, base: str) -> list[list[str]]:
-    """The tree's folders and files in groups of at most SCAN_FILES files; the root alone where that holds for all."""
+    """The tree's folders and files in groups of at most SCAN_FILES files; the root alone where that holds for all.
+
+    A folder without folders stays whole: Spark lists it once, but looks up each of many paths.
+    """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     top, scheme = local_path(spark, base), "file://"
@@ -76,18 +79,21 @@ def _groups(spark: SparkSession, base: str) -> list[list[str]]:
         return [[base]]
     folders = [top]
     while folders:
-        for name, is_folder in entries(folders.pop()):
+        found = entries(folder := folders.pop())
+        if not any(is_folder for _, is_folder in found):
+            found = [(folder, False)]
+        for name, is_folder in found:
             if re.match(r"\.|_[^=]*$", name.rpartition("/")[2]):  # Spark lists none of these
                 continue
             n = count(name) if is_folder else 1
             if is_folder and n > SCAN_FILES:
                 folders.append(name)
                 continue
-            if n > room:
+            if n > room or name == folder:
                 groups.append([])
                 room = SCAN_FILES
             groups[-1].append(scheme + re.sub(r"([\\{}\[\]*?])", r"\\\1", name))  # Spark takes paths as patterns
-            room -= n
+            room -= SCAN_FILES if name == folder else n
     return [g for g in groups if g] or [[base]]
 
 

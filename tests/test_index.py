@@ -69,8 +69,8 @@ def test_small_files_share_tasks(spark, tmp_path):
 
 @pytest.mark.parametrize("root", ["{}", "file://{}", "viewfs://groups/t"])
 def test_large_trees_are_scanned_by_groups(spark, tmp_path, monkeypatch, root):
-    """No listing holds more files than it may; what Spark's listing leaves out stays out, and names are no patterns."""
-    names = [f"flat/{k}.ts" for k in range(9)] + ["top.ts", "[id]/page.ts", "a b%20{x}/é*.ts", "src/deep/er/x.ts", "src/y.js", "k=1/_z=2.ts", "build/out.ts", ".git/h.ts", "_private/p.ts", "src/.hidden.ts"]
+    """No listing holds more files than it may, but for a folder without folders; what Spark's listing leaves out stays out, and names are no patterns."""
+    names = [f"{d}/{k}.ts" for d in ("flat", "mixed") for k in range(9)] + ["mixed/in/z.ts", "top.ts", "[id]/page.ts", "a b%20{x}/é*.ts", "src/deep/er/x.ts", "src/y.js", "k=1/_z=2.ts", "build/out.ts", ".git/h.ts", "_private/p.ts", "src/.hidden.ts"]
     for p in names:
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(p)
@@ -81,7 +81,8 @@ def test_large_trees_are_scanned_by_groups(spark, tmp_path, monkeypatch, root):
     assert whole == {p: p for p in names if p.endswith(".ts") and not p.startswith(("build", ".git", "_private", "src/.h"))}
     monkeypatch.setattr(sources, "SCAN_FILES", 5)
     groups = sources._groups(spark, root)
-    assert len(groups) > 3 and all(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(g).count() <= 5 for g in groups)
+    sizes = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(g).count() for g in groups]
+    assert sorted(sizes)[-1] == 9 and sorted(sizes)[-2] <= 5 and groups[sizes.index(9)][0].endswith("/flat")
     found = scan_files(spark, root, *patterns)
     assert {r.file_path: r.content for r in found.collect()} == whole and found.count() == len(whole)
 
